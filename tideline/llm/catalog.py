@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bitplanes, token_counts, trie_bpe, wu_manber
+from tideline.llm import attention_mil, bitplanes, string_kernel, token_counts, trie_bpe, wu_manber
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
+ACCEPT_QUALITY = 0.3
+
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
@@ -19,6 +21,13 @@ def op1_bit_plane_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.shuffled_planes(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = F.coalesce(string_kernel.remainder("doc_id", 4) == 2, F.lit(False))
+    found = string_kernel.identify(docs, held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return wu_manber.search(_documents(spark, sf_dir), benchmark).select(
@@ -31,6 +40,16 @@ def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(string_kernel.remainder("doc_id", 5) == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out)
+    score = attention_mil.quality("text", attention_mil.train(docs, labels))
+    return docs.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= ACCEPT_QUALITY).cast("int")
+    )
+
+
 def op8_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), WORD_BPE).drop("text")
 
@@ -43,7 +62,9 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_bit_plane_shuffle,
+        op2_string_kernel_language,
         op5_wu_manber_decontamination,
+        op7_attention_quality,
         op8_heap_token_counts,
         op10_trie_bpe,
     )
