@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import attention_mil, bitplanes, string_kernel, token_counts, trie_bpe, wu_manber
+from tideline.llm import attention_mil, bitplanes, multiset_hash, string_kernel, token_counts, trie_bpe, wu_manber, zip_warc
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,6 +28,10 @@ def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zip_warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return wu_manber.search(_documents(spark, sf_dir), benchmark).select(
@@ -40,6 +44,10 @@ def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.compared_with_next(_documents(spark, sf_dir))
+
+
 def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = F.coalesce(string_kernel.remainder("doc_id", 5) == 0, F.lit(False))
@@ -63,7 +71,9 @@ QUERIES = {
     for q in (
         op1_bit_plane_shuffle,
         op2_string_kernel_language,
+        op4_zip_warc,
         op5_wu_manber_decontamination,
+        op6_multiset_hash,
         op7_attention_quality,
         op8_heap_token_counts,
         op10_trie_bpe,
