@@ -27,11 +27,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Lets a query's shuffle files go when it ends; what later steps read is in the shared folder by then.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written once to the shared folder and read back: lineage ends here, and lost executors lose nothing of it."""
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
+    path, before = new_path(spark, label), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
