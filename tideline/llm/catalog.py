@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import attention_mil, bitplanes, multiset_hash, string_kernel, token_counts, trie_bpe, wu_manber, zip_warc
+from tideline.llm import attention_mil, bitplanes, debruijn, multiset_hash, partenum, string_kernel, token_counts, trie_bpe, wu_manber, zip_warc
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,6 +28,10 @@ def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similar_components(_documents(spark, sf_dir))
+
+
 def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zip_warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
@@ -62,6 +66,10 @@ def op8_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), WORD_BPE).drop("text")
 
 
+def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.deduplicated_digests(_documents(spark, sf_dir))
+
+
 def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", trie_bpe.digests("text", WORD_BPE).alias("_d")).select("doc_id", "_d.*")
 
@@ -71,13 +79,94 @@ QUERIES = {
     for q in (
         op1_bit_plane_shuffle,
         op2_string_kernel_language,
+        op3_partenum_join,
         op4_zip_warc,
         op5_wu_manber_decontamination,
         op6_multiset_hash,
         op7_attention_quality,
         op8_heap_token_counts,
+        op9_debruijn_dedup,
         op10_trie_bpe,
     )
 }
 
-ORACLE: dict[str, str] = {}
+_OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS sh
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+r AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, e.y FROM r JOIN e ON r.other = e.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(other) FROM r WHERE r.id = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+_OP4 = r"""
+WITH h AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best
+  FROM pages),
+b AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', substr(hex, i, 1)) - 1), 4, '0')), '') AS bits FROM h)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * substr(bits, 5 * j + 1, 1)::INT + 8 * substr(bits, 5 * j + 2, 1)::INT + 4 * substr(bits, 5 * j + 3, 1)::INT
+    + 2 * substr(bits, 5 * j + 4, 1)::INT + substr(bits, 5 * j + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> best THEN best END AS refers_to
+FROM b
+"""
+
+_OP5 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+g AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS m, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS win
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+o AS (
+  SELECT DISTINCT x.doc_id, x.i, x.m, g.item_id
+  FROM (SELECT doc_id, i, m, array_to_string(ws[i:i + m - 1], ' ') AS win
+        FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+              FROM d, (SELECT DISTINCT m FROM g) WHERE len(ws) >= m)) x
+  JOIN g ON g.m = x.m AND g.win = x.win),
+hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM o) GROUP BY doc_id),
+it AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS sha
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM o) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+"""
+
+_OP9 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM r)),
+g AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN g.n IS NULL THEN ws ELSE
+    list_transform(list_filter(range(1, len(ws) + 1), lambda k: NOT list_contains(g.js, k)), lambda k: ws[k]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g ON g.doc_id = w.doc_id
+"""
+
+#: The others can't be said in SQL (tokenizers, learned models, hashes of this library); tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op3_partenum_join": _OP3,
+    "op4_zip_warc": _OP4,
+    "op5_wu_manber_decontamination": _OP5,
+    "op9_debruijn_dedup": _OP9,
+}

@@ -47,12 +47,25 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def hot_keys(df: DataFrame, key: str, at_most: int = 1000, floor: int = 1000) -> DataFrame:
-    """Keys that hold over 1/at_most of df's rows (and over `floor` rows): at most `at_most` rows (_key, _n),
-    so that it may be broadcast whatever the size of df."""
-    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).first()[0]
-    return counts.filter((F.col("_n") > floor) & (F.col("_n") > total // at_most))
+#: Keys with over 1/HOT of all rows (and over HOT rows) are hot: there are at most HOT of them, whatever the data's size,
+#: so that their rows of a lookup table may be broadcast.
+HOT = 1000
+
+
+def hot_share(total: int) -> int:
+    return max(HOT, total // HOT)
+
+
+def join_by_count(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right on `key`, unique in right, whose column _n says how many rows of left have the key.
+    Hot keys' rows of right are broadcast, so that no task gets all rows of a hot key; the rest is shuffled. _n goes."""
+    total = right.agg(F.sum("_n")).first()[0] or 0
+    hot = right.filter(F.col("_n") > hot_share(total))
+    cold = right.filter(F.col("_n") <= hot_share(total)).drop("_n")
+    marked = left.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
+    return (
+        marked.filter("_hot").drop("_hot").join(F.broadcast(hot.drop("_n")), key).unionByName(marked.filter("_hot is null").drop("_hot").join(cold, key, how))
+    )
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
