@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tideline.plans import detection
+
+_PARTS = (detection,)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLE = {name: q for part in _PARTS for name, q in part.ORACLE.items()}

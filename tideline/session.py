@@ -31,7 +31,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str)
 
 
 def make_importable(spark: SparkSession) -> SparkSession:
-    """Python workers find this package even if it isn't installed on their path."""
+    """Python workers find this package even if it isn't installed on their path; times are UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(os.pathsep):
