@@ -373,3 +373,11 @@ def test_place_book_reloads(spark):
     still = PlaceBook(lambda: rows, 0, lambda: now[0])
     now[0] = 1e9
     assert still.current() is still.book
+
+
+def test_signals(spark):
+    moving, door, fuel = "vehicle.isMoving", "vehicle.cabin.door.row1.driver.isOpen", "vehicle.drivetrain.fuelSystem.level"
+    rows = [(moving, "false"), (moving, "moving"), (moving, "?"), (moving, "moving"), (moving, "0"), (door, "open"), (door, "closed"), (door, "open"), (fuel, "18"), (fuel, "18"), (fuel, "17.5"), (telemetry.LOCK, "UNLOCKED"), (telemetry.LOCK, "SECURED"), ("other", "a"), ("other", None)]
+    u = spark.createDataFrame([("v", i, d, v) for i, (d, v) in enumerate(rows)], "device string, arrival_seq bigint, descriptor string, value string")
+    got = [(r.arrival_seq, r.signal) for r in telemetry.signals(u).orderBy("arrival_seq").collect()]
+    assert got == [(1, "car_started_moving"), (4, "car_stopped_moving"), (7, "car_driver_door_opened"), (8, "car_fuel_level"), (10, "car_fuel_level"), (12, "car_locked"), (14, "car_state_change")]

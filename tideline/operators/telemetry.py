@@ -88,3 +88,41 @@ def vocabulary(readings: DataFrame, value: str = "value") -> DataFrame:
     """Each descriptor's first appearance."""
     first = F.min(F.struct("arrival_seq", value))
     return readings.groupBy("descriptor").agg(first.alias("_f")).select("descriptor", F.col("_f.arrival_seq").alias("first_seq"), F.col(f"_f.{value}").alias("first_value"))
+
+
+#: Descriptors with a meaning of their own. Edges: the signal for true and for false (None: not sent); a lock is
+#: read as secured or not. Readings: the signal and the field that carries the number.
+_NAV = "vehicle.cabin.infotainment.navigation.currentLocation"
+LOCK = "vehicle.cabin.door.status"
+EDGES = {
+    "vehicle.isMoving": ("car_started_moving", "car_stopped_moving"),
+    "vehicle.drivetrain.engine.isActive": ("car_ignition_on", "car_ignition_off"),
+    "vehicle.cabin.door.row1.driver.isOpen": ("car_driver_door_opened", None),
+    "vehicle.vehicle.deepSleepModeActive": ("car_deep_sleep", None),
+    LOCK: ("car_locked", "car_unlocked"),
+}
+READINGS = {
+    "vehicle.vehicle.travelledDistance": ("car_odometer", "odometer_km"),
+    "vehicle.drivetrain.fuelSystem.level": ("car_fuel_level", "fuel_level"),
+    f"{_NAV}.latitude": ("car_gps_latitude", "latitude"),
+    f"{_NAV}.longitude": ("car_gps_longitude", "longitude"),
+    f"{_NAV}.altitude": ("car_gps_altitude", "altitude"),
+}
+STATE_CHANGE = "car_state_change"
+
+
+def signals(updates: DataFrame) -> DataFrame:
+    """(device, arrival_seq, descriptor, signal, field, value) of updates (device, arrival_seq, descriptor, value): edges and
+    readings under their own names, any other change as a state change."""
+    keys = ["device", "descriptor"]
+    out = ["device", "arrival_seq", "descriptor", "signal", "field", "value"]
+    pick = lambda table, i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v[i])]), F.col("descriptor"))
+    name = F.col("descriptor")
+    state = F.when(name == LOCK, to_locked(F.col("value"))).otherwise(to_boolean(F.col("value")))
+    edge = edges(updates.filter(name.isin(list(EDGES))), state, keys)
+    edge = edge.withColumns({"signal": F.when(F.col("state"), pick(EDGES, 0)).otherwise(pick(EDGES, 1)), "field": F.lit(None).cast("string")}).filter("signal is not null")
+    number = readings_changed(updates.filter(name.isin(list(READINGS))), to_number(F.col("value")), keys)
+    number = number.withColumns({"signal": pick(READINGS, 0), "field": pick(READINGS, 1)})
+    other = states_changed(updates.filter(~name.isin([*EDGES, *READINGS])), F.col("value"), keys)
+    other = other.withColumns({"signal": F.lit(STATE_CHANGE), "field": F.lit("value")})
+    return edge.select(out).unionByName(number.select(out)).unionByName(other.select(out))
