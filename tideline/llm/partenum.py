@@ -79,29 +79,60 @@ def parameters(high: int, percent: int = PERCENT) -> tuple[int, int, int, int]:
     return k + 1 + spare, 1, 0, spare
 
 
-def signatures(s: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Signatures of a set, and whether it has more empty parts than it may have."""
+def _parts(s: np.ndarray) -> Iterator[tuple]:
+    """For a set's own band and the next one: band, parameters, the part of each shingle, and shingles by part."""
     number, high, next_high = band_of(len(s))
-    out, short = [], False
-    mixed = mix(s, 0x2545F4914F6CDD1D)
     for band, top in ((number, high), (number + 1, next_high)):
         n1, n2, k2, t = parameters(top)
         place = mix(s + np.uint64(band), 0x9E3779B97F4A7C15)
         first = ((place >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)
         second = ((place & np.uint64(0xFFFFFFFF)) * np.uint64(n2)) >> np.uint64(32)
         cell = (first * np.uint64(n2) + second).astype(np.int64)
+        yield band, (n1, n2, k2, t), cell, np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
+
+
+def spares(s: np.ndarray) -> list[int]:
+    """For both bands, how many first-level parts a set can do without besides those with an empty signature."""
+    out = []
+    for _, (n1, n2, k2, t), _, count in _parts(s):
+        # the emptiest n2 - k2 second-level parts make the emptiest signature
+        emptiest = np.sort(count, axis=1)[:, : n2 - k2].sum(1)
+        out.append(t - int((emptiest == 0).sum()))
+    return out
+
+
+def signatures(s: np.ndarray) -> list[np.ndarray]:
+    """A set's signatures for its own band and the next one, those without shingles left out."""
+    out = []
+    mixed = mix(s, 0x2545F4914F6CDD1D)
+    for band, (n1, n2, k2, _), cell, count in _parts(s):
         total = np.zeros(n1 * n2, np.uint64)
         np.add.at(total, cell, mixed)
-        count = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
-        total = total.reshape(n1, n2)
-        empty = np.zeros(n1, bool)
+        total, found = total.reshape(n1, n2), []
         base = mix(np.arange(n1, dtype=np.uint64) + np.uint64(band << 32), 0xD6E8FEB86659FD93)
-        for number_of_subset, subset in enumerate(combinations(range(n2), n2 - k2)):
+        for number, subset in enumerate(combinations(range(n2), n2 - k2)):
             held = count[:, subset].sum(1) > 0
-            empty |= ~held
-            out.append(mix(total[:, subset].sum(1, dtype=np.uint64) + base + np.uint64(number_of_subset << 20))[held])
-        short |= int(empty.sum()) > t
-    return np.concatenate(out), short
+            found.append(mix(total[:, subset].sum(1, dtype=np.uint64) + base + np.uint64(number << 20))[held])
+        out.append(np.concatenate(found))
+    return out
+
+
+#: Shingles a cell of a histogram, about.
+CELL = 4
+
+
+def histogram(s: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of 2^i cells, one byte each."""
+    m = min(max(16, 1 << (max(1, len(s) // CELL) - 1).bit_length()), 1 << 16)
+    return np.minimum(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: bytes, y: bytes, n_x: int, n_y: int) -> bool:
+    """False only for sets that differ too much: their histograms differ by no more shingles than they do."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    m = min(len(a), len(b))
+    apart = int(np.abs(a.reshape(-1, m).sum(0) - b.reshape(-1, m).sum(0)).sum())
+    return apart * (100 + PERCENT) <= (n_x + n_y) * (100 - PERCENT)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -109,7 +140,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """(sig, doc, short); a set with too many empty parts has a further row with short. Equal texts of a task sign once."""
+    """(sig, doc, up): up tells a document's two bands apart. Equal texts of a task sign once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
@@ -121,20 +152,16 @@ def _signed(rows: DataFrame) -> DataFrame:
                     seen.add(key)
                     fresh.append((doc, text))
             for group in grouped(fresh, 1):
-                sigs, docs, short = [], [], []
+                sigs, docs, ups = [], [], []
                 for (doc, _), s in zip(group, sets_of([r[1] for r in group]), strict=True):
-                    if len(s):
-                        found, bad = signatures(s)
+                    for up, found in enumerate(signatures(s) if len(s) else ()):
                         sigs.append(found)
                         docs.append(np.full(len(found), doc, np.int64))
-                        if bad:
-                            short.append(doc)
-                if docs:
-                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc": np.concatenate(docs), "short": False})
-                if short:
-                    yield pd.DataFrame({"sig": short, "doc": short, "short": True})
+                        ups.append(np.full(len(found), up, np.int8))
+                if sigs:
+                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc": np.concatenate(docs), "up": np.concatenate(ups)})
 
-    return rows.withColumn("md5", F.md5("text")).mapInPandas(run, "sig long, doc long, short boolean")
+    return rows.withColumn("md5", F.md5("text")).mapInPandas(run, "sig long, doc long, up byte")
 
 
 def _with_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -145,34 +172,74 @@ def _with_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
             for group in grouped(zip(pdf["doc"], pdf["text"], strict=True), 1):
                 yield pd.DataFrame({"doc": [r[0] for r in group], "s": [x.view(np.int64) for x in sets_of([r[1] for r in group])]})
 
-    n = ids.count()
-    picked = rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc", "left_semi")
+    picked = rows.join(_small(ids), "doc", "left_semi")
     return picked.mapInPandas(run, "doc long, s array<long>").filter("size(s) > 0")
 
 
-def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (a, b) pairs whose sets link. A document that stands in very many pairs is met by them in several tasks."""
-    pairs = staged(pairs.select("a", "b"), "pairs")
-    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = staged(_with_sets(rows, ids), "sets")
-    left = pairs
-    for side in ("a", "b"):
-        counts = left.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
-        total = pairs.count()
-        hot = counts.filter(F.col("_n") > hot_share(total)).select(side, (F.col("_n") / HOT_SLICE).cast("int").alias("_parts"))
-        own = sets.select(F.col("doc").alias(side), F.col("s").alias(f"s_{side}"))
-        own = own.join(F.broadcast(hot), side, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(0))))).drop("_parts")
-        salt = F.pmod(F.xxhash64("a", "b"), F.coalesce("_parts", F.lit(0)) + 1).cast("int")
-        left = left.join(F.broadcast(hot), side, "left").withColumn("_salt", salt).drop("_parts").join(own, [side, "_salt"]).drop("_salt")
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    every = F.size("s_a") + F.size("s_b") - shared
-    return staged(left.filter(100 * shared >= PERCENT * every).select("a", "b").distinct(), "links")
+def _small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few enough rows, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 #: Pairs of a hot document that meet it in one task.
 HOT_SLICE = 500
 
 
+def _met(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, _salt, b, v): for each document a of the pairs its value (b null) and those of its partners, in one task and in
+    this order. Each pair sends b's value to a's; a document a that stands in very many pairs is sent to several tasks, and
+    its partners are dealt out to those. values: doc, v."""
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > hot_share(pairs.count())).select("a", (F.col("_n") / HOT_SLICE).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(0))
+    centres = _small(pairs.select(F.col("a").alias("doc")).distinct().join(F.broadcast(hot.withColumnRenamed("a", "doc")), "doc", "left"))
+    centres = values.join(centres, "doc").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts)))
+    centres = centres.select(F.col("doc").alias("a"), "_salt", F.lit(None).cast("long").alias("b"), "v")
+    partners = pairs.join(F.broadcast(hot), "a", "left").withColumn("_salt", F.pmod(F.xxhash64("b"), parts + 1).cast("int")).drop("_parts")
+    partners = values.join(_small(partners.withColumnRenamed("b", "doc")), "doc").select("a", "_salt", F.col("doc").alias("b"), "v")
+    return centres.unionByName(partners).repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first())
+
+
+def _linking(met: DataFrame, read, link) -> DataFrame:
+    """The (a, b) of met for which link(value of a, value of b) holds; read makes values of a list of v."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centre, own = None, []
+        for pdf in batches:
+            for group in grouped(zip(pdf["a"], pdf["_salt"], pdf["b"].array, pdf["v"], strict=True), 3):
+                found = []
+                for (a, salt, b, _), v in zip(group, read([r[3] for r in group]), strict=True):
+                    if (a, salt) != centre:
+                        centre, own = (a, salt), []
+                    if pd.isna(b):
+                        own.append(v)
+                    elif any(link(o, v) for o in own):
+                        found.append((int(a), int(b)))
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    return met.mapInPandas(run, "a long, b long").distinct()
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+
+
+def _near(x: tuple[bytes, int], y: tuple[bytes, int]) -> bool:
+    return may_link(x[0], y[0], x[1], y[1])
+
+
+def _read_histograms(values: list[bytes]) -> list[tuple[bytes, int]]:
+    return [(bytes(v[4:]), int.from_bytes(v[:4], "little")) for v in values]
+
+
+def verified(rows: DataFrame, pairs: DataFrame, histograms: DataFrame) -> DataFrame:
+    """The (a, b) pairs whose sets link: those that their histograms (doc, v) leave open meet by their texts."""
+    pairs = staged(pairs.select("a", "b"), "pairs")
+    open_pairs = staged(_linking(_met(histograms, pairs), _read_histograms, _near), "open-pairs")
+    return staged(_linking(_met(rows.select("doc", F.col("text").alias("v")), open_pairs), sets_of, _similar), "links")
+
+
 def _prefix_pairs(rows: DataFrame, hard: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of hard documents from different components that share one of their rarest shingles."""
     sets = staged(_with_sets(rows, hard), "hard-sets")
@@ -209,12 +276,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text): the smallest doc_id reachable by links."""
     rows = _rows(docs)
 
-    @F.pandas_udf("long")
-    def n_shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<n_shingles: long, v: binary, spares: array<int>>")
+    def sized(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([len(s) for g in grouped(((t,) for t in texts), 0) for s in sets_of([r[0] for r in g])], dtype="int64")
-
-    known = staged(rows.select("doc", F.md5("text").alias("md5"), n_shingles("text").alias("n_shingles")), "sizes")
+            found = [s for g in grouped(((t,) for t in texts), 0) for s in sets_of([r[0] for r in g])]
+            values = [len(s).to_bytes(4, "little") + histogram(s) for s in found]
+            yield pd.DataFrame({"n_shingles": [len(s) for s in found], "v": values, "spares": [spares(s) if len(s) else [0, 0] for s in found]})
+
+    known = staged(rows.select("doc", F.md5("text").alias("md5"), sized("text").alias("_s")).select("doc", "md5", "_s.*"), "sizes")
+    histograms = known.select("doc", "v")
+    can_spare = known.select("doc", F.posexplode("spares").alias("up", "spare"))
+    known = known.drop("v", "spares")
     classes = known.filter("n_shingles > 0").groupBy("md5").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("_n"))
     classes = staged(classes, "classes")
     copies = join_by_count(known.filter("n_shingles > 0").select("doc", "md5"), classes.filter("_n > 1"), "md5")
@@ -222,29 +294,33 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     # signatures: one shuffle, in which the members of each group meet
     sig = _signed(rows)
-    by_sig = Window.partitionBy("sig", "short").orderBy("doc")
+    by_sig = Window.partitionBy("sig").orderBy("doc")
     met = sig.withColumn("_first", F.first("doc").over(by_sig)).withColumn("_next", F.lead("doc").over(by_sig))
-    found = staged(met.filter("short or _first <> doc or _next <> doc").select("sig", "doc", "_first", "short"), "groups")
-    groups = found.filter("not short")
-    stars = groups.filter("doc <> _first").select(F.col("_first").alias("a"), F.col("doc").alias("b")).distinct()
+    groups = staged(met.filter("_first <> doc or _next <> doc").select("sig", "doc", "up", "_first"), "groups")
+    stars = staged(groups.filter("doc <> _first").select(F.col("_first").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
     ties = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    links = verified(rows, stars.join(ties, ["a", "b"], "left_anti")).unionByName(ties)
+    links = verified(rows, stars.join(ties, ["a", "b"], "left_anti"), histograms).unionByName(ties)
     labels = components(links)
 
-    # groups that still hold several components
-    members = staged(_labelled(groups.select("sig", "doc"), labels), "members")
+    # groups that may still hold several components: those with a member that didn't link with the least one
+    apart = staged(stars.join(links, ["a", "b"], "left_anti"), "apart")
+    held = groups.join(_small(apart.select(F.col("a").alias("_first"), F.col("b").alias("doc"))), ["_first", "doc"], "left_semi")
+    held = staged(held.select("sig").distinct(), "open-groups")
+    members = staged(_labelled(groups.join(_small(held), "sig", "left_semi").select("sig", "doc", "up"), labels), "members")
     spread = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b")
     spread = staged(spread.select("sig", "_n"), "spread")
     small = members.join(spread.filter(F.col("_n") <= SMALL).select("sig"), "sig", "left_semi")
     other = small.select("sig", F.col("doc").alias("b"), F.col("comp").alias("_c"))
     pairs = small.join(other, "sig").filter("doc < b and comp <> _c").select(F.col("doc").alias("a"), "b").distinct()
-    large = join_by_count(members.select("sig", "doc"), spread.filter(F.col("_n") > SMALL), "sig").select("doc")
-    hard = staged(large.unionByName(found.filter("short").select("doc")).distinct(), "hard")
+    # the large ones are left out; who can't spare them all is compared otherwise
+    large = join_by_count(members.select("sig", "doc", "up"), spread.filter(F.col("_n") > SMALL), "sig").groupBy("doc", "up").agg(F.count(F.lit(1)).alias("_out"))
+    hard = can_spare.join(large, ["doc", "up"], "left").filter(F.coalesce("_out", F.lit(0)) > F.col("spare"))
+    hard = staged(hard.select("doc").distinct(), "hard")
     if hard.limit(1).count():
         pairs = pairs.unionByName(_prefix_pairs(rows, hard, labels)).distinct()
     pairs = staged(pairs.join(stars, ["a", "b"], "left_anti"), "open-pairs")
     if pairs.limit(1).count():
-        labels = components(links.unionByName(verified(rows, pairs)))
+        labels = components(links.unionByName(verified(rows, pairs, histograms)))
 
     named = classes.join(labels, classes["rep"] == labels["id"], "left").select("md5", F.coalesce("component", "rep").alias("comp"), "_n")
     full = join_by_count(known.filter("n_shingles > 0"), named, "md5").select("doc", "n_shingles", "comp")
