@@ -25,12 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import NO_ID, staged, text_of
+from tideline.llm.common import NO_ID, hot_share, staged, text_of
 from tideline.llm.words import WORD, grouped, hashed, runs
 
 WINDOW, K = 20, 8
-#: Keys with over 1/HOT of all rows are hot; there are HOT at most.
-HOT, HOT_FLOOR = 1000, 1000
 
 
 def _least(h: np.ndarray, window: int, k: int) -> np.ndarray:
@@ -110,7 +108,7 @@ def _candidates(keyed: DataFrame, window: int, k: int) -> DataFrame:
     counts = named.groupBy("m").agg(F.min("h").alias("_a"), F.max("h").alias("_b"), F.max("rep").alias("_rep"), F.count(F.lit(1)).alias("_n"))
     repeated = staged(counts.filter("_a < _b or _rep").select("m", "_n"), "repeated-runs")
     total = repeated.agg(F.sum("_n")).first()[0] or 0
-    hot = repeated.filter(F.col("_n") > F.lit(max(HOT_FLOOR, total // HOT))).select("m", F.lit(True).alias("hot"))
+    hot = repeated.filter(F.col("_n") > hot_share(total)).select("m", F.lit(True).alias("hot"))
     cold = repeated.select(F.col("m").alias("_m")).join(F.broadcast(hot.select(F.col("m").alias("_m"))), "_m", "left_anti")
     marked = named.select("m", "doc", "h").join(F.broadcast(hot), "m", "left")
     hot_rows = marked.filter("hot")
@@ -157,48 +155,43 @@ def _windows(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> Da
     return joined.mapInPandas(run, "a long, b long, doc long, h long, pos int, hot boolean")
 
 
-def _repeats(windows: DataFrame) -> DataFrame:
-    """(doc, h, pos, s_doc, s_h, s_pos): each occurrence of an edge but the earliest, with the earliest."""
-    place = F.struct("doc", "h", "pos")
-    earliest = F.first(place).over(Window.partitionBy("a", "b").orderBy("doc", "h", "pos"))
-    cold = windows.filter(~F.col("hot")).withColumn("_s", earliest)
-    many = windows.filter("hot")
-    sources = many.groupBy("a", "b").agg(F.min(place).alias("_s"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    sources = staged(sources, "hot-edges")
-    total = sources.agg(F.sum("_n")).first()[0] or 0
-    top = sources.filter(F.col("_n") > F.lit(max(HOT_FLOOR, total // HOT))).select("a", "b", F.col("_s").alias("_t"))
-    rest = sources.join(F.broadcast(top.select("a", "b")), ["a", "b"], "left_anti").select("a", "b", "_s")
-    marked = many.join(F.broadcast(top), ["a", "b"], "left")
-    by_top = marked.filter("_t is not null").withColumn("_s", F.col("_t"))
-    by_rest = marked.filter("_t is null").join(rest, ["a", "b"])
-    columns = ["doc", "h", "pos", "_s"]
-    found = cold.select(columns).unionByName(by_top.select(columns)).unionByName(by_rest.select(columns))
-    return found.filter(place > F.col("_s")).select(
-        "doc", "h", "pos", F.col("_s.doc").alias("s_doc"), F.col("_s.h").alias("s_h"), F.col("_s.pos").alias("s_pos")
-    )
+def _repeats(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> DataFrame:
+    """(doc, h, pos, s_doc, s_pos): each occurrence of an edge but the earliest, with the earliest."""
+    place, columns = F.struct("doc", "h", "pos"), ["doc", "h", "pos", "_s"]
+    none = F.array().cast("array<bigint>")
+    cold = _windows(keyed, candidates.filter("size(ms) > 0"), window, k).filter(~F.col("hot"))
+    found = cold.withColumn("_s", F.first(place).over(Window.partitionBy("a", "b").orderBy("doc", "h", "pos"))).select(columns)
+    hot = candidates.filter("size(hot) > 0")
+    if hot.limit(1).count():
+        many = staged(_windows(keyed, hot.withColumn("ms", none), window, k), "hot-windows")
+        sources = many.groupBy("a", "b").agg(F.min(place).alias("_s"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        sources = staged(sources, "hot-edges")
+        total = sources.agg(F.sum("_n")).first()[0] or 0
+        top = sources.filter(F.col("_n") > hot_share(total)).select("a", "b", F.col("_s").alias("_t"))
+        rest = sources.join(F.broadcast(top.select("a", "b")), ["a", "b"], "left_anti").select("a", "b", "_s")
+        marked = many.join(F.broadcast(top), ["a", "b"], "left")
+        by_top = marked.filter("_t is not null").withColumn("_s", F.col("_t"))
+        by_rest = marked.filter("_t is null").join(rest, ["a", "b"])
+        found = found.unionByName(by_top.select(columns)).unionByName(by_rest.select(columns))
+    return found.filter(place > F.col("_s")).select("doc", "h", "pos", F.col("_s.doc").alias("s_doc"), F.col("_s.pos").alias("s_pos"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(doc, h, start, end, s_doc, s_h, s_start): compacted paths: words start to end of a document are those from
+    """(doc, h, start, end, s_doc, s_start): compacted paths: words start to end of a document are those from
     s_start on in the source, and every window in them starts earlier there."""
     keyed = _keyed(docs)
     firsts = keyed.select("doc", "h", F.md5("text").alias("_md5")).groupBy("_md5").agg(F.min(F.struct("doc", "h")).alias("_f")).select("_f.doc", "_f.h")
     candidates = staged(_candidates(keyed, window, k).join(firsts, ["doc", "h"], "left_semi"), "edge-documents")
-    repeats = _repeats(_windows(keyed, candidates, window, k)).distinct()
+    repeats = _repeats(keyed, candidates, window, k)
     along = Window.partitionBy("doc", "h").orderBy("pos")
     goes_on = (
         (F.col("pos") == F.lag("pos").over(along) + 1)
         & (F.col("s_doc") == F.lag("s_doc").over(along))
-        & (F.col("s_h") == F.lag("s_h").over(along))
         & (F.col("s_pos") == F.lag("s_pos").over(along) + 1)
     )
     steps = repeats.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_path", F.sum("_new").over(along))
     return steps.groupBy("doc", "h", "_path").agg(
-        F.min("pos").alias("start"),
-        (F.max("pos") + window).alias("end"),
-        F.first("s_doc").alias("s_doc"),
-        F.first("s_h").alias("s_h"),
-        F.min("s_pos").alias("s_start"),
+        F.min("pos").alias("start"), (F.max("pos") + window).alias("end"), F.first("s_doc").alias("s_doc"), F.min("s_pos").alias("s_start")
     ).drop("_path")
 
 

@@ -60,7 +60,7 @@ def hashed(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarra
 
 
 #: Bytes of text, about, that are handled at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 400_000
 
 
 def grouped(rows: Iterable[tuple], text_at: int) -> Iterator[list[tuple]]:
