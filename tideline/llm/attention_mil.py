@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
 
 
 #: Characters of the texts that are scored at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 
 def quality(text: str | Column, model: AttentionModel) -> Column:

@@ -117,7 +117,7 @@ def edited_text(text: str, after: str) -> str:
 COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 #: Code points of the texts that are hashed at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 
 def _compare(rows: list[tuple]) -> pd.DataFrame:

@@ -58,7 +58,7 @@ def presence(texts: list[str]) -> np.ndarray:
 
 
 #: Texts and characters that are scored at once.
-BATCH_TEXTS, BATCH_CHARS = 256, 2_000_000
+BATCH_TEXTS, BATCH_CHARS = 256, 500_000
 
 
 def batches_of(texts: list[str]) -> Iterator[list[str]]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tideline.llm.bpe_vocab import Vocabulary, vocabulary
 
 #: Words whose encodings and token pairs whose checks a worker keeps; when full it starts anew.
-CACHED_WORDS, CACHED_PAIRS = 500_000, 2_000_000
+CACHED_WORDS, CACHED_PAIRS = 400_000, 1_000_000
 END = "\0"  # follows the last symbol of a piece in the trie; no symbol itself
 
 
@@ -161,7 +161,7 @@ def encoder(path: str) -> TrieEncoder:
 
 
 #: Characters of the texts that are encoded at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def _groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
@@ -189,6 +189,28 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
     return docs.withColumn("_e", run(F.col(text))).select("*", "_e.ids", "_e.decoded").drop("_e")
 
 
+def encoded_rows(docs: DataFrame, vocab_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded_sha256 of doc_id, text: the rows leave a task in small batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = encoder(vocab_path)
+        for pdf in batches:
+            at, doc_ids = 0, pdf["doc_id"].array
+            for group in _groups(pdf["text"]):
+                found = e.encode_batch(group)
+                yield pd.DataFrame(
+                    {
+                        "doc_id": pd.array([None if pd.isna(i) else int(i) for i in doc_ids[at : at + len(group)]], "Int64"),
+                        "n_tokens": [len(b) // 4 for b, _ in found],
+                        "ids": [np.frombuffer(b, "<i4") for b, _ in found],
+                        "decoded_sha256": [hashlib.sha256(d.encode("utf-8")).hexdigest() for _, d in found],
+                    }
+                )
+                at += len(group)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def digests(text: str | Column, vocab_path: str) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256): what encode() gives, without moving the ids."""
 
