@@ -36,8 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and a digest of the decoded text."""
-    encoded = trie_bpe.encode(docs.select("doc_id", "text"), catalog.WORD_BPE)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return trie_bpe.encoded_rows(docs, catalog.WORD_BPE)
 
 
 STAGES = [
