@@ -15,7 +15,6 @@ file and no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,12 +28,9 @@ from tideline.llm.common import new_path, text_of
 #: Ids a block.
 BLOCK = 65_536
 #: Word encodings that a worker keeps; when full it starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 700_000
 END_ID = 0
 
-TWO_SPACES = re.compile(r"\s\s")
-LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
 CHUNKS = "shard int, chunk int, first long, n_ids int, planes array<binary>, doc_ids array<long>, doc_ordinals array<long>, doc_starts array<int>"
 CHUNK_COLUMNS = [c.split()[0] for c in CHUNKS.split(", ")]
 
@@ -52,32 +48,54 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
-
-    def learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list(words.difference(known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        #: by id: does the token begin with a space
+        self.lead = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
+
+    def one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes new words, each with a space before it: many as one text, cut again where a token begins with a space."""
+        new = list(words.difference(self.later))
+        for i in range(0, len(new), 5_000):
+            part = new[i : i + 5_000]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.lead[ids])
+            if len(at) == len(part) and at[0] == 0:
+                data, ends = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+                self.later.update(zip(part, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+            else:
+                self.later.update(zip(part, self.one_by_one([" " + w for w in part]), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        split = [LONE_SPACE.split(t) if TWO_SPACES.search(t) or t[:1].isspace() or t[-1:].isspace() else t.split(" ") for t in texts]
-        words: set[str] = set()
-        for s in split:
-            words.update(s[1:])
-        if len(self.later) + len(words) > CACHED_WORDS:
+        """Each text's ids as little-endian 32-bit integers. Texts with other white space around a blank go to the library whole."""
+        if len(self.later) > CACHED_WORDS:
             self.later.clear()
-        self.first.clear()
-        self.learn({s[0] for s in split}, self.first, "")
-        new = words.difference(self.later)
-        self.learn(new, self.later, " ")
-        get = self.later.__getitem__
-        return [self.first[s[0]] + b"".join(map(get, s[1:])) for s in split]
+        get, docs, missing = self.later.get, [], set()
+        for t in texts:
+            words = t.split(" ")
+            ends = [words[0]]
+            del words[0]
+            if words and t[-1:].isspace():
+                ends.append(" " + words.pop())
+            found = list(map(get, words))
+            if None in found:
+                missing.update([w for w, f in zip(words, found, strict=True) if f is None])
+                found = None
+            docs.append((t, words, ends, found))
+        self.learn({w for w in missing if w and not w[0].isspace() and not w[-1].isspace()})
+        at_ends = iter(self.one_by_one([e for d in docs for e in d[2]]))
+        out = []
+        for t, words, ends, found in docs:
+            parts = [next(at_ends) for _ in ends]
+            found = list(map(get, words)) if found is None else found
+            before_last = words[-1] if words else ends[0]
+            if None in found or len(ends) > 1 and before_last[-1:].isspace():
+                out += self.one_by_one([t])
+            else:
+                out.append(b"".join([parts[0], *found, *parts[1:]]))
+        return out
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}
