@@ -147,6 +147,16 @@ def test_repeated_passages(spark, monkeypatch, hot):
     assert got == brute_removed(texts)
 
 
+def test_copies_in_descending_order(spark):
+    """A task that meets a later copy of a text first: the text loses its own repetitions and stays a source."""
+    line = prose(9, 30)
+    text = f"{line} {prose(10, 40)} {line} {prose(11, 40)}"
+    texts = [text, text, f"{prose(12, 15)} {' '.join(text.split()[35:65])} {prose(13, 15)}"]
+    df = spark.createDataFrame(list(enumerate(texts, 1))[::-1], "doc_id long, text string").coalesce(1)
+    got = [tuple(r)[1:] for r in debruijn.deduplicated_digests(df).orderBy("doc_id").collect()]
+    assert got == brute_removed(texts) and [n for _, n, _ in got] == [30, 140, 30]
+
+
 def test_spans_name_their_source(spark):
     texts = repeated_texts()[:8]
     df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")

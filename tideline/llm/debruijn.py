@@ -64,18 +64,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _named(keyed: DataFrame, window: int, k: int) -> DataFrame:
-    """(m, doc, h, rep): the least hashes that a document's windows name; rep: at several places in the document."""
+    """(m, h, rep): the least hashes that a text's windows name; rep: at several places in the text. Texts go by h alone, as
+    which of its rows a task meets first says nothing of which is the first of all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # equal texts of a task are looked at once
         for pdf in batches:
             rows = []
-            for doc, text, h in zip(pdf["doc"], pdf["text"], pdf["h"], strict=True):
+            for text, h in zip(pdf["text"], pdf["h"], strict=True):
                 if h not in seen:
                     seen.add(h)
-                    rows.append((doc, text, h))
-            for group in grouped(rows, 1):
-                words, at = hashed([r[1] for r in group])
+                    rows.append((text, h))
+            for group in grouped(rows, 0):
+                words, at = hashed([r[0] for r in group])
                 starts, text = _starts(at, window)
                 if not len(starts):
                     continue
@@ -96,25 +97,25 @@ def _named(keyed: DataFrame, window: int, k: int) -> DataFrame:
                 heads = np.flatnonzero(first)
                 rep = np.logical_or.reduceat(long, heads) | (np.diff(np.append(heads, len(m))) > 1)
                 of = text[heads]
-                docs, hs = np.array([r[0] for r in group], np.int64), np.array([r[2] for r in group], np.int64)
-                yield pd.DataFrame({"m": m[heads].view(np.int64), "doc": docs[of], "h": hs[of], "rep": rep})
+                hs = np.array([r[1] for r in group], np.int64)
+                yield pd.DataFrame({"m": m[heads].view(np.int64), "h": hs[of], "rep": rep})
 
-    return keyed.mapInPandas(run, "m long, doc long, h long, rep boolean")
+    return keyed.select("text", "h").mapInPandas(run, "m long, h long, rep boolean")
 
 
 def _candidates(keyed: DataFrame, window: int, k: int) -> DataFrame:
-    """(doc, h, ms, hot): the named hashes of each document that occur at two places in all; hot: those that very many name."""
+    """(h, ms, hot): the named hashes of each text that occur at two places in all; hot: those that very many name."""
     named = _named(keyed, window, k)
     counts = named.groupBy("m").agg(F.min("h").alias("_a"), F.max("h").alias("_b"), F.max("rep").alias("_rep"), F.count(F.lit(1)).alias("_n"))
     repeated = staged(counts.filter("_a < _b or _rep").select("m", "_n"), "repeated-runs")
     total = repeated.agg(F.sum("_n")).first()[0] or 0
     hot = repeated.filter(F.col("_n") > hot_share(total)).select("m", F.lit(True).alias("hot"))
     cold = repeated.select(F.col("m").alias("_m")).join(F.broadcast(hot.select(F.col("m").alias("_m"))), "_m", "left_anti")
-    marked = named.select("m", "doc", "h").join(F.broadcast(hot), "m", "left")
+    marked = named.select("m", "h").join(F.broadcast(hot), "m", "left")
     hot_rows = marked.filter("hot")
     cold_rows = marked.filter("hot is null").join(cold, F.col("m") == F.col("_m"), "left_semi").withColumn("hot", F.lit(False))
-    both = hot_rows.unionByName(cold_rows.select("m", "doc", "h", "hot"))
-    return both.groupBy("doc", "h").agg(  # as many as the document has runs
+    both = hot_rows.unionByName(cold_rows.select("m", "h", "hot").distinct())  # once, however many tasks have copies
+    return both.groupBy("h").agg(  # as many as the text has runs
         F.collect_set(F.when(~F.col("hot"), F.col("m"))).alias("ms"), F.collect_set(F.when(F.col("hot"), F.col("m"))).alias("hot")
     )
 
@@ -181,7 +182,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     s_start on in the source, and every window in them starts earlier there."""
     keyed = _keyed(docs)
     firsts = keyed.select("doc", "h", F.md5("text").alias("_md5")).groupBy("_md5").agg(F.min(F.struct("doc", "h")).alias("_f")).select("_f.doc", "_f.h")
-    candidates = staged(_candidates(keyed, window, k).join(firsts, ["doc", "h"], "left_semi"), "edge-documents")
+    candidates = staged(_candidates(keyed, window, k).join(firsts, "h").select("doc", "h", "ms", "hot"), "edge-documents")
     repeats = _repeats(keyed, candidates, window, k)
     along = Window.partitionBy("doc", "h").orderBy("pos")
     goes_on = (
