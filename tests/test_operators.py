@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tideline.functions.geo import accurate_enough, haversine_m, implied_speed_kmh, is_implausible_jump
 from tideline.functions.schema import SOURCE, contract_violations
-from tideline.operators import capabilities, ingest, lineage, places, process, sessions, spend, telemetry, timeline
+from tideline.operators import capabilities, ingest, lineage, places, process, replay, sessions, spend, telemetry, timeline
 from tideline.operators.steps import make_detector
+from tideline.plans import router
+from tideline.plans.definitions import Definition
 
 T = 1_700_000_000
 
@@ -381,3 +383,52 @@ def test_signals(spark):
     u = spark.createDataFrame([("v", i, d, v) for i, (d, v) in enumerate(rows)], "device string, arrival_seq bigint, descriptor string, value string")
     got = [(r.arrival_seq, r.signal) for r in telemetry.signals(u).orderBy("arrival_seq").collect()]
     assert got == [(1, "car_started_moving"), (4, "car_stopped_moving"), (7, "car_driver_door_opened"), (8, "car_fuel_level"), (10, "car_fuel_level"), (12, "car_locked"), (14, "car_state_change")]
+
+
+@pytest.fixture
+def few_rows_a_batch(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16")
+    yield
+    spark.conf.set(name, before)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def whole_keys(df):
+    """Whether a plan hands a Python worker all of a key's rows as one frame, or makes one array of them."""
+    return any(x in plan_of(df) for x in ("FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas", "collect_list", "collect_set"))
+
+
+def test_router_carries_state_over_batches(spark, few_rows_a_batch):
+    rows = random_events(7, users=2, n=200)
+    events = spark.createDataFrame(rows, "user_id string, id string, name string, ts bigint, arrival_seq bigint")
+    config = {"start_event": "a", "end_event": "b", "max_duration_seconds": 1000}
+    variants = {"x": [Definition("out", "session_window", config)], "y": [Definition("out", "session_window", config | {"max_duration_seconds": 100})]}
+    out = router.run(events, [], variants)
+    assert not whole_keys(out)
+    got = {(r.variant, r.user_id, r.ts, r.sources[0].id, r.sources[1].id) for r in out.collect()}
+    want = {(v, u, d[0], d[2][0]["id"], d[2][1]["id"]) for v, ds in variants.items() for u, _, d in stepped(rows, "session_window", ds[0].engine_config)}
+    assert got == want and {r[0] for r in got} == {"x", "y"}
+
+
+def test_diff_takes_the_first_unused_time(spark, few_rows_a_batch):
+    g = random.Random(3)
+    sides = [[(u, "n", T + g.randrange(9000)) for u in ("u", "v", "w") if u != skip for _ in range(70)] for skip in ("v", "w")]
+    left, right = (spark.createDataFrame(s, "user_id string, name string, ts bigint").repartition(3) for s in sides)
+    out = replay.diff(left, right, seconds=60)
+    assert not whole_keys(out)
+    want = []
+    for u in ("u", "v", "w"):
+        theirs = sorted(t for k, _, t in sides[1] if k == u)
+        for t in sorted(t for k, _, t in sides[0] if k == u):
+            near = next((x for x in theirs if abs(x - t) <= 60), None)
+            if near is None:
+                want.append((u, "n", t, "removed"))
+            else:
+                theirs.remove(near)
+        want += [(u, "n", x, "added") for x in theirs]
+    assert sorted(map(tuple, out.collect())) == sorted(want)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,28 +31,34 @@ def counts(decisions: DataFrame, *keys: str) -> DataFrame:
 
 def diff(left: DataFrame, right: DataFrame, keys: list[str] | None = None, seconds: int = MATCH_SECONDS) -> DataFrame:
     """(keys..., ts, change): what only left has (`removed`) and only right has (`added`). In time order each left time takes the
-    first unused right time within `seconds`. Groups are a name's (and user's) times."""
+    first unused right time within `seconds`. Groups are a name's (and user's) times. Both sides run past each other in time
+    order, so that of a group only the unused times of the last `seconds` are held."""
     keys = keys or ["user_id", "name"]
 
-    def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = sorted(a["ts"]), sorted(b["ts"])
-        out, at, used = [], 0, [False] * len(theirs)
-        for t in mine:
-            while at < len(theirs) and (used[at] or theirs[at] < t - seconds):
-                at += 1
-            i = at
-            while i < len(theirs) and used[i]:
-                i += 1
-            if i < len(theirs) and abs(theirs[i] - t) <= seconds:
-                used[i] = True
-            else:
-                out.append((*key, int(t), "removed"))
-        out += [(*key, int(t), "added") for t, u in zip(theirs, used, strict=True) if not u]
-        return pd.DataFrame(out, columns=[*keys, "ts", "change"])
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, unused = None, {"removed": deque(), "added": deque()}
+        for pdf in batches:
+            out = []
+            for *key, t, side in pdf[[*keys, "ts", "_side"]].itertuples(index=False, name=None):
+                if key != group:
+                    out += [(*group, at, change) for change, times in unused.items() for at in times] if group else []
+                    group, unused = key, {"removed": deque(), "added": deque()}
+                for change, times in unused.items():
+                    while times and times[0] < t - seconds:
+                        out.append((*key, times.popleft(), change))
+                other = unused["added" if side == "removed" else "removed"]
+                if other:
+                    other.popleft()
+                else:
+                    unused[side].append(int(t))
+            yield pd.DataFrame(out, columns=[*keys, "ts", "change"])
+        if group:
+            yield pd.DataFrame([(*group, at, change) for change, times in unused.items() for at in times], columns=[*keys, "ts", "change"])
 
     schema = ", ".join(f"{k} string" for k in keys) + ", ts long, change string"
-    columns = [F.col(c).alias(c) for c in (*keys, "ts")]  # both sides may come from one replay
-    return left.select(columns).groupBy(*keys).cogroup(right.select(columns).groupBy(*keys)).applyInPandas(match, schema)
+    columns = [*[F.col(k).cast("string").alias(k) for k in keys], F.col("ts").cast("long").alias("ts")]  # both sides may come from one replay
+    both = left.select(*columns, F.lit("removed").alias("_side")).unionByName(right.select(*columns, F.lit("added").alias("_side")))
+    return both.repartition(*keys).sortWithinPartitions(*keys, "ts", "_side").mapInPandas(match, schema)
 
 
 def nearest(points: DataFrame, marks: DataFrame, keys: list[str], within: int) -> DataFrame:

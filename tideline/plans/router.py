@@ -1,7 +1,7 @@
 """The router: all definitions over one entity's events in arrival order, derived events fed back before the next one.
 
 One keyed operator runs the whole graph of definitions, so there is one shuffle however many definitions there are. The
-same route() serves batch (applyInPandas over sorted groups), replay of variants, and streams (streaming.router)."""
+same route() serves batch (mapInPandas over sorted rows), replay of variants, and streams (streaming.router)."""
 
 from __future__ import annotations
 
@@ -19,6 +19,9 @@ from tideline.plans.definitions import Definition, Plan
 COLUMNS = ["user_id", "seq", "sub", "name", "kind", "id", "ts", "score", "sources"]
 EVENT_COLUMNS = ["id", "name", "ts", "lat", "lon", "acc", "motion"]
 
+#: Decisions, with their evidence, that a task hands on at once.
+MOST_DECISIONS = 1000
+
 
 def mint_id(user: str, name: str, ts: int, sources: list[dict]) -> str:
     """The same evidence always gives the same id, so retries and replays don't duplicate events."""
@@ -89,14 +92,23 @@ def run(events: DataFrame, definitions: list[Definition], variants: dict[str, li
         rows = rows.crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in sets], "variant string")))
         keys = ["variant", "user_id"]
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["arrival_seq", "ts", "id"], kind="stable")
-        variant, user = (pdf["variant"].iloc[0] if variants else ""), pdf["user_id"].iloc[0]
-        state: dict = {}
-        out = []
-        for row in pdf[["arrival_seq", *EVENT_COLUMNS]].to_dict("records"):
-            seq = int(row.pop("arrival_seq"))
-            out += [flat(user, seq, i, d) + ((variant,) if variants else ()) for i, d in enumerate(route(plans[variant], state, user, _clean(row)))]
-        return pd.DataFrame(out, columns=COLUMNS + ["variant"] * bool(variants))
-
-    return rows.groupBy(*keys).applyInPandas(group, DECISION + (", variant string" if variants else ""))
+    def through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, out = None, {}, []
+        frame = lambda: pd.DataFrame(out, columns=COLUMNS + ["variant"] * bool(variants))
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                variant, user, seq = (row.pop("variant") if variants else ""), row.pop("user_id"), int(row.pop("arrival_seq"))
+                if (variant, user) != key:
+                    key, state = (variant, user), {}
+                for i, d in enumerate(route(plans[variant], state, user, _clean(row))):
+                    out.append(flat(user, seq, i, d) + ((variant,) if variants else ()))
+                    if len(out) == MOST_DECISIONS:
+                        yield frame()
+                        out = []
+            if out:
+                yield frame()
+                out = []
+
+    # a key's rows come in a row, batch after batch: what is held is its state, not its history
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "arrival_seq", "ts", F.col("id").asc_nulls_last())
+    return ordered.mapInPandas(through, DECISION + (", variant string" if variants else ""))
