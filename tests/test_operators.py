@@ -432,3 +432,15 @@ def test_diff_takes_the_first_unused_time(spark, few_rows_a_batch):
                 theirs.remove(near)
         want += [(u, "n", x, "added") for x in theirs]
     assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_thinning_carries_the_last_time_over_batches(spark, few_rows_a_batch):
+    rows = random_events(9, users=2, n=200)
+    events = spark.createDataFrame(rows, "user_id string, id string, name string, ts bigint, seq bigint")
+    w = {"a": 5, "b": 4, "c": 3}
+    config = {"weights": w, "threshold": 7, "window_seconds": 600, "cooldown_seconds": 900}
+    weighted = sessions.weighted_window(events, w, 7, 600, 900)
+    decaying = sessions.decaying_window(events, w, 7, 600, 250, 900)
+    assert not whole_keys(weighted) and not whole_keys(decaying)
+    assert {(r.user_id, r.ts) for r in weighted.collect()} == {(u, t) for u, t, _ in stepped(rows, "weighted_window", config)}
+    assert {(r.user_id, r.ts) for r in decaying.collect()} == {(u, t) for u, t, _ in stepped(rows, "decaying_window", config | {"half_life_seconds": 250})}

@@ -1,9 +1,14 @@
-"""Sessions, co-occurrence and fusion in native form: windows and array folds, no Python workers.
+"""Sessions, co-occurrence and fusion in native form: windows and array folds. Only thinning runs in Python workers, as a
+stream that holds the last time kept.
 
 Events: user_id (the entity), id, name, ts (epoch seconds), seq (arrival order)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,19 +90,35 @@ def validated_sessions(
     return judged.withColumns({"n_fixes": F.col("_x.n"), "extent_m": extent}).filter(~F.coalesce(refuted, F.lit(False))).drop("_f", "_x")
 
 
-def thinned(times, cooldown: int):
-    """A sorted array of times without those within `cooldown` of the last one kept: a fold, as each kept time counts."""
-    return F.aggregate(
-        times,
-        F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= cooldown), F.concat(kept, F.array(t))).otherwise(kept),
-    )
+def thinned(times: DataFrame, keys: list[str]) -> DataFrame:
+    """times (keys, ts, gap) without those that lie less than gap, one for all of a key's rows, after the last one kept."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, last = None, None
+        for pdf in batches:
+            own = pdf[keys]
+            ts, gap = pdf["ts"].to_numpy(np.int64), pdf["gap"].to_numpy(np.int64)
+            new = ~(own.eq(own.shift()) | (own.isna() & own.shift().isna())).all(axis=1).to_numpy()
+            new[:1] = True
+            heads, kept = np.flatnonzero(new), []
+            for a, b in zip(heads, [*heads[1:], len(pdf)], strict=True):
+                key = tuple(None if pd.isna(x) else x for x in own.iloc[a])
+                at = a if key != last_key else a + np.searchsorted(ts[a:b], last + gap[a])
+                while at < b:
+                    kept.append(at)
+                    last = ts[at]
+                    at += np.searchsorted(ts[at:b], last + gap[a])
+                last_key = key
+            yield pdf.iloc[kept][[*keys, "ts"]]
+
+    rows = times.select(*keys, F.col("ts").cast("long").alias("ts"), F.greatest(F.col("gap"), F.lit(1)).cast("long").alias("gap")).filter("ts is not null")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "ts")
+    return ordered.mapInPandas(run, rows.drop("gap").schema)
 
 
 def cooled(candidates: DataFrame, cooldown: int) -> DataFrame:
     """Candidates (user_id, ts, ...) that fire: at least `cooldown` after the last that fired."""
-    times = candidates.groupBy("user_id").agg(F.sort_array(F.collect_set("ts")).alias("_ts"))
-    fired = times.select("user_id", F.explode(thinned(F.col("_ts"), cooldown)).alias("ts"))
+    fired = thinned(candidates.select("user_id", "ts", F.lit(cooldown).alias("gap")), ["user_id"])
     return candidates.join(fired, ["user_id", "ts"], "left_semi")
 
 
@@ -125,16 +146,10 @@ def weighted_window(events, weights, threshold, window, cooldown=1800, max_age=N
     the life of an earlier one is no new start, so the starts of a name are themselves a thinning of its times."""
     max_age = max_age or {}
     rows = events.filter(F.col("name").isin(list(weights))).select("user_id", "name", "ts")
-    # A start opens where the one before has expired; a user's contributors are folded once.
-    per = rows.groupBy("user_id", "name").agg(F.sort_array(F.collect_list("ts")).alias("_ts"))
+    # A start opens where the one before has expired.
     cap = F.create_map(*[x for n in weights for x in (F.lit(n), F.lit(int(max_age.get(n, window))))])
-    life = F.try_element_at(cap, F.col("name"))
-    starts = F.aggregate(
-        "_ts",
-        F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > life), F.concat(kept, F.array(t))).otherwise(kept),
-    )
-    opened = per.select("user_id", F.col("name").alias("_name"), F.explode(starts).alias("ts"))
+    starts = thinned(rows.withColumn("gap", F.try_element_at(cap, F.col("name")) + 1), ["user_id", "name"])
+    opened = starts.select("user_id", F.col("name").alias("_name"), "ts")
     moments = rows.select("user_id", "ts", F.lit(None).cast("string").alias("_name")).unionByName(opened)
     so_far = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
     score, present = F.lit(0.0), F.lit(0)
