@@ -5,18 +5,23 @@ bands [l, 1.25 l]; sets that reach a Jaccard coefficient of 0.8 lie in the same
 most k = floor(2 r / 9) shingles, r being the upper end of the higher band. So each set signs for its own band and for
 the next. Signing for a band: a hash partitions the shingle domain into n1 parts, each into n2; a pair differs by at most
 k2 shingles in at least t + 1 of the n1 parts, and there agrees wholly on n2 - k2 of the n2: so every subset of n2 - k2
-second-level parts gives a signature, the hash of the shingles in them. The spare parts t allow to leave out signatures
-without shingles, which everything would share: only sets with more than t such parts can lose a partner by that.
-
-Documents that share a signature are compared with the least of them (a star, linear in the group's size), shingle by
-shingle. Links give components. What stays open are groups whose members lie in several components: small ones are
-compared pairwise across components; members of large ones, and sets with too many empty parts, join among themselves
-by prefix filtering (two similar sets share one of their rarest shingles), which again skips pairs within a component. So
-every link between different components is found, and no pairs are made within one.
+second-level parts gives a signature, the hash of the shingles in them. Signatures without shingles, which everything
+would share, are left out. A set that has them in more than t parts signs once more under the next hash: two similar sets
+that agree on nothing else have both such parts in t + 1 places, so both do, and meet there or further on.
+
+Documents that share a signature are compared with the least of them (a star, linear in the group's size): first each
+document with the one that leads most of its groups, then those pairs that this left in different components. What stays
+open are groups whose other members lie in several components. Members of groups of up to CROWD are compared across
+components. A crowded group holds a passage that very many documents share, or copies with so many edits that they fall
+just short of 0.8; no signature tells these apart, and pairing them would grow with the square of the group. Their
+documents meet by their rarest shingles (counted among the documents of crowded groups): two sets link only if they share
+one of those at places in the order by rarity that their sizes allow. Both ways find every link between different
+components, so the size of a group decides what is compared, never what is found.
 
 Texts without words have no shingles and link with nothing. Equal texts form a class first, and its least doc_id stands
 for it. A missing doc_id counts as the largest; rows that share a doc_id are one node, linked by any of their texts. An
-empty table gives an empty result.
+empty table gives an empty result. Only doc_id and text are read, so columns of any other name change nothing. A very
+long text costs memory in proportion to its words (about 100 bytes a word), for one text at a time.
 """
 
 from __future__ import annotations
@@ -36,9 +41,9 @@ from tideline.llm.words import grouped, hashed, mix, runs
 SHINGLE = 5
 #: Similarity of 0.8 as 100 * shared >= 80 * all.
 PERCENT = 80
-#: Groups up to this size are compared pairwise across components; members of larger ones by prefix filtering.
-SMALL = 48
-#: Ids up to this number are broadcast to pick documents; beyond it they are joined.
+#: Open groups up to this size are compared directly across components, those of larger ones by their rarest shingles.
+CROWD = 32
+#: Ids up to this number are broadcast to pick documents, beyond it they are joined by a shuffle: the same rows either way.
 BROADCAST_IDS = 1_000_000
 
 
@@ -72,49 +77,41 @@ def parameters(high: int, percent: int = PERCENT) -> tuple[int, int, int, int]:
     k = 2 * high * (100 - percent) // (100 + percent)
     if k <= 3:
         return 1, (1, 4, 5, 6)[k], k, 0
-    if k <= 15:
-        need = k // 2 + 1  # parts of which at least one has at most one difference
-        return need + -(-need // 4), 3, 1, -(-need // 4)
-    spare = -(-k // 4)
-    return k + 1 + spare, 1, 0, spare
-
-
-def _parts(s: np.ndarray) -> Iterator[tuple]:
-    """For a set's own band and the next one: band, parameters, the part of each shingle, and shingles by part."""
-    number, high, next_high = band_of(len(s))
-    for band, top in ((number, high), (number + 1, next_high)):
-        n1, n2, k2, t = parameters(top)
-        place = mix(s + np.uint64(band), 0x9E3779B97F4A7C15)
-        first = ((place >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)
-        second = ((place & np.uint64(0xFFFFFFFF)) * np.uint64(n2)) >> np.uint64(32)
-        cell = (first * np.uint64(n2) + second).astype(np.int64)
-        yield band, (n1, n2, k2, t), cell, np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
+    need = k // 2 + 1  # parts of which at least one has at most one difference
+    return need + need // 7, 3, 1, need // 7
 
 
-def spares(s: np.ndarray) -> list[int]:
-    """For both bands, how many first-level parts a set can do without besides those with an empty signature."""
-    out = []
-    for _, (n1, n2, k2, t), _, count in _parts(s):
-        # the emptiest n2 - k2 second-level parts make the emptiest signature
-        emptiest = np.sort(count, axis=1)[:, : n2 - k2].sum(1)
-        out.append(t - int((emptiest == 0).sum()))
+@cache
+def _subsets(n2: int, k2: int) -> np.ndarray:
+    """A column for each choice of n2 - k2 second-level parts."""
+    chosen = list(combinations(range(n2), n2 - k2))
+    out = np.zeros((n2, len(chosen)), np.uint64)
+    for i, c in enumerate(chosen):
+        out[list(c), i] = 1
     return out
 
 
-def signatures(s: np.ndarray) -> list[np.ndarray]:
-    """A set's signatures for its own band and the next one, those without shingles left out."""
-    out = []
+def signatures(s: np.ndarray) -> np.ndarray:
+    """A set's signatures (48 bits each) for its own band and the next one."""
+    number, high, next_high = band_of(len(s))
     mixed = mix(s, 0x2545F4914F6CDD1D)
-    for band, (n1, n2, k2, _), cell, count in _parts(s):
-        total = np.zeros(n1 * n2, np.uint64)
-        np.add.at(total, cell, mixed)
-        total, found = total.reshape(n1, n2), []
-        base = mix(np.arange(n1, dtype=np.uint64) + np.uint64(band << 32), 0xD6E8FEB86659FD93)
-        for number, subset in enumerate(combinations(range(n2), n2 - k2)):
-            held = count[:, subset].sum(1) > 0
-            found.append(mix(total[:, subset].sum(1, dtype=np.uint64) + base + np.uint64(number << 20))[held])
-        out.append(np.concatenate(found))
-    return out
+    out = []
+    for band, top in ((number, high), (number + 1, next_high)):
+        n1, n2, k2, t = parameters(top)
+        chosen, again = _subsets(n2, k2), 0
+        while True:
+            place = mix(s + np.uint64(band + (again << 20)), 0x9E3779B97F4A7C15)
+            cell = (((place >> np.uint64(32)) * np.uint64(n1 * n2)) >> np.uint64(32)).astype(np.int64)
+            count = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2).astype(np.uint64) @ chosen
+            total = np.zeros(n1 * n2, np.uint64)
+            np.add.at(total, cell, mixed)
+            named = np.arange(count.size, dtype=np.uint64).reshape(count.shape) + np.uint64((band << 44) + (again << 36))
+            held = count > 0
+            out.append(mix((total.reshape(n1, n2) @ chosen)[held] + mix(named, 0xD6E8FEB86659FD93)[held]) >> np.uint64(16))
+            if np.count_nonzero(~held.all(1)) <= t:
+                break
+            again += 1
+    return np.concatenate(out)
 
 
 #: Shingles a cell of a histogram, about.
@@ -140,7 +137,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """(sig, doc, up): up tells a document's two bands apart. Equal texts of a task sign once."""
+    """(sig, doc). Equal texts of a task sign once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
@@ -152,16 +149,13 @@ def _signed(rows: DataFrame) -> DataFrame:
                     seen.add(key)
                     fresh.append((doc, text))
             for group in grouped(fresh, 1):
-                sigs, docs, ups = [], [], []
-                for (doc, _), s in zip(group, sets_of([r[1] for r in group]), strict=True):
-                    for up, found in enumerate(signatures(s) if len(s) else ()):
-                        sigs.append(found)
-                        docs.append(np.full(len(found), doc, np.int64))
-                        ups.append(np.full(len(found), up, np.int8))
-                if sigs:
-                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc": np.concatenate(docs), "up": np.concatenate(ups)})
+                sets = [(doc, s) for (doc, _), s in zip(group, sets_of([r[1] for r in group]), strict=True) if len(s)]
+                if sets:
+                    sigs = [signatures(s) for _, s in sets]
+                    docs = np.repeat(np.array([doc for doc, _ in sets], np.int64), [len(x) for x in sigs])
+                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc": docs})
 
-    return rows.withColumn("md5", F.md5("text")).mapInPandas(run, "sig long, doc long, up byte")
+    return rows.withColumn("md5", F.md5("text")).mapInPandas(run, "sig long, doc long")
 
 
 def _with_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -240,85 +234,88 @@ def verified(rows: DataFrame, pairs: DataFrame, histograms: DataFrame) -> DataFr
     return staged(_linking(_met(rows.select("doc", F.col("text").alias("v")), open_pairs), sets_of, _similar), "links")
 
 
-def _prefix_pairs(rows: DataFrame, hard: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of hard documents from different components that share one of their rarest shingles."""
-    sets = staged(_with_sets(rows, hard), "hard-sets")
-    each = sets.select("doc", F.size("s").alias("_size"), F.explode("s").alias("x"))
-    df = each.groupBy("x").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = join_by_count(each, df.withColumn("_df", F.col("_n")), "x")
-    need = F.col("_size") - F.ceil(F.col("_size") * PERCENT / 100).cast("int") + 1
-    prefix = ranked.groupBy("doc", "_size").agg(F.sort_array(F.collect_list(F.struct("_df", "x"))).alias("_s"))  # one document's
-    prefix = prefix.select("doc", F.explode(F.slice("_s", F.lit(1), need)).alias("_p")).select("doc", F.col("_p.x").alias("x")).filter("_p._df > 1")
-    members = staged(_labelled(prefix, labels), "prefix-members")
-    return _across(members, "x")
-
-
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """members (doc, ...) with comp: their component's label, themselves if they have no link."""
     return members.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
 
-def _across(members: DataFrame, key: str) -> DataFrame:
-    """Pairs of documents that share a key and are in different components. Components are paired first, so pairs within
-    one are never made."""
-    per = members.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("_m"))
-    several = per.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(key)
-    per = per.join(several, key, "left_semi").select(key, "comp")
-    other = per.select(key, F.col("comp").alias("comp2"))
-    couples = per.join(other, key).filter("comp < comp2")
-    first = members.select(key, "comp", F.col("doc").alias("a"))
-    second = members.select(key, F.col("comp").alias("comp2"), F.col("doc").alias("b"))
-    pairs = couples.join(first, [key, "comp"]).join(second, [key, "comp2"])
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _crowded_pairs(rows: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of crowded documents (doc) from different components that may link: with a and b shingles they need
+    c = ceil((a + b) * 0.8 / 1.8) in common, so that the first they share in order of rarity is among the first a - c + 1 of
+    the one and the first b - c + 1 of the other."""
+    sets = staged(_with_sets(rows, crowded), "crowded-sets")
+    each = sets.select("doc", F.size("s").alias("_size"), F.explode("s").alias("x"))
+    df = each.groupBy("x").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    ranked = join_by_count(each, df.withColumn("_df", F.col("_n")), "x", "left").withColumn("_df", F.coalesce("_df", F.lit(1)))
+    reach = F.col("_size") - F.ceil(F.col("_size") * PERCENT / 100).cast("int") + 1
+    first = ranked.groupBy("doc", "_size").agg(F.sort_array(F.collect_list(F.struct("_df", "x"))).alias("_s"))  # one document's
+    first = first.select("doc", "_size", F.posexplode(F.slice("_s", F.lit(1), reach)).alias("_at", "_p")).filter("_p._df > 1")
+    first = staged(_labelled(first.select("doc", "_size", "_at", F.col("_p.x").alias("x")), labels), "rarest")
+    # the component that most holders of a shingle are in isn't paired within itself
+    held = first.groupBy("x", "comp").agg(F.count(F.lit(1)).alias("_m"))
+    held = held.groupBy("x").agg(F.max_by("comp", F.struct("_m", "comp")).alias("_most"), F.count(F.lit(1)).alias("_c"), F.sum("_m").alias("_n"))
+    held = join_by_count(first, held.filter("_c > 1").drop("_c"), "x")
+    one = held.filter("comp <> _most").select("x", *[F.col(c).alias(f"{c}_1") for c in ("doc", "comp", "_size", "_at")])
+    two = held.select("x", "_most", *[F.col(c).alias(f"{c}_2") for c in ("doc", "comp", "_size", "_at")])
+    common = F.floor((PERCENT * (F.col("_size_1") + F.col("_size_2")) + (99 + PERCENT)) / (100 + PERCENT))
+    near = (F.col("_at_1") <= F.col("_size_1") - common) & (F.col("_at_2") <= F.col("_size_2") - common)
+    once = (F.col("comp_2") == F.col("_most")) | (F.col("doc_1") < F.col("doc_2"))
+    pairs = one.withColumnRenamed("x", "_x").join(two, (F.col("_x") == F.col("x")) & (F.col("comp_1") != F.col("comp_2")) & near & once)
+    return pairs.select(F.least("doc_1", "doc_2").alias("a"), F.greatest("doc_1", "doc_2").alias("b")).distinct()
+
+
+def _open_pairs(rows: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of members of the same group, in different components; each group's least member, with which all others were
+    compared, is left out."""
+    members = _labelled(groups.filter("doc <> _first").select("sig", "doc"), labels)
+    spread = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_a"), F.max("comp").alias("_b"))
+    spread = staged(spread.filter("_a <> _b").select("sig", "_n"), "open-groups")
+    members = staged(join_by_count(groups.filter("doc <> _first").select("sig", "doc"), spread.withColumn("_size", F.col("_n")), "sig"), "open-members")
+    small = staged(_labelled(members.filter(F.col("_size") <= CROWD).select("sig", "doc"), labels), "small-groups")
+    other = small.select("sig", F.col("doc").alias("b"), F.col("comp").alias("_c"))
+    one = small.select(F.col("sig").alias("_sig"), F.col("doc").alias("a"), "comp")
+    pairs = one.join(other, (F.col("_sig") == F.col("sig")) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("_c"))).select("a", "b").distinct()
+    crowded = staged(members.filter(F.col("_size") > CROWD).select("doc").distinct(), "crowded")
+    if crowded.limit(1).count():
+        pairs = pairs.unionByName(_crowded_pairs(rows, crowded, labels)).distinct()
+    return pairs
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text): the smallest doc_id reachable by links."""
     rows = _rows(docs)
 
-    @F.pandas_udf("struct<n_shingles: long, v: binary, spares: array<int>>")
+    @F.pandas_udf("struct<n_shingles: long, v: binary>")
     def sized(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [s for g in grouped(((t,) for t in texts), 0) for s in sets_of([r[0] for r in g])]
-            values = [len(s).to_bytes(4, "little") + histogram(s) for s in found]
-            yield pd.DataFrame({"n_shingles": [len(s) for s in found], "v": values, "spares": [spares(s) if len(s) else [0, 0] for s in found]})
+            yield pd.DataFrame({"n_shingles": [len(s) for s in found], "v": [len(s).to_bytes(4, "little") + histogram(s) for s in found]})
 
     known = staged(rows.select("doc", F.md5("text").alias("md5"), sized("text").alias("_s")).select("doc", "md5", "_s.*"), "sizes")
     histograms = known.select("doc", "v")
-    can_spare = known.select("doc", F.posexplode("spares").alias("up", "spare"))
-    known = known.drop("v", "spares")
+    known = known.drop("v")
     classes = known.filter("n_shingles > 0").groupBy("md5").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("_n"))
     classes = staged(classes, "classes")
     copies = join_by_count(known.filter("n_shingles > 0").select("doc", "md5"), classes.filter("_n > 1"), "md5")
     copies = staged(copies.filter("doc <> rep").select("doc", "rep").distinct(), "copies")  # also ties a doc_id's several texts
 
     # signatures: one shuffle, in which the members of each group meet
-    sig = _signed(rows)
     by_sig = Window.partitionBy("sig").orderBy("doc")
-    met = sig.withColumn("_first", F.first("doc").over(by_sig)).withColumn("_next", F.lead("doc").over(by_sig))
-    groups = staged(met.filter("_first <> doc or _next <> doc").select("sig", "doc", "up", "_first"), "groups")
-    stars = staged(groups.filter("doc <> _first").select(F.col("_first").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
+    met = _signed(rows).withColumn("_first", F.first("doc").over(by_sig)).withColumn("_next", F.lead("doc").over(by_sig))
+    groups = staged(met.filter("_first <> doc or _next <> doc").select("sig", "doc", "_first"), "groups")
+    stars = groups.filter("doc <> _first").groupBy(F.col("_first").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("_k"))
     ties = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    links = verified(rows, stars.join(ties, ["a", "b"], "left_anti"), histograms).unionByName(ties)
+    stars = staged(stars.join(ties, ["a", "b"], "left_anti"), "stars")
+    # each document with the leader of most of its groups, then all other leaders outside its component
+    best = staged(stars.groupBy("b").agg(F.max_by("a", F.struct("_k", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    links = verified(rows, best, histograms).unionByName(ties)
     labels = components(links)
-
-    # groups that may still hold several components: those with a member that didn't link with the least one
-    apart = staged(stars.join(links, ["a", "b"], "left_anti"), "apart")
-    held = groups.join(_small(apart.select(F.col("a").alias("_first"), F.col("b").alias("doc"))), ["_first", "doc"], "left_semi")
-    held = staged(held.select("sig").distinct(), "open-groups")
-    members = staged(_labelled(groups.join(_small(held), "sig", "left_semi").select("sig", "doc", "up"), labels), "members")
-    spread = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b")
-    spread = staged(spread.select("sig", "_n"), "spread")
-    small = members.join(spread.filter(F.col("_n") <= SMALL).select("sig"), "sig", "left_semi")
-    other = small.select("sig", F.col("doc").alias("b"), F.col("comp").alias("_c"))
-    pairs = small.join(other, "sig").filter("doc < b and comp <> _c").select(F.col("doc").alias("a"), "b").distinct()
-    # the large ones are left out; who can't spare them all is compared otherwise
-    large = join_by_count(members.select("sig", "doc", "up"), spread.filter(F.col("_n") > SMALL), "sig").groupBy("doc", "up").agg(F.count(F.lit(1)).alias("_out"))
-    hard = can_spare.join(large, ["doc", "up"], "left").filter(F.coalesce("_out", F.lit(0)) > F.col("spare"))
-    hard = staged(hard.select("doc").distinct(), "hard")
-    if hard.limit(1).count():
-        pairs = pairs.unionByName(_prefix_pairs(rows, hard, labels)).distinct()
-    pairs = staged(pairs.join(stars, ["a", "b"], "left_anti"), "open-pairs")
+    label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"_of_{c}"))
+    across = stars.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    across = across.filter(F.coalesce("_of_a", "a") != F.coalesce("_of_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(rows, across, histograms))
+    labels = components(links)
+    pairs = staged(_open_pairs(rows, groups, labels).join(stars, ["a", "b"], "left_anti"), "open-pairs")
     if pairs.limit(1).count():
         labels = components(links.unionByName(verified(rows, pairs, histograms)))
 
@@ -330,12 +327,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their component, with docs' columns: the smallest doc_id stays, and of rows
-    that share it the one with the least text hash. Rows without doc_id are told apart by their texts and come last."""
-    stand_in = F.lit(1 << 62) + F.xxhash64(text_of()).bitwiseAND(F.lit((1 << 62) - 1))
-    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("_key"), text_of().alias("_t"))
+    """The rows of docs that are the first of their component, with docs' columns: the one with the smallest doc_id stays.
+    Rows without doc_id, and those that share a doc_id but not the text, are told apart by their texts and come last; of
+    wholly equal ids and texts one row stays."""
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_of().alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    several = keyed.filter("_id is not null").groupBy("_id").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b"))
+    several = staged(several.filter("_a <> _b").select("_id", F.lit(True).alias("_several")), "repeated-ids")
+    stand_in = F.xxhash64("_id", "_t").bitwiseAND(F.lit((1 << 61) - 1))
+    key = F.when(F.col("_id").isNull(), stand_in + F.lit(1 << 62)).when(F.col("_several"), stand_in + F.lit(1 << 61)).otherwise(F.col("_id"))
+    keyed = keyed.join(_small(several), "_id", "left").withColumn("_key", key)
     found = similar_components(keyed.select(F.col("_key").alias("doc_id"), F.col("_t").alias("text")))
     first = staged(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct(), "first-of-each")
     kept = keyed.join(first, "_key", "left_semi")
-    order = Window.partitionBy("_key").orderBy(F.xxhash64("_t"))
+    order = Window.partitionBy("_key").orderBy("_h")
     return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("_row.*")
