@@ -42,7 +42,7 @@ SHINGLE = 5
 #: Similarity of 0.8 as 100 * shared >= 80 * all.
 PERCENT = 80
 #: Open groups up to this size are compared directly across components, those of larger ones by their rarest shingles.
-CROWD = 32
+CROWD = 16
 #: Ids up to this number are broadcast to pick documents, beyond it they are joined by a shuffle: the same rows either way.
 BROADCAST_IDS = 1_000_000
 
@@ -137,7 +137,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """(sig, doc). Equal texts of a task sign once."""
+    """(sig, doc) of rows (doc, text, md5). Equal texts of a task sign once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
@@ -155,7 +155,7 @@ def _signed(rows: DataFrame) -> DataFrame:
                     docs = np.repeat(np.array([doc for doc, _ in sets], np.int64), [len(x) for x in sigs])
                     yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc": docs})
 
-    return rows.withColumn("md5", F.md5("text")).mapInPandas(run, "sig long, doc long")
+    return rows.mapInPandas(run, "sig long, doc long")
 
 
 def _with_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -245,12 +245,14 @@ def _crowded_pairs(rows: DataFrame, crowded: DataFrame, labels: DataFrame) -> Da
     the one and the first b - c + 1 of the other."""
     sets = staged(_with_sets(rows, crowded), "crowded-sets")
     each = sets.select("doc", F.size("s").alias("_size"), F.explode("s").alias("x"))
-    df = each.groupBy("x").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    ranked = join_by_count(each, df.withColumn("_df", F.col("_n")), "x", "left").withColumn("_df", F.coalesce("_df", F.lit(1)))
-    reach = F.col("_size") - F.ceil(F.col("_size") * PERCENT / 100).cast("int") + 1
-    first = ranked.groupBy("doc", "_size").agg(F.sort_array(F.collect_list(F.struct("_df", "x"))).alias("_s"))  # one document's
-    first = first.select("doc", "_size", F.posexplode(F.slice("_s", F.lit(1), reach)).alias("_at", "_p")).filter("_p._df > 1")
-    first = staged(_labelled(first.select("doc", "_size", "_at", F.col("_p.x").alias("x")), labels), "rarest")
+    df = staged(each.groupBy("x").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "shared-shingles")
+    ranked = join_by_count(each, df.withColumn("_df", F.col("_n")), "x")
+    shared = ranked.groupBy("doc", "_size").agg(F.sort_array(F.collect_list(F.struct("_df", "x"))).alias("_s"))  # one document's
+    # those that no other crowded document holds come first
+    alone = F.col("_size") - F.size("_s")
+    reach = F.greatest(F.col("_size") - F.ceil(F.col("_size") * PERCENT / 100).cast("int") + 1 - alone, F.lit(0))
+    first = shared.select("doc", "_size", alone.alias("_alone"), F.posexplode(F.slice("_s", F.lit(1), reach)).alias("_i", "_p"))
+    first = staged(_labelled(first.select("doc", "_size", (F.col("_alone") + F.col("_i")).alias("_at"), F.col("_p.x").alias("x")), labels), "rarest")
     # the component that most holders of a shingle are in isn't paired within itself
     held = first.groupBy("x", "comp").agg(F.count(F.lit(1)).alias("_m"))
     held = held.groupBy("x").agg(F.max_by("comp", F.struct("_m", "comp")).alias("_most"), F.count(F.lit(1)).alias("_c"), F.sum("_m").alias("_n"))
@@ -297,11 +299,12 @@ def similar_components(docs: DataFrame) -> DataFrame:
     classes = known.filter("n_shingles > 0").groupBy("md5").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("_n"))
     classes = staged(classes, "classes")
     copies = join_by_count(known.filter("n_shingles > 0").select("doc", "md5"), classes.filter("_n > 1"), "md5")
-    copies = staged(copies.filter("doc <> rep").select("doc", "rep").distinct(), "copies")  # also ties a doc_id's several texts
+    copies = staged(copies.filter("doc <> rep").select("doc", "rep", "md5").distinct(), "copies")  # also ties a doc_id's several texts
 
-    # signatures: one shuffle, in which the members of each group meet
+    # signatures of each class' first: one shuffle, in which the members of each group meet
+    firsts = rows.withColumn("md5", F.md5("text")).join(_small(copies.select("doc", "md5")), ["doc", "md5"], "left_anti").select("doc", "text", "md5")
     by_sig = Window.partitionBy("sig").orderBy("doc")
-    met = _signed(rows).withColumn("_first", F.first("doc").over(by_sig)).withColumn("_next", F.lead("doc").over(by_sig))
+    met = _signed(firsts).withColumn("_first", F.first("doc").over(by_sig)).withColumn("_next", F.lead("doc").over(by_sig))
     groups = staged(met.filter("_first <> doc or _next <> doc").select("sig", "doc", "_first"), "groups")
     stars = groups.filter("doc <> _first").groupBy(F.col("_first").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("_k"))
     ties = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
