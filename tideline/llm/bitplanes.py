@@ -15,20 +15,24 @@ file and no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.llm.bpe_vocab import byte_symbols
 from tideline.llm.common import new_path, text_of
 
 #: Ids a block.
 BLOCK = 65_536
-#: Word encodings that a worker keeps; when full it starts anew.
-CACHED_WORDS = 700_000
+#: Word encodings in a generation: a worker keeps two, and a full one drops the one before.
+CACHED_WORDS = 500_000
 END_ID = 0
 
 CHUNKS = "shard int, chunk int, first long, n_ids int, planes array<binary>, doc_ids array<long>, doc_ordinals array<long>, doc_starts array<int>"
@@ -39,7 +43,9 @@ class CachedTokenizer:
     """The tokenizers library behind a store of the words that it has encoded.
 
     The vocabulary's splitting always begins a piece at a single space between two other characters, so what lies
-    between such spaces can be encoded apart from the rest."""
+    between such spaces can be encoded apart from the rest. It also parts letters from the ASCII signs behind them, and
+    letters alone are one piece: the library's model takes it without splitting it first. A tokenizer file that
+    normalises or splits otherwise is refused."""
 
     def __init__(self, path: str):
         import os
@@ -48,53 +54,79 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        splits = settings["pre_tokenizer"] or {}
+        if settings["normalizer"] or splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex"):
+            raise ValueError(f"{path}: not a byte-level vocabulary without normalisation")
         self.later: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+        self.tokens, self.symbols = self.tokenizer.model.tokenize, byte_symbols()
         #: by id: does the token begin with a space
         self.lead = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
 
     def one_by_one(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def letters(self, word: str) -> bytes:
+        """The ids of letters with a space before them."""
+        table = self.symbols
+        piece = table[32] + word if word.isascii() else "".join([table[b] for b in (" " + word).encode()])
+        return array("I", [t.id for t in self.tokens(piece)]).tobytes()
+
     def learn(self, words: set[str]) -> None:
-        """Encodes new words, each with a space before it: many as one text, cut again where a token begins with a space."""
-        new = list(words.difference(self.later))
-        for i in range(0, len(new), 5_000):
-            part = new[i : i + 5_000]
+        """Adds new words, each with a space before it. Others than letters with signs behind go to the library as one text, which
+        is cut again where a token begins with a space."""
+        later, older, signs, odd = self.later, self.older, self.signs, []
+        for w in words:
+            if (known := older.get(w)) is None:
+                core = w.rstrip(punctuation)
+                if not core.isalpha() or max(core) >= "\u0530":
+                    odd.append(w)
+                    continue
+                if (known := later.get(core) or older.get(core)) is None:
+                    known = later[core] = self.letters(core)
+                if (tail := w[len(core) :]) not in signs:
+                    if len(signs) > 10_000:
+                        signs.clear()
+                    signs[tail] = self.one_by_one([tail])[0] if tail else b""
+                known += signs[tail]
+            later[w] = known
+        for i in range(0, len(odd), 5_000):
+            part = odd[i : i + 5_000]
             ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
             at = np.flatnonzero(self.lead[ids])
             if len(at) == len(part) and at[0] == 0:
                 data, ends = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
-                self.later.update(zip(part, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+                later.update(zip(part, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
             else:
-                self.later.update(zip(part, self.one_by_one([" " + w for w in part]), strict=True))
+                later.update(zip(part, self.one_by_one([" " + w for w in part]), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers. Texts with other white space around a blank go to the library whole."""
         if len(self.later) > CACHED_WORDS:
-            self.later.clear()
-        get, docs, missing = self.later.get, [], set()
+            self.older, self.later = self.later, {}
+        docs, every = [], set()
         for t in texts:
             words = t.split(" ")
             ends = [words[0]]
             del words[0]
             if words and t[-1:].isspace():
                 ends.append(" " + words.pop())
-            found = list(map(get, words))
-            if None in found:
-                missing.update([w for w, f in zip(words, found, strict=True) if f is None])
-                found = None
-            docs.append((t, words, ends, found))
-        self.learn({w for w in missing if w and not w[0].isspace() and not w[-1].isspace()})
-        at_ends = iter(self.one_by_one([e for d in docs for e in d[2]]))
-        out = []
-        for t, words, ends, found in docs:
-            parts = [next(at_ends) for _ in ends]
-            found = list(map(get, words)) if found is None else found
+            every.update(words)
+            docs.append((t, words, ends))
+        self.learn({w for w in every.difference(self.later) if w and not w[0].isspace() and not w[-1].isspace()})
+        at_ends, known, out = iter(self.one_by_one([e for d in docs for e in d[2]])), self.later.__getitem__, []
+        for t, words, ends in docs:
+            first, *last = [next(at_ends) for _ in ends]
             before_last = words[-1] if words else ends[0]
-            if None in found or len(ends) > 1 and before_last[-1:].isspace():
+            try:
+                if last and before_last[-1:].isspace():
+                    raise KeyError(t)
+                out.append(b"".join([first, *map(known, words), *last]))
+            except KeyError:  # odd white space
                 out += self.one_by_one([t])
-            else:
-                out.append(b"".join([parts[0], *found, *parts[1:]]))
         return out
 
 
