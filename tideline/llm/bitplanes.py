@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe_vocab import byte_symbols
-from tideline.llm.common import new_path, text_of
+from tideline.llm.common import kept, new_path, text_of
 
 #: Ids a block.
 BLOCK = 65_536
@@ -130,13 +130,8 @@ class CachedTokenizer:
         return out
 
 
-_tokenizers: dict[str, CachedTokenizer] = {}
-
-
 def tokenizer(path: str) -> CachedTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
-    return _tokenizers[path]
+    return kept(f"tokenizer {path}", lambda: CachedTokenizer(path))
 
 
 def to_planes(ids: np.ndarray, level: int = 1) -> list[bytes]:

@@ -27,6 +27,11 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
+        kinds = [n["type"] for n in (j["normalizer"] or {}).get("normalizers", [])]
+        first, *rest = (j["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        splits = first.get("pattern", {}).get("Regex") == PIECES.pattern and [r["type"] for r in rest] == ["ByteLevel"]
+        if kinds != ["NFC", "Replace", "Lowercase"] or not splits:
+            raise ValueError(f"{path}: normalisation or splitting other than what is built in here")
         self.end = j["model"]["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = dict(j["model"]["vocab"])
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
@@ -63,11 +68,5 @@ class Vocabulary:
         return [ids[c] for c in piece[:-1]] + [ids[piece[-1] + self.end]]
 
 
-_loaded: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
-    """Loaded once a worker process."""
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+    return Vocabulary(path)

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Stands for a missing doc_id inside operators; greater than any real id, so that real ids win.
 NO_ID = 2**63 - 1
 
-_own_dir: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Only a local session, whose executors are on the
+    driver's machine, may do without: it gets a new folder there."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        app = spark.sparkContext.applicationId
-        at = _own_dir.setdefault(app, _own_dir.get(app) or tempfile.mkdtemp(prefix="spark-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it names the folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
@@ -43,6 +49,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_store: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What make() gives, kept in a worker until another operator's store is asked for: workers outlive a stage, and their
+    stores would add up."""
+    if name not in _store:
+        _store.clear()
+        pa.default_memory_pool().release_unused()
+        _store[name] = make()
+    return _store[name]
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

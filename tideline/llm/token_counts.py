@@ -14,13 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe_vocab import Vocabulary, vocabulary
+from tideline.llm.common import kept
 
 #: Words whose counts a worker keeps; when full it starts anew, so results never depend on it.
 CACHED_WORDS = 1_000_000
 
-_counts: dict[str, dict[str, int]] = {}
-_pieces: dict[str, dict[str, int]] = {}
-
 
 def merged_count(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> int:
     """Symbols left after merging: the lowest-ranked adjacent pair first, the leftmost of equals."""
@@ -80,7 +78,7 @@ def token_count(text: str | Column, vocab_path: str) -> Column:
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        v, known, pieces = vocabulary(vocab_path), _counts.setdefault(vocab_path, {}), _pieces.setdefault(vocab_path, {})
+        v, known, pieces = kept(f"counts {vocab_path}", lambda: (vocabulary(vocab_path), {}, {}))
         for texts in batches:
             yield pd.Series([count_text(t, v, known, pieces) if t else 0 for t in texts], dtype="int64")
 

@@ -6,7 +6,8 @@ which u, t is what merging their joint symbols gives; adjacent pairs that mergin
 encoding, and just one t qualifies. Prefixes that many words share are thus encoded once.
 
 Null and empty texts have no ids and decode to the empty text. Rows are independent: repeated rows, nulls in other
-columns and extra columns change nothing; an empty table gives an empty result.
+columns and extra columns change nothing, but encode()'s ids and decoded take the place of columns of those names; an
+empty table gives an empty result. Long texts cost memory in proportion to their words, long words to their letters.
 """
 
 from __future__ import annotations
@@ -21,21 +22,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe_vocab import Vocabulary, vocabulary
+from tideline.llm.common import kept
 
-#: Words whose encodings and token pairs whose checks a worker keeps; when full it starts anew.
-CACHED_WORDS, CACHED_PAIRS = 400_000, 1_000_000
+#: Encodings in a generation of words, and of pieces: a worker keeps two, and a full one drops the one before. Token pairs
+#: whose checks it keeps; when full it starts anew.
+CACHED_WORDS, CACHED_PAIRS = 250_000, 700_000
 END = "\0"  # follows the last symbol of a piece in the trie; no symbol itself
 
 
 class TrieEncoder:
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.longest = max(len(t.removesuffix(v.end)) for t in v.ids)
+        #: by each ending of a token: its id where the ending is a token itself, else -1
+        self.endings: dict[str, int] = {}
+        for t in v.ids:
+            whole = len(t) - len(v.end) if v.end and t.endswith(v.end) and len(t) > len(v.end) else len(t)
+            for at in range(1, whole):
+                self.endings.setdefault(t[at:], -1)
+        self.endings |= v.ids
+        self.longest = max(map(len, v.ids))
         self.text = {i: t for t, i in v.ids.items()} | {i: t for t, i in v.specials.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.word_ids: dict[str, bytes] = {}
-        self.word_text: dict[str, str] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def symbols_of(self, token: int) -> list[int]:
         t, ids = self.text[token], self.v.ids
@@ -60,25 +71,29 @@ class TrieEncoder:
             known = self.pairs[a, b] = self.merged(self.symbols_of(a) + self.symbols_of(b)) == [a, b]
         return known
 
-    def encode_pieces(self, pieces: Iterable[str]) -> dict[str, list[int]]:
-        """The ids of each of these distinct pieces."""
+    def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids of each of these distinct pieces, as little-endian 32-bit integers."""
         root: dict = {}
         for piece in pieces:
             node = root
             for c in piece[:-1]:
                 node = node.setdefault(c, {})
             node.setdefault(piece[-1] + END, piece)
-        ids, end, longest, apart, known = self.v.ids.get, self.v.end, self.longest, self.stay_apart, self.pairs
+        ids, end, longest, apart, known = self.endings.get, self.v.end, self.longest, self.stay_apart, self.pairs
         if len(known) > CACHED_PAIRS:
             known.clear()
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         tokens, starts = [-1], [0]  # by depth: last token of the prefix, and where that token starts
 
-        def state(prefix: str, ending: str) -> tuple[int, int]:
-            n = len(prefix)
-            for at in range(n - longest if n > longest else 0, n):
-                t = ids(prefix[at:] + ending)
-                if t is not None:
+        def state(prefix: str, depth: int, ending: str) -> tuple[int, int]:
+            """prefix: its last characters, as many as a token has at most."""
+            at = depth
+            for i in range(len(prefix) - 1, -1, -1):
+                at -= 1
+                t = ids(prefix[i:] + ending)
+                if t is None:
+                    break
+                if t >= 0:
                     if not at:
                         return t, 0
                     ok = known.get((tokens[at], t))
@@ -86,64 +101,62 @@ class TrieEncoder:
                         return t, at
             raise ValueError(f"no token ends {prefix!r}")
 
-        stack = [("", root)]
+        stack = [("", 0, root)]
         while stack:
-            prefix, node = stack.pop()
-            if prefix:
-                depth = len(prefix)
+            prefix, depth, node = stack.pop()
+            if depth:
                 del tokens[depth:], starts[depth:]
-                t, at = state(prefix, "")
+                t, at = state(prefix, depth, "")
                 tokens.append(t)
                 starts.append(at)
             for key, child in node.items():
+                longer = prefix + key[0]
+                if depth >= longest:
+                    longer = longer[-longest:]
                 if len(key) == 1:
-                    stack.append((prefix + key, child))
+                    stack.append((longer, depth + 1, child))
                 else:
-                    t, at = state(prefix + key[0], end)
+                    t, at = state(longer, depth + 1, end)
                     found = [t]
                     while at:
                         found.append(tokens[at])
                         at = starts[at]
-                    out[child] = found[::-1]
+                    out[child] = array("I", found[::-1]).tobytes()
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Adds the encodings of words to what is kept: ids as little-endian 32-bit integers, and tokens joined by a space."""
-        split = {w: self.v.pieces(w) for w in words}
-        encoded = self.pieces
-        if len(encoded) > CACHED_WORDS:
-            encoded.clear()
-        encoded |= self.encode_pieces({p for ps in split.values() for p in ps}.difference(encoded))
-        text = self.text
+        """Adds the encodings of new words to what is kept."""
+        known, old, split = self.words, self.old_words, {}
+        for w in words:
+            if (found := old.get(w)) is not None:
+                known[w] = found
+            else:
+                split[w] = self.v.pieces(w)
+        pieces, old = self.pieces, self.old_pieces
+        new = {p for ps in split.values() for p in ps}.difference(pieces)
+        pieces |= {p: found for p in new if (found := old.get(p)) is not None}
+        pieces |= self.encode_pieces(new.difference(pieces))
         for w, ps in split.items():
-            found = encoded[ps[0]] if len(ps) == 1 else [i for p in ps for i in encoded[p]]
-            self.word_ids[w] = array("I", found).tobytes()
-            self.word_text[w] = " ".join([text[i] for i in found])
+            known[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+        if len(pieces) > CACHED_WORDS:
+            self.old_pieces, self.pieces = pieces, {}
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids (little-endian 32-bit) and decoded text of each text."""
         v = self.v
         parts = [[(p, None) if special else (p, v.words(p)) for p, special in v.split(t)] for t in texts]
-        if len(self.word_ids) > CACHED_WORDS:
-            self.word_ids.clear()
-            self.word_text.clear()
-        new: set[str] = set()
+        if len(self.words) > CACHED_WORDS:
+            self.old_words, self.words = self.words, {}
+        every: set[str] = set()
         for t in parts:
             for _, words in t:
                 if words:
-                    new |= set(words).difference(self.word_ids)
-        self.learn(new)
-        ids_of, text_of, out = self.word_ids.__getitem__, self.word_text.__getitem__, []
+                    every.update(words)
+        self.learn(every.difference(self.words))
+        ids_of, text, out = self.words.__getitem__, self.text.__getitem__, []
         for t in parts:
-            ids, tokens = [], []
-            for p, words in t:
-                if words is None:
-                    ids.append(array("I", [v.specials[p]]).tobytes())
-                    tokens.append(p)
-                else:
-                    ids += map(ids_of, words)
-                    tokens += filter(None, map(text_of, words))
-            out.append((b"".join(ids), " ".join(tokens)))
+            ids = b"".join([x for p, words in t for x in ((array("I", [v.specials[p]]).tobytes(),) if words is None else map(ids_of, words))])
+            out.append((ids, " ".join(map(text, array("I", ids)))))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -151,13 +164,8 @@ class TrieEncoder:
         return " ".join(self.text[i] for i in ids)
 
 
-_encoders: dict[str, TrieEncoder] = {}
-
-
 def encoder(path: str) -> TrieEncoder:
-    if path not in _encoders:
-        _encoders[path] = TrieEncoder(vocabulary(path))
-    return _encoders[path]
+    return kept(f"trie {path}", lambda: TrieEncoder(vocabulary(path)))
 
 
 #: Characters of the texts that are encoded at once.
@@ -186,7 +194,8 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
             found = [x for g in _groups(texts) for x in e.encode_batch(g)]
             yield pd.DataFrame({"ids": [np.frombuffer(b, "<i4") for b, _ in found], "decoded": [d for _, d in found]})
 
-    return docs.withColumn("_e", run(F.col(text))).select("*", "_e.ids", "_e.decoded").drop("_e")
+    found = docs.select(F.struct("*").alias("_row"), run(F.col(text)).alias("_e"))
+    return found.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("ids", "decoded")], "_e.ids", "_e.decoded")
 
 
 def encoded_rows(docs: DataFrame, vocab_path: str) -> DataFrame:

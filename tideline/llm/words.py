@@ -7,12 +7,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from tideline.llm.common import kept
+
+#: Bytes of text, about, that are handled at once.
+BATCH_CHARS = 400_000
 #: Fixed value: words are parted by blanks and the ASCII controls from tab to carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BYTE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _P, _Q1, _Q2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(h: np.ndarray, k: int = 0xFF51AFD7ED558CCD) -> np.ndarray:
@@ -23,13 +26,16 @@ def mix(h: np.ndarray, k: int = 0xFF51AFD7ED558CCD) -> np.ndarray:
 
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i below n."""
-    have = _powers.get(base)
+    powers = kept("powers", dict)
+    have = powers.get(base)
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
         up = np.full(size, base, np.uint64)
         down = np.full(size, pow(base, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
-        have = _powers[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+        have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        if size <= 4 * BATCH_CHARS:  # those of a very long text aren't kept
+            powers[base] = have
     return have[0][:n], have[1][:n]
 
 
@@ -59,8 +65,6 @@ def hashed(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarra
     return h, np.searchsorted(starts, bounds)
 
 
-#: Bytes of text, about, that are handled at once.
-BATCH_CHARS = 400_000
 
 
 def grouped(rows: Iterable[tuple], text_at: int) -> Iterator[list[tuple]]:
