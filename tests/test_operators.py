@@ -322,7 +322,7 @@ def test_quality_null_semantics(spark):
     from tideline.operators import quality
 
     rows = spark.createDataFrame(
-        [("s", "n", "u", 0.0, 5.0, '{"timestamp": "5", "n8n_polled_at": "x"}'), ("s", "n", None, 0.0, 50.0, '{"n8n_polled_at": 20, "inference_type": "z"}'), ("s", "n", "w", 0.0, 2.0, '{"timestamp": 1.5}')],
+        [("s", "n", "u", 0.0, 5.0, '{"timestamp": "5", "n8n_polled_at": "x"}'), ("s", "n", None, 0.0, 50.0, '{"n8n_polled_at": 20, "derived_kind": "z"}'), ("s", "n", "w", 0.0, 2.0, '{"timestamp": 1.5}')],
         "source_app string, name string, user_id string, occurred_at double, ingested_at double, message string",
     )
     got = [(r.polled_at, r.bad_timestamp, r.derived_fields, r.bad_user) for r in quality.with_contract_flags(quality.with_latency(rows), ["u"]).orderBy("ingested_at").collect()]
@@ -351,6 +351,49 @@ def test_history(spark, tmp_path):
     assert {r.child_id for r in spark.read.parquet(li).collect()} == {"zz", "new"}
 
 
+def test_rederiving_empties_a_day(spark, tmp_path):
+    from tideline.sources import history
+
+    rows = spark.createDataFrame(
+        [(f"d{k}", "u", "trip", "derived", 1704067200 + 86400 * k, datetime(2024, 1, 1 + k), datetime(2024, 1, 1 + k), "{}", date(2024, 1, 1 + k)) for k in range(2)],
+        "id string, user_id string, name string, event_class string, ts bigint, occurred_at timestamp, ingested_at timestamp, message string, event_date date",
+    )
+    ev, li = str(tmp_path / "events"), str(tmp_path / "lineage")
+    history.append_events(rows, ev)
+    spark.createDataFrame([("d0", "x"), ("d1", "x")], "child_id string, parent_id string").write.parquet(li)
+    fresh, links = rows.filter("id = 'd1'").withColumn("id", F.lit("new")), spark.createDataFrame([("new", "x")], "child_id string, parent_id string")
+    for _ in range(2):  # again gives the same
+        history.rederive(spark, ev, li, fresh, links, ["trip"], datetime(2024, 1, 1), datetime(2024, 1, 9), replace=True)
+        assert [r.id for r in history.read_events(spark, ev).collect()] == ["new"] and [r.child_id for r in spark.read.parquet(li).collect()] == ["new"]
+
+
+def test_fusing_claims_in_turn(spark):
+    p = spark.createDataFrame([("u", "p1", 0, 100), ("u", "p2", 90, 200), ("u", "p3", 5000, 5100)], "user_id string, p_id string, p_lo long, p_hi long")
+    s = spark.createDataFrame([("u", "s1", 0, 50), ("u", "s2", 60, 150), ("u", "s3", 9000, 9500), ("u", "s4", 9000, 9010), ("u", "s5", 20000, 20500)], "user_id string, s_id string, s_lo long, s_hi long")
+    ticks = spark.createDataFrame([("u", 20510), ("u", 8999)], "user_id string, ts long")
+    got = {(r.p_id, r.s_id) for r in sessions.fuse_claims(p, s, ticks, pad=20, shortest=100).collect()}
+    assert got == {("p1", "s1"), ("p2", "s2"), ("p3", None), (None, "s3")}
+
+
+def test_fractions_of_seconds(spark):
+    from tideline.operators.ingest import _epoch
+
+    texts = ["2024-01-01T00:00:00.123456Z", "2024-01-01T00:00:00.1+0100", "2024-01-01T00:00:00+01:00", "2024-01-01T00:00:00.123456789Z", "2024-01-01T00:00:00Z", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.e for r in df.select(_epoch(F.col("t")).alias("e")).collect()] == [1704067200, 1704063600, 1704063600, 1704067200, 1704067200, None]
+
+
+def test_long_chains_and_circles(spark):
+    from tideline.operators import lineage
+
+    chain = [(f"c{k}", f"c{k - 1}") for k in range(1, 6)] + [("x", "y"), ("y", "x"), ("z", "y"), ("z", "c5")]
+    links = spark.createDataFrame(chain, "child_id string, parent_id string")
+    events = spark.createDataFrame([(i,) for i in sorted({a for p in chain for a in p})], "id string")
+    assert {r.id: r.depth for r in lineage.depths(events, links).collect()} == {f"c{k}": k + 1 for k in range(6)} | {"x": 1, "y": 1, "z": 7}
+    up = lineage.closure(links, spark.createDataFrame([("z",)], "id string"))
+    assert {(r.id, r.distance) for r in up.collect()} == {("y", 1), ("c5", 1), ("x", 2), ("c4", 2), ("c3", 3), ("c2", 4), ("c1", 5), ("c0", 6)}
+
+
 def test_place_book_reloads(spark):
     from tideline.sources.history import PlaceBook, load_places
 

@@ -52,6 +52,31 @@ def test_changes_stream(spark, store, tmp_path):
     assert known == [0, 3]
 
 
+def test_live_path_is_the_batch(spark, sf, store, tmp_path):
+    from tideline.plans import live, reports
+    from tideline.plans.definitions import STANDARD
+
+    raw, places = reports.envelopes(spark, sf), reports._places(spark)
+    want = {r.message for r in live.derive(raw, STANDARD, places).collect()}
+    assert any('"label"' in m for m in want) and any('"support"' in m for m in want)
+    for low, high in ((0, 400), (400, 2000)):
+        part = raw.filter((F.unix_seconds("received_at") >= low) & (F.unix_seconds("received_at") < high))
+        part.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    put = lambda batch, n: batch.write.mode("overwrite").json(str(tmp_path / "out" / f"n={n}"))
+    live.derive_stream(stream, STANDARD, put, str(tmp_path / "cp"), lambda: places, availableNow=True).awaitTermination(180)
+    assert {r.message for r in spark.read.json(str(tmp_path / "out")).collect()} == want
+
+
+def test_a_retried_batch_adds_nothing(spark, tmp_path):
+    from tideline.sources import history
+
+    rows = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-02")], "id string, event_date string").withColumn("event_date", F.to_date("event_date"))
+    for batch in ("7", "7", "8"):
+        history.append_events(rows, str(tmp_path / "ev"), batch)
+    assert history.read_events(spark, str(tmp_path / "ev")).count() == 4
+
+
 def test_sinks(spark, tmp_path):
     from tideline.operators import ingest
     from tideline.sources import streams
@@ -64,7 +89,7 @@ def test_sinks(spark, tmp_path):
     [r] = spark.read.parquet(str(tmp_path / "events")).collect()
     assert r.name == "a" and str(r.event_date) == "2024-01-01"
     (tmp_path / "env").mkdir()
-    (tmp_path / "env" / "a.json").write_text(json.dumps({"name": "trip", "source_app": "inference", "source_type": "kafka", "message": '{"user_id": "u"}'}) + "\n")
+    (tmp_path / "env" / "a.json").write_text(json.dumps({"name": "trip", "source_app": "tideline", "source_type": "kafka", "message": '{"user_id": "u"}'}) + "\n")
     env = streams.read_raw_stream(spark, path=str(tmp_path / "env"))
     streams.write_derived(env, {"trip": "high_level_events"}, str(tmp_path / "cp2"), path=str(tmp_path / "out"), availableNow=True).awaitTermination(120)
     [r] = spark.read.json(str(tmp_path / "out")).collect()

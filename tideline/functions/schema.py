@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.settings import KIND_FIELD
+
 #: Evidence that travels with a decision; `parts` is the evidence of a derived source.
 PART = "struct<id: string, name: string, ts: bigint, lat: double, lon: double, acc: double, motion: array<string>, kind: string>"
 SOURCE = PART[:-1] + f", parts: array<{PART}>>"
@@ -12,7 +14,7 @@ DECISION = f"user_id string, seq bigint, sub int, name string, kind string, id s
 
 PLACE = "struct<lat: double, lon: double, spread_m: double, label: string, distance_m: double, everyday: boolean, categories: array<string>>"
 PAYLOAD = (
-    "id string, name string, inference_type string, user_id string, timestamp bigint, "
+    f"id string, name string, {KIND_FIELD} string, user_id string, timestamp bigint, "
     "derived_from array<struct<id: string, name: string, timestamp: bigint>>, "
     "interval struct<started_at: bigint, ended_at: bigint, duration_seconds: bigint>, "
     f"place {PLACE}, "
@@ -21,8 +23,8 @@ PAYLOAD = (
     "support struct<level: string, evidence_kinds: array<string>>, "
     f"pauses array<struct<started_at: bigint, ended_at: bigint, place: {PLACE}, duration_seconds: bigint>>"
 )
-PAYLOAD_FIELDS = ["id", "name", "inference_type", "user_id", "timestamp", "derived_from", "interval", "place", "journey", "vehicle", "support", "pauses"]
-REQUIRED = ["id", "name", "inference_type", "user_id", "timestamp"]
+PAYLOAD_FIELDS = ["id", "name", KIND_FIELD, "user_id", "timestamp", "derived_from", "interval", "place", "journey", "vehicle", "support", "pauses"]
+REQUIRED = ["id", "name", KIND_FIELD, "user_id", "timestamp"]
 
 #: The entity of events without one.
 NO_USER = "_no_user_id"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.geo import haversine_m
 from tideline.functions.schema import PLACE
+from tideline.settings import KIND_FIELD, OWN_SOURCE
 
 CAPABILITIES: dict[str, Callable[[Column], Column]] = {}
 
@@ -162,9 +163,9 @@ def shape(decisions: DataFrame, declared: dict[str, tuple[str, ...]]) -> tuple[D
         names = [n for n, cs in declared.items() if c in cs]
         columns[c] = F.when(F.col("name").isin(names), make(F.col("sources"))) if names else F.lit(None)
     good = decisions.filter(~broken).withColumns(columns)
-    return good.select("id", "name", F.col("kind").alias("inference_type"), "user_id", F.col("ts").alias("timestamp"), *columns), decisions.filter(broken)
+    return good.select("id", "name", F.col("kind").alias(KIND_FIELD), "user_id", F.col("ts").alias("timestamp"), *columns), decisions.filter(broken)
 
 
 def wrapped(payloads: DataFrame) -> DataFrame:
     """The stream's envelope: name, source_app, source_type and the payload as JSON; absent capabilities stay out."""
-    return payloads.select("name", F.lit("inference").alias("source_app"), F.lit("kafka").alias("source_type"), F.to_json(F.struct(*payloads.columns)).alias("message"))
+    return payloads.select("name", F.lit(OWN_SOURCE).alias("source_app"), F.lit("kafka").alias("source_type"), F.to_json(F.struct(*payloads.columns)).alias("message"))

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.settings import KIND_FIELD
+
 #: Fields that a producer's own may never overwrite.
 RESERVED = ["event_name", "user_id", "timestamp"]
 
@@ -50,8 +52,8 @@ _LOCATIONS = (
 
 
 def _epoch(text: Column) -> Column:
-    """ISO time with an offset (with or without a colon, or Z) to epoch seconds."""
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ssZ", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")]
+    """ISO time with an offset (with or without a colon, or Z) and up to nine digits of a fraction to epoch seconds."""
+    tries = [F.try_to_timestamp(text, F.lit(f"yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]{zone}")) for zone in ("XXX", "Z")]
     return F.unix_timestamp(F.coalesce(*tries))
 
 
@@ -100,7 +102,7 @@ def shape_for_table(rows: DataFrame) -> DataFrame:
         get("id").alias("id"),
         get("user_id").alias("user_id"),
         "name",
-        F.when(get("inference_type").isNotNull(), "derived").otherwise("raw").alias("event_class"),
+        F.when(get(KIND_FIELD).isNotNull(), "derived").otherwise("raw").alias("event_class"),
         "source_app",
         ts.alias("ts"),
         F.timestamp_seconds(ts).alias("occurred_at"),

@@ -1,13 +1,13 @@
-"""The lineage graph of derived events. Definitions are acyclic and few, so depths and closures are short iterations of
-joins, each round cut off by a checkpoint when the caller's session has a checkpoint folder."""
+"""The lineage graph of derived events. Depths and closures are iterations of joins, as many as the graph is deep; each round
+is written to the shared folder. Circles end them as well."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds after which a graph must be circular: more than definitions can be nested.
-MOST_ROUNDS = 64
+from tideline.staging import staged
+
 COLLAPSE_FROM = 6
 
 
@@ -16,26 +16,25 @@ def edges(events: DataFrame, id_column: str = "id", parents: str = "derived_from
     return events.select(F.col(id_column).alias("child_id"), F.explode(parents).alias("_p")).select("child_id", F.col("_p.id").alias("parent_id")).distinct()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def depths(events: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, depth): 1 without parents among events, else one more than the deepest parent. Events on a circle keep the depth
-    they had when MOST_ROUNDS were over."""
-    inside = links.join(events.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").join(events.select(F.col("id").alias("child_id")), "child_id", "left_semi")
-    depth = events.select("id", F.lit(1).alias("depth")).distinct()
-    layers = []
-    level = inside.select(F.col("child_id").alias("id")).distinct()
-    for n in range(2, MOST_ROUNDS):
-        level = _cut(level)
-        if not level.limit(1).count():
+    """(id, depth): 1 without parents among events, else one more than the deepest parent. Parents that are on a circle, or
+    descend from one, don't count."""
+    ids = events.select("id").distinct()
+    here = lambda c: ids.withColumnRenamed("id", c)
+    waiting = staged(links.join(here("parent_id"), "parent_id", "left_semi").join(here("child_id"), "child_id", "left_semi").select("child_id", "parent_id"), "links")
+    offers = None
+    while True:
+        # parents that wait for no other: their depth is known
+        ready = waiting.join(waiting.select(F.col("child_id").alias("parent_id")).distinct(), "parent_id", "left_anti")
+        known = ready if offers is None else ready.join(offers.groupBy(F.col("id").alias("parent_id")).agg(F.max("depth").alias("_d")), "parent_id", "left")
+        found = known.groupBy(F.col("child_id").alias("id")).agg((F.max(F.coalesce("_d", F.lit(1)) if offers is not None else F.lit(1)) + 1).alias("depth"))
+        found = staged(found, "depths")
+        if not found.limit(1).count():
             break
-        layers.append(level.withColumn("depth", F.lit(n)))
-        level = inside.join(level.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select(F.col("child_id").alias("id")).distinct()
-    for layer in layers:
-        depth = depth.unionByName(layer)
-    return depth.groupBy("id").agg(F.max("depth").alias("depth"))
+        offers = found if offers is None else offers.unionByName(found)
+        waiting = staged(waiting.join(ready, ["child_id", "parent_id"], "left_anti"), "links")
+    every = ids.withColumn("depth", F.lit(1))
+    return (every if offers is None else every.unionByName(offers)).groupBy("id").agg(F.max("depth").alias("depth"))
 
 
 def depth_by_type(events: DataFrame, depth: DataFrame) -> DataFrame:
@@ -49,13 +48,14 @@ def closure(links: DataFrame, start: DataFrame, up: bool = True) -> DataFrame:
     """(root, id, distance): all ancestors (up) or descendants of the ids in start (id), each at its least distance."""
     a, b = ("child_id", "parent_id") if up else ("parent_id", "child_id")
     steps = links.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
-    seen = None
+    seen, n = None, 0
     level = start.select(F.col("id").alias("root"), F.col("id"))
-    for n in range(1, MOST_ROUNDS):
+    while True:
+        n += 1
         level = level.join(steps, level["id"] == steps["_from"]).select("root", F.col("_to").alias("id")).distinct()
         if seen is not None:
             level = level.join(seen, ["root", "id"], "left_anti")
-        level = _cut(level)
+        level = staged(level, "closure")
         if not level.limit(1).count():
             break
         found = level.withColumn("distance", F.lit(n))

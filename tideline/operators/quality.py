@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Limits of the report, and the sources that it leaves out unless asked.
+from tideline.settings import FIRST_PARTY, KIND_FIELD
+
+#: Limits of the report.
 STALE_HOURS, TRIGGER_P95, PIPELINE_P95, TOP = 24, 900, 10, 20
-FIRST_PARTY = ["inference", "vector"]
 
 
 def _is_number(path: str, body: str = "message") -> Column:
@@ -32,7 +33,7 @@ def with_latency(rows: DataFrame) -> DataFrame:
 def with_contract_flags(rows: DataFrame, users: list[str] | None = None) -> DataFrame:
     """bad_timestamp, derived_fields, bad_user. As in SQL, what is missing isn't counted as wrong."""
     stamp = F.get_json_object("message", "$.timestamp")
-    derived = F.get_json_object("message", "$.inference_type").isNotNull() | F.get_json_object("message", "$.derived_from").isNotNull()
+    derived = F.get_json_object("message", f"$.{KIND_FIELD}").isNotNull() | F.get_json_object("message", "$.derived_from").isNotNull()
     return rows.withColumns(
         {
             "bad_timestamp": F.coalesce(stamp.isNotNull() & ~_is_number("$.timestamp"), F.lit(False)),

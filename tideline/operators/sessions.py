@@ -46,7 +46,6 @@ def validated_sessions(
     min_coverage_ratio: float = 0.5,
     max_accuracy_m: float = 100,
     max_speed_kmh: float = 400,
-    guards: bool = True,
     bucket: int = 1 << 16,
 ) -> DataFrame:
     """sessions (of pair_sessions) without those that their fixes refute. Fixes join by user and arrival bucket, so that a
@@ -68,7 +67,7 @@ def validated_sessions(
     def fold(acc, f):
         late = f["t"] < acc["t1"]
         wild = is_implausible_jump(acc["lat"], acc["lon"], acc["t1"], f["lat"], f["lon"], f["t"], max_speed_kmh)
-        skip = F.coalesce((acc["n"] > 0) & (late | wild), F.lit(False)) if guards else F.lit(False)
+        skip = F.coalesce((acc["n"] > 0) & (late | wild), F.lit(False))
         grown = F.struct(
             (acc["n"] + 1).alias("n"),
             F.least(acc["south"], f["lat"]).alias("south"),
@@ -185,11 +184,33 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str
     return a.join(b, [*keys, "_b"]).filter((F.col("_l0") <= F.col("_r1")) & (F.col("_r0") <= F.col("_l1")) & (F.col("_b") == first)).drop("_b", "_l0", "_l1", "_r0", "_r1")
 
 
-def fuse_claims(primary: DataFrame, secondary: DataFrame, pad: int = 300) -> DataFrame:
-    """Each primary span (p_id, p_lo, p_hi) with the oldest overlapping secondary (s_id, s_lo, s_hi), each secondary going to
-    its first primary: the order-free variant of claim fusion."""
+def fuse_claims(primary: DataFrame, secondary: DataFrame, ticks: DataFrame | None = None, pad: int = 300, shortest: int = 0) -> DataFrame:
+    """(user_id, p_id, s_id) of primary spans (p_id, p_lo, p_hi) and secondary ones (s_id, s_lo, s_hi). Primary spans, by their
+    ends, each take the oldest secondary one that overlaps and isn't taken; s_id is null where there is none. Secondary spans
+    that no primary one overlaps stand alone (p_id null), if they last `shortest` seconds and no tick (user_id, ts) falls into
+    them or `pad` seconds behind. The taking streams over a user's pairs and holds the ids that are taken."""
     pairs = overlapping(primary, secondary, ["user_id"], ("p_lo", "p_hi"), ("s_lo", "s_hi"), pad)
-    by_s = Window.partitionBy("user_id", "s_id").orderBy("p_hi", "p_id")
-    once = pairs.withColumn("_k", F.row_number().over(by_s)).filter("_k = 1")
-    by_p = Window.partitionBy("user_id", "p_id").orderBy("s_hi", "s_id")
-    return once.withColumn("_k", F.row_number().over(by_p)).filter("_k = 1").select("user_id", "p_id", "s_id")
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user = served = None
+        taken: set = set()
+        for pdf in batches:
+            out = []
+            for u, p, s in zip(pdf["user_id"], pdf["p_id"], pdf["s_id"], strict=True):
+                if u != user:
+                    user, served, taken = u, None, set()
+                if p != served and s not in taken:
+                    served = p
+                    taken.add(s)
+                    out.append((u, p, s))
+            yield pd.DataFrame(out, columns=["user_id", "p_id", "s_id"])
+
+    keyed = pairs.select("user_id", "p_hi", "p_id", "s_hi", "s_id").repartition("user_id").sortWithinPartitions("user_id", "p_hi", "p_id", "s_hi", "s_id")
+    taken = keyed.select("user_id", "p_id", "s_id").mapInPandas(take, pairs.select("user_id", "p_id", "s_id").schema)
+    paired = primary.select("user_id", "p_id").join(taken, ["user_id", "p_id"], "left")
+    alone = secondary.filter(F.col("s_hi") - F.col("s_lo") >= shortest).join(pairs.select("user_id", "s_id"), ["user_id", "s_id"], "left_anti")
+    if ticks is not None:
+        at = ticks.select("user_id", F.col("ts").alias("t_lo"), F.col("ts").alias("t_hi"))
+        vetoed = overlapping(alone.withColumn("_end", F.col("s_hi") + pad), at, ["user_id"], ("s_lo", "_end"), ("t_lo", "t_hi"))
+        alone = alone.join(vetoed.select("user_id", "s_id"), ["user_id", "s_id"], "left_anti")
+    return paired.unionByName(alone.select("user_id", "s_id"), allowMissingColumns=True)

@@ -9,9 +9,10 @@ from tideline.functions.geo import haversine_m, is_implausible_jump
 from tideline.operators import sessions, telemetry
 from tideline.plans import router
 from tideline.plans.definitions import Definition
-from tideline.plans.views import SIG, by_entity, haversine_sql, signals
+from tideline.plans.views import SIG, haversine_sql, signals
 
 LONGEST = 259_200
+SLOW = 0.5
 WEIGHTS = {"click": 6, "view": 4, "error": 4}
 
 
@@ -69,38 +70,39 @@ _COOL = """f AS (
 
 
 def validated_session_window(spark, sf_dir):
-    """Guards that look at one fix only (accuracy, session bounds); `view` events are the fixes."""
+    """`view` events are the fixes; the speed limit is low, as they are hours apart."""
     s = signals(spark, sf_dir)
     pairs = sessions.pair_sessions(s, "signup", "purchase", LONGEST)
-    kept = sessions.validated_sessions(s, pairs, "view", min_displacement_m=2500, min_fixes=2, min_coverage_ratio=0.2, guards=False)
+    kept = sessions.validated_sessions(s, pairs, "view", min_displacement_m=2500, min_fixes=2, min_coverage_ratio=0.2, max_speed_kmh=SLOW)
     return kept.select("user_id", "start_id", "end_id", F.col("n_fixes").cast("long").alias("n_fixes"))
 
 
 def claim_pairing(spark, sf_dir):
-    """Sessions as primary spans, click-to-purchase spans as secondary ones."""
+    """Sessions as primary spans, click-to-purchase spans as secondary ones, errors as ticks."""
     s = signals(spark, sf_dir)
     p = sessions.pair_sessions(s, "signup", "purchase", LONGEST).select("user_id", F.col("start_id").alias("p_id"), F.col("started_at").alias("p_lo"), F.col("ended_at").alias("p_hi"))
     q = sessions.pair_sessions(s, "click", "purchase", LONGEST).select("user_id", F.col("start_id").alias("s_id"), F.col("started_at").alias("s_lo"), F.col("ended_at").alias("s_hi"))
-    return sessions.fuse_claims(p, q, 300)
+    ticks = s.filter("name = 'error'").select("user_id", "ts")
+    return sessions.fuse_claims(p, q, ticks, 300, 3600)
 
 
 def haversine_legs(spark, sf_dir):
-    s = by_entity(signals(spark, sf_dir))
+    s = signals(spark, sf_dir)
     w = Window.partitionBy("user_id").orderBy("seq")
     leg = haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    return s.withColumn("leg", leg).groupBy("user_id").agg(F.count("leg").alias("n"), F.round(F.sum("leg"), 2).alias("path_m"), F.round(F.max("leg"), 3).alias("longest_m"))
+    return s.withColumn("leg", leg).groupBy("user_id").agg(F.count("leg").alias("n"), F.round(F.coalesce(F.sum("leg"), F.lit(0.0)), 2).alias("path_m"), F.round(F.coalesce(F.max("leg"), F.lit(0.0)), 3).alias("longest_m"))
 
 
 def implausible_jumps(spark, sf_dir):
     """Against the fix before (the lag form, not the last accepted one)."""
-    s = by_entity(signals(spark, sf_dir))
+    s = signals(spark, sf_dir)
     w = Window.partitionBy("user_id").orderBy("seq")
-    bad = is_implausible_jump(F.lag("lat").over(w), F.lag("lon").over(w), F.lag("ts").over(w), F.col("lat"), F.col("lon"), F.col("ts"), 40.0)
+    bad = is_implausible_jump(F.lag("lat").over(w), F.lag("lon").over(w), F.lag("ts").over(w), F.col("lat"), F.col("lon"), F.col("ts"), 0.1)
     return s.withColumn("bad", bad).filter("bad").select("user_id", "id")
 
 
 def _readings(spark, sf_dir):
-    return signals(spark, sf_dir).select(F.col("entity").alias("device"), F.col("name").alias("descriptor"), F.col("seq").alias("arrival_seq"), F.col("k").alias("value"))
+    return signals(spark, sf_dir).select(F.col("user_id").alias("device"), F.col("name").alias("descriptor"), F.col("seq").alias("arrival_seq"), F.col("k").alias("value"))
 
 
 def edge_changes(spark, sf_dir):
@@ -124,7 +126,7 @@ def vocabulary(spark, sf_dir):
     return telemetry.vocabulary(_readings(spark, sf_dir))
 
 
-_R = "r AS (SELECT entity AS device, name AS descriptor, seq AS arrival_seq, k AS value FROM sig)"
+_R = "r AS (SELECT user_id AS device, name AS descriptor, seq AS arrival_seq, k AS value FROM sig)"
 
 
 def drive_sessions(spark, sf_dir):
@@ -139,15 +141,15 @@ drives AS (
 
 
 def _decisions(spark, sf_dir, *definitions):
-    """The keyed detectors over dense entities; the evidence is summed up."""
-    events = by_entity(signals(spark, sf_dir)).withColumnRenamed("seq", "arrival_seq").withColumn("motion", F.lit(None).cast("array<string>"))
+    """The keyed detectors over users; the evidence is summed up."""
+    events = signals(spark, sf_dir).withColumnRenamed("seq", "arrival_seq").withColumn("motion", F.lit(None).cast("array<string>"))
     out = router.run(events, list(definitions))
     return out.select("user_id", "name", "ts", "score", F.size("sources").alias("n_sources"), "id")
 
 
-GATED = Definition("out", "session_gated_window", {"gate_event": "signup", "gate_weight": 4, "max_open_seconds": 86400, "window_seconds": 7200, "threshold": 10, "cooldown_seconds": 3600, "weights": {"click": 6, "view": 5, "error": 5}})
-STAY = Definition("stay", "stay_window", {"location_event": "view", "radius_m": 200, "max_gap_seconds": 86400, "break_fixes": 2, "rejoin_max_hole_seconds": 14400})
-TRIP = Definition("trip", "trip_window", {"location_event": "view", "settle_radius_m": 200, "max_gap_seconds": 86400, "max_duration_seconds": 172800, "min_fixes": 1, "corroborating_events": ["signup"], "corroboration_pad_seconds": 3600})
+GATED = Definition("out", "session_gated_window", {"gate_event": "signup", "gate_weight": 4, "max_open_seconds": 604800, "window_seconds": 172800, "threshold": 10, "cooldown_seconds": 3600, "weights": {"click": 6, "view": 5, "error": 5}})
+STAY = Definition("stay", "stay_window", {"location_event": "view", "radius_m": 5000, "max_gap_seconds": 604800, "break_fixes": 2, "rejoin_max_hole_seconds": 259200, "departure_distance_m": 9000})
+TRIP = Definition("trip", "trip_window", {"location_event": "view", "settle_radius_m": 2500, "max_gap_seconds": 604800, "max_duration_seconds": 1209600, "settle_seconds": 3600, "min_fixes": 1, "corroborating_events": ["signup"], "corroboration_pad_seconds": 3600})
 SESSION = Definition("car_trip", "session_window", {"start_event": "signup", "end_event": "purchase", "max_duration_seconds": LONGEST})
 JOURNEY = Definition("journey", "claim_fusion", {"primary_event": "trip", "secondary_event": "car_trip", "tick_event": "error", "secondary_timeout_seconds": 86400})
 
@@ -181,8 +183,9 @@ QUERIES = {
     )
 }
 
-_LAGS = "l AS (SELECT *, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(ts) OVER w AS ts0 FROM sig WINDOW w AS (PARTITION BY entity ORDER BY seq))"
+_LAGS = "l AS (SELECT *, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(ts) OVER w AS ts0 FROM sig WINDOW w AS (PARTITION BY user_id ORDER BY seq))"
 _D = haversine_sql("lat0", "lon0", "lat", "lon")
+_STEP = haversine_sql("r.lat", "r.lon", "f.lat", "f.lon")
 _DECAY = " + ".join(f"coalesce({float(w)} * pow(0.5, (ts - t_{n}) / 43200.0::DOUBLE), 0)" for n, w in WEIGHTS.items())
 _WEIGHT = " + ".join(
     f"CASE WHEN c.ts - (SELECT max(st.ts) FROM st WHERE st.user_id = c.user_id AND st.name = '{n}' AND st.ts <= c.ts) <= 86400 THEN {w} ELSE 0 END" for n, w in WEIGHTS.items()
@@ -200,23 +203,39 @@ ORACLE = {
         SELECT DISTINCT cand.user_id, cand.ts, round(score, 3) AS score FROM cand JOIN f ON f.user_id = cand.user_id AND f.ts = cand.ts""",
     "weighted_window": f"""WITH RECURSIVE {SIG}, {_STARTS} cand AS MATERIALIZED (SELECT * FROM (SELECT user_id, ts, ({_WEIGHT})::BIGINT AS score FROM c) WHERE score >= 10), {_COOL}
         SELECT DISTINCT cand.user_id, cand.ts, score FROM cand JOIN f ON f.user_id = cand.user_id AND f.ts = cand.ts""",
-    "validated_session_window": f"""WITH {SIG}, {PAIRS},
-        t AS (SELECT s.user_id, s.start_id, s.end_id, any_value(s.ended_at - s.started_at) AS dur, count(x.id) AS n_fixes, min(lat) AS south, max(lat) AS north, min(lon) AS west,
-                max(lon) AS east, max(x.ts) - min(x.ts) AS span
-              FROM sessions s LEFT JOIN (SELECT * FROM sig WHERE name = 'view' AND acc <= 100) x
-                ON x.user_id = s.user_id AND x.seq > s.start_seq AND x.seq < s.end_seq AND x.ts >= s.started_at GROUP BY 1, 2, 3)
-        SELECT user_id, start_id, end_id, n_fixes FROM t
-        WHERE NOT coalesce(n_fixes >= 2 AND span / greatest(1, dur)::DOUBLE >= 0.2 AND {haversine_sql("south", "west", "north", "east")} < 2500, false)""",
-    "claim_pairing": f"""WITH {SIG}, {PAIRS},
+    "validated_session_window": f"""WITH RECURSIVE {SIG}, {PAIRS},
+        fx AS (SELECT s.start_id, x.ts, x.lat, x.lon, row_number() OVER (PARTITION BY s.start_id ORDER BY x.seq) AS i
+               FROM sessions s JOIN (SELECT * FROM sig WHERE name = 'view' AND acc <= 100) x
+                 ON x.user_id = s.user_id AND x.seq > s.start_seq AND x.seq < s.end_seq AND x.ts >= s.started_at),
+        r AS (SELECT start_id, i, 1 AS n, lat AS south, lat AS north, lon AS west, lon AS east, ts AS t0, ts AS t1, lat, lon FROM fx WHERE i = 1
+              UNION ALL
+              SELECT r.start_id, f.i, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN least(south, f.lat) ELSE south END, CASE WHEN ok THEN greatest(north, f.lat) ELSE north END,
+                CASE WHEN ok THEN least(west, f.lon) ELSE west END, CASE WHEN ok THEN greatest(east, f.lon) ELSE east END, t0, CASE WHEN ok THEN f.ts ELSE t1 END,
+                CASE WHEN ok THEN f.lat ELSE r.lat END, CASE WHEN ok THEN f.lon ELSE r.lon END
+              FROM r JOIN fx f ON f.start_id = r.start_id AND f.i = r.i + 1,
+                LATERAL (SELECT f.ts >= t1 AND NOT ({_STEP} > 0 AND (f.ts <= t1 OR {_STEP} / (f.ts - t1) * 3.6 > {SLOW})) AS ok)),
+        t AS (SELECT s.user_id, s.start_id, s.end_id, s.ended_at - s.started_at AS dur, l.* EXCLUDE (start_id)
+              FROM sessions s LEFT JOIN (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY i DESC) = 1) l ON l.start_id = s.start_id)
+        SELECT user_id, start_id, end_id, coalesce(n, 0)::BIGINT AS n_fixes FROM t
+        WHERE NOT coalesce(n >= 2 AND (t1 - t0) / greatest(1, dur)::DOUBLE >= 0.2 AND {haversine_sql("south", "west", "north", "east")} < 2500, false)""",
+    "claim_pairing": f"""WITH RECURSIVE {SIG}, {PAIRS},
         e2 AS (SELECT *, sum(CASE WHEN name = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS episode FROM sig WHERE name IN ('click', 'purchase')),
         q AS (SELECT s.user_id, s.id AS s_id, s.ts AS s_lo, p.ts AS s_hi FROM (SELECT * FROM e2 WHERE name = 'click') s JOIN (SELECT * FROM e2 WHERE name = 'purchase') p
               ON p.user_id = s.user_id AND p.episode = s.episode AND p.ts > s.ts QUALIFY row_number() OVER (PARTITION BY s.user_id, s.episode ORDER BY p.seq) = 1),
-        o AS (SELECT a.user_id, a.start_id AS p_id, a.ended_at AS p_hi, q.s_id, q.s_hi FROM sessions a JOIN q ON q.user_id = a.user_id AND q.s_hi - q.s_lo <= {LONGEST}
-              AND a.started_at - 300 <= q.s_hi AND q.s_lo <= a.ended_at + 300),
-        o1 AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY user_id, s_id ORDER BY p_hi, p_id) = 1)
-        SELECT user_id, p_id, s_id FROM o1 QUALIFY row_number() OVER (PARTITION BY user_id, p_id ORDER BY s_hi, s_id) = 1""",
-    "haversine_legs": f"WITH {SIG}, {_LAGS} SELECT entity AS user_id, count({_D}) AS n, round(sum({_D}), 2) AS path_m, round(max({_D}), 3) AS longest_m FROM l GROUP BY entity",
-    "implausible_jumps": f"WITH {SIG}, {_LAGS} SELECT entity AS user_id, id FROM l WHERE {_D} > 0 AND (ts - ts0 <= 0 OR {_D} / (ts - ts0) * 3.6 > 40)",
+        q1 AS (SELECT * FROM q WHERE s_hi - s_lo <= {LONGEST}),
+        o AS (SELECT a.user_id, a.start_id AS p_id, q.s_id, q.s_hi FROM sessions a JOIN q1 q ON q.user_id = a.user_id AND a.started_at - 300 <= q.s_hi AND q.s_lo <= a.ended_at + 300),
+        c AS (SELECT a.user_id, a.start_id AS p_id, row_number() OVER (PARTITION BY a.user_id ORDER BY a.ended_at, a.start_id) AS i, coalesce(l.ids, []) AS ids
+              FROM sessions a LEFT JOIN (SELECT p_id, list(s_id ORDER BY s_hi, s_id) AS ids FROM o GROUP BY 1) l ON l.p_id = a.start_id),
+        g AS (SELECT user_id, 0::BIGINT AS i, NULL::VARCHAR AS p_id, NULL::VARCHAR AS s_id, []::VARCHAR[] AS taken FROM (SELECT DISTINCT user_id FROM sessions)
+              UNION ALL
+              SELECT c.user_id, c.i, c.p_id, pick, CASE WHEN pick IS NULL THEN g.taken ELSE list_append(g.taken, pick) END
+              FROM g JOIN c ON c.user_id = g.user_id AND c.i = g.i + 1, LATERAL (SELECT list_filter(c.ids, lambda x: NOT list_contains(g.taken, x))[1] AS pick))
+        SELECT user_id, p_id, s_id FROM g WHERE i > 0
+        UNION ALL
+        SELECT q.user_id, NULL, q.s_id FROM q1 q WHERE q.s_hi - q.s_lo >= 3600 AND NOT EXISTS (SELECT 1 FROM o WHERE o.s_id = q.s_id)
+          AND NOT EXISTS (SELECT 1 FROM sig x WHERE x.user_id = q.user_id AND x.name = 'error' AND x.ts BETWEEN q.s_lo AND q.s_hi + 300)""",
+    "haversine_legs": f"WITH {SIG}, {_LAGS} SELECT user_id, count({_D}) AS n, round(coalesce(sum({_D}), 0), 2) AS path_m, round(coalesce(max({_D}), 0), 3) AS longest_m FROM l GROUP BY user_id",
+    "implausible_jumps": f"WITH {SIG}, {_LAGS} SELECT user_id, id FROM l WHERE {_D} > 0 AND (ts - ts0 <= 0 OR {_D} / (ts - ts0) * 3.6 > 0.1)",
     "edge_changes": f"""WITH {SIG}, {_R}, b AS (SELECT *, value::INT % 2 = 1 AS state FROM r WHERE value::INT % 3 <> 0),
         c AS (SELECT *, lag(state) OVER (PARTITION BY device, descriptor ORDER BY arrival_seq) AS prev FROM b)
         SELECT device, descriptor, arrival_seq, state FROM c WHERE prev IS NOT NULL AND prev <> state""",

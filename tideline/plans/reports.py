@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators import capabilities, ingest, lineage, places, process, quality, replay, sessions, spend, timeline
+from tideline.plans import live
+from tideline.plans.definitions import STANDARD
 from tideline.plans.detection import DRIVES, LONGEST, PAIRS, SESSION
 from tideline.plans.views import SIG, by_entity, haversine_sql, signals
 from tideline.session import table
+from tideline.settings import KIND_FIELD
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -433,17 +436,16 @@ def _cycle():
 def _log(spark, sf_dir):
     s = signals(spark, sf_dir)
     stage = F.create_map(*[F.lit(x) for kv in (("signup", "opened"), ("view", "collected"), ("click", "checked"), ("purchase", "sent"), ("error", "void")) for x in kv])
-    kept = s.withColumn("stage", F.try_element_at(stage, F.col("name"))).filter((F.col("k").cast("int") % 3 == 0) & ((F.col("name") != "error") | (F.col("seq") % 50 == 0)))
+    name = F.when((F.col("name") == "error") & (F.col("k").cast("int") > 3), "view").otherwise(F.col("name"))  # few errors void a cycle
     body = F.to_json(F.struct(F.col("k"), F.col("id"), F.col("name")))
-    return kept.select("id", F.lit("billing").alias("process"), _cycle().alias("cycle_key"), "stage", "ts", F.col("seq").alias("arrival"), body.alias("body"))
+    return s.withColumn("stage", F.try_element_at(stage, name)).select("id", F.lit("billing").alias("process"), _cycle().alias("cycle_key"), "stage", "ts", F.col("seq").alias("arrival"), body.alias("body"))
 
 
 def _stages(spark):
     return spark.createDataFrame([("billing", s, i, a) for i, (s, a) in enumerate(_STAGES)], "process string, stage string, position int, after array<string>")
 
 
-_LOG = f"""WITH {SIG}, lg AS (SELECT id, user_id || '-' || (ts // 604800) AS cycle_key, CASE name WHEN 'signup' THEN 'opened' WHEN 'view' THEN 'collected' WHEN 'click' THEN 'checked' WHEN 'purchase' THEN 'sent' ELSE 'void' END AS stage, ts, seq
-    FROM sig WHERE k::INT % 3 = 0 AND (name <> 'error' OR seq % 50 = 0)),
+_LOG = f"""WITH {SIG}, lg AS (SELECT id, user_id || '-' || (ts // 604800) AS cycle_key, CASE name WHEN 'signup' THEN 'opened' WHEN 'view' THEN 'collected' WHEN 'click' THEN 'checked' WHEN 'purchase' THEN 'sent' ELSE CASE WHEN k::INT > 3 THEN 'collected' ELSE 'void' END END AS stage, ts, seq FROM sig),
   ms AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY cycle_key, stage ORDER BY seq DESC) = 1),
   cy AS (SELECT cycle_key, min(ts) AS opened_at, arg_min(id, seq) AS genesis_id FROM lg WHERE stage = 'opened' GROUP BY 1),
   st(stage, position) AS (VALUES ('opened', 0), ('collected', 1), ('checked', 2), ('sent', 3)), af(stage, a) AS (VALUES ('collected', 'opened'), ('checked', 'collected'), ('sent', 'collected'), ('sent', 'checked')) """
@@ -593,7 +595,7 @@ def normalise_signals(spark, sf_dir):
     s = signals(spark, sf_dir)
     domain = F.when(F.col("seq") % 13 == 0, "other").otherwise("sensors")
     fields = F.to_json(
-        F.struct(F.when(F.col("seq") % 11 != 0, F.col("name")).alias("event_name"), "user_id", F.col("ts").alias("timestamp"), F.col("id").alias("id"), F.when(F.col("seq") % 5 == 0, F.lit("x")).alias("inference_type"))
+        F.struct(F.when(F.col("seq") % 11 != 0, F.col("name")).alias("event_name"), "user_id", F.col("ts").alias("timestamp"), F.col("id").alias("id"), F.when(F.col("seq") % 5 == 0, F.lit("x")).alias(KIND_FIELD))
     )
     payload = F.when(F.col("seq") % 2 == 0, fields).otherwise(F.to_json(F.struct(fields.alias("p"))))
     body = F.when(F.col("seq") % 2 == 0, F.concat(F.lit('{"payload": '), fields, F.lit("}"))).otherwise(F.to_json(F.struct(fields.alias("payload"))))
@@ -613,4 +615,28 @@ def normalise_mail(spark, sf_dir):
     return ingest.normalise_mail(c.select(body.alias("body"))).select("upstream_id", "from_domain", "snippet", "ts")
 
 
+# --- the live path ----------------------------------------------------------------------------------------------------
+
+_ROLE = {"signup": "device_connected_to_carplay", "purchase": "device_disconnected_from_carplay", "view": "location_ping", "click": "car_lock_state_change", "error": "car_driver_door_opened"}
+
+
+def envelopes(spark, sf_dir) -> DataFrame:
+    """The events as raw envelopes under the standard definitions' names. Their month is told as two and a half hours, so that
+    windows of minutes hold several."""
+    s = signals(spark, sf_dir)
+    role = F.create_map(*[F.lit(x) for kv in _ROLE.items() for x in kv])
+    moves = F.col("name") == "view"
+    at = (F.lit(1704067200) + (F.col("ts") - 1704067200) / 300).cast("bigint")
+    body = F.struct("id", "user_id", at.alias("timestamp"), *[F.when(moves, F.col(c)).alias(c) for c in ("lat", "lon", "acc")])
+    return s.select(
+        F.try_element_at(role, F.col("name")).alias("name"), F.lit("app").alias("source_app"), F.lit("http_server").alias("source_type"), F.to_json(body).alias("message"), F.timestamp_seconds("seq").alias("received_at")
+    )
+
+
+@query()
+def live_events(spark, sf_dir):
+    """Raw envelopes through the standard definitions to derived envelopes with capabilities and place names."""
+    return live.derive(envelopes(spark, sf_dir), STANDARD, _places(spark))
+
+
 QUERIES, ORACLE = Q, SQL

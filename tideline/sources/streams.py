@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +47,11 @@ def write_derived(payloads: DataFrame, topics: dict[str, str], checkpoint: str,
 
 
 def persist_events(rows: DataFrame, path: str, checkpoint: str, **trigger):
-    """Table rows (operators.ingest.shape_for_table) appended to the events table, about every second."""
+    """Table rows (operators.ingest.shape_for_table) added to the events table, about every second; a batch that is retried
+    replaces itself. The checkpoint's name tells streams apart that fill the same table."""
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def append(batch: DataFrame, _: int) -> None:
-        append_events(batch, path)
+    def append(batch: DataFrame, number: int) -> None:
+        append_events(batch, path, f"{stream}-{number}")
 
     return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
