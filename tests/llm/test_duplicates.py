@@ -76,7 +76,7 @@ def test_components_with_hot_documents(spark, monkeypatch):
     for module in (common, partenum):
         monkeypatch.setattr(module, "hot_share", lambda total: 5)
     monkeypatch.setattr(partenum, "HOT_SLICE", 3)
-    monkeypatch.setattr(partenum, "BROADCAST_IDS", 10)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 10)
     texts = family(1, 30, 2) + [prose(5, 30)] * 20
     rows = list(enumerate(texts, 1))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -168,6 +168,47 @@ def test_spans_name_their_source(spark):
         assert words[s.doc][s.start : s.end] == words[s.s_doc][s.s_start : s.s_start + n] and (s.s_doc, s.s_start) < (s.doc, s.start)
 
 
+def test_paths_of_the_graph(spark):
+    """Runs and paths against a graph that is built and walked in plain Python."""
+    texts = repeated_texts()
+    keyed = debruijn._keyed(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string"))
+    firsts = keyed.groupBy("text").agg({"doc": "min"}).withColumnRenamed("min(doc)", "doc").join(keyed, ["doc", "text"]).select("doc", "h")
+    candidates = debruijn._candidates(keyed, 20, 8).join(firsts, "h").select("doc", "h", "ms", "hot")
+    edges, _ = debruijn._repeats(keyed, candidates, 20, 8)
+    words = {i: WORD.findall(t) for i, t in enumerate(texts, 1)}
+    occurs, seen = Counter(), set()
+    for i, w in words.items():
+        if texts[i - 1] in seen:
+            continue  # further copies are not in the graph
+        seen.add(texts[i - 1])
+        occurs.update(tuple(w[p : p + 20]) for p in range(len(w) - 19))
+    want = {e for e, n in occurs.items() if n > 1}
+    at = {(r.doc, r.pos): tuple(words[r.doc][r.pos : r.pos + 20]) for r in edges.collect()}
+    assert set(at.values()) == want and len(at) == len(want)
+    into, out = defaultdict(list), defaultdict(list)
+    for e in want:
+        out[e[:-1]].append(e)
+        into[e[1:]].append(e)
+    before = {e: into[e[:-1]][0] for e in want if len(into[e[:-1]]) == len(out[e[:-1]]) == 1}
+    heads = debruijn.graph_runs(edges)
+    runs_at = {(r.doc, r.pos): r.before for r in heads.collect()}
+    place = {e: k for k, e in at.items()}
+    for k, e in at.items():
+        p = before.get(e)
+        joined = p is not None and place[p] == (k[0], k[1] - 1)
+        assert (k in runs_at) == (not joined)
+        if k in runs_at:
+            assert (runs_at[k] is None) == (p is None) and (p is None or (runs_at[k].doc, runs_at[k].pos) == place[p])
+    paths = {(r.doc, r.pos): (r.path.doc, r.path.pos) for r in debruijn.graph_paths(heads).collect()}
+    assert set(paths) == set(runs_at)
+    for k, found in paths.items():
+        e, circle = at[k], {at[k]}
+        while e in before and before[e] not in circle:
+            e = before[e]
+            circle.add(e)
+        assert e in before or found == place[e]
+
+
 def test_repeated_passages_of_odd_rows(odd, empty):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in debruijn.deduplicated_digests(odd).collect()}
     assert {(1, 300, 0), (3, 300, 300), (4, 0, 0), (7, 1, 0), (None, 50, 0), (None, 50, 50), (None, 0, 0), (15, 25, 0), (15, 25, 25)} <= got

@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.staging import new_path
+
 T = TypeVar("T")
 
 #: Stands for a missing doc_id inside operators; greater than any real id, so that real ids win.
 NO_ID = 2**63 - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir. Only a local session, whose executors are on the
-    driver's machine, may do without: it gets a new folder there."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir isn't set: it names the folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 #: Lets a query's shuffle files go when it ends; what later steps read is in the shared folder by then.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -66,6 +50,15 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Ids up to this number are broadcast to pick documents, beyond it they are joined by a shuffle: the same rows either way.
+BROADCAST_IDS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few enough rows, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 #: Keys with over 1/HOT of all rows (and over HOT rows) are hot: there are at most HOT of them, whatever the data's size,
 #: so that their rows of a lookup table may be broadcast.
 HOT = 1000

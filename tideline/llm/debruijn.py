@@ -1,15 +1,23 @@
 """Exact substring deduplication over a De Bruijn graph of words.
 
-Edges are windows of WINDOW words, nodes what neighbouring windows share. Only edges that occur more than once matter,
-and they are found in two steps. First, every window names its least k-word hash (of the k-word runs in it); equal windows
-name the same one, so only windows that name one which occurs at two places can be repeated edges. Second, those windows
-meet by their own 128-bit hash, and the earliest occurrence is the edge's source coordinate. Occurrences in a row whose
-source coordinates are in a row too form a nonbranching path shared by document and source; paths are compacted to spans.
+Edges are runs of WINDOW words, nodes the runs of WINDOW - 1 words at an edge's beginning and end, so that an edge is known
+by the hashes of its two nodes. Only edges that occur more than once matter, and they are found in two steps. First, every
+window names its least k-word hash (of the k-word runs in it); equal windows name the same one, so only windows that name
+one which occurs at two places can be repeated edges. Second, those windows meet by their two nodes; the earliest
+occurrence is the edge's source coordinate.
+
+Compaction: repeated edges meet at their nodes. A node with one edge in and one out doesn't branch; edges that follow each
+other there and in their source are a run, and runs that a nonbranching node joins across sources are one path, found by
+pointer jumping (a join that doubles its reach each round). A document's occurrences in a row whose source coordinates are
+in a row too make a span, cut where a run of the graph begins. Each span is verified: the SHA-256 of its words and of those
+at its source coordinates, both read from the texts, have to be the same.
 
 Earlier means smaller doc_id, or same document and earlier start. Rows without doc_id come last. Rows that share a
 doc_id but not the text are documents of their own, ordered by a hash of their texts. Of rows with equal texts only the
 first is compared with others; the further ones (exact repetitions of a row too) are copies, all of whose windows start
 earlier. Null texts have no words. Documents shorter than a window lose nothing. An empty table gives an empty result.
+Only doc_id and text are read, and in deduplicated() n_chars follows the text; columns of any other name stay as they are.
+A very long text costs memory in proportion to its words, for one text at a time.
 
 Hot keys: hashes that over a thousandth of all occurrences share go another way than the rest: their windows are summed
 up before they move, and joined with sources by broadcasting those (at most a thousand) that are hot themselves.
@@ -25,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import NO_ID, hot_share, staged, text_of
+from tideline.llm.common import NO_ID, hot_share, join_by_count, small, staged, text_of
 from tideline.llm.words import WORD, grouped, hashed, runs
 
 WINDOW, K = 20, 8
@@ -140,11 +148,12 @@ def _windows(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> Da
                         hot[part] = np.isin(m[part], np.asarray(r[4], np.int64))
                     keep[part] = hot[part] | np.isin(m[part], np.asarray(r[3], np.int64))
                 at_start, of = starts[keep], text[keep]
+                nodes = runs(words, window - 1).view(np.int64)
                 docs, hs = np.array([r[0] for r in group], np.int64), np.array([r[2] for r in group], np.int64)
                 yield pd.DataFrame(
                     {
-                        "a": runs(words, window, 0)[at_start].view(np.int64),
-                        "b": runs(words, window, 1)[at_start].view(np.int64),
+                        "a": nodes[at_start],
+                        "b": nodes[at_start + 1],
                         "doc": docs[of],
                         "h": hs[of],
                         "pos": (at_start - at[of]).astype(np.int32),
@@ -156,12 +165,14 @@ def _windows(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> Da
     return joined.mapInPandas(run, "a long, b long, doc long, h long, pos int, hot boolean")
 
 
-def _repeats(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> DataFrame:
-    """(doc, h, pos, s_doc, s_pos): each occurrence of an edge but the earliest, with the earliest."""
-    place, columns = F.struct("doc", "h", "pos"), ["doc", "h", "pos", "_s"]
+def _repeats(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The repeated edges (a, b: their nodes; doc, h, pos: their source coordinates), and each occurrence but the earliest
+    (doc, h, pos, s: source coordinates)."""
+    place, columns = F.struct("doc", "h", "pos"), ["a", "b", "doc", "h", "pos", "_s"]
     none = F.array().cast("array<bigint>")
     cold = _windows(keyed, candidates.filter("size(ms) > 0"), window, k).filter(~F.col("hot"))
-    found = cold.withColumn("_s", F.first(place).over(Window.partitionBy("a", "b").orderBy("doc", "h", "pos"))).select(columns)
+    along = Window.partitionBy("a", "b").orderBy("doc", "h", "pos")
+    found = cold.withColumns({"_s": F.first(place).over(along), "_next": F.lead("pos").over(along)}).filter((place > F.col("_s")) | F.col("_next").isNotNull()).select(columns)
     hot = candidates.filter("size(hot) > 0")
     if hot.limit(1).count():
         many = staged(_windows(keyed, hot.withColumn("ms", none), window, k), "hot-windows")
@@ -174,26 +185,100 @@ def _repeats(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> Da
         by_top = marked.filter("_t is not null").withColumn("_s", F.col("_t"))
         by_rest = marked.filter("_t is null").join(rest, ["a", "b"])
         found = found.unionByName(by_top.select(columns)).unionByName(by_rest.select(columns))
-    return found.filter(place > F.col("_s")).select("doc", "h", "pos", F.col("_s.doc").alias("s_doc"), F.col("_s.pos").alias("s_pos"))
+    later = place > F.col("_s")
+    split = staged(found.select(*[F.when(~later, F.col(c)).alias(c) for c in ("a", "b")], "doc", "h", "pos", F.when(later, F.col("_s")).alias("s")), "edges")
+    return split.filter("s is null").drop("s"), split.filter("s is not null").drop("a", "b")
+
+
+def graph_runs(edges: DataFrame) -> DataFrame:
+    """(doc, h, pos, before): where the graph's runs of edges begin, in source coordinates; before: the edge that a
+    nonbranching node joins to the beginning from elsewhere, if any."""
+    at = F.struct("doc", "h", "pos")
+    ends = edges.select(F.col("b").alias("node"), F.lit(True).alias("into"), at.alias("at")).unionByName(edges.select(F.col("a").alias("node"), F.lit(False).alias("into"), at.alias("at")))
+    node = Window.partitionBy("node")
+    met = ends.withColumns({"_in": F.count_if("into").over(node), "_all": F.count(F.lit(1)).over(node), "_before": F.max(F.when(F.col("into"), F.col("at"))).over(node)})
+    plain = (F.col("_in") == 1) & (F.col("_all") == 2)
+    follows = (F.col("_before.doc") == F.col("at.doc")) & (F.col("_before.h") == F.col("at.h")) & (F.col("_before.pos") == F.col("at.pos") - 1)
+    heads = met.filter(~F.col("into") & ~(plain & follows))
+    return staged(heads.select("at.*", F.when(plain, F.col("_before")).alias("before")), "runs")
+
+
+def graph_paths(heads: DataFrame) -> DataFrame:
+    """(doc, h, pos, path): each run's path, named by the first edge of its first run. Runs on a circle name what they reached
+    when no further run got to an end."""
+    # the run that `before` lies in begins at the last head up to it
+    marks = heads.select("doc", "h", "pos", F.lit(None).cast("struct<doc: bigint, h: bigint, pos: int>").alias("to"))
+    marks = marks.unionByName(heads.filter("before is not null").select("before.*", F.struct("doc", "h", "pos").alias("to")))
+    along = Window.partitionBy("doc", "h").orderBy("pos", F.col("to").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    joined = marks.withColumn("up", F.last(F.when(F.col("to").isNull(), F.struct("doc", "h", "pos")), ignorenulls=True).over(along)).filter("to is not null")
+    table = heads.select(F.struct("doc", "h", "pos").alias("run")).join(joined.select(F.col("to").alias("run"), "up"), "run", "left")
+    table, waiting = staged(table.withColumn("done", F.col("up").isNull()), "paths"), None
+    while (left := table.filter(~F.col("done")).count()) and left != waiting:
+        waiting = left
+        further = table.select(F.col("run").alias("_r"), F.col("up").alias("_up"), F.col("done").alias("_done"))
+        hop = table.filter(~F.col("done")).join(further, F.col("up") == F.col("_r"))
+        hop = hop.select("run", F.when(F.col("_done"), F.coalesce("_up", "up")).otherwise(F.col("_up")).alias("up"), F.col("_done").alias("done"))
+        table = staged(table.filter("done").unionByName(hop), "paths")
+    return table.select("run.*", F.coalesce("up", "run").alias("path"))
+
+
+def _range_digests(keyed: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(doc, h, start, end, digest): SHA-256 of the words in these ranges of documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, h, text, wanted in zip(pdf["doc"], pdf["h"], pdf["text"], pdf["_w"], strict=True):
+                words = WORD.findall(text)
+                out += [(doc, h, r["start"], r["end"], hashlib.sha256(" ".join(words[r["start"] : r["end"]]).encode("utf-8", "surrogatepass")).digest()) for r in wanted]
+            yield pd.DataFrame(out, columns=["doc", "h", "start", "end", "digest"])
+
+    per = staged(ranges.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "end")).alias("_w")), "ranges")  # one document's
+    texts = keyed.join(small(per.select("doc", "h")), ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"])
+    return texts.join(per, ["doc", "h"]).select("doc", "h", "text", "_w").mapInPandas(run, "doc long, h long, start int, end int, digest binary")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(doc, h, start, end, s_doc, s_start): compacted paths: words start to end of a document are those from
-    s_start on in the source, and every window in them starts earlier there."""
+    """(doc, h, start, end, s_doc, s_h, s_start, path): verified spans: words start to end of a document are those from
+    s_start on in the source, and every window in them starts earlier there; path: the first edge of the graph's path that
+    these edges are on, by its source coordinates."""
     keyed = _keyed(docs)
     firsts = keyed.select("doc", "h", F.md5("text").alias("_md5")).groupBy("_md5").agg(F.min(F.struct("doc", "h")).alias("_f")).select("_f.doc", "_f.h")
     candidates = staged(_candidates(keyed, window, k).join(firsts, "h").select("doc", "h", "ms", "hot"), "edge-documents")
-    repeats = _repeats(keyed, candidates, window, k)
+    edges, repeats = _repeats(keyed, candidates, window, k)
     along = Window.partitionBy("doc", "h").orderBy("pos")
-    goes_on = (
-        (F.col("pos") == F.lag("pos").over(along) + 1)
-        & (F.col("s_doc") == F.lag("s_doc").over(along))
-        & (F.col("s_pos") == F.lag("s_pos").over(along) + 1)
+    before = F.lag("s").over(along)
+    goes_on = (F.col("pos") == F.lag("pos").over(along) + 1) & (F.col("s.doc") == before["doc"]) & (F.col("s.h") == before["h"]) & (F.col("s.pos") == before["pos"] + 1)
+    steps = repeats.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_part", F.sum("_new").over(along))
+    parts = steps.groupBy("doc", "h", "_part").agg(F.min("pos").alias("start"), F.min("s").alias("s"), F.count(F.lit(1)).alias("_k"))
+    parts = staged(parts.select("doc", "h", "start", F.struct("s.doc", "s.h").alias("src"), F.col("s.pos").alias("s_start"), F.col("_k").cast("int").alias("_k")), "spans")
+    # cut where a run begins
+    paths = graph_paths(graph_runs(edges))
+    heads = paths.groupBy(F.struct("doc", "h").alias("src")).agg(F.sort_array(F.collect_set(F.struct("pos", "path"))).alias("_heads"))  # one document's
+    heads = heads.join(parts.groupBy("src").agg(F.count(F.lit(1)).alias("_n")), "src")
+    cut = join_by_count(parts, staged(heads, "run-heads"), "src")
+    inner = F.filter(F.transform("_heads", lambda x: x["pos"]), lambda x: (x > F.col("s_start")) & (x < F.col("s_start") + F.col("_k")))
+    begins = F.concat(F.array("s_start"), inner)
+    stops = F.concat(inner, F.array(F.col("s_start") + F.col("_k")))
+    cut = cut.withColumn("_b", F.explode(F.arrays_zip(begins.alias("b"), stops.alias("e"))))
+    offset = F.col("start") - F.col("s_start")
+    spans = cut.select(
+        "doc",
+        "h",
+        (F.col("_b.b") + offset).alias("start"),
+        (F.col("_b.e") - 1 + window + offset).alias("end"),
+        F.col("src.doc").alias("s_doc"),
+        F.col("src.h").alias("s_h"),
+        F.col("_b.b").alias("s_start"),
+        F.element_at(F.filter("_heads", lambda x: x["pos"] <= F.col("_b.b")), -1)["path"].alias("path"),
     )
-    steps = repeats.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_path", F.sum("_new").over(along))
-    return steps.groupBy("doc", "h", "_path").agg(
-        F.min("pos").alias("start"), (F.max("pos") + window).alias("end"), F.first("s_doc").alias("s_doc"), F.min("s_pos").alias("s_start")
-    ).drop("_path")
+    spans = staged(spans.withColumn("s_end", F.col("s_start") + F.col("end") - F.col("start")), "run-spans")
+    own = spans.select("doc", "h", "start", "end")
+    there = spans.select(F.col("s_doc").alias("doc"), F.col("s_h").alias("h"), F.col("s_start").alias("start"), F.col("s_end").alias("end"))
+    digests = staged(_range_digests(keyed, own.unionByName(there.distinct())), "digests")
+    at_source = digests.select(F.col("doc").alias("s_doc"), F.col("h").alias("s_h"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("digest").alias("_d"))
+    verified = spans.join(digests, ["doc", "h", "start", "end"]).join(at_source, ["s_doc", "s_h", "s_start", "s_end"]).filter("digest = _d")
+    return verified.select("doc", "h", "start", "end", "s_doc", "s_h", "s_start", "path")
 
 
 def _kept(text, spans, copy, window: int, with_text: bool):

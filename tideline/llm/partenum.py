@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import NO_ID, components, hot_share, join_by_count, staged, text_of
+from tideline.llm.common import NO_ID, components, hot_share, join_by_count, small, staged, text_of
 from tideline.llm.words import grouped, hashed, mix, runs
 
 SHINGLE = 5
@@ -43,8 +43,6 @@ SHINGLE = 5
 PERCENT = 80
 #: Open groups up to this size are compared directly across components, those of larger ones by their rarest shingles.
 CROWD = 16
-#: Ids up to this number are broadcast to pick documents, beyond it they are joined by a shuffle: the same rows either way.
-BROADCAST_IDS = 1_000_000
 
 
 def sets_of(texts: list[str]) -> list[np.ndarray]:
@@ -166,15 +164,10 @@ def _with_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
             for group in grouped(zip(pdf["doc"], pdf["text"], strict=True), 1):
                 yield pd.DataFrame({"doc": [r[0] for r in group], "s": [x.view(np.int64) for x in sets_of([r[1] for r in group])]})
 
-    picked = rows.join(_small(ids), "doc", "left_semi")
+    picked = rows.join(small(ids), "doc", "left_semi")
     return picked.mapInPandas(run, "doc long, s array<long>").filter("size(s) > 0")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df to be broadcast if it has few enough rows, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
 #: Pairs of a hot document that meet it in one task.
 HOT_SLICE = 500
 
@@ -186,11 +179,11 @@ def _met(values: DataFrame, pairs: DataFrame) -> DataFrame:
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.filter(F.col("_n") > hot_share(pairs.count())).select("a", (F.col("_n") / HOT_SLICE).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(0))
-    centres = _small(pairs.select(F.col("a").alias("doc")).distinct().join(F.broadcast(hot.withColumnRenamed("a", "doc")), "doc", "left"))
+    centres = small(pairs.select(F.col("a").alias("doc")).distinct().join(F.broadcast(hot.withColumnRenamed("a", "doc")), "doc", "left"))
     centres = values.join(centres, "doc").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts)))
     centres = centres.select(F.col("doc").alias("a"), "_salt", F.lit(None).cast("long").alias("b"), "v")
     partners = pairs.join(F.broadcast(hot), "a", "left").withColumn("_salt", F.pmod(F.xxhash64("b"), parts + 1).cast("int")).drop("_parts")
-    partners = values.join(_small(partners.withColumnRenamed("b", "doc")), "doc").select("a", "_salt", F.col("doc").alias("b"), "v")
+    partners = values.join(small(partners.withColumnRenamed("b", "doc")), "doc").select("a", "_salt", F.col("doc").alias("b"), "v")
     return centres.unionByName(partners).repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first())
 
 
@@ -273,9 +266,9 @@ def _open_pairs(rows: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFr
     spread = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_a"), F.max("comp").alias("_b"))
     spread = staged(spread.filter("_a <> _b").select("sig", "_n"), "open-groups")
     members = staged(join_by_count(groups.filter("doc <> _first").select("sig", "doc"), spread.withColumn("_size", F.col("_n")), "sig"), "open-members")
-    small = staged(_labelled(members.filter(F.col("_size") <= CROWD).select("sig", "doc"), labels), "small-groups")
-    other = small.select("sig", F.col("doc").alias("b"), F.col("comp").alias("_c"))
-    one = small.select(F.col("sig").alias("_sig"), F.col("doc").alias("a"), "comp")
+    few = staged(_labelled(members.filter(F.col("_size") <= CROWD).select("sig", "doc"), labels), "small-groups")
+    other = few.select("sig", F.col("doc").alias("b"), F.col("comp").alias("_c"))
+    one = few.select(F.col("sig").alias("_sig"), F.col("doc").alias("a"), "comp")
     pairs = one.join(other, (F.col("_sig") == F.col("sig")) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("_c"))).select("a", "b").distinct()
     crowded = staged(members.filter(F.col("_size") > CROWD).select("doc").distinct(), "crowded")
     if crowded.limit(1).count():
@@ -302,7 +295,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     copies = staged(copies.filter("doc <> rep").select("doc", "rep", "md5").distinct(), "copies")  # also ties a doc_id's several texts
 
     # signatures of each class' first: one shuffle, in which the members of each group meet
-    firsts = rows.withColumn("md5", F.md5("text")).join(_small(copies.select("doc", "md5")), ["doc", "md5"], "left_anti").select("doc", "text", "md5")
+    firsts = rows.withColumn("md5", F.md5("text")).join(small(copies.select("doc", "md5")), ["doc", "md5"], "left_anti").select("doc", "text", "md5")
     by_sig = Window.partitionBy("sig").orderBy("doc")
     met = _signed(firsts).withColumn("_first", F.first("doc").over(by_sig)).withColumn("_next", F.lead("doc").over(by_sig))
     groups = staged(met.filter("_first <> doc or _next <> doc").select("sig", "doc", "_first"), "groups")
@@ -338,7 +331,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     several = staged(several.filter("_a <> _b").select("_id", F.lit(True).alias("_several")), "repeated-ids")
     stand_in = F.xxhash64("_id", "_t").bitwiseAND(F.lit((1 << 61) - 1))
     key = F.when(F.col("_id").isNull(), stand_in + F.lit(1 << 62)).when(F.col("_several"), stand_in + F.lit(1 << 61)).otherwise(F.col("_id"))
-    keyed = keyed.join(_small(several), "_id", "left").withColumn("_key", key)
+    keyed = keyed.join(small(several), "_id", "left").withColumn("_key", key)
     found = similar_components(keyed.select(F.col("_key").alias("doc_id"), F.col("_t").alias("text")))
     first = staged(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct(), "first-of-each")
     kept = keyed.join(first, "_key", "left_semi")
