@@ -1,5 +1,6 @@
 """Operators 4 and 6."""
 
+import base64
 import base64
 import hashlib
 import io
@@ -97,20 +98,42 @@ def test_broken_payload_is_noticed():
         zip_warc.parse_record(record.replace(b"payload\r\n", b"payl0ad\r\n"))
 
 
+def brute_print(text):
+    """Lanes and signs added up one by one in plain Python, and the fingerprint's text form."""
+    lanes, signs = [0] * 64, [0] * 128
+    for p in text.split("\n"):
+        if p:
+            raw = hashlib.shake_128(p.encode()).digest(256)
+            lanes = [(x + int.from_bytes(raw[4 * i : 4 * i + 4], "little")) % 2**32 for i, x in enumerate(lanes)]
+            for run in multiset_hash.runs(p):
+                raw = hashlib.blake2b(run.encode(), digest_size=16).digest()
+                signs = [x + (1 if raw[i // 8] >> (7 - i % 8) & 1 else -1) for i, x in enumerate(signs)]
+    packed = b"".join(x.to_bytes(4, "little") for x in lanes) + b"".join((x % 2**16).to_bytes(2, "little") for x in signs)
+    return base64.b64encode(packed).decode(), lanes, signs
+
+
+def brute_likeness(a, b):
+    if a[1] == b[1]:
+        return 1.0
+    dot, size = sum(x * y for x, y in zip(a[2], b[2], strict=True)), (sum(x * x for x in a[2]) * sum(x * x for x in b[2])) ** 0.5
+    return round(min(0.999, max(0.0, dot / size)), 9) if size else 0.0
+
+
 def brute_edits(rows):
     """rows in order."""
     out = []
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
-        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), str(Fingerprint.of(t)), str(Fingerprint.of(edited))))
+        own, new, following = brute_print(t), brute_print(edited), brute_print(after)
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), own[0], new[0], brute_likeness(own, new), brute_likeness(own, following)))
     return out
 
 
 def check_against_brute_force(df):
     order = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_first(), "h", "text")
     rows = [(r.doc_id, r.text) for r in order.collect()]
-    got = [tuple(r)[:5] for r in multiset_hash.compared_with_next(df).collect()]
+    got = [(*tuple(r)[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in multiset_hash.compared_with_next(df).collect()]
     assert sorted(got, key=repr) == sorted(brute_edits(rows), key=repr)
 
 
@@ -144,5 +167,10 @@ def test_homomorphism():
 
 def test_paragraph_cuts_survive_edits():
     long = prose(1, 400).replace(".", "")
-    a, b = paragraphs(long), paragraphs("a few other words " + long)
+    a, b = multiset_hash.runs(long), multiset_hash.runs("a few other words " + long)
     assert len(set(a) & set(b)) > 0.6 * len(set(a))
+
+
+def test_paragraphs_are_told_apart():
+    for a, b in (("a b c d e f g h", "a b c d\ne f g h"), ("x y. z", "x y\nz")):
+        assert str(Fingerprint.of(a)) != str(Fingerprint.of(b)) and Fingerprint.of(a).likeness(Fingerprint.of(b)) < 1.0

@@ -247,7 +247,7 @@ def test_search(spark, odd, odd_rows, most):
     p = prose(1, 300).split()
     items = [(1, " ".join(p[20:45])), (2, " ".join(p[20:45])), (10, "WORD"), (9, "one-two THREE"), (3, None), (4, ""), (None, "東京"), (5, " ".join(p[60:70])), (6, prose(77, 30)), (7, "x y x y x y x y x y")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(((r.doc_id, len(r.text or ""), r.nw, sum(s.end - s.start for s in r.spans), r.item_ids) for r in wu_manber.search(odd, bench, most=most).withColumnRenamed("n_words", "nw").collect()), key=repr)
+    got = sorted(((r.doc_id, len(r.text or ""), r.n_words, sum(s.end - s.start for s in r.spans), r.item_ids) for r in wu_manber.search(odd, bench, most=most).collect()), key=repr)
     want = sorted(((r[0], len(r[1] or ""), *brute_hits(r[1], items)) for r in odd_rows), key=repr)
     assert got == want
     clean = wu_manber.decontaminated(odd, bench)

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import prose
 from tideline.llm import attention_mil, string_kernel
 from tideline.llm.catalog import QUERIES
 
@@ -83,3 +84,47 @@ def test_passages_cover_the_text():
     assert list(counts) == [-(-len(text) // attention_mil.PASSAGE), 1, 1] and x.shape == (counts.sum(), attention_mil.N_FEATURES) and np.isfinite(x).all()
     again, _ = attention_mil.features([text])
     assert np.allclose(x[: counts[0]], again)
+
+
+def test_gradients_by_finite_differences():
+    """A fit's first step follows the loss' slope, taken numerically, and the forward pass is the formula bag by bag."""
+    g = np.random.default_rng(3)
+    counts = np.array([1, 3, 2, 4])
+    x, y = g.normal(size=(10, attention_mil.N_FEATURES)), np.array([0.0, 1.0, 1.0, 0.0])
+    sizes = {"E": (attention_mil.N_FEATURES, 4), "e": (4,), "V": (4, 3), "U": (4, 3), "w": (3,), "c": (4,), "d": (1,)}
+    w = {k: g.normal(0, 0.4, s) for k, s in sizes.items()}
+    model = attention_mil.AttentionModel(w)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    for bag, p in enumerate(model.forward(x, counts)["p"]):
+        h = np.tanh(x[at[bag] : at[bag + 1]] @ w["E"] + w["e"])
+        raw = [float((np.tanh(v @ w["V"]) / (1 + np.exp(-(v @ w["U"])))) @ w["w"]) for v in h]
+        a = np.exp(raw) / np.exp(raw).sum()
+        z = sum(x * v for x, v in zip(a, h, strict=True))
+        assert abs(p - 1 / (1 + np.exp(-(z @ w["c"] + w["d"][0])))) < 1e-9
+    loss = lambda: -np.mean(y * np.log(p := model.forward(x, counts)["p"]) + (1 - y) * np.log(1 - p))
+    found = attention_mil.gradients(model, x, counts, y)
+    for k, value in w.items():
+        for i in list(np.ndindex(value.shape))[:: max(1, value.size // 7)]:
+            before = value[i]
+            value[i] = before + 1e-5
+            up = loss()
+            value[i] = before - 1e-5
+            down = loss()
+            value[i] = before
+            assert abs((up - down) / 2e-5 - found[k][i]) < 1e-6, (k, i)
+
+
+def test_ridge_scores_by_brute_force():
+    """Nystroem features and one-versus-rest ridge, solved over again from the kernel's definition."""
+    texts = [prose(s, 30) for s in range(8)] + [prose(s, 30).translate(str.maketrans("aeiou", "öäüßé")) for s in range(8)]
+    y = np.repeat([0, 1], 8)
+    model = string_kernel.fit(string_kernel.presence(texts), ["a", "b"], y, landmarks_per_class=3)
+    slots = [set(np.flatnonzero(r)) for r in string_kernel.presence(texts)]
+    k = lambda i, j: len(slots[i] & slots[j]) / (len(slots[i]) * len(slots[j])) ** 0.5
+    marks = [0, 1, 2, 8, 9, 10]
+    kmm, knm = (np.array([[k(i, j) for j in marks] for i in rows]) for rows in (marks, range(16)))
+    values, vectors = np.linalg.eigh(kmm)
+    phi = knm @ vectors / np.sqrt(values)
+    target = np.where(y[:, None] == [0, 1], 1.0, -1.0)
+    beta = np.linalg.solve(phi.T @ phi + string_kernel.RIDGE * 16 * np.eye(6) / 6, phi.T @ target)
+    assert np.allclose(model.scores(texts, model.landmarks()), np.clip((phi @ beta + 1) / 2, 0, 1), atol=1e-3)

@@ -41,3 +41,21 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 50
+
+
+def test_run_of_odd_rows(spark, odd, empty, sf, tmp_path):
+    """Nulls, empties, repetitions, a long text and clashing column names through all stages, and an empty table."""
+    for name, docs in (("odd", odd), ("empty", empty)):
+        at = str(tmp_path / name)
+        docs.write.parquet(f"{at}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{table}.parquet").write.parquet(f"{at}/{table}.parquet")
+    kept = odd
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, kept, sf)
+        assert kept.columns == odd.columns
+    texts = [r.text for r in kept.collect()]
+    assert len(texts) == len({(r.doc_id, r.text) for r in kept.collect()}) and None in texts and "" in texts
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r.doc_id for r in out} <= {r.doc_id for r in odd.collect()} and all(r.n_tokens == len(r.ids) for r in out)
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0

@@ -1,17 +1,18 @@
 """Homomorphic multiset hashes of documents.
 
-A document is the multiset of its paragraphs. Each paragraph is hashed to a wide vector: LANES numbers below 2^32, and
-SIGNS of +1 or -1. A fingerprint is the sum over all paragraphs, lanes modulo 2^32 and signs modulo 2^16. It doesn't
-depend on order; adding or subtracting a paragraph's vector inserts or deletes it. The lanes tell multisets apart; the
-sums of signs keep likeness: their cosine estimates how much two multisets share.
+A document is the multiset of its paragraphs: its lines, but for empty ones. Each paragraph is hashed whole to LANES numbers
+below 2^32, and each of its runs of words to SIGNS of +1 or -1. A fingerprint is the sum over all paragraphs, lanes modulo
+2^32 and signs modulo 2^16. It doesn't depend on order; adding or subtracting a paragraph's vector inserts or deletes it.
+The lanes tell multisets of paragraphs apart; the sums of signs keep likeness: their cosine estimates how many runs two
+texts share, also for texts of one paragraph.
 
-Paragraphs end at line ends and after full stops; longer ones than LONG characters are cut at words picked by their
-hash, so that an edit moves no other cut. What is hashed are a paragraph's runs of RUN words, so that short documents
-of one or two paragraphs keep a likeness too.
+Runs are of RUN words. They don't cross full stops, and parts longer than LONG characters are cut at words picked by their
+hash, so that an edit moves no other cut.
 
 Null is the empty text: no paragraphs, a fingerprint of zeros. Rows without doc_id come first in order, rows that share
 one are ordered by a hash of their texts; exact repetitions follow each other. The document after the last is the first
-(a single document follows itself). An empty table gives an empty result.
+(a single document follows itself). An empty table gives an empty result. Only doc_id and text are read, so columns of any
+other name change nothing. A very long text costs about 100 bytes a word, for one text at a time.
 """
 
 from __future__ import annotations
@@ -31,15 +32,20 @@ from tideline.llm.common import text_of
 
 LANES, SIGNS = 64, 128
 LONG, RUN = 300, 4
-_BREAK = re.compile(r"(?:\.\s|\n)+")
+ALIKE = 0.999
+_BREAK = re.compile(r"(?:\.\s)+")
 _WORD = re.compile(r"\S+\s*")
 _RUN = re.compile(rf"\S+(?:\s+\S+){{0,{RUN - 1}}}")
 
 
 def paragraphs(text: str) -> list[str]:
-    """The runs of words of all paragraphs."""
+    return [p for p in text.split("\n") if p]
+
+
+def runs(paragraph: str) -> list[str]:
+    """A paragraph's runs of words."""
     out: list[str] = []
-    for p in _BREAK.split(text):
+    for p in _BREAK.split(paragraph):
         if len(p) <= LONG:
             out += _RUN.findall(p)
             continue
@@ -53,15 +59,21 @@ def paragraphs(text: str) -> list[str]:
     return out
 
 
-def vectors(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums: row i is the sum of the first i paragraphs' vectors."""
-    size = 4 * LANES + SIGNS // 8
-    raw = np.frombuffer(b"".join([hashlib.shake_128(u.encode("utf-8", "surrogatepass")).digest(size) for u in units]), np.uint8).reshape(-1, size)
-    lanes = np.zeros((len(units) + 1, LANES), "<u4")
-    np.cumsum(np.ascontiguousarray(raw[:, : 4 * LANES]).view("<u4"), axis=0, dtype="<u4", out=lanes[1:])
-    signs = np.zeros((len(units) + 1, SIGNS), "<i2")
-    np.cumsum(np.unpackbits(raw[:, 4 * LANES :], axis=1).astype("<i2") * np.int16(2) - np.int16(1), axis=0, dtype="<i2", out=signs[1:])
-    return lanes, signs
+def lane_sums(units: list[str]) -> np.ndarray:
+    """Row i is the sum of the first i paragraphs' lanes."""
+    out = np.zeros((len(units) + 1, LANES), "<u4")
+    raw = b"".join([hashlib.shake_128(u.encode("utf-8", "surrogatepass")).digest(4 * LANES) for u in units])
+    np.cumsum(np.frombuffer(raw, "<u4").reshape(-1, LANES), axis=0, dtype="<u4", out=out[1:])
+    return out
+
+
+def sign_sums(units: list[str]) -> np.ndarray:
+    """Row i is the sum of the first i runs' signs."""
+    out = np.zeros((len(units) + 1, SIGNS), "<i2")
+    raw = b"".join([hashlib.blake2b(u.encode("utf-8", "surrogatepass"), digest_size=SIGNS // 8).digest() for u in units])
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, SIGNS // 8), axis=1)
+    np.cumsum(bits.astype("<i2") * np.int16(2) - np.int16(1), axis=0, dtype="<i2", out=out[1:])
+    return out
 
 
 class Fingerprint:
@@ -74,12 +86,14 @@ class Fingerprint:
         return cls().insert(paragraphs(text or ""))
 
     def insert(self, units: Iterable[str]) -> Fingerprint:
-        lanes, signs = vectors(list(units))
-        return Fingerprint(self.lanes + lanes[-1], self.signs + signs[-1])
+        """With these paragraphs."""
+        units = list(units)
+        return Fingerprint(self.lanes + lane_sums(units)[-1], self.signs + sign_sums([r for u in units for r in runs(u)])[-1])
 
     def delete(self, units: Iterable[str]) -> Fingerprint:
-        lanes, signs = vectors(list(units))
-        return Fingerprint(self.lanes - lanes[-1], self.signs - signs[-1])
+        """Without these paragraphs."""
+        units = list(units)
+        return Fingerprint(self.lanes - lane_sums(units)[-1], self.signs - sign_sums([r for u in units for r in runs(u)])[-1])
 
     def __str__(self) -> str:
         return base64.b64encode(self.lanes.tobytes() + self.signs.tobytes()).decode()
@@ -90,11 +104,12 @@ class Fingerprint:
         return cls(np.frombuffer(raw[: 4 * LANES], "<u4").copy(), np.frombuffer(raw[4 * LANES :], "<i2").copy())
 
     def likeness(self, other: Fingerprint) -> float:
+        """0 to 1; 1 only for equal multisets, ALIKE at most for others that share all their runs."""
         if np.array_equal(self.lanes, other.lanes):
             return 1.0
         a, b = self.signs.astype(float), other.signs.astype(float)
         size = np.sqrt((a @ a) * (b @ b))
-        return float(min(1.0, max(0.0, a @ b / size))) if size else 0.0
+        return float(min(ALIKE, max(0.0, a @ b / size))) if size else 0.0
 
 
 def fingerprint(text: str = "text"):
@@ -103,7 +118,7 @@ def fingerprint(text: str = "text"):
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([str(Fingerprint.of(t)) for t in texts])
+            yield pd.Series([str(Fingerprint.of(t)) for t in texts], dtype=object)
 
     return run(F.col(text))
 
@@ -120,33 +135,47 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 BATCH_CHARS = 500_000
 
 
+class _Sums:
+    """Units of many texts, in one list whose running sums give any stretch of it."""
+
+    def __init__(self, sums):
+        self.units: list[str] = []
+        self.sums = sums
+        self.at: list[tuple[int, int, int, int]] = []
+
+    def add(self, own: list[str], other: list[str]) -> None:
+        """A text's units and its edited text's: what they begin with alike is added once."""
+        same = next((k for k, (a, b) in enumerate(zip(own, other, strict=False)) if a != b), min(len(own), len(other)))
+        start = len(self.units)
+        self.units += own + other[same:]
+        self.at.append((start, start + same, start + len(own), len(self.units)))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each text's sum, and its edited text's: the tail deleted, the other one inserted."""
+        total = self.sums(self.units)
+        for a, same, b, c in self.at:
+            own = total[b] - total[a]
+            yield own, own - (total[b] - total[same]) + (total[c] - total[b])
+
+
 def _compare(rows: list[tuple]) -> pd.DataFrame:
     """rows: (bucket, ahead, doc_id, text) in order. A result for each row that has its successor behind it."""
-    split = [paragraphs(r[3]) for r in rows]
-    units: list[str] = []
-    at: list[tuple] = []
-    for i, own in enumerate(split):
-        start = len(units)
-        units += own
-        if i + 1 == len(rows) or rows[i][1] or rows[i + 1][0] != rows[i][0]:
-            at.append((start, len(units), None, None, None))
-            continue
-        edited = edited_text(rows[i][3], rows[i + 1][3])
-        new = paragraphs(edited)
-        same = next((k for k, (a, b) in enumerate(zip(own, new, strict=False)) if a != b), min(len(own), len(new)))
-        units += new[same:]
-        at.append((start, start + len(own), start + same, len(units), edited))
-    lanes, signs = vectors(units)
-    prints = [Fingerprint(lanes[b] - lanes[a], signs[b] - signs[a]) for a, b, *_ in at]
+    lanes, signs, edits = _Sums(lane_sums), _Sums(sign_sums), []
+    for i, r in enumerate(rows):
+        follows = i + 1 < len(rows) and not r[1] and rows[i + 1][0] == r[0]
+        edits.append(edited_text(r[3], rows[i + 1][3]) if follows else None)
+        own = paragraphs(r[3])
+        new = own if edits[i] is None else paragraphs(edits[i])
+        lanes.add(own, new)
+        of = {p: runs(p) for p in {*own, *new}}
+        signs.add([x for p in own for x in of[p]], [x for p in new for x in of[p]])
+    prints = [(Fingerprint(a, c), Fingerprint(b, d)) for (a, b), (c, d) in zip(lanes.pairs(), signs.pairs(), strict=True)]
     out = []
-    for i, (_, b, same, c, edited) in enumerate(at):
-        if edited is None:
-            continue
-        own = prints[i]
-        # the text's tail is deleted, the edited text's inserted
-        other = Fingerprint(own.lanes - (lanes[b] - lanes[same]) + (lanes[c] - lanes[b]), own.signs - (signs[b] - signs[same]) + (signs[c] - signs[b]))
-        digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        out.append((rows[i][2], len(rows[i][3]), digest, str(own), str(other), own.likeness(other), own.likeness(prints[i + 1])))
+    for i, edited in enumerate(edits):
+        if edited is not None:
+            own, other = prints[i]
+            digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+            out.append((rows[i][2], len(rows[i][3]), digest, str(own), str(other), own.likeness(other), own.likeness(prints[i + 1][0])))
     pdf = pd.DataFrame(out, columns=COLUMNS)
     pdf["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in pdf["doc_id"]], "Int64")
     return pdf

@@ -6,11 +6,13 @@ numbers. Nyström landmarks: texts of the training sample, equally many a langua
 regression in the landmarks' feature space. A batch of texts is scored by two matrix products: presence by landmarks,
 then kernel values by weights.
 
-Training takes only text and lang, at most TRAIN_PER_CLASS documents a language, chosen by a hash of doc_id (equal ids
-are taken or left together), and of each only a bit for each slot reaches the driver. Scoring takes only the text.
+Training takes only text and lang, at most TRAIN_PER_CLASS documents a language (and TRAIN_ROWS of all), chosen by a hash of
+doc_id and text, and of each only a bit for each slot reaches the driver. Scoring takes only the text. Presence is told by
+slot, so n-grams that share one of the SLOTS count as one: a kernel of hashed n-grams, the same for all texts.
 
 Null texts and texts without letters are `und` with score 0. Rows without lang don't train. Without any training row
-everything is `und`. Repeated rows get equal results; an empty table gives an empty result.
+everything is `und`. Repeated rows get equal results; an empty table gives an empty result. lang_pred and score take the place
+of columns of those names. A very long text costs about 60 bytes a character, for one text at a time.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPECTRUM = 3
 SLOTS = 1 << 14
 TRAIN_PER_CLASS = 300
 LANDMARKS_PER_CLASS = 32
-#: Languages beyond these, rarest first, aren't learned: with TRAIN_PER_CLASS it bounds the driver's sample.
-MOST_CLASSES = 64
+#: Rows (SLOTS / 8 bytes each) and landmarks of all languages together: where there are very many, each gets fewer.
+TRAIN_ROWS, LANDMARKS = 20_000, 2_048
 RIDGE = 1e-2
 UNKNOWN = "und"
 
@@ -111,28 +113,28 @@ def fit(x: np.ndarray, classes: list[str], y: np.ndarray, landmarks_per_class: i
 def train(docs: DataFrame, per_class: int = TRAIN_PER_CLASS) -> KernelModel | None:
     """docs: doc_id, text and lang of the rows that may be learned from."""
     rows = docs.select("doc_id", "text", "lang").filter("lang is not null and text rlike '\\\\p{L}'")
-    sizes = sorted(((r["n"], r["lang"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_CLASSES).collect()), key=lambda x: x[1])
+    sizes = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a language
     if not sizes:
         return None
-    classes = [lang for _, lang in sizes]
-    rate = F.create_map(*[x for n, lang in sizes for x in (F.lit(lang), F.lit(min(1.0, 2 * per_class / n)))])
-    place = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    classes = [lang for lang, _ in sizes]
+    per_class = max(1, min(per_class, TRAIN_ROWS // len(classes)))
+    rate = F.create_map(*[x for lang, n in sizes for x in (F.lit(lang), F.lit(min(1.0, 2 * per_class / n)))])
+    place = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id"), F.xxhash64("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     @F.pandas_udf("binary")
     def bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([r.tobytes() for g in batches_of(list(texts)) for r in np.packbits(presence(g).astype(bool), axis=1)])
 
-    taken = rows.filter(F.col("lang").isin(classes)).withColumn("_place", place).filter(F.col("_place") < F.try_element_at(rate, F.col("lang")))
-    found = taken.select("lang", "doc_id", "_place", bits("text").alias("_bits"))
-    sample = found.collect()  # about twice the rows that are used, SLOTS / 8 bytes each
-    by_class: dict[str, list] = {c: [] for c in classes}
-    for r in sorted(sample, key=lambda r: (r["_place"], bytes(r["_bits"]))):
-        if len(by_class[r["lang"]]) < per_class:
-            by_class[r["lang"]].append(np.frombuffer(bytes(r["_bits"]), np.uint8))
-    x = np.unpackbits(np.stack([b for c in classes for b in by_class[c]]), axis=1).astype(np.float32)
-    y = np.repeat(np.arange(len(classes)), [len(by_class[c]) for c in classes])
-    return fit(x, classes, y)
+    # about twice the rows that are used, of which each language's first ones by place come to the driver
+    taken = rows.withColumn("_place", place).filter(F.col("_place") < F.try_element_at(rate, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy("_place", F.xxhash64("text"))
+    chosen = taken.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_class)
+    sample = chosen.select("lang", "_k", bits("text").alias("_bits")).orderBy("lang", "_k").collect()
+    x = np.unpackbits(np.stack([np.frombuffer(bytes(r["_bits"]), np.uint8) for r in sample]), axis=1).astype(np.float32)
+    y = np.array([classes.index(r["lang"]) for r in sample])
+    present = np.unique(y)  # all, unless the hash took none of a tiny language
+    return fit(x, [classes[c] for c in present], np.searchsorted(present, y), max(1, min(LANDMARKS_PER_CLASS, LANDMARKS // len(present))))
 
 
 def language(text: str | Column, model: KernelModel | None) -> Column:
@@ -163,4 +165,5 @@ def remainder(doc_id: str, n: int) -> Column:
 def identify(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     """docs with lang_pred and score, learned from docs' own lang values in rows that aren't held out."""
     learn = docs if held_out is None else docs.filter(~F.coalesce(held_out, F.lit(False)))
-    return docs.withColumn("_l", language("text", train(learn))).select(*docs.columns, "_l.*")
+    found = docs.select(F.struct("*").alias("_row"), language("text", train(learn)).alias("_l"))
+    return found.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "_l.*")

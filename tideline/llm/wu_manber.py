@@ -9,7 +9,8 @@ The test strings go to the tasks in blocks of at most MAX_PATTERN_WORDS words; a
 over the documents for each block, and what the passes find is joined, so nothing is dropped at any size.
 
 Null texts have no words, as do items without text; items without item_id are searched for but not listed. Equal items
-are all listed. Repeated rows are judged each for itself; an empty table on either side gives no hits.
+are all listed. Repeated rows are judged each for itself; an empty table on either side gives no hits. search()'s n_words,
+spans and item_ids take the place of columns of those names. A very long text costs memory in proportion to its words.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import staged
+
 #: Words in the test strings that one pass carries: the size bound of what every task gets.
 MAX_PATTERN_WORDS = 4_000_000
 WINDOW = 10
@@ -111,8 +114,10 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(benchmark: DataFrame, window: int, most: int) -> list[DataFrame]:
-    """The benchmark in parts of at most `most` test-string words (or of one item)."""
-    sized = benchmark.select(F.col("item_id").alias("_id"), F.col("text").alias("_text")).filter("_text is not null")
+    """The benchmark's distinct texts, each with the ids of its items, in parts of at most `most` test-string words (or of one
+    text)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("_id"), F.col("text").alias("_text")).filter("_text is not null")
+    sized = items.groupBy("_text").agg(F.collect_set("_id").alias("_ids"))
     total = sized.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = max(1, -(-total * window // (2 * most)))  # a word has two bytes at least, with what parts it from the next
     return [sized] if n == 1 else [sized.filter(F.pmod(F.xxhash64("_text"), F.lit(n)) == k) for k in range(n)]
@@ -127,7 +132,7 @@ def _finder(sent, window: int):
             rows = []
             for t in texts:
                 n, spans, found = searcher.find(t) if t else (0, [], [])
-                rows.append((n, [{"start": a, "end": b} for a, b in spans], sorted({names[i] for i in found} - {None})))
+                rows.append((n, [{"start": a, "end": b} for a, b in spans], sorted({x for i in found for x in names[i]})))
             yield pd.DataFrame(rows, columns=["n", "spans", "items"])
 
     return run
@@ -137,13 +142,14 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: in
     """docs with n_words, spans (word ranges hit) and item_ids (as strings, sorted)."""
     spark = docs.sparkSession
     parts = _blocks(benchmark, window, most)
-    out = docs
+    out = docs.drop("n_words", "spans", "item_ids")
     for k, part in enumerate(parts):
         rows = part.collect()  # bounded by `most`
-        names = [None if r[0] is None else str(r[0]) for r in rows]
-        sent = spark.sparkContext.broadcast((names, [words_of(r[1]) for r in rows]))
-
+        sent = spark.sparkContext.broadcast(([r["_ids"] for r in rows], [words_of(r["_text"]) for r in rows]))
         out = out.withColumn(f"_found{k}", _finder(sent, window)(F.col("text")))
+        if len(parts) > 1:  # a pass is over before the next one's test strings go out
+            out = staged(out, f"pass-{k}")
+            sent.destroy()
     found = [f"_found{k}" for k in range(len(parts))]
     if len(found) == 1:
         out = out.withColumns({"n_words": F.col("_found0.n"), "spans": F.col("_found0.spans"), "item_ids": F.col("_found0.items")})

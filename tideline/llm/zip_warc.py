@@ -10,7 +10,8 @@ Files are reached through pyarrow's file systems, so any folder that all executo
 Null html is the empty payload. Of pages with equal payloads of `least` bytes or more the one with the largest page_id
 is a response and the others revisit it; repeated rows of that page are responses too, and pages without page_id revisit
 it. Equal payloads that all lack a page_id are all responses. Null urls are empty. An empty table gives no archive and
-no rows.
+no rows. Only page_id, url and html are read, so columns of any other name change nothing. A very long page is held whole, one
+at a time.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from tideline.llm.common import new_path, staged
 MEMBER, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 #: Bytes of records after which a task begins a further archive; bytes of consecutive records that are read at once.
 ARCHIVE_BYTES, READ_BYTES = 256 << 20, 4 << 20
+#: Bytes of records that a task reads, about.
+TASK_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -283,5 +286,7 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes pages to a new shared folder and reads all records back."""
     spark: SparkSession = pages.sparkSession
     archives = write_archives(pages, new_path(spark, "warc"), least)
-    ranges = locate(archives.repartition("path")).repartition(F.xxhash64("path", "at"))
+    n, size = archives.agg(F.count(F.lit(1)), F.sum("n_bytes")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, (size or 0) // TASK_BYTES)
+    ranges = locate(archives.repartition(max(1, min(n, tasks)), "path")).repartition(tasks, F.xxhash64("path", "at"))
     return read_records(ranges, payload=False).drop("url")
