@@ -19,8 +19,8 @@ earlier. Null texts have no words. Documents shorter than a window lose nothing.
 Only doc_id and text are read, and in deduplicated() n_chars follows the text; columns of any other name stay as they are.
 A very long text costs memory in proportion to its words, for one text at a time.
 
-Hot keys: hashes that over a thousandth of all occurrences share go another way than the rest: their windows are summed
-up before they move, and joined with sources by broadcasting those (at most a thousand) that are hot themselves.
+Hot keys: windows with a hash that over a thousandth of all occurrences share are summed up before they move; those edges
+that are hot themselves (at most a thousand) find their source in a table that is part of the plan, and don't move.
 """
 
 from __future__ import annotations
@@ -170,21 +170,25 @@ def _repeats(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> tu
     (doc, h, pos, s: source coordinates)."""
     place, columns = F.struct("doc", "h", "pos"), ["a", "b", "doc", "h", "pos", "_s"]
     none = F.array().cast("array<bigint>")
-    cold = _windows(keyed, candidates.filter("size(ms) > 0"), window, k).filter(~F.col("hot"))
-    along = Window.partitionBy("a", "b").orderBy("doc", "h", "pos")
-    found = cold.withColumns({"_s": F.first(place).over(along), "_next": F.lead("pos").over(along)}).filter((place > F.col("_s")) | F.col("_next").isNotNull()).select(columns)
-    hot = candidates.filter("size(hot) > 0")
+    windows = _windows(keyed, candidates.filter("size(ms) > 0"), window, k).filter(~F.col("hot")).drop("hot")
+    by_top, hot = None, candidates.filter("size(hot) > 0")
     if hot.limit(1).count():
-        many = staged(_windows(keyed, hot.withColumn("ms", none), window, k), "hot-windows")
-        sources = many.groupBy("a", "b").agg(F.min(place).alias("_s"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        sources = staged(sources, "hot-edges")
-        total = sources.agg(F.sum("_n")).first()[0] or 0
-        top = sources.filter(F.col("_n") > hot_share(total)).select("a", "b", F.col("_s").alias("_t"))
-        rest = sources.join(F.broadcast(top.select("a", "b")), ["a", "b"], "left_anti").select("a", "b", "_s")
-        marked = many.join(F.broadcast(top), ["a", "b"], "left")
-        by_top = marked.filter("_t is not null").withColumn("_s", F.col("_t"))
-        by_rest = marked.filter("_t is null").join(rest, ["a", "b"])
-        found = found.unionByName(by_top.select(columns)).unionByName(by_rest.select(columns))
+        many = staged(_windows(keyed, hot.withColumn("ms", none), window, k).drop("hot"), "hot-windows")
+        counts = staged(many.groupBy("a", "b").agg(F.min(place).alias("_s"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "hot-edges")
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+        top = counts.filter(F.col("_n") > hot_share(total)).collect()  # as many as hot_share allows
+        if top:
+            entry = lambda r: (F.lit(f"{r['a']}:{r['b']}"), F.struct(*[F.lit(r["_s"][c]).cast(t).alias(c) for c, t in (("doc", "long"), ("h", "long"), ("pos", "int"))]))
+            source = F.try_element_at(F.create_map(*[x for r in top for x in entry(r)]), F.concat_ws(":", "a", "b"))
+            many = many.withColumn("_s", source)
+            by_top = many.filter("_s is not null").select(columns)
+            many = many.filter("_s is null").drop("_s")
+        windows = windows.unionByName(many)
+    along = Window.partitionBy("a", "b").orderBy("doc", "h", "pos")
+    found = windows.withColumns({"_s": F.first(place).over(along), "_next": F.lead("pos").over(along)})
+    found = found.filter((place > F.col("_s")) | F.col("_next").isNotNull()).select(columns)
+    if by_top is not None:
+        found = found.unionByName(by_top)
     later = place > F.col("_s")
     split = staged(found.select(*[F.when(~later, F.col(c)).alias(c) for c in ("a", "b")], "doc", "h", "pos", F.when(later, F.col("_s")).alias("s")), "edges")
     return split.filter("s is null").drop("s"), split.filter("s is not null").drop("a", "b")
