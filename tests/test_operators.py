@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.geo import accurate_enough, haversine_m, implied_speed_kmh, is_implausible_jump
 from tideline.functions.schema import SOURCE, contract_violations
-from tideline.operators import capabilities, ingest, lineage, places, process, replay, sessions, spend, telemetry, timeline
+from tideline.operators import capabilities, ingest, lineage, places, process, quality, replay, sessions, spend, telemetry, timeline
 from tideline.operators.steps import make_detector
 from tideline.plans import router
 from tideline.plans.definitions import Definition
@@ -487,3 +487,45 @@ def test_thinning_carries_the_last_time_over_batches(spark, few_rows_a_batch):
     assert not whole_keys(weighted) and not whole_keys(decaying)
     assert {(r.user_id, r.ts) for r in weighted.collect()} == {(u, t) for u, t, _ in stepped(rows, "weighted_window", config)}
     assert {(r.user_id, r.ts) for r in decaying.collect()} == {(u, t) for u, t, _ in stepped(rows, "decaying_window", config | {"half_life_seconds": 250})}
+
+
+def test_replay_pairs_sessions_as_the_router_does(spark):
+    rows = [(None if u == "u0" else u, None if s % 17 == 0 else i, n, t, s, 47.0 + s % 3, None) for u, i, n, t, s in random_events(21, users=4, n=300)]
+    events = spark.createDataFrame(rows, "user_id string, id string, name string, ts bigint, arrival_seq bigint, lat double, lon double")
+    alone = Definition("s", "session_window", {"start_event": "a", "end_event": "b", "max_duration_seconds": 900})
+    fed = Definition("t", "session_window", {"start_event": "a", "end_event": "c", "max_duration_seconds": 900})
+    after = Definition("w", "weighted_window", {"weights": {"t": 5, "a": 5}, "threshold": 10, "window_seconds": 600, "cooldown_seconds": 60})
+    for definitions in ([alone], [alone, fed, after], [fed, after]):
+        out = replay.replay(events, definitions)
+        want = router.run(events, definitions)
+        assert out.columns == want.columns and [f.dataType for f in out.schema] == [f.dataType for f in want.schema]
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))
+    assert "MapInPandas" not in plan_of(replay.replay(events, [alone]))
+    out = replay.replay(events, [alone, fed, after], {"x": {}, "y": {"s": {"max_duration_seconds": 100}}})
+    assert "variant" in out.columns
+    n = {(r.variant, r.name): r.n for r in replay.counts(out, "variant").collect()}
+    assert n["x", "s"] > n["y", "s"] > 0 and n["x", "t"] == n["y", "t"] > 0
+
+
+def test_events_meet_the_session_they_arrive_in(spark):
+    rows = random_events(31, users=3, n=300, kinds="abcc")
+    events = spark.createDataFrame(rows, "user_id string, id string, name string, ts bigint, seq bigint")
+    pairs = sessions.pair_sessions(events, "a", "b", 2000)
+    got = {(r.id, r._in.start_id) for r in sessions.in_sessions(events, pairs).collect()}
+    want = {(i, p.start_id) for p in pairs.collect() for u, i, _, _, s in rows if u == p.user_id and p.start_seq <= s <= p.end_seq}
+    assert got == want and got
+    assert sessions.in_sessions(events, pairs.limit(0)).count() == 0
+
+
+def test_percentiles_are_exact(spark):
+    g = random.Random(8)
+    values = {"a": [g.gauss(0, 50) for _ in range(500)], "b": [float(g.randrange(4)) for _ in range(300)], "c": [-7.25], None: [1.0, 2.0], "d": [None]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, value double").repartition(5)
+    got = {r.k: (r.p50, r.p95) for r in quality.percentiles(rows, ["k"], [0.5, 0.95]).collect()}
+    for k in ("a", "b", "c", None):
+        v = sorted(values[k])
+        for p, found in zip((0.5, 0.95), got[k], strict=True):
+            at = p * (len(v) - 1)
+            lo, hi = v[int(at)], v[min(int(at) + 1, len(v) - 1)]
+            assert found == pytest.approx(lo + (hi - lo) * (at - int(at)))
+    assert "d" not in got

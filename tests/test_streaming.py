@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.plans import router
 from tideline.plans.definitions import Definition
-from tideline.plans.views import by_entity, signals
+from tideline.plans.views import signals
 from tideline.streaming.changes import changes_stream
 from tideline.streaming.router import STATE_STORE, route_stream
 
@@ -31,7 +31,7 @@ def run(spark, df, tmp_path, name):
 
 
 def test_router_stream_is_the_batch(spark, sf, store, tmp_path):
-    ev = by_entity(signals(spark, sf)).withColumnRenamed("seq", "arrival_seq").withColumn("motion", F.lit(None).cast("array<string>"))
+    ev = signals(spark, sf).drop("user_id").withColumnRenamed("entity", "user_id").withColumnRenamed("seq", "arrival_seq").withColumn("motion", F.lit(None).cast("array<string>"))
     want = {(r.user_id, r.name, r.ts, r.id) for r in router.run(ev, DEFINITIONS).collect()}
     for i in range(3):  # three files, a micro-batch each, in arrival order
         ev.filter((F.col("arrival_seq") >= 400 * i) & (F.col("arrival_seq") < 400 * (i + 1))).coalesce(1).write.mode("append").json(str(tmp_path / "in"))

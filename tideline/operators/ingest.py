@@ -13,6 +13,12 @@ from tideline.settings import KIND_FIELD
 RESERVED = ["event_name", "user_id", "timestamp"]
 
 
+def once(column: Column) -> Column:
+    """The column as a generated one, in select or withColumn: what filters and projections make of it later reads its value
+    and doesn't parse again."""
+    return F.explode(F.array(column))
+
+
 def parse_path(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """/<domain>/<app>/... to event_domain and source_app; the rest of the path is ignored. Second: what has neither."""
     parts = F.split(F.regexp_replace(F.trim("path"), "^/", ""), "/")
@@ -35,7 +41,7 @@ def shape_standard(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     goes to the row. Second: rejects."""
     payload = F.coalesce(F.nullif(F.get_json_object("body", "$.payload"), F.lit("")), F.lit("{}"))
     fields = F.from_json(payload, "map<string,string>")
-    keyed = rows.withColumns({"_payload": payload, "_m": fields})
+    keyed = rows.withColumn("_payload", payload).withColumn("_m", once(fields))
     has = lambda k: F.coalesce(F.array_contains(F.map_keys("_m"), k), F.lit(False))
     is_object = F.ltrim("_payload").startswith("{") & F.col("_m").isNotNull()
     reason = F.when(~F.coalesce(is_object, F.lit(False)), "payload is no object").when(~has("event_name"), "no event_name").when(~has("user_id"), "no user_id")
@@ -91,7 +97,7 @@ def enrich(rows: DataFrame, key: str = "source_key") -> DataFrame:
     made = F.sha2(F.concat_ws(":", F.col(key), F.to_json("message")), 256)
     ident = F.coalesce(F.nullif(F.try_element_at(m, F.lit("id")), F.lit("")), made)
     message = F.map_concat(F.map_filter(m, lambda k, _: k != "id"), F.create_map(F.lit("id"), ident))
-    return rows.withColumn("message", message).drop("path", "event_domain", "body")
+    return rows.drop("path", "event_domain", "body").withColumn("_message", once(message)).drop("message").withColumnRenamed("_message", "message")
 
 
 def shape_for_table(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@ source_app, name, user_id, occurred_at and ingested_at (epoch seconds, fractions
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.settings import FIRST_PARTY, KIND_FIELD
@@ -47,8 +50,31 @@ def without(rows: DataFrame, sources: list[str] | None = None, everything: bool
     return rows if everything else rows.filter(~F.col("source_app").isin(FIRST_PARTY if sources is None else sources))
 
 
+#: Cells of a histogram per unit of the values' logarithm.
+CELLS = 256
+
+
+def percentiles(values: DataFrame, keys: list[str], at: list[float]) -> DataFrame:
+    """(keys, p50, p95, ...): exact percentiles, interpolated, of values (keys, value). A histogram over logarithmic cells says
+    which cells hold the wanted ranks; only their values are put in order, so no task holds all values of a key."""
+    v = F.col("value").cast("double")
+    rows = values.filter(v.isNotNull()).select(*keys, v.alias("value"), F.floor(F.signum(v) * F.log1p(F.abs(v)) * CELLS).alias("_cell"))
+    cells = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    by_cell = Window.partitionBy(*keys).orderBy("_cell")
+    cells = cells.withColumns({"_before": F.sum("_n").over(by_cell) - F.col("_n"), "_total": F.sum("_n").over(Window.partitionBy(*keys))})
+    rank = {p: F.lit(p) * (F.col("_total") - 1) for p in at}
+    holds = lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_n"))
+    wanted = cells.filter(reduce(or_, [holds(f(r)) for r in rank.values() for f in (F.floor, F.ceil)])).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_cell").alias("_c"), "_before", "_total")
+    same = reduce(and_, [rows[k].eqNullSafe(wanted[f"_{k}"]) for k in keys], F.col("_cell") == F.col("_c"))
+    found = rows.join(wanted, same).groupBy(*keys, "_before", "_total", "value").agg(F.count(F.lit(1)).alias("_n"))
+    within = Window.partitionBy(*keys, "_before").orderBy("value")
+    found = found.withColumn("_before", F.col("_before") + F.sum("_n").over(within) - F.col("_n"))
+    ends = {p: [F.max(F.when(holds(f(r)), F.col("value"))) for f in (F.floor, F.ceil)] + [F.max(r - F.floor(r))] for p, r in rank.items()}
+    return found.groupBy(*keys).agg(*[(lo + (hi - lo) * part).alias(f"p{round(p * 100)}") for p, (lo, hi, part) in ends.items()])
+
+
 def by_source(rows: DataFrame, as_of: float) -> DataFrame:
-    """rows: of with_latency and with_contract_flags. Percentiles leave backfilled rows out. One shuffle."""
+    """rows: of with_latency and with_contract_flags. Percentiles leave backfilled rows out."""
     live = lambda c: F.when(~F.col("backfill"), F.col(c))
     aggs = [
         F.count(F.lit(1)).alias("n"),
@@ -62,10 +88,16 @@ def by_source(rows: DataFrame, as_of: float) -> DataFrame:
         F.count_if("derived_fields").alias("derived_fields"),
         F.count_if("bad_user").alias("bad_users"),
     ]
-    for c in ("e2e_s", "trigger_s", "pipeline_s"):
-        aggs += [F.percentile(live(c), 0.5).alias(f"{c}_p50"), F.percentile(live(c), 0.95).alias(f"{c}_p95"), F.max(live(c)).alias(f"{c}_max")]
+    lags = ("e2e_s", "trigger_s", "pipeline_s")
+    aggs += [F.max(live(c)).alias(f"{c}_max") for c in lags]
     aggs.append(F.min(live("pipeline_s")).alias("pipeline_s_min"))
-    return rows.groupBy("source_app").agg(*aggs)
+    each = F.array(*[F.struct(F.lit(c).alias("lag"), F.col(c).cast("double").alias("value")) for c in lags])
+    values = rows.filter(~F.col("backfill")).select("source_app", F.explode(each).alias("_v")).select("source_app", "_v.*")
+    found = percentiles(values, ["source_app", "lag"], [0.5, 0.95])
+    picked = [F.max(F.when(F.col("lag") == c, F.col(p))).alias(f"{c}_{p}") for c in lags for p in ("p50", "p95")]
+    of = found.groupBy("source_app").agg(*picked).withColumnRenamed("source_app", "_source")
+    summed = rows.groupBy("source_app").agg(*aggs)
+    return summed.join(of, summed["source_app"].eqNullSafe(of["_source"]), "left").drop("_source")
 
 
 def duplicates(rows: DataFrame, top: int = TOP) -> DataFrame:

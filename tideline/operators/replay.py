@@ -4,25 +4,59 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.sessions import overlapping
+from tideline.functions.schema import DECISION, SOURCE, entity
+from tideline.operators.sessions import overlapping, pair_sessions
 from tideline.plans import router
-from tideline.plans.definitions import Definition, with_overrides
+from tideline.plans.definitions import Definition, Plan, with_overrides
 
 MATCH_SECONDS, REAL_SECONDS, MISS_SECONDS, EARLY_SECONDS, PAD_SECONDS, NEAR_SECONDS = 120, 120, 900, 120, 120, 600
 
 
+def _stands_alone(d: Definition, definitions: list[Definition]) -> bool:
+    """Whether d pairs sessions of outside events, and no other definition reads its end event or what it makes."""
+    if d.engine != "session_window":
+        return False
+    readers, made = Plan(definitions).consumers, {x.name for x in definitions}
+    start, end = d.engine_config["start_event"], d.engine_config["end_event"]
+    return start != end and not {start, end} & made and readers[end] == [d.name] and d.name not in readers
+
+
+def session_decisions(rows: DataFrame, d: Definition) -> DataFrame:
+    """The decisions of a session definition over outside events, by windows: the same rows as the router's."""
+    c, have = d.engine_config, set(rows.columns)
+    types = {"lat": "double", "lon": "double", "acc": "double", "motion": "array<string>"}
+    columns = [F.col(x) if x in have else F.lit(None).cast(types[x]).alias(x) for x in router.EVENT_COLUMNS]
+    order = F.struct("arrival_seq", "ts", F.col("id").isNull().alias("no_id"))
+    keyed = rows.select(entity(rows).alias("user_id"), order.alias("_at"), *columns)
+    found = pair_sessions(keyed, c["start_event"], c["end_event"], c.get("max_duration_seconds", 21600), "_at", whole=True)
+    source = lambda e: F.struct(*[F.col(f"{e}.{x}").alias(x) for x in router.EVENT_COLUMNS], F.lit(None).alias("kind"), F.lit(None).alias("parts")).cast(SOURCE)
+    ids = F.array_sort(F.array(*[F.coalesce(F.col(x), F.lit("None")) for x in ("start_id", "end_id")]))
+    minted = F.sha2(F.concat_ws(":", "user_id", F.lit(d.name), "ended_at", ids), 256)
+    values = {"user_id": F.col("user_id"), "seq": F.col("end_seq.arrival_seq"), "sub": F.lit(0), "name": F.lit(d.name), "kind": F.lit(d.engine), "id": minted,
+              "ts": F.col("ended_at"), "score": F.lit(1.0), "sources": F.array(source("start_event"), source("end_event"))}
+    kinds = dict(part.split(" ", 1) for part in DECISION.split(", sources ")[0].split(", ")) | {"sources": f"array<{SOURCE}>"}
+    return found.select(*[v.cast(kinds[k]).alias(k) for k, v in values.items()])
+
+
 def replay(events: DataFrame, definitions: list[Definition], variants: dict[str, dict[str, dict]] | None = None) -> DataFrame:
     """Decisions from empty state in canonical order. variants: overrides of engine_config by definition name, by variant name;
-    all run over the union of their inputs, with the variant as a column."""
+    all run over the union of their inputs, with the variant as a column. Session definitions that stand alone are paired by
+    windows, all others go through the router."""
     rows = events if "arrival_seq" in events.columns else router.with_arrival(events)
-    if not variants:
-        return router.run(rows, definitions)
-    return router.run(rows, definitions, {k: with_overrides(definitions, v) for k, v in variants.items()})
+    sets = {k: with_overrides(definitions, v) for k, v in variants.items()} if variants else {"": definitions}
+    alone = {d.name for d in definitions if all(_stands_alone(x, ds) for ds in sets.values() for x in ds if x.name == d.name)}
+    tagged = lambda df, k: df.withColumn("variant", F.lit(k)) if variants else df
+    out = [tagged(session_decisions(rows, d), k) for k, ds in sets.items() for d in ds if d.name in alone]
+    rest = {k: [d for d in ds if d.name not in alone] for k, ds in sets.items()}
+    if any(rest.values()):
+        out.append(router.run(rows, next(iter(rest.values())), rest if variants else None))
+    return reduce(DataFrame.unionByName, out)
 
 
 def counts(decisions: DataFrame, *keys: str) -> DataFrame:

@@ -15,17 +15,19 @@ from pyspark.sql import functions as F
 from tideline.functions.geo import haversine_m, is_implausible_jump
 
 
-def pair_sessions(events: DataFrame, start: str, end: str, max_duration: int = 21600, order: str = "seq") -> DataFrame:
+def pair_sessions(events: DataFrame, start: str, end: str, max_duration: int = 21600, order: str = "seq", whole: bool = False) -> DataFrame:
     """(user_id, start_id, started_at, end_id, ended_at, start_seq, end_seq): the latest start takes the first end by arrival
-    that lies after it in time; an end that doesn't leaves the start open. An episode is what follows one start."""
-    rows = events.filter(F.col("name").isin(start, end)).select("user_id", "id", "name", "ts", F.col(order).alias("_o"))
+    that lies after it in time; an end that doesn't leaves the start open. An episode is what follows one start. whole: also
+    start_event and end_event, the two rows as structs."""
+    rows = events.filter(F.col("name").isin(start, end)).select("user_id", "id", "name", "ts", F.col(order).alias("_o"), *([F.struct("*").alias("_row")] if whole else []))
+    row = ["_row"] if whole else []
     along = Window.partitionBy("user_id").orderBy("_o", "id")
     is_start = F.col("name") == start
     rows = rows.withColumn("_episode", F.sum(is_start.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    own = F.when(is_start, F.struct("id", "ts", "_o"))
+    own = F.when(is_start, F.struct("id", "ts", "_o", *row))
     rows = rows.withColumn("_s", F.last(own, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     ends = rows.filter(~is_start & F.col("_s").isNotNull() & (F.col("ts") > F.col("_s.ts")))
-    first = ends.groupBy("user_id", "_episode").agg(F.min_by(F.struct("id", "ts", F.col("_o").alias("o"), "_s"), F.struct("_o", "id")).alias("_e"))
+    first = ends.groupBy("user_id", "_episode").agg(F.min_by(F.struct("id", "ts", F.col("_o").alias("o"), "_s", *row), F.struct("_o", "id")).alias("_e"))
     return first.select(
         "user_id",
         F.col("_e._s.id").alias("start_id"),
@@ -34,9 +36,21 @@ def pair_sessions(events: DataFrame, start: str, end: str, max_duration: int = 2
         F.col("_e.ts").alias("ended_at"),
         F.col("_e._s._o").alias("start_seq"),
         F.col("_e.o").alias("end_seq"),
+        *([F.col("_e._s._row").alias("start_event"), F.col("_e._row").alias("end_event")] if whole else []),
     ).filter(F.col("ended_at") - F.col("started_at") <= max_duration)
 
 
+def in_sessions(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """events (user_id, seq, ...) that arrive from a session's start_seq to its end_seq, with the session as _in. Sessions (of
+    pair_sessions) of a user don't overlap, so an event can only be in the last that began before it: one window over both,
+    and no join of a user's events with all the user's sessions."""
+    marks = sessions.select("user_id", F.col("start_seq").alias("seq"), F.struct("*").alias("_session"))
+    along = Window.partitionBy("user_id").orderBy("seq", F.col("_session").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.filter("user_id is not null").unionByName(marks.filter("user_id is not null"), allowMissingColumns=True)
+    rows = rows.withColumn("_in", F.last("_session", ignorenulls=True).over(along))
+    return rows.filter(F.col("_session").isNull() & (F.col("seq") <= F.col("_in.end_seq"))).drop("_session")
+
+
 def validated_sessions(
     events: DataFrame,
     sessions: DataFrame,
@@ -46,21 +60,15 @@ def validated_sessions(
     min_coverage_ratio: float = 0.5,
     max_accuracy_m: float = 100,
     max_speed_kmh: float = 400,
-    bucket: int = 1 << 16,
 ) -> DataFrame:
-    """sessions (of pair_sessions) without those that their fixes refute. Fixes join by user and arrival bucket, so that a
-    long history isn't compared with every session; the sequential guards are a fold over a session's fixes."""
-    fixes = events.filter((F.col("name") == ping) & F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
-        F.col("user_id").alias("_u"), F.col("seq").alias("_q"), F.col("ts").alias("_t"), "lat", "lon", "acc"
-    )
-    fixes = fixes.filter(F.col("acc").isNull() | (F.col("acc") <= max_accuracy_m)).withColumn("_b", F.floor(F.col("_q") / bucket))
-    keyed = sessions.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_seq") / bucket), F.floor(F.col("end_seq") / bucket))))
-    joined = keyed.join(
-        fixes,
-        (keyed["user_id"] == fixes["_u"]) & (keyed["_b"] == fixes["_b"]) & (fixes["_q"] > keyed["start_seq"]) & (fixes["_q"] < keyed["end_seq"]) & (fixes["_t"] >= keyed["started_at"]),
-    )
-    tracks = joined.groupBy("user_id", "start_id", "end_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_q").alias("q"), F.col("_t").alias("t"), "lat", "lon"))).alias("_f")
+    """sessions (of pair_sessions) without those that their fixes refute; the sequential guards are a fold over a session's
+    fixes."""
+    fixes = events.filter((F.col("name") == ping) & F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("user_id", "seq", "ts", "lat", "lon", "acc")
+    fixes = fixes.filter(F.col("acc").isNull() | (F.col("acc") <= max_accuracy_m))
+    inside = in_sessions(fixes, sessions.select("user_id", "start_id", "end_id", "start_seq", "end_seq", "started_at"))
+    inside = inside.filter((F.col("seq") > F.col("_in.start_seq")) & (F.col("seq") < F.col("_in.end_seq")) & (F.col("ts") >= F.col("_in.started_at")))
+    tracks = inside.groupBy("user_id", F.col("_in.start_id").alias("start_id"), F.col("_in.end_id").alias("end_id")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("q"), F.col("ts").cast("long").alias("t"), "lat", "lon"))).alias("_f")
     )
     box = "struct<n: int, south: double, north: double, west: double, east: double, t0: bigint, t1: bigint, lat: double, lon: double>"
 

@@ -126,6 +126,22 @@ def vocabulary(spark, sf_dir):
     return telemetry.vocabulary(_readings(spark, sf_dir))
 
 
+def telemetry_updates(spark, sf_dir):
+    """Each event as a message of one update, in the three forms that messages have, read back and coerced."""
+    s = signals(spark, sf_dir)
+    value = F.element_at(F.array(*map(F.lit, ("open", "Closed", "3.5", "secured", "unlocked"))), F.col("k").cast("int") % 5 + 1)
+    stamp = F.when(F.col("seq") % 3 == 0, ((F.col("ts") + 1) * 1000).cast("string")).otherwise(F.date_format(F.timestamp_seconds(F.col("ts") + 2), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    listed = F.format_string('{"data": [{"name": "%s", "value": "%s", "timestamp": "%s"}]}', "name", value, stamp)
+    mapped = F.format_string('{"data": {"%s": {"value": "%s", "timestamp": "%s"}}}', "name", value, stamp)
+    body = F.when(F.col("seq") % 3 == 0, listed).when(F.col("seq") % 3 == 1, mapped).otherwise(F.format_string('{"%s": "%s"}', "name", value))
+    updates = telemetry.unnest(s.select(F.col("user_id").alias("device"), F.col("seq").alias("arrival_seq"), body.alias("body")))
+    v = F.col("value")
+    return updates.select(
+        "device", "arrival_seq", "descriptor", telemetry.to_boolean(v).alias("flag"), telemetry.to_locked(v).alias("locked"), telemetry.to_number(v).alias("number"),
+        telemetry.epoch_seconds(F.col("stamp"), F.lit(0).cast("bigint")).alias("at"),
+    )
+
+
 _R = "r AS (SELECT user_id AS device, name AS descriptor, seq AS arrival_seq, k AS value FROM sig)"
 
 
@@ -178,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         session_window, session_interval, cooccurrence_score, decaying_window, weighted_window, validated_session_window, claim_pairing,
-        haversine_legs, implausible_jumps, edge_changes, reading_changes, state_changes, vocabulary, drive_sessions,
+        haversine_legs, implausible_jumps, edge_changes, reading_changes, state_changes, vocabulary, telemetry_updates, drive_sessions,
         session_gated_window, stay_window, trip_window, claim_fusion, router_full,
     )
 }
@@ -245,5 +261,7 @@ ORACLE = {
         c AS (SELECT *, lag(state) OVER w AS prev, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY device, descriptor ORDER BY arrival_seq))
         SELECT device, descriptor, arrival_seq, state FROM c WHERE n > 1 AND state IS DISTINCT FROM prev""",
     "vocabulary": f"WITH {SIG}, {_R} SELECT descriptor, min(arrival_seq) AS first_seq, arg_min(value, arrival_seq) AS first_value FROM r GROUP BY descriptor",
+    "telemetry_updates": f"""WITH {SIG} SELECT user_id AS device, seq AS arrival_seq, name AS descriptor, CASE k::INT % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS flag,
+        CASE k::INT % 5 WHEN 3 THEN true WHEN 4 THEN false END AS locked, CASE WHEN k::INT % 5 = 2 THEN 3.5::DOUBLE END AS number, CASE seq % 3 WHEN 0 THEN ts + 1 WHEN 1 THEN ts + 2 ELSE 0 END AS at FROM sig""",
     "drive_sessions": f"WITH {SIG}, {DRIVES} SELECT user_id, begin, finish FROM drives",
 }

@@ -7,11 +7,12 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.schema import contract_violations
 from tideline.operators import capabilities, ingest, lineage, places, process, quality, replay, sessions, spend, timeline
 from tideline.plans import live
 from tideline.plans.definitions import STANDARD
 from tideline.plans.detection import DRIVES, LONGEST, PAIRS, SESSION
-from tideline.plans.views import SIG, by_entity, haversine_sql, signals
+from tideline.plans.views import SIG, haversine_sql, signals
 from tideline.session import table
 from tideline.settings import KIND_FIELD
 
@@ -37,11 +38,11 @@ def _evidence(spark, sf_dir) -> DataFrame:
     s = signals(spark, sf_dir)
     pairs = sessions.pair_sessions(s, "signup", "purchase", LONGEST)
     way = F.when(F.col("seq") % 3 == 0, F.array(F.lit("stationary"))).when(F.col("seq") % 3 == 1, F.array(F.lit("walking"))).otherwise(F.array(F.lit("driving")))
-    inside = s.select(F.col("user_id").alias("_u"), F.col("seq").alias("_q"), "id", "name", "ts", "lat", "lon", "acc", way.alias("motion"))
-    rows = pairs.join(inside, (F.col("user_id") == F.col("_u")) & F.col("_q").between(F.col("start_seq"), F.col("end_seq")) & F.col("name").isin("signup", "view", "purchase", "error"))
+    inside = s.filter(F.col("name").isin("signup", "view", "purchase", "error")).select("user_id", "seq", "id", "name", "ts", "lat", "lon", "acc", way.alias("motion"))
+    rows = sessions.in_sessions(inside, pairs).withColumns({c: F.col(f"_in.{c}") for c in ("start_id", "started_at", "ended_at")})
     plain = F.col("name") != "view"
     source = F.struct(
-        F.col("_q").alias("q"), "id", "name", "ts", F.when(~plain, F.col("lat")).alias("lat"), F.when(~plain, F.col("lon")).alias("lon"), "acc", F.when(~plain, F.col("motion")).alias("motion"),
+        F.col("seq").alias("q"), "id", "name", "ts", F.when(~plain, F.col("lat")).alias("lat"), F.when(~plain, F.col("lon")).alias("lon"), "acc", F.when(~plain, F.col("motion")).alias("motion"),
         F.when(F.col("name") == "error", F.lit("session_window")).alias("kind"), F.lit(None).cast("array<struct<id:string,name:string,ts:bigint,lat:double,lon:double,acc:double,motion:array<string>,kind:string>>").alias("parts"),
     )
     grouped = rows.groupBy("user_id", "start_id", "started_at", "ended_at").agg(F.sort_array(F.collect_list(source)).alias("_s"))
@@ -101,12 +102,12 @@ def support_level(spark, sf_dir):
 
 @query()
 def journey_pauses(spark, sf_dir):
-    """Pauses among all of an entity's events of a day."""
-    s = by_entity(signals(spark, sf_dir))
+    """Pauses among a user's events of 30 days."""
+    s = signals(spark, sf_dir)
     source = F.struct("ts", "id", "name", "lat", "lon")
-    days = s.groupBy("user_id", F.floor(F.col("ts") / 86400).alias("day")).agg(F.sort_array(F.collect_list(source)).alias("sources"))
-    e = days.select("user_id", "day", F.explode(capabilities.pauses(F.col("sources"))).alias("_p"))
-    return e.select("user_id", "day", "_p.started_at", "_p.ended_at", "_p.duration_seconds", F.round("_p.place.lat", 6).alias("lat"))
+    spans = s.groupBy("user_id", F.floor(F.col("ts") / 2_592_000).alias("period")).agg(F.sort_array(F.collect_list(source)).alias("sources"))
+    e = spans.select("user_id", "period", F.explode(capabilities.pauses(F.col("sources"))).alias("_p"))
+    return e.select("user_id", "period", "_p.started_at", "_p.ended_at", "_p.duration_seconds", F.round("_p.place.lat", 6).alias("lat"))
 
 
 # --- places ----------------------------------------------------------------------------------------------------------
@@ -173,6 +174,17 @@ def derivation_depth(spark, sf_dir):
     return every.join(d, "id").groupBy("name").agg(F.max("depth").alias("deepest"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH RECURSIVE {_G}, d AS (SELECT id, 1 AS depth FROM ev UNION SELECT l.child_id, d.depth + 1 FROM d JOIN links l ON l.parent_id = d.id),
+    x AS (SELECT ev.id, ev.name, ev.ts, m.depth FROM (SELECT id, max(depth) AS depth FROM d GROUP BY id) m JOIN ev ON ev.id = m.id),
+    newest AS (SELECT name, depth FROM x QUALIFY row_number() OVER (PARTITION BY name ORDER BY ts DESC, id DESC) = 1)
+    SELECT x.name, any_value(newest.depth)::INT AS depth, string_agg(DISTINCT x.depth::VARCHAR, ',' ORDER BY x.depth::VARCHAR) AS depths, max(x.depth)::INT AS deepest FROM x JOIN newest ON newest.name = x.name GROUP BY x.name""")
+def depths_of_types(spark, sf_dir):
+    events, raw, links = _graph(spark, sf_dir)
+    every = events.select("id", "user_id", "name", "ts").unionByName(raw)
+    found = lineage.depth_by_type(every, lineage.depths(every, links))
+    return found.select("name", F.col("depth").cast("int").alias("depth"), F.array_join(F.transform("depths", lambda d: d.cast("string")), ",").alias("depths"), F.col("deepest").cast("int").alias("deepest"))
+
+
 @query(f"""WITH RECURSIVE {_G}, r AS (SELECT id AS root, id, 0 AS distance FROM dy UNION SELECT r.root, l.parent_id, r.distance + 1 FROM r JOIN links l ON l.child_id = r.id)
     SELECT root, distance, count(*) AS n FROM (SELECT root, id, min(distance) AS distance FROM r WHERE distance > 0 GROUP BY 1, 2) GROUP BY 1, 2""")
 def lineage_closure(spark, sf_dir):
@@ -378,6 +390,12 @@ def event_labels(spark, sf_dir):
     return s.select("id", timeline.label(place, F.col("name")).alias("label"), timeline.duration_text(F.col("seq") * 37 % 90000).alias("lasted"))
 
 
+@query(f"WITH {SIG} SELECT id, CASE WHEN seq % 11 = 0 THEN 0 ELSE greatest(0, least(1, (seq % 70) / 10.0::DOUBLE - (seq % 5 + 1) + 1)) END::DOUBLE AS opacity FROM sig")
+def level_visibility(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    return s.select("id", timeline.visibility((F.col("seq") % 70) / F.lit(10.0), F.col("seq") % 5 + 1, F.col("seq") % 11 == 0).alias("opacity"))
+
+
 # --- source quality --------------------------------------------------------------------------------------------------
 
 
@@ -423,6 +441,15 @@ def source_problems(spark, sf_dir):
     return quality.problems(quality.by_source(rows, _AS_OF), every).withColumn("value", F.round("value", 4))
 
 
+@query(f"""WITH {SIG} SELECT id, CASE WHEN seq % 3 = 0 THEN 'extra' ELSE '' END AS unknown, CASE WHEN seq % 5 = 0 THEN 'id' ELSE '' END AS missing FROM sig WHERE seq % 3 = 0 OR seq % 5 = 0""")
+def payload_violations(spark, sf_dir):
+    """Events as payloads, some without their id and some with a field that no payload has."""
+    s = signals(spark, sf_dir)
+    body = F.to_json(F.struct(F.when(F.col("seq") % 5 != 0, F.col("id")).alias("id"), "name", F.lit("x").alias(KIND_FIELD), "user_id", F.col("ts").alias("timestamp"), F.when(F.col("seq") % 3 == 0, F.lit("x")).alias("extra")))
+    bad = contract_violations(s.select("id", body.alias("message")))
+    return bad.select("id", F.array_join("unknown", ",").alias("unknown"), F.array_join("missing", ",").alias("missing"))
+
+
 # --- processes: a cycle a user, stages from event types ---------------------------------------------------------------
 
 _STAGES = [("opened", []), ("collected", ["opened"]), ("checked", ["collected"]), ("sent", ["collected", "checked"])]
@@ -485,6 +512,32 @@ def evidence_match(spark, sf_dir):
     return waiting.join(process.match_evidence(waiting, c, correlate=True, mention=True), "key").select("cycle_key", "stage", "evidence_ts")
 
 
+_RUN_AT = 1_800_000_000
+
+
+@query(_LOG + f""", lv AS (SELECT * FROM cy WHERE NOT EXISTS (SELECT 1 FROM ms WHERE ms.cycle_key = cy.cycle_key AND ms.stage = 'void')),
+    c AS (SELECT user_id || '-' || (ts // 604800) AS cycle_key, ts FROM sig WHERE name <> 'signup'), m0 AS (SELECT cycle_key, stage, ts FROM ms),
+    m1 AS (SELECT * FROM m0 UNION ALL SELECT lv.cycle_key, 'collected', min(c.ts) FROM lv JOIN m0 o ON o.cycle_key = lv.cycle_key AND o.stage = 'opened' JOIN c ON c.cycle_key = lv.cycle_key AND c.ts >= o.ts - 900
+      WHERE NOT EXISTS (SELECT 1 FROM m0 x WHERE x.cycle_key = lv.cycle_key AND x.stage = 'collected') GROUP BY 1),
+    m2 AS (SELECT * FROM m1 UNION ALL SELECT lv.cycle_key, 'checked', min(c.ts) FROM lv JOIN m1 o ON o.cycle_key = lv.cycle_key AND o.stage = 'collected' JOIN c ON c.cycle_key = lv.cycle_key AND c.ts >= o.ts - 900
+      WHERE NOT EXISTS (SELECT 1 FROM m1 x WHERE x.cycle_key = lv.cycle_key AND x.stage = 'checked') GROUP BY 1)
+    SELECT * FROM m2 UNION ALL SELECT lv.cycle_key, 'sent', {_RUN_AT} FROM lv WHERE EXISTS (SELECT 1 FROM m2 x WHERE x.cycle_key = lv.cycle_key AND x.stage = 'collected')
+      AND EXISTS (SELECT 1 FROM m2 x WHERE x.cycle_key = lv.cycle_key AND x.stage = 'checked') AND NOT EXISTS (SELECT 1 FROM m2 x WHERE x.cycle_key = lv.cycle_key AND x.stage = 'sent')""")
+def process_run(spark, sf_dir):
+    """A run over all cycles: collected and checked need an event after their predecessors, sent follows by itself."""
+    log = _log(spark, sf_dir)
+    c = signals(spark, sf_dir).filter("name <> 'signup'").select(F.lit("step").alias("event"), "id", "ts", _cycle().alias("correlate"))
+
+    def find(ready, stage):
+        if stage == "sent":
+            return ready.select("process", "cycle_key", F.lit(None).cast("bigint").alias("evidence_ts"))
+        waiting = ready.select(F.col("cycle_key").alias("key"), F.lit("step").alias("event"), "look_from", F.col("cycle_key").alias("correlate"))
+        found = process.match_evidence(waiting, c, correlate=True).select(F.col("key").alias("cycle_key"), "evidence_ts")
+        return ready.select("process", "cycle_key").join(found, "cycle_key")
+
+    return process.advance(process.cycles(log, "opened"), process.milestones(log), _STAGES, find, _RUN_AT).select("cycle_key", "stage", "ts")
+
+
 @query("""WITH k AS (SELECT lpad((o_orderkey % 97)::VARCHAR, 2, '0') || '-' || year(o_orderdate) AS key, (o_orderkey % 97)::INT AS n, year(o_orderdate)::INT AS year FROM orders)
     SELECT year, max(n) + 1 AS next FROM k GROUP BY year""")
 def next_sequence(spark, sf_dir):
@@ -505,6 +558,22 @@ def business_days(spark, sf_dir):
     return o.select("o_orderkey", process.business_days(F.col("a"), F.date_add("a", (F.col("o_orderkey") % 40 - 3).cast("int"))).alias("days"))
 
 
+@query("""WITH w AS (SELECT o_orderkey, o_totalprice::DECIMAL(10,2) AS rate, (SELECT count(*) FROM range(0, greatest(0, (o_orderkey % 40 - 3)::BIGINT + 1)) r(i) WHERE isodow(o_orderdate::DATE + i::INT) < 6)::INT AS days FROM orders)
+    SELECT o_orderkey, days, (rate * days)::DECIMAL(18,2) AS amount, (days * 8)::INT AS hours FROM w""")
+def worked_days(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.col("o_totalprice").cast("decimal(10,2)").alias("rate"))
+    lines = process.worked_days_line(o.withColumn("b", F.date_add("a", (F.col("o_orderkey") % 40 - 3).cast("int"))), "a", "b", "rate")
+    return lines.select("o_orderkey", "days", "amount", "hours")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE + 20 ELSE o_orderdate::DATE END AS e FROM orders)
+    SELECT o_orderkey, lpad((o_orderkey % 97)::VARCHAR, 2, '0') || '-' || year(e) AS document_no, e AS document_date, date_trunc('month', d - INTERVAL 1 MONTH)::DATE AS month_start, last_day((d - INTERVAL 1 MONTH)::DATE) AS month_end FROM o""")
+def document_fields(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("a", F.to_date("o_orderdate"))
+    rows = o.select("o_orderkey", (F.col("o_orderkey") % 97).alias("n"), F.unix_timestamp(F.col("a").cast("timestamp")).alias("opened"), F.when(F.col("o_orderkey") % 3 == 0, F.date_add("a", 20)).alias("until"))
+    return process.document_fields(rows, "n", "opened", "until").select("o_orderkey", "document_no", "document_date", "month_start", "month_end")
+
+
 @query("""WITH t AS (SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS v FROM orders), i AS (SELECT *, (v::BIGINT - CASE WHEN v::BIGINT > v THEN 1 ELSE 0 END) AS w FROM t),
   s AS (SELECT o_orderkey, v, w, lpad(((v - w) * 100)::INT::VARCHAR, 2, '0') AS c FROM i)
   SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 AND w BETWEEN 1000 AND 999999 THEN NULL WHEN o_orderkey % 4 = 2 THEN w::DECIMAL(28,2) ELSE v::DECIMAL(28,2) END AS amount,
@@ -541,7 +610,23 @@ def end_error(spark, sf_dir):
     return found.select("user_id", "at", "offset")
 
 
-@query()
+@query(f"""WITH {SIG}, b AS (SELECT user_id, name, ts, lag(name) OVER w AS n0, lag(ts) OVER w AS t0 FROM sig WHERE name IN ('signup', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, id))
+    SELECT user_id, t0 AS lo, ts AS hi FROM b WHERE name = 'purchase' AND n0 = 'signup' AND ts - t0 <= {LONGEST}""")
+def boundary_pairs(spark, sf_dir):
+    return replay.boundary_pairs(signals(spark, sf_dir), "signup", "purchase", LONGEST)
+
+
+@query(f"""WITH {SIG}, {PAIRS}, {DRIVES}, {_SPANS},
+    er AS (SELECT arg_min(s.hi - d.finish, abs(s.hi - d.finish) * 2 + CASE WHEN s.hi > d.finish THEN 1 ELSE 0 END) AS o FROM drives d JOIN spans s ON s.user_id = d.user_id AND abs(s.hi - d.finish) <= 900 GROUP BY d.user_id, d.begin, d.finish)
+    SELECT (SELECT count(*) FROM spans WHERE hi - lo >= 120) AS "real", (SELECT count(*) FROM spans WHERE hi - lo < 120) AS junk, (SELECT count(*) FROM drives) AS drives,
+      (SELECT count(*) FROM drives d WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.user_id = d.user_id AND abs(s.lo - d.begin) <= 900) OR NOT EXISTS (SELECT 1 FROM spans s WHERE s.user_id = d.user_id AND abs(s.hi - d.finish) <= 900)) AS missed,
+      (SELECT round(avg(o), 4) FROM er) AS mean_end_error, (SELECT count(*) FROM er WHERE o < -120) AS early_closes""")
+def drive_score(spark, sf_dir):
+    found = replay.score(sessions.drive_sessions(signals(spark, sf_dir), "view", "error"), _spans(spark, sf_dir))
+    return found.withColumn("mean_end_error", F.round("mean_end_error", 4))
+
+
+@query(f"""WITH {SIG}, {PAIRS} SELECT user_id, 'car_trip' AS name, ended_at AS ts, 'removed' AS change FROM sessions WHERE ended_at - started_at > 86400""")
 def replay_diff(spark, sf_dir):
     """Sessions of at most a day against sessions of at most three, by replay of a variant."""
     events = signals(spark, sf_dir).withColumnRenamed("seq", "arrival_seq")

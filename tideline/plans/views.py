@@ -29,11 +29,6 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def by_entity(df: DataFrame) -> DataFrame:
-    """The view keyed by entity: ten users with dense histories."""
-    return df.drop("user_id").withColumnRenamed("entity", "user_id")
-
-
 SIG = """sig AS (
   SELECT 'e' || event_id AS id, user_id::VARCHAR AS user_id, (user_id % 10)::VARCHAR AS entity, event_type AS name,
     floor(epoch_us(ts) / 1000000)::BIGINT AS ts, event_id AS seq,
