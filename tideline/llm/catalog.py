@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import attention_mil, bitplanes, blas_search, debruijn, multiset_hash, partenum, product_quantisation, string_kernel, token_counts, trie_bpe, wu_manber, zip_warc
+from tideline.llm import attention_mil, bitplanes, blas_search, debruijn, multiset_hash, partenum, product_quantisation, spelling, string_kernel, token_counts, trie_bpe, wu_manber, zip_warc
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -82,6 +82,10 @@ def op12_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_quantisation.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_spelling_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -97,6 +101,7 @@ QUERIES = {
         op10_trie_bpe,
         op11_blocked_blas_search,
         op12_product_quantisation,
+        op13_spelling_composition,
     )
 }
 
@@ -207,6 +212,42 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id =
 FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.x = e.vec_id
 """
 
+_OP13 = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, b: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM (SELECT unnest(range(256)) AS i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, run, k, length(run) AS len, list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))) AS bs
+  FROM runs),
+h AS (SELECT run, k, len, xor(list_reduce(bs, lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h FROM bytes, tab),
+v AS (
+  SELECT word, sum(k)::BIGINT AS n
+  FROM (SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % len)::INT) || substr(run, (h % len)::INT + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word AS x, b.word AS y FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM cut a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM cut a JOIN v b ON a.rest = b.word),
+best AS (
+  SELECT x, y, n, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY n DESC, encode(y)) AS k
+  FROM near JOIN v ON v.word = near.y),
+f AS (
+  SELECT v.word, v.n, coalesce(best.n_near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN best.y END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
+  FROM v LEFT JOIN best ON best.x = v.word AND best.k = 1),
+chain AS (
+  SELECT word, word AS at, form AS up FROM f
+  UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN f ON f.word = chain.up)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n
+FROM f JOIN chain ON chain.word = f.word AND chain.up IS NULL
+"""
+
 #: The others can't be said in SQL (tokenizers, learned models, hashes of this library); tests hold them against brute force.
 ORACLE: dict[str, str] = {
     "op3_partenum_join": _OP3,
@@ -215,4 +256,5 @@ ORACLE: dict[str, str] = {
     "op9_debruijn_dedup": _OP9,
     "op11_blocked_blas_search": _OP11,
     "op12_product_quantisation": _OP12,
+    "op13_spelling_composition": _OP13,
 }
