@@ -1,10 +1,15 @@
-"""The step functions on literal rows."""
+"""The detectors on literal rows, and as folds over pieces of random histories."""
+
+import json
+import random
 
 import pytest
 
-from tideline.operators.steps import make_detector, register_detector
+from tideline.operators import folds
+from tideline.operators.folds import Fired, Fold, make_detector, register_detector
 from tideline.plans.definitions import STANDARD, Definition, Plan, load_definitions, with_overrides
-from tideline.plans.router import route
+from tideline.plans import router
+from tideline.streaming.router import EventList, mint_id
 
 T = 1_700_000_000
 HOME, NEAR, AWAY, EDGE = (47.20694, 8.57468), (47.20702, 8.57472), (47.19507, 8.52435), (47.20784, 8.57468)
@@ -16,11 +21,27 @@ def ev(name, ts, at=None, **more):
     return {"id": f"x{n_made[0]}", "name": name, "ts": ts, "lat": at and at[0], "lon": at and at[1], "acc": 10 if at else None} | more
 
 
+def fold(engine, config, events, cuts=()):
+    """What fires as (position, (ts, score, sources)); events in pieces, the state as a text in between."""
+    machine, state, store, out = make_detector(engine, config), {}, [], []
+    events = [(i, e) for i, e in enumerate(events) if e["name"] in machine.reads]
+    for a, b in zip([0, *cuts], [*cuts, len(events)], strict=True):
+        if part := events[a:b]:
+            state = json.loads(json.dumps(state))
+            fired, kept = machine.advance(state, folds.rows_of([e for _, e in part]))
+            store += [part[k][1] for k in kept]
+            for x in fired:
+                score, sources = folds.cited(x, store.__getitem__, getattr(machine, "ping", None))
+                out.append((part[x.row][0], (x.ts, score, sources)))
+            assert all(0 <= a <= b <= len(store) for a, b in machine.needed(state))
+    return out
+
+
 def feed(engine, config, events):
-    """(time of the event that fired, decision) of all that fires."""
-    _, step = make_detector(engine, config)
-    state = {}
-    return [(e["ts"], d) for e in events for d in step(state, e)]
+    """(time of the event that fired, decision) of all that fires, the same for a whole history and event by event."""
+    out = fold(engine, config, events)
+    assert fold(engine, config, events, range(1, len(events))) == out
+    return [(events[i]["ts"], d) for i, d in out]
 
 
 def names(*rows):
@@ -170,20 +191,115 @@ def test_claim_fusion():
     assert not feed("claim_fusion", FUSE | {"min_secondary_span_seconds": 1000}, [secondary, *ticks])
 
 
-def test_router_feeds_derived_events_back_first():
+def frame(spark, users):
+    """users: their events, in arrival order."""
+    rows = [(u, e["id"], e["name"], e["ts"], k, e["lat"], e["lon"], e["acc"] and float(e["acc"])) for u, es in users.items() for k, e in enumerate(es)]
+    return spark.createDataFrame(rows, "user_id string, id string, name string, ts long, arrival_seq long, lat double, lon double, acc double").repartition(4)
+
+
+def test_router_feeds_derived_events_back_first(spark):
     plan = Plan(STANDARD)
     assert "trip" not in plan.external_inputs() and "location_ping" in plan.external_inputs()
     rows = names(("device_connected_to_carplay", T), ("car_lock_state_change", T + 5), ("device_disconnected_from_carplay", T + 900), ("car_lock_state_change", T + 910))
-    state, out = {}, []
-    for e in rows:
-        out += [d["name"] for d in route(plan, state, "u", e)]
-    assert out == ["got_into_the_car", "got_out_the_car", "car_trip"]
+    out = router.run(frame(spark, {"u": rows}), STANDARD).orderBy("seq", "sub").collect()
+    assert [r["name"] for r in out] == ["got_into_the_car", "got_out_the_car", "car_trip"]
+    assert [p["name"] for p in out[2]["sources"][0]["parts"]] == ["device_connected_to_carplay", "car_lock_state_change"]
+    for r in out:  # the same id wherever it is made
+        assert r["id"] == mint_id("u", r["name"], r["ts"], [s.asDict() for s in r["sources"]])
+
+
+def history(g, n):
+    """Sitting, walking and driving, with silences, vague and wild fixes, late events."""
+    out, t, lat, lon, mode = [], T, 47.2, 8.5, "sit"
+    for k in range(n):
+        mode = g.choice(["sit", "drive", "walk"]) if g.random() < 0.06 else mode
+        t += g.choice([5, 30, 60, 60, 120, 300]) if g.random() < 0.93 else g.choice([700, 2000, 8000, 30000])
+        step = {"sit": 0, "drive": 0.01, "walk": 0.0006}[mode]
+        lat, lon = lat + g.uniform(-0.1, 1) * step, lon + g.uniform(-0.5, 1) * step
+        name = g.choice(["location_ping"] * 6 + ["device_connected_to_carplay", "car_lock_state_change", "car_driver_door_opened", "device_disconnected_from_carplay"])
+        off = g.choice([0.3, 2, -40]) if g.random() < 0.03 else g.gauss(0, 0.0002)
+        ts = t - (g.choice([50, 400, 9000]) if g.random() < 0.05 else 0)
+        at = (lat + off, lon + g.gauss(0, 0.0002)) if name == "location_ping" else None
+        out.append(ev(name, ts, at, acc=at and g.choice([5, 10, None, 90, 200])))
+    return out
+
+
+@pytest.mark.parametrize("d", STANDARD, ids=lambda d: d.name)
+def test_folds_of_pieces_are_the_fold_of_the_whole(d):
+    g = random.Random(d.name)
+    for n in (300, 900):
+        events = history(g, n)
+        if d.name in ("car_trip", "got_out_the_car", "trip", "journey"):
+            made = {"car_trip": ["got_into_the_car", "got_out_the_car"], "got_out_the_car": ["got_into_the_car"], "trip": ["got_into_the_car", "got_out_the_car"], "journey": ["trip", "car_trip"]}[d.name]
+            for k in range(0, n, 9):
+                name = g.choice(made)
+                events[k] = claim(name, events[k]["ts"] - g.randrange(900), events[k]["ts"], g.random() < 0.5) if d.name == "journey" else ev(name, events[k]["ts"])
+        out = fold(d.engine, d.engine_config, events)
+        assert out and out == fold(d.engine, d.engine_config, events, sorted(g.randrange(n // 2) for _ in range(7)))
+
+
+def test_segments_of_a_hot_user_give_what_the_whole_gives(spark):
+    from tideline.plans import detect
+
+    g = random.Random(4)
+    users = {f"u{k}": history(g, 60) for k in range(8)} | {"hot": history(g, 1500)}
+    events = frame(spark, users)
+    rows = lambda size: sorted(map(repr, router.run(events, STANDARD, segment=size).collect()))
+    want = rows(10**9)
+    assert {n for n in (d.name for d in STANDARD) if any(f"name='{n}'" in r for r in want)} == {d.name for d in STANDARD}
+    assert rows(40) == want
+    plan = Plan(STANDARD)
+    raw = router.event_rows(events, ["location_ping"]).filter("event.lat is not null and (event.acc is null or event.acc <= 100)")
+    for name in ("stay", "trip"):
+        assert detect.segmented(raw, plan.folds[name], 40).filter("user_id = 'hot'").select("segment").distinct().count() > 3
+
+
+def test_evidence_named_twice_keeps_its_first_place():
+    e = {k: ev(k, T) | {"id": k} for k in "ab"}
+    claimed = ev("trip", T + 9, sources=[e["a"], e["b"], e["a"]])
+    [(_, (_, score, sources))] = feed("claim_fusion", FUSE, [claimed])
+    assert [s["id"] for s in sources] == ["a", "b"] and score == 2
+
 
+class Listed:
+    """A list state that counts what is written."""
 
-def test_ids_are_repeatable():
-    plan, rows = Plan(STANDARD), names(("device_connected_to_carplay", T), ("car_lock_state_change", T + 5))
-    ids = [[d["id"] for e in rows for d in route(plan, state, "u", e)] for state in ({}, {})]
-    assert ids[0] == ids[1] and ids[0]
+    def __init__(self):
+        self.rows, self.written = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows, self.written = list(rows), self.written + sum(len(r[1]) for r in rows)
+
+    def appendList(self, rows):
+        self.rows += rows
+        self.written += sum(len(r[1]) for r in rows)
+
+    def clear(self):
+        self.rows = []
+
+
+def test_an_open_stay_costs_a_batch_its_own_events_only():
+    stay = next(d for d in STANDARD if d.name == "stay")
+    machine, state, store, held, written, sizes = make_detector(stay.engine, stay.engine_config), {}, Listed(), 0, [], []
+    for batch in range(60):
+        events = [ev("location_ping", T + 600 * batch + 60 * k, HOME) | {"id": f"x{batch:03}{k}"} for k in range(10)]
+        first, before = state.get("next", 0), store.written
+        _, kept = machine.advance(state, folds.rows_of(events))
+        held = EventList(store).update(held, {first + k: events[r] for k, r in enumerate(kept)}, machine.needed(state))
+        written.append(store.written - before)
+        sizes.append(len(json.dumps(state)))
+    assert held == 600 and max(written[1:]) <= min(written[1:]) + 10 and max(sizes[5:]) < sizes[5] + 60
+    away = [ev("location_ping", T + 36000 + 300 * k, AWAY) for k in range(6)]
+    _, kept = machine.advance(state, folds.rows_of(away))
+    for _ in range(2):  # the stay is final, its events go
+        fired, kept = machine.advance(state, folds.rows_of([ev("location_ping", T + 90000, AWAY)]))
+    assert EventList(store).update(held, {}, machine.needed(state)) < 20
 
 
 def test_definitions(tmp_path):
@@ -204,8 +320,14 @@ def test_definitions(tmp_path):
 
 
 def test_own_detector():
-    @register_detector("every")
-    def every(c):
-        return {c["name"]}, lambda state, e: [(e["ts"], 1.0, [e])]
+    class Every(Fold):
+        def advance(self, state, rows):
+            first = state.get("next", 0)
+            state["next"] = first + len(rows.ts)
+            return [Fired(k, int(t), 1.0, [(first + k, first + k + 1, folds.ITSELF)]) for k, t in enumerate(rows.ts)], list(range(len(rows.ts)))
+
+        def needed(self, state):
+            return []
 
+    register_detector("every")(lambda c: Every({c["name"]}))
     assert len(feed("every", {"name": "a"}, names(("a", 1), ("a", 2)))) == 2

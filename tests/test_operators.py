@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions.geo import accurate_enough, haversine_m, implied_speed_kmh, is_implausible_jump
 from tideline.functions.schema import SOURCE, contract_violations
 from tideline.operators import capabilities, ingest, lineage, places, process, quality, replay, sessions, spend, telemetry, timeline
-from tideline.operators.steps import make_detector
+from tideline.operators import folds
 from tideline.plans import router
 from tideline.plans.definitions import Definition
 
@@ -49,16 +49,17 @@ def random_events(seed, users=6, n=60, kinds="abc"):
 def stepped(rows, engine, config):
     out = []
     for user in {r[0] for r in rows}:
-        _, step = make_detector(engine, config)
-        state = {}
-        for u, i, n, t, s in rows:
-            if u == user:
-                out += [(user, t, d) for d in step(state, {"id": i, "name": n, "ts": t})]
+        machine = folds.make_detector(engine, config)
+        events = [dict(zip(("user_id", "id", "name", "ts", "seq", "lat", "lon", "acc"), r)) for r in rows if r[0] == user and r[2] in machine.reads]  # noqa: B905
+        fired, kept = machine.advance({}, folds.rows_of(events))
+        for x in fired:
+            score, sources = folds.cited(x, lambda k: events[kept[k]], getattr(machine, "ping", None))
+            out.append((user, events[x.row]["ts"], (x.ts, score, sources)))
     return out
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_native_forms_agree_with_the_steps(spark, seed):
+def test_native_forms_agree_with_the_folds(spark, seed):
     rows = random_events(seed)
     events = spark.createDataFrame(rows, "user_id string, id string, name string, ts bigint, seq bigint")
     w = {"a": 5, "b": 4, "c": 3}
@@ -73,20 +74,15 @@ def test_native_forms_agree_with_the_steps(spark, seed):
     assert got == {(u, d[2][0]["id"], d[2][1]["id"]) for u, _, d in stepped(late, "session_window", {"start_event": "a", "end_event": "b", "max_duration_seconds": 1000})}
 
 
-def test_validated_sessions_agree_with_the_steps(spark):
+def test_validated_sessions_agree_with_the_folds(spark):
     g = random.Random(5)
     rows = [(*r, 47.2 + g.choice([0, 0.0005, 0.02]), 8.5, g.choice([10.0, 300.0])) for r in random_events(5, kinds="abpppp")]
     schema = "user_id string, id string, name string, ts bigint, seq bigint, lat double, lon double, acc double"
     events = spark.createDataFrame(rows, schema)
     pairs = sessions.pair_sessions(events, "a", "b", 5000)
     got = {(r.start_id, r.end_id) for r in sessions.validated_sessions(events, pairs, "p", 300, 2, 0.3).collect()}
-    want = set()
-    for user in {r[0] for r in rows}:
-        _, step = make_detector("validated_session_window", {"start_event": "a", "end_event": "b", "max_duration_seconds": 5000, "location_event": "p", "min_fixes": 2, "min_coverage_ratio": 0.3})
-        state = {}
-        for u, i, n, t, _, lat, lon, acc in rows:
-            if u == user:
-                want |= {(d[2][0]["id"], d[2][1]["id"]) for d in step(state, {"id": i, "name": n, "ts": t, "lat": lat, "lon": lon, "acc": acc})}
+    config = {"start_event": "a", "end_event": "b", "max_duration_seconds": 5000, "location_event": "p", "min_fixes": 2, "min_coverage_ratio": 0.3}
+    want = {(d[2][0]["id"], d[2][1]["id"]) for _, _, d in stepped(rows, "validated_session_window", config)}
     assert got == want and len(got) < pairs.count()
 
 

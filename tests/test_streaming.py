@@ -66,6 +66,13 @@ def test_live_path_is_the_batch(spark, sf, store, tmp_path):
     put = lambda batch, n: batch.write.mode("overwrite").json(str(tmp_path / "out" / f"n={n}"))
     live.derive_stream(stream, STANDARD, put, str(tmp_path / "cp"), lambda: places, availableNow=True).awaitTermination(180)
     assert {r.message for r in spark.read.json(str(tmp_path / "out")).collect()} == want
+    # a book that changes while the stream runs names what is derived from then on
+    books, asked = [places, places.withColumn("name", F.concat(F.lit("new "), "name"))], []
+    book = lambda: asked.append(1) or books[len(asked) > 1]
+    live.derive_stream(stream, STANDARD, lambda b, n: b.write.mode("overwrite").json(str(tmp_path / "out2" / f"n={n}")), str(tmp_path / "cp2"), book, availableNow=True).awaitTermination(180)
+    old, new = ([r.message for r in spark.read.json(str(tmp_path / "out2" / f"n={n}")).collect()] for n in (0, 1))
+    named = lambda ms: [m for m in ms if '"label":"' in m]
+    assert named(old) and named(new) and not any('"label":"new ' in m for m in old) and all('"label":"new ' in m for m in named(new))
 
 
 def test_a_retried_batch_adds_nothing(spark, tmp_path):

@@ -10,6 +10,8 @@ from tideline.settings import KIND_FIELD
 #: Evidence that travels with a decision; `parts` is the evidence of a derived source.
 PART = "struct<id: string, name: string, ts: bigint, lat: double, lon: double, acc: double, motion: array<string>, kind: string>"
 SOURCE = PART[:-1] + f", parts: array<{PART}>>"
+#: An event on its way through the router; `sources` is what a derived one cites, with the parts of these.
+EVENT = PART[:-1] + f", sources: array<{SOURCE}>>"
 DECISION = f"user_id string, seq bigint, sub int, name string, kind string, id string, ts bigint, score double, sources array<{SOURCE}>"
 
 PLACE = "struct<lat: double, lon: double, spread_m: double, label: string, distance_m: double, everyday: boolean, categories: array<string>>"

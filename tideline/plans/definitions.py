@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
-from tideline.operators.steps import make_detector
+from tideline.operators.folds import make_detector
 
 CAPABILITIES = ("interval", "place", "journey", "vehicle", "support", "pauses")
 
@@ -149,31 +149,25 @@ def with_overrides(definitions: list[Definition], overrides: dict[str, dict]) ->
 
 
 class Plan:
-    """Which detector reads which event; what comes from outside."""
+    """Which detector reads which event, what comes from outside, and an order in which each definition follows those it reads."""
 
     def __init__(self, definitions: list[Definition]):
         self.definitions = {d.name: d for d in definitions}
+        self.folds = {d.name: make_detector(d.engine, d.engine_config) for d in definitions}
         self.consumers: dict[str, list[str]] = {}
-        self.steps = {}
         for d in definitions:
-            names, step = make_detector(d.engine, d.engine_config)
-            self.steps[d.name] = step
-            for n in sorted(names):
+            for n in sorted(self.folds[d.name].reads):
                 self.consumers.setdefault(n, []).append(d.name)
-        self._check_acyclic()
+        self.order: list[str] = []
+        while rest := [d for d in self.definitions if d not in self.order]:
+            free = [d for d in rest if all(n in self.order or n not in self.definitions for n in self.folds[d].reads)]
+            if not free:
+                raise ValueError(f"definitions feed each other in a circle: {sorted(rest)}")
+            self.order += free
         topics = {d.source_topic for d in definitions}
         if len(topics) > 1:
             raise ValueError(f"one external source topic only, not {sorted(topics)}")
 
-    def _check_acyclic(self) -> None:
-        reads = {d: {n for n, users in self.consumers.items() if d in users and n in self.definitions} for d in self.definitions}
-        done: set[str] = set()
-        while rest := set(reads) - done:
-            free = {d for d in rest if reads[d] <= done}
-            if not free:
-                raise ValueError(f"definitions feed each other in a circle: {sorted(rest)}")
-            done |= free
-
     def external_inputs(self) -> list[str]:
         """Names that some definition reads and none makes."""
         return sorted(set(self.consumers) - set(self.definitions))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tideline.functions.geo import haversine_m, is_implausible_jump
-from tideline.operators import sessions, telemetry
-from tideline.plans import router
+from tideline.operators import replay, sessions, telemetry
+from tideline.plans import detection_sql, router
 from tideline.plans.definitions import Definition
 from tideline.plans.views import SIG, haversine_sql, signals
 
@@ -156,10 +156,13 @@ drives AS (
   HAVING min(CASE WHEN name = 'view' THEN ts END) IS NOT NULL AND max(CASE WHEN name = 'error' THEN ts END) - min(CASE WHEN name = 'view' THEN ts END) >= 180)"""
 
 
+def _envelopes(spark, sf_dir):
+    return signals(spark, sf_dir).withColumnRenamed("seq", "arrival_seq").withColumn("motion", F.lit(None).cast("array<string>"))
+
+
 def _decisions(spark, sf_dir, *definitions):
     """The keyed detectors over users; the evidence is summed up."""
-    events = signals(spark, sf_dir).withColumnRenamed("seq", "arrival_seq").withColumn("motion", F.lit(None).cast("array<string>"))
-    out = router.run(events, list(definitions))
+    out = router.run(_envelopes(spark, sf_dir), list(definitions))
     return out.select("user_id", "name", "ts", "score", F.size("sources").alias("n_sources"), "id")
 
 
@@ -190,12 +193,30 @@ def router_full(spark, sf_dir):
     return _decisions(spark, sf_dir, GATED, STAY, TRIP, SESSION, JOURNEY)
 
 
+#: Overrides of a variant: the gate counts for less and the cooldown is longer, so that firings go and others come.
+STRICTER = {"out": {"gate_weight": 3, "threshold": 9, "cooldown_seconds": 172800}}
+
+
+def router_variants(spark, sf_dir):
+    """Five definitions under two variants, of which one differs in one definition: the four others are derived once."""
+    definitions = [GATED, STAY, TRIP, SESSION, JOURNEY]
+    out = replay.replay(_envelopes(spark, sf_dir), definitions, {"base": {}, "stricter": STRICTER})
+    return out.select("variant", "user_id", "name", "ts", "score", F.size("sources").alias("n_sources"), "id")
+
+
+def variant_changes(spark, sf_dir):
+    """What the stricter variant removes and adds, per user."""
+    definitions = [GATED]
+    out = replay.replay(_envelopes(spark, sf_dir), definitions, {"base": {}, "stricter": STRICTER}).select("variant", "user_id", "name", "ts")
+    return replay.diff(out.filter("variant = 'base'").drop("variant"), out.filter("variant = 'stricter'").drop("variant"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         session_window, session_interval, cooccurrence_score, decaying_window, weighted_window, validated_session_window, claim_pairing,
         haversine_legs, implausible_jumps, edge_changes, reading_changes, state_changes, vocabulary, telemetry_updates, drive_sessions,
-        session_gated_window, stay_window, trip_window, claim_fusion, router_full,
+        session_gated_window, stay_window, trip_window, claim_fusion, router_full, router_variants, variant_changes,
     )
 }
 
@@ -207,7 +228,28 @@ _WEIGHT = " + ".join(
     f"CASE WHEN c.ts - (SELECT max(st.ts) FROM st WHERE st.user_id = c.user_id AND st.name = '{n}' AND st.ts <= c.ts) <= 86400 THEN {w} ELSE 0 END" for n, w in WEIGHTS.items()
 )
 
+_S = detection_sql
+_GATED, _STAYS, _TRIPS = _S.gated(GATED.engine_config), _S.stays(STAY.engine_config), _S.trips(TRIP.engine_config)
+_STRICT = _S.gated(GATED.engine_config | STRICTER["out"], "strict")
+_CLAIMS = f"""{PAIRS}, {_TRIPS}, pt AS (SELECT user_id, seq, ts, ids, score, lo, hi, {_S.MINT.format(name="trip")} AS id FROM trips_out),
+    sc AS (SELECT *, 1.0 AS score, {_S.MINT.format(name="car_trip")} AS id FROM (
+      SELECT user_id, end_seq AS seq, ended_at AS ts, [start_id, end_id] AS ids, started_at AS lo, ended_at AS hi FROM sessions)),
+    {_S.journeys(JOURNEY.engine_config, "pt", "sc")}"""
+_REST = " UNION ALL ".join(_S.out(n, t) for n, t in (("stay", "stays_out"), ("trip", "trips_out"), ("car_trip", "sc"), ("journey", "journeys_out")))
+
 ORACLE = {
+    "session_gated_window": f"WITH RECURSIVE {SIG}, {_GATED} {_S.out('out', 'gated_out')}",
+    "stay_window": f"WITH RECURSIVE {SIG}, {_STAYS} {_S.out('stay', 'stays_out')}",
+    "trip_window": f"WITH RECURSIVE {SIG}, {_TRIPS} {_S.out('trip', 'trips_out')}",
+    "claim_fusion": f"WITH RECURSIVE {SIG}, {_CLAIMS} {_S.out('journey', 'journeys_out')}",
+    "router_full": f"WITH RECURSIVE {SIG}, {_GATED}, {_STAYS}, {_CLAIMS} {_S.out('out', 'gated_out')} UNION ALL {_REST}",
+    # times of one user are an hour apart at least, so no two can take the same
+    "variant_changes": f"""WITH RECURSIVE {SIG}, {_GATED}, {_STRICT}
+        SELECT user_id, 'out' AS name, ts, 'removed' AS change FROM gated_out a WHERE NOT EXISTS (SELECT 1 FROM strict_out b WHERE b.user_id = a.user_id AND abs(b.ts - a.ts) <= 120)
+        UNION ALL SELECT user_id, 'out', ts, 'added' FROM strict_out a WHERE NOT EXISTS (SELECT 1 FROM gated_out b WHERE b.user_id = a.user_id AND abs(b.ts - a.ts) <= 120)""",
+    "router_variants": f"""WITH RECURSIVE {SIG}, {_GATED}, {_STRICT}, {_STAYS}, {_CLAIMS}, shared AS ({_REST})
+        SELECT 'base' AS variant, * FROM ({_S.out("out", "gated_out")}) UNION ALL SELECT 'stricter', * FROM ({_S.out("out", "strict_out")})
+        UNION ALL SELECT 'base', * FROM shared UNION ALL SELECT 'stricter', * FROM shared""",
     "session_window": f"WITH {SIG}, {PAIRS} SELECT user_id, start_id, started_at, end_id, ended_at FROM sessions",
     "session_interval": f"""WITH {SIG}, {PAIRS} SELECT user_id, count(*) AS n, sum(ended_at - started_at)::BIGINT AS total_seconds, max(ended_at - started_at) AS longest
         FROM sessions GROUP BY user_id""",

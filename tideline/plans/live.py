@@ -12,6 +12,7 @@ from tideline.operators import capabilities
 from tideline.operators.places import match_places
 from tideline.plans import router
 from tideline.plans.definitions import Definition
+from tideline.staging import staged
 from tideline.streaming.router import route_stream
 
 
@@ -20,7 +21,8 @@ def from_envelopes(envelopes: DataFrame) -> DataFrame:
     acc, motion, arrival_seq. Events without a whole number as timestamp have no place in time and go. arrival_seq is the
     time of receipt in microseconds, else the event's time; equal ones are ordered by event time and id."""
     j = lambda k: F.get_json_object("message", f"$.{k}")
-    ts = j("timestamp").try_cast("double").try_cast("bigint")
+    number = j("timestamp").try_cast("double")
+    ts = F.when(number == F.floor(number), number.try_cast("bigint"))
     arrival = F.unix_micros(F.col("received_at").cast("timestamp")) if "received_at" in envelopes.columns else ts * 1_000_000
     return envelopes.select(
         j("id").alias("id"),
@@ -66,8 +68,9 @@ def payloads(decisions: DataFrame, definitions: list[Definition], places: DataFr
 
 
 def derive(envelopes: DataFrame, definitions: list[Definition], places: DataFrame | None = None) -> DataFrame:
-    """Derived envelopes of a batch of raw ones."""
-    return capabilities.wrapped(payloads(router.run(from_envelopes(envelopes), definitions), definitions, places))
+    """Derived envelopes of a batch of raw ones. Decisions are written once: place names are looked up from them several times."""
+    decisions = staged(router.run(from_envelopes(envelopes), definitions), "decisions")
+    return capabilities.wrapped(payloads(decisions, definitions, places))
 
 
 def derive_stream(
@@ -77,7 +80,8 @@ def derive_stream(
     retried. places: asked for the place book before each micro-batch (sources.history.PlaceBook.current reloads it)."""
 
     def put(decisions: DataFrame, number: int) -> None:
-        write(capabilities.wrapped(payloads(decisions, definitions, places() if places else None)), number)
+        # written once, so that a micro-batch is routed once however often its decisions are read
+        write(capabilities.wrapped(payloads(staged(decisions, "decisions"), definitions, places() if places else None)), number)
 
     routed = route_stream(from_envelopes(envelopes), definitions)
     return routed.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()

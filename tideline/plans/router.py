@@ -1,70 +1,27 @@
-"""The router: all definitions over one entity's events in arrival order, derived events fed back before the next one.
+"""The router: all definitions over entities' events in arrival order, derived events fed on to the definitions that read them.
 
-One keyed operator runs the whole graph of definitions, so there is one shuffle however many definitions there are. The
-same route() serves batch (mapInPandas over sorted rows), replay of variants, and streams (streaming.router)."""
+Definitions don't feed each other in circles, so they are stages: each reads raw events and what earlier stages derived, in one order.
+A derived event comes after the raw event that caused it and before the next one; among those that one raw event causes, first come
+those that it sets off itself, in the order of definitions, then those that these set off. `path` holds that order: the number of
+steps, the path of the event that set it off, the place of the definition, and its place there.
+
+A stage is plans.detect.detected: cut at reset points, folded in parallel. What several stages or variants read is written once."""
 
 from __future__ import annotations
 
-import hashlib
-from collections import deque
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.schema import DECISION, entity
+from tideline.functions.schema import DECISION, EVENT, PART, SOURCE, entity
 from tideline.plans.definitions import Definition, Plan
+from tideline.plans.detect import ROW, SEGMENT, detected
+from tideline.staging import staged
 
 COLUMNS = ["user_id", "seq", "sub", "name", "kind", "id", "ts", "score", "sources"]
 EVENT_COLUMNS = ["id", "name", "ts", "lat", "lon", "acc", "motion"]
-
-#: Decisions, with their evidence, that a task hands on at once.
-MOST_DECISIONS = 1000
-
-
-def mint_id(user: str, name: str, ts: int, sources: list[dict]) -> str:
-    """The same evidence always gives the same id, so retries and replays don't duplicate events."""
-    parts = [str(user), name, str(ts), *sorted(str(s.get("id")) for s in sources)]
-    return hashlib.sha256(":".join(parts).encode()).hexdigest()
-
-
-def route(plan: Plan, state: dict, user: str, event: dict) -> Iterator[dict]:
-    """The derived events that one event causes, in order. state: {definition: its state}, changed in place."""
-    queue = deque([event])
-    while queue:
-        ev = queue.popleft()
-        for name in plan.consumers.get(ev["name"], ()):
-            for ts, score, sources in plan.steps[name](state.setdefault(name, {}), ev):
-                ts = int(ts)
-                derived = {
-                    "id": mint_id(user, name, ts, sources),
-                    "name": name,
-                    "ts": ts,
-                    "kind": plan.definitions[name].engine,
-                    "score": float(score),
-                    "sources": sources,
-                }
-                yield derived
-                queue.append(derived)
-
-
-def _part(ev: dict) -> dict:
-    return {k: ev.get(k) for k in (*EVENT_COLUMNS, "kind")}
-
-
-def flat(user: str, seq: int, sub: int, d: dict) -> tuple:
-    """A derived event as a row of DECISION, evidence two levels deep."""
-    sources = [_part(s) | {"parts": [_part(p) for p in s.get("sources") or []] or None} for s in d["sources"]]
-    return user, seq, sub, d["name"], d["kind"], d["id"], d["ts"], d["score"], sources
-
-
-def _clean(row: dict) -> dict:
-    ev = {k: (None if isinstance(v, float) and v != v else v) for k, v in row.items()}
-    if ev.get("motion") is not None:
-        ev["motion"] = list(ev["motion"])
-    ev["ts"] = int(ev["ts"])
-    return ev
+_TYPES = {"lat": "double", "lon": "double", "acc": "double", "motion": "array<string>"}
 
 
 def with_arrival(events: DataFrame) -> DataFrame:
@@ -74,41 +31,86 @@ def with_arrival(events: DataFrame) -> DataFrame:
     return events.withColumn("arrival_seq", F.row_number().over(order).cast("long"))
 
 
-def run(events: DataFrame, definitions: list[Definition], variants: dict[str, list[Definition]] | None = None) -> DataFrame:
+def event_rows(events: DataFrame, names: list[str]) -> DataFrame:
+    """Events (user_id, id, name, ts, arrival_seq and, where there are any, lat, lon, acc, motion) as rows of stages."""
+    have = set(events.columns)
+    columns = [F.col(c) if c in have else F.lit(None).cast(_TYPES[c]).alias(c) for c in EVENT_COLUMNS]
+    event = F.struct(*columns, F.lit(None).alias("kind"), F.lit(None).alias("sources")).cast(EVENT)
+    ts = F.col("ts").cast("long")
+    return events.filter(F.col("name").isin(names)).select(
+        entity(events).alias("user_id"),
+        F.struct(F.col("arrival_seq").cast("long").alias("seq"), ts.alias("ts"), F.col("id").alias("id")).alias("o"),
+        F.array().cast("array<int>").alias("path"),
+        event.alias("event"),
+        ts.alias("lo"),
+        ts.alias("hi"),
+    )
+
+
+def minted(name: str):
+    """The same evidence always gives the same id, so retries and replays don't duplicate events."""
+    ids = F.array_sort(F.transform("sources", lambda s: F.coalesce(s["id"], F.lit("None"))))
+    return F.sha2(F.concat_ws(":", "user_id", F.lit(name), F.col("ts").cast("string"), ids), 256)
+
+
+def decided(rows: DataFrame, d: Definition, plan: Plan, segment: int) -> DataFrame:
+    """ROW and score of what one definition derives."""
+    found = detected(rows, plan.folds[d.name], segment)
+    place = list(plan.definitions).index(d.name)  # readers of one event are in the order of definitions
+    steps = F.when(F.size("path") == 0, F.lit(1)).otherwise(F.element_at("path", 1) + 1)
+    path = F.concat(F.array(steps), F.col("path"), F.array(F.lit(place), F.col("k")))
+    bare = lambda e: F.struct(*[e[c].alias(c) for c in (*EVENT_COLUMNS, "kind")])
+    cited = lambda e: F.struct(*[e[c].alias(c) for c in (*EVENT_COLUMNS, "kind")], F.transform(e["sources"], bare).cast(f"array<{PART}>").alias("parts"))
+    found = found.withColumn("sources", F.transform("sources", cited).cast(f"array<{SOURCE}>"))
+    located = F.filter("sources", lambda s: s["lat"].isNotNull() & s["lon"].isNotNull())
+    times = F.transform(F.when(F.size(located) > 0, located).otherwise(F.col("sources")), lambda s: s["ts"])
+    event = F.struct(minted(d.name).alias("id"), F.lit(d.name).alias("name"), F.col("ts").alias("ts"), *[F.lit(None).alias(c) for c in ("lat", "lon", "acc", "motion")], F.lit(d.engine).alias("kind"), F.col("sources"))
+    return found.select(
+        "user_id", "o", path.alias("path"), event.cast(EVENT).alias("event"), F.coalesce(F.array_min(times), "ts").alias("lo"), F.coalesce(F.array_max(times), "ts").alias("hi"), "score"
+    )
+
+
+def run(events: DataFrame, definitions: list[Definition], variants: dict[str, list[Definition]] | None = None, segment: int = SEGMENT) -> DataFrame:
     """Decisions over events (user_id, id, name, ts, arrival_seq and, where there are any, lat, lon, acc, motion).
 
-    Only events that some definition reads move. With variants, every variant runs over the union of all their inputs
-    and the result has a `variant` column."""
+    With variants the result has a `variant` column. What variants have in common is derived once: a definition whose
+    configuration and all whose inputs are the same in several variants is one stage for them all."""
     sets = variants or {"": definitions}
     plans = {k: Plan(d) for k, d in sets.items()}
-    names = sorted({n for p in plans.values() for n in p.external_inputs()})
-    have = set(events.columns)
-    types = {"lat": "double", "lon": "double", "acc": "double", "motion": "array<string>"}
-    columns = [F.col(c) if c in have else F.lit(None).cast(types[c]).alias(c) for c in EVENT_COLUMNS]
-    rows = events.filter(F.col("name").isin(names)).select(entity(events).alias("user_id"), "arrival_seq", *columns)
-    keys = ["user_id"]
-    if variants:
-        spark = events.sparkSession
-        rows = rows.crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in sets], "variant string")))
-        keys = ["variant", "user_id"]
-
-    def through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, out = None, {}, []
-        frame = lambda: pd.DataFrame(out, columns=COLUMNS + ["variant"] * bool(variants))
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                variant, user, seq = (row.pop("variant") if variants else ""), row.pop("user_id"), int(row.pop("arrival_seq"))
-                if (variant, user) != key:
-                    key, state = (variant, user), {}
-                for i, d in enumerate(route(plans[variant], state, user, _clean(row))):
-                    out.append(flat(user, seq, i, d) + ((variant,) if variants else ()))
-                    if len(out) == MOST_DECISIONS:
-                        yield frame()
-                        out = []
-            if out:
-                yield frame()
-                out = []
-
-    # a key's rows come in a row, batch after batch: what is held is its state, not its history
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "arrival_seq", "ts", F.col("id").asc_nulls_last())
-    return ordered.mapInPandas(through, DECISION + (", variant string" if variants else ""))
+    raw = event_rows(events, sorted({n for p in plans.values() for n in p.external_inputs()}))
+    made: dict[tuple, DataFrame] = {}
+    signs = {k: signatures(p) for k, p in plans.items()}
+    uses = [s for x in signs.values() for s in x.values()]
+    if len(set(uses)) > 1:
+        raw = staged(raw, "events")  # each of several stages reads its names from there
+    out = []
+    for k, plan in plans.items():
+        for name in plan.order:
+            if (sign := signs[k][name]) in made:
+                continue
+            d, reads = plan.definitions[name], plan.folds[name].reads
+            inputs = [made[signs[k][n]].select(ROW) for n in sorted(reads) if n in plan.definitions]
+            if reads - set(plan.definitions):
+                inputs.insert(0, raw.filter(F.col("event.name").isin(sorted(reads - set(plan.definitions)))))
+            found = decided(reduce(DataFrame.unionByName, inputs), d, plan, segment)
+            made[sign] = staged(found, f"derived-{name}") if plan.consumers.get(name) or uses.count(sign) > 1 else found
+        every = [made[signs[k][n]] for n in plan.order]
+        if every:
+            derived = reduce(DataFrame.unionByName, every)
+            out.append(derived.withColumn("variant", F.lit(k)) if variants else derived)
+    if not out:
+        return events.sparkSession.createDataFrame([], DECISION + (", variant string" if variants else ""))
+    keys = (["variant"] if variants else []) + ["user_id", "o"]
+    ranked = reduce(DataFrame.unionByName, out).withColumn("sub", F.row_number().over(Window.partitionBy(*keys).orderBy("path")) - 1)
+    columns = ["user_id", F.col("o.seq").alias("seq"), F.col("sub").cast("int").alias("sub"), "event.name", "event.kind", "event.id", "event.ts", "score", "event.sources"]
+    return ranked.select(*columns, *(["variant"] if variants else []))
+
+
+def signatures(plan: Plan) -> dict[str, tuple]:
+    """What each definition's result depends on: its detector and configuration, its place, and the same of the definitions that it
+    reads."""
+    found: dict[str, tuple] = {}
+    for name in plan.order:
+        d, reads = plan.definitions[name], sorted(plan.folds[name].reads)
+        found[name] = (name, list(plan.definitions).index(name), d.engine, repr(sorted(d.engine_config.items())), tuple(found.get(n) for n in reads))
+    return found
