@@ -108,7 +108,7 @@ def brute_print(text):
             for run in multiset_hash.runs(p):
                 raw = hashlib.blake2b(run.encode(), digest_size=16).digest()
                 signs = [x + (1 if raw[i // 8] >> (7 - i % 8) & 1 else -1) for i, x in enumerate(signs)]
-    packed = b"".join(x.to_bytes(4, "little") for x in lanes) + b"".join((x % 2**16).to_bytes(2, "little") for x in signs)
+    packed = b"".join(x.to_bytes(4, "little") for x in lanes) + b"".join((x % 2**32).to_bytes(4, "little") for x in signs)
     return base64.b64encode(packed).decode(), lanes, signs
 
 
@@ -151,6 +151,19 @@ def test_small_batches(spark, monkeypatch, sf):
     assert r.e > 0.65 and r.n < 0.1 and r.more > 0.97
 
 
+def test_likeness_of_very_repetitive_texts(spark):
+    line, other = "the same sentence again and again", "words that stand in no other line"
+    counts = [(1, 70_000), (2, 40_000), (3, 65_536)]
+    rows = [(i, "\n".join([line] * n)) for i, n in counts] + [(4, "\n".join([other] * 70_000))]
+    got = {r.doc_id: r for r in multiset_hash.compared_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one = brute_print(line)
+    for i, n in counts:
+        packed = b"".join((x * n % 2**32).to_bytes(4, "little") for x in [*one[1], *one[2]])
+        assert got[i].fingerprint == base64.b64encode(packed).decode()
+    assert [got[i].near_next for i in (1, 2)] == pytest.approx([0.999, 0.999]) and got[3].near_next == pytest.approx(brute_likeness(one, brute_print(other)))
+    assert got[1].near_edited == pytest.approx(0.999)  # its end is the same line, cut elsewhere
+
+
 def test_homomorphism():
     text = "\n".join(prose(s, 30) for s in range(20))
     units = paragraphs(text)

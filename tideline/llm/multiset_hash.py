@@ -2,7 +2,7 @@
 
 A document is the multiset of its paragraphs: its lines, but for empty ones. Each paragraph is hashed whole to LANES numbers
 below 2^32, and each of its runs of words to SIGNS of +1 or -1. A fingerprint is the sum over all paragraphs, lanes modulo
-2^32 and signs modulo 2^16. It doesn't depend on order; adding or subtracting a paragraph's vector inserts or deletes it.
+2^32 and signs too (as signed numbers). It doesn't depend on order; adding or subtracting a paragraph's vector inserts or deletes it.
 The lanes tell multisets of paragraphs apart; the sums of signs keep likeness: their cosine estimates how many runs two
 texts share, also for texts of one paragraph.
 
@@ -69,17 +69,17 @@ def lane_sums(units: list[str]) -> np.ndarray:
 
 def sign_sums(units: list[str]) -> np.ndarray:
     """Row i is the sum of the first i runs' signs."""
-    out = np.zeros((len(units) + 1, SIGNS), "<i2")
+    out = np.zeros((len(units) + 1, SIGNS), "<i4")
     raw = b"".join([hashlib.blake2b(u.encode("utf-8", "surrogatepass"), digest_size=SIGNS // 8).digest() for u in units])
     bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, SIGNS // 8), axis=1)
-    np.cumsum(bits.astype("<i2") * np.int16(2) - np.int16(1), axis=0, dtype="<i2", out=out[1:])
+    np.cumsum(bits.astype("<i4") * np.int32(2) - np.int32(1), axis=0, dtype="<i4", out=out[1:])
     return out
 
 
 class Fingerprint:
     def __init__(self, lanes: np.ndarray | None = None, signs: np.ndarray | None = None):
         self.lanes = np.zeros(LANES, "<u4") if lanes is None else lanes
-        self.signs = np.zeros(SIGNS, "<i2") if signs is None else signs
+        self.signs = np.zeros(SIGNS, "<i4") if signs is None else signs
 
     @classmethod
     def of(cls, text: str | None) -> Fingerprint:
@@ -101,7 +101,7 @@ class Fingerprint:
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         raw = base64.b64decode(text)
-        return cls(np.frombuffer(raw[: 4 * LANES], "<u4").copy(), np.frombuffer(raw[4 * LANES :], "<i2").copy())
+        return cls(np.frombuffer(raw[: 4 * LANES], "<u4").copy(), np.frombuffer(raw[4 * LANES :], "<i4").copy())
 
     def likeness(self, other: Fingerprint) -> float:
         """0 to 1; 1 only for equal multisets, ALIKE at most for others that share all their runs."""
