@@ -161,7 +161,7 @@ def test_likeness_of_very_repetitive_texts(spark):
         packed = b"".join((x * n % 2**32).to_bytes(4, "little") for x in [*one[1], *one[2]])
         assert got[i].fingerprint == base64.b64encode(packed).decode()
     assert [got[i].near_next for i in (1, 2)] == pytest.approx([0.999, 0.999]) and got[3].near_next == pytest.approx(brute_likeness(one, brute_print(other)))
-    assert got[1].near_edited == pytest.approx(0.999)  # its end is the same line, cut elsewhere
+    assert got[1].near_edited >= 0.999  # its end gives way to the same line, cut elsewhere
 
 
 def test_homomorphism():
