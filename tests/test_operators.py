@@ -136,6 +136,15 @@ def test_pauses(spark):
     assert capability(spark, "pauses", *leg[:2]) is None
 
 
+def test_pauses_of_a_very_long_way(spark):
+    """100,000 points in one array: each step costs the same."""
+    at = F.when(F.col("id") % 5000 < 4000, F.floor(F.col("id") / 5000) * 0.01).otherwise(F.col("id") * 0.001)
+    points = spark.range(100_000).select(F.struct(F.col("id").cast("string").alias("id"), F.lit("p").alias("name"), (F.col("id") * 10).alias("ts"), (at + 10).alias("lat"), F.lit(8.5).alias("lon")).alias("s"))
+    rows = points.agg(F.sort_array(F.collect_list("s")).alias("sources"))
+    found = rows.select(F.explode(capabilities.pauses(F.col("sources"))).alias("p")).select("p.*").collect()
+    assert [(p.started_at, p.ended_at) for p in found] == [(50_000 * k, 50_000 * k + 39_990) for k in range(1, 20)]
+
+
 def test_shape_and_contract(spark):
     d = sources(spark, [src("a", 1), src("b", 5)]).select(
         F.lit("u").alias("user_id"), F.lit(1).alias("seq"), F.lit(0).alias("sub"), F.lit("car_trip").alias("name"), F.lit("session").alias("kind"), F.lit("id1").alias("id"), F.lit(5).cast("long").alias("ts"), F.lit(1.0).alias("score"), "sources"

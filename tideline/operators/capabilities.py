@@ -50,7 +50,7 @@ def interval(sources: Column) -> Column:
 
 
 def _mean(points: Column, axis: str) -> Column:
-    return F.aggregate(points, F.lit(0.0), lambda acc, p: acc + p[axis]) / F.size(points)
+    return F.try_divide(F.aggregate(points, F.lit(0.0), lambda acc, p: acc + p[axis]), F.size(points))
 
 
 def _unnamed(lat: Column, lon: Column, spread: Column) -> Column:
@@ -59,11 +59,19 @@ def _unnamed(lat: Column, lon: Column, spread: Column) -> Column:
     ).cast(PLACE)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def centre(points: Column) -> Column:
     """Mean position and the largest distance from it."""
-    lat, lon = _mean(points, "lat"), _mean(points, "lon")
-    spread = F.array_max(F.transform(points, lambda p: haversine_m(lat, lon, p["lat"], p["lon"])))
-    return F.when(F.size(points) > 0, _unnamed(lat, lon, F.round(spread, 1)))
+
+    def of(ps: Column, mean: Column) -> Column:
+        spread = F.array_max(F.transform(ps, lambda p: haversine_m(mean["lat"], mean["lon"], p["lat"], p["lon"])))
+        return F.when(F.size(ps) > 0, _unnamed(mean["lat"], mean["lon"], F.round(spread, 1)))
+
+    return bound(points, lambda ps: bound(F.struct(_mean(ps, "lat").alias("lat"), _mean(ps, "lon").alias("lon")), lambda mean: of(ps, mean)))
 
 
 @register_capability("place")
@@ -120,38 +128,44 @@ def support(sources: Column) -> Column:
     return F.when(F.size(kinds) > 0, F.struct(level.alias("level"), kinds.alias("evidence_kinds")))
 
 
-_CLUSTERS = "array<struct<lat: double, lon: double, n: int, points: array<struct<lat: double, lon: double, ts: bigint>>>>"
+_PAUSE = "struct<first: int, last: int, t0: bigint, t1: bigint>"
+_WALK = f"struct<lat: double, lon: double, n: int, first: int, t0: bigint, t1: bigint, i: int, begun: int, kept: array<{_PAUSE}>>"
 
 
 @register_capability("pauses")
 def pauses(sources: Column) -> Column:
-    """Places between origin and destination where one stayed: clusters around a running centre, the outer two left out."""
-    points = F.transform(by_time(located(sources)), lambda s: F.struct(s["lat"].alias("lat"), s["lon"].alias("lon"), s["ts"].alias("ts")))
-
+    """Places between origin and destination where one stayed: clusters around a running centre, the outer two left out. The fold
+    holds one running centre; of a cluster that ends only its bounds stay, and only if it was long enough, so that a step costs the
+    same however many points there are. A pause's place comes from a second look at its points."""
     def fold(acc, p):
-        c = F.try_element_at(acc, F.lit(-1))
-        near = haversine_m(c["lat"], c["lon"], p["lat"], p["lon"]) <= PAUSE_RADIUS_M
-        n = c["n"] + 1
-        grown = F.struct(
-            (c["lat"] + (p["lat"] - c["lat"]) / n).alias("lat"), (c["lon"] + (p["lon"] - c["lon"]) / n).alias("lon"), n.alias("n"), F.concat(c["points"], F.array(p)).alias("points")
-        )
-        new = F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), F.lit(1).alias("n"), F.array(p).alias("points"))
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)).cast(_CLUSTERS)
-        return F.when((F.size(acc) > 0) & near, joined).otherwise(F.concat(acc, F.array(new).cast(_CLUSTERS)))
-
-    clusters = F.aggregate(points, F.array().cast(_CLUSTERS), fold)
-    inner = F.slice(clusters, F.lit(2), F.greatest(F.size(clusters) - 2, F.lit(0)))
-    times = F.transform(
-        inner,
-        lambda c: F.struct(
-            F.element_at(c["points"], 1)["ts"].alias("started_at"),
-            F.element_at(c["points"], -1)["ts"].alias("ended_at"),
-            centre(c["points"]).alias("place"),
-            (F.element_at(c["points"], -1)["ts"] - F.element_at(c["points"], 1)["ts"]).alias("duration_seconds"),
-        ),
-    )
-    kept = F.filter(times, lambda p: p["duration_seconds"] >= PAUSE_SECONDS)
-    return F.when((F.size(points) >= 3) & (F.size(kept) > 0), kept)
+        near = (acc["n"] > 0) & (haversine_m(acc["lat"], acc["lon"], p["lat"], p["lon"]) <= PAUSE_RADIUS_M)
+        n = F.when(near, acc["n"] + 1).otherwise(1)
+        # the first cluster is the origin; the one that is open at the end is the destination
+        stays = ~near & (acc["begun"] >= 2) & (acc["t1"] - acc["t0"] >= PAUSE_SECONDS)
+        ended = F.array(F.struct(acc["first"].alias("first"), acc["i"].alias("last"), acc["t0"].alias("t0"), acc["t1"].alias("t1")))
+        return F.struct(
+            F.when(near, acc["lat"] + (p["lat"] - acc["lat"]) / n).otherwise(p["lat"]).alias("lat"),
+            F.when(near, acc["lon"] + (p["lon"] - acc["lon"]) / n).otherwise(p["lon"]).alias("lon"),
+            n.alias("n"),
+            F.when(near, acc["first"]).otherwise(acc["i"] + 1).alias("first"),
+            F.when(near, acc["t0"]).otherwise(p["ts"]).alias("t0"),
+            p["ts"].alias("t1"),
+            (acc["i"] + 1).alias("i"),
+            (acc["begun"] + F.when(near, 0).otherwise(1)).alias("begun"),
+            F.when(stays, F.concat(acc["kept"], ended)).otherwise(acc["kept"]).alias("kept"),
+        ).cast(_WALK)
+
+    zero = F.struct(*[F.lit(0).alias(c) for c in ("lat", "lon", "n", "first", "t0", "t1", "i", "begun")], F.array().alias("kept")).cast(_WALK)
+
+    def pause(points: Column, k: Column) -> Column:
+        place = centre(F.slice(points, k["first"], k["last"] - k["first"] + 1))
+        return F.struct(k["t0"].alias("started_at"), k["t1"].alias("ended_at"), place.alias("place"), (k["t1"] - k["t0"]).alias("duration_seconds"))
+
+    def of(points: Column) -> Column:
+        found = bound(F.aggregate(points, zero, fold)["kept"], lambda kept: F.when(F.size(kept) > 0, F.transform(kept, lambda k: pause(points, k))))
+        return F.when(F.size(points) >= 3, found)
+
+    return bound(F.transform(by_time(located(sources)), lambda s: F.struct(s["lat"].alias("lat"), s["lon"].alias("lon"), s["ts"].alias("ts"))), of)
 
 
 def shape(decisions: DataFrame, declared: dict[str, tuple[str, ...]]) -> tuple[DataFrame, DataFrame]:

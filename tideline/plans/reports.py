@@ -100,7 +100,15 @@ def support_level(spark, sf_dir):
     return e.select("start_id", F.array_join("_v.evidence_kinds", ",").alias("kinds"), "_v.level")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIG}, p AS MATERIALIZED (
+      SELECT user_id, floor(ts / 2592000)::BIGINT AS period, ts, lat, lon, row_number() OVER (PARTITION BY user_id, floor(ts / 2592000)::BIGINT ORDER BY ts, id) AS i FROM sig),
+    r AS (SELECT DISTINCT user_id, period, 0::BIGINT AS i, 0::BIGINT AS ts, 0::DOUBLE AS lat, 0::DOUBLE AS mlat, 0::DOUBLE AS mlon, 0::BIGINT AS n, 0::BIGINT AS c FROM p
+      UNION ALL
+      SELECT p.user_id, p.period, p.i, p.ts, p.lat, CASE WHEN near THEN r.mlat + (p.lat - r.mlat) / (r.n + 1) ELSE p.lat END, CASE WHEN near THEN r.mlon + (p.lon - r.mlon) / (r.n + 1) ELSE p.lon END,
+        CASE WHEN near THEN r.n + 1 ELSE 1 END, CASE WHEN near THEN r.c ELSE r.c + 1 END
+      FROM r JOIN p ON p.user_id = r.user_id AND p.period = r.period AND p.i = r.i + 1, LATERAL (SELECT r.n > 0 AND {haversine_sql("r.mlat", "r.mlon", "p.lat", "p.lon")} <= 60 AS near)),
+    k AS (SELECT user_id, period, c, min(ts) AS started_at, max(ts) AS ended_at, round(avg(lat), 6) AS lat, max(c) OVER (PARTITION BY user_id, period) AS last FROM r WHERE i > 0 GROUP BY user_id, period, c)
+    SELECT user_id, period, started_at, ended_at, ended_at - started_at AS duration_seconds, lat FROM k WHERE c > 1 AND c < last AND ended_at - started_at >= 120""")
 def journey_pauses(spark, sf_dir):
     """Pauses among a user's events of 30 days."""
     s = signals(spark, sf_dir)
