@@ -12,6 +12,7 @@ from tideline.functions.schema import SOURCE, contract_violations
 from tideline.operators import capabilities, ingest, lineage, places, process, quality, replay, sessions, spend, telemetry, timeline
 from tideline.operators import folds
 from tideline.plans import router
+from tideline.sources.table import Conflict, EventsTable
 from tideline.plans.definitions import Definition
 
 T = 1_700_000_000
@@ -341,19 +342,80 @@ def test_history(spark, tmp_path):
         [(f"i{k}", "u", "a" if k % 2 else "trip", "raw" if k % 2 else "derived", 1704067200 + k, datetime(2024, 1, 1, 0, 0, k), datetime(2024, 1, 1, 0, 0, 20 - k), '{"lat": 1.5}', date(2024, 1, 1)) for k in range(8)],
         "id string, user_id string, name string, event_class string, ts bigint, occurred_at timestamp, ingested_at timestamp, message string, event_date date",
     )
-    ev, li = str(tmp_path / "events"), str(tmp_path / "lineage")
+    ev = str(tmp_path / "events")
     history.append_events(rows, ev)
-    spark.createDataFrame([("i0", "i1"), ("zz", "i1")], "child_id string, parent_id string").write.parquet(li)
+    table = EventsTable(spark, ev)
+    table.replace(rows.limit(0), rows.limit(0), spark.createDataFrame([("i0", "i1"), ("zz", "i1")], "child_id string, parent_id string"))
     span = datetime(2024, 1, 1), datetime(2024, 1, 2)
     scan = history.scan_signals(history.read_events(spark, ev), "u", *span, ["a"])
     assert [(r.id, r.arrival_seq, r.lat) for r in scan.orderBy("arrival_seq").collect()] == [("i7", 1, 1.5), ("i5", 2, 1.5), ("i3", 3, 1.5), ("i1", 4, 1.5)]
     fresh = rows.filter("id = 'i0'").withColumn("id", F.lit("new"))
     links = spark.createDataFrame([("new", "i1")], "child_id string, parent_id string")
     with pytest.raises(history.HistoryExists):
-        history.rederive(spark, ev, li, fresh, links, ["trip"], *span)
-    assert history.rederive(spark, ev, li, fresh, links, ["trip"], *span, replace=True) == {"trip": 4}
-    assert {r.id for r in spark.read.parquet(ev).collect()} == {"i1", "i3", "i5", "i7", "new"}
-    assert {r.child_id for r in spark.read.parquet(li).collect()} == {"zz", "new"}
+        history.rederive(spark, ev, fresh, links, ["trip"], *span)
+    assert history.rederive(spark, ev, fresh, links, ["trip"], *span, replace=True) == {"trip": 4}
+    assert {r.id for r in history.read_events(spark, ev).collect()} == {"i1", "i3", "i5", "i7", "new"}
+    assert {r.child_id for r in table.lineage().collect()} == {"zz", "new"}
+
+
+def day_rows(spark, *ids, day=1):
+    rows = [(i, date(2024, 1, day)) for i in ids]
+    return spark.createDataFrame(rows, "id string, event_date date")
+
+
+def ids_of(df):
+    return sorted(r.id for r in df.collect())
+
+
+def test_a_write_that_breaks_off_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    table = EventsTable(spark, str(tmp_path))
+    links = lambda *c: spark.createDataFrame([(x, "r") for x in c], "child_id string, parent_id string")
+    table.append(day_rows(spark, "a", "b"), "s", 1)
+    table.replace(day_rows(spark), day_rows(spark, "c"), links("c"))
+    state = lambda: (ids_of(table.read()), sorted(r.child_id for r in table.lineage().collect()))
+    assert state() == (["a", "b", "c"], ["c"])
+
+    def broken(*_):
+        raise OSError("gone")
+
+    whole = EventsTable._write
+    for fails in (1, 2, 3, 4, 5):  # at each write, the last of which is the entry itself
+        calls = []
+        with monkeypatch.context() as m:
+            m.setattr(EventsTable, "_write", lambda self, rows, kind: broken() if len(calls) == fails - 1 else calls.append(1) or whole(self, rows, kind))
+            if fails == 5:
+                m.setattr(EventsTable, "_put", broken)
+            with pytest.raises(OSError, match="gone"):
+                table.replace(day_rows(spark, "a", "c"), day_rows(spark, "d"), links("d"))
+        assert state() == (["a", "b", "c"], ["c"])
+    table.replace(day_rows(spark, "a", "c"), day_rows(spark, "d"), links("d"))
+    assert state() == (["b", "d"], ["d"])
+    assert not table.append(day_rows(spark, "x"), "s", 1) and table.append(day_rows(spark, "x"), "s", 2)  # retried, and next
+    assert state() == (["b", "d", "x"], ["d"])
+    assert table.vacuum(0) > 0 and state() == (["b", "d", "x"], ["d"])
+
+
+def test_compaction_leaves_few_files_and_older_readers(spark, tmp_path, monkeypatch):
+    from tideline.sources import table as module
+
+    monkeypatch.setattr(module, "SNAPSHOT", 4)
+    table = EventsTable(spark, str(tmp_path))
+    for k in range(9):
+        table.append(day_rows(spark, f"a{k}").unionByName(day_rows(spark, f"b{k}", day=2)), "s", k)
+    old, want = table.read(), ids_of(table.read())
+    assert len(want) == 18 and len(table.read(date(2024, 1, 2), date(2024, 1, 2)).inputFiles()) == 9
+    assert table.compact() == 16
+    assert ids_of(table.read()) == want == ids_of(old) and len(table.read().inputFiles()) == 2
+    assert ids_of(table.read(version=3)) == ["a0", "a1", "a2", "b0", "b1", "b2"]
+    assert ids_of(table.read(date(2024, 1, 2))) == [f"b{k}" for k in range(9)] and ids_of(table.read(date(2025, 1, 1))) == []
+    [entry] = [f for f in table.state()["live"]["events"] if f.endswith("01-01")]
+    other = EventsTable(spark, str(tmp_path))
+    other.append(day_rows(spark, "n"), "s", 9)
+    other.compact(date(2024, 1, 1))  # meanwhile
+    with pytest.raises(Conflict):
+        table._commit({"events": {}}, [entry])
+    taken = max(table._versions())
+    assert not table._put(taken, "{}") and ids_of(table.read()) == sorted([*want, "n"])
 
 
 def test_rederiving_empties_a_day(spark, tmp_path):
@@ -363,13 +425,14 @@ def test_rederiving_empties_a_day(spark, tmp_path):
         [(f"d{k}", "u", "trip", "derived", 1704067200 + 86400 * k, datetime(2024, 1, 1 + k), datetime(2024, 1, 1 + k), "{}", date(2024, 1, 1 + k)) for k in range(2)],
         "id string, user_id string, name string, event_class string, ts bigint, occurred_at timestamp, ingested_at timestamp, message string, event_date date",
     )
-    ev, li = str(tmp_path / "events"), str(tmp_path / "lineage")
+    ev = str(tmp_path / "events")
     history.append_events(rows, ev)
-    spark.createDataFrame([("d0", "x"), ("d1", "x")], "child_id string, parent_id string").write.parquet(li)
+    table = EventsTable(spark, ev)
+    table.replace(rows.limit(0), rows.limit(0), spark.createDataFrame([("d0", "x"), ("d1", "x")], "child_id string, parent_id string"))
     fresh, links = rows.filter("id = 'd1'").withColumn("id", F.lit("new")), spark.createDataFrame([("new", "x")], "child_id string, parent_id string")
     for _ in range(2):  # again gives the same
-        history.rederive(spark, ev, li, fresh, links, ["trip"], datetime(2024, 1, 1), datetime(2024, 1, 9), replace=True)
-        assert [r.id for r in history.read_events(spark, ev).collect()] == ["new"] and [r.child_id for r in spark.read.parquet(li).collect()] == ["new"]
+        history.rederive(spark, ev, fresh, links, ["trip"], datetime(2024, 1, 1), datetime(2024, 1, 9), replace=True)
+        assert [r.id for r in history.read_events(spark, ev).collect()] == ["new"] and [r.child_id for r in table.lineage().collect()] == ["new"]
 
 
 def test_fusing_claims_in_turn(spark):

@@ -86,14 +86,14 @@ def test_a_retried_batch_adds_nothing(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     from tideline.operators import ingest
-    from tideline.sources import streams
+    from tideline.sources import history, streams
 
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.json").write_text(json.dumps({"path": "/sensors/app", "body": json.dumps({"payload": {"event_name": "a", "user_id": "u", "timestamp": 1704067200}}), "source_key": "1"}) + "\n")
     raw = spark.readStream.schema("path string, body string, source_key string").json(str(tmp_path / "raw"))
     rows = ingest.shape_for_table(ingest.enrich(ingest.shape_standard(ingest.parse_path(raw)[0])[0]))
     streams.persist_events(rows, str(tmp_path / "events"), str(tmp_path / "cp"), availableNow=True).awaitTermination(120)
-    [r] = spark.read.parquet(str(tmp_path / "events")).collect()
+    [r] = history.read_events(spark, str(tmp_path / "events")).collect()
     assert r.name == "a" and str(r.event_date) == "2024-01-01"
     (tmp_path / "env").mkdir()
     (tmp_path / "env" / "a.json").write_text(json.dumps({"name": "trip", "source_app": "tideline", "source_type": "kafka", "message": '{"user_id": "u"}'}) + "\n")

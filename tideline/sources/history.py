@@ -3,26 +3,23 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.sources.table import EventsTable
 
-#: The events table's folders: days, so that windowed reads prune, and in these what was written together.
-PARTS = ["event_date", "batch"]
-
-
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch")
+def read_events(spark: SparkSession, path: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """The events table; of a window's days only, if one is given."""
+    return EventsTable(spark, path).read(since and since.date(), until and until.date())
 
 
 def append_events(rows: DataFrame, path: str, batch: str | None = None) -> None:
-    """Adds rows as a batch of this name; one that was written before is replaced, so that a retry adds nothing twice."""
-    named = rows.withColumn("batch", F.lit(f"b-{batch or uuid.uuid4().hex}"))
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
+    """Adds rows. batch: <stream>-<number>; one that is there already adds nothing again, so that it may be retried."""
+    stream, _, number = (batch or "").rpartition("-")
+    EventsTable(rows.sparkSession, path).append(rows, stream if batch else None, int(number) if batch else None)
 
 
 def scan_signals(events: DataFrame, user: str | None, since: datetime, until: datetime, names: list[str]) -> DataFrame:
@@ -75,31 +72,15 @@ class HistoryExists(ValueError):
     """Derived events of the window are there already."""
 
 
-def rederive(spark: SparkSession, events_path: str, lineage_path: str, fresh: DataFrame, links: DataFrame, names: list[str], since: datetime, until: datetime, replace: bool = False) -> dict[str, int]:
-    """Replaces derived events of a window, and their lineage, by fresh ones; without `replace` refuses if there are any.
-    Returns how many were there by name. Only the days of the window are rewritten; a day that is left without rows goes.
-    Lineage is replaced first and holds each link once, so that a run that broke off may be repeated."""
-    events = spark.read.parquet(events_path)
-    fresh = fresh.withColumn("batch", F.lit(f"b-{uuid.uuid4().hex}"))
-    old = events.filter((F.col("event_class") == "derived") & F.col("name").isin(names) & (F.col("occurred_at") >= F.lit(since)) & (F.col("occurred_at") < F.lit(until)))
+def rederive(spark: SparkSession, path: str, fresh: DataFrame, links: DataFrame, names: list[str], since: datetime, until: datetime, replace: bool = False) -> dict[str, int]:
+    """Replaces derived events of a window of the events table, and their lineage, by fresh ones, in one step; without `replace`
+    refuses if there are any. Returns how many were there by name."""
+    table = EventsTable(spark, path)
+    old = table.read(since.date(), until.date()).filter(
+        (F.col("event_class") == "derived") & F.col("name").isin(names) & (F.col("occurred_at") >= F.lit(since)) & (F.col("occurred_at") < F.lit(until))
+    )
     there = {r["name"]: r["n"] for r in old.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
     if there and not replace:
         raise HistoryExists(f"already derived: {there}; pass replace=True to replace them")
-    days = [r[0] for r in old.select("event_date").unionByName(fresh.select("event_date")).distinct().collect()]  # the window's days
-    gone = old.select("id")
-    kept = events.filter(F.col("event_date").isin(days)).join(gone, "id", "left_anti") if there else events.filter(F.col("event_date").isin(days))
-    stage = f"{events_path.rstrip('/')}_next"
-    kept.select(events.columns).unionByName(fresh.select(events.columns)).write.mode("overwrite").partitionBy(*PARTS).parquet(stage)
-    old_links = spark.read.parquet(lineage_path)
-    next_links = old_links.join(gone.withColumnRenamed("id", "child_id"), "child_id", "left_anti").select("child_id", "parent_id").unionByName(links.select("child_id", "parent_id")).distinct()
-    link_stage = f"{lineage_path.rstrip('/')}_next"
-    next_links.write.mode("overwrite").parquet(link_stage)
-    spark.read.parquet(link_stage).write.mode("overwrite").parquet(lineage_path)
-    fill = spark.read.schema(events.schema).parquet(stage)
-    parts = [F.col(c).cast("string").alias(c) for c in PARTS]
-    emptied = events.filter(F.col("event_date").isin(days)).select(*parts).distinct().join(fill.select(*parts).distinct(), PARTS, "left_anti").collect()  # folders
-    fill.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(events_path)
-    for r in emptied:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{events_path.rstrip('/')}/event_date={r['event_date']}/batch={r['batch']}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    table.replace(old.select("id"), fresh, links)
     return there
