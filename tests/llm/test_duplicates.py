@@ -174,7 +174,7 @@ def test_paths_of_the_graph(spark):
     keyed = debruijn._keyed(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string"))
     firsts = keyed.groupBy("text").agg({"doc": "min"}).withColumnRenamed("min(doc)", "doc").join(keyed, ["doc", "text"]).select("doc", "h")
     candidates = debruijn._candidates(keyed, 20, 8).join(firsts, "h").select("doc", "h", "ms", "hot")
-    edges, _ = debruijn._repeats(keyed, candidates, 20, 8)
+    edges, _, _ = debruijn._repeats(keyed, candidates, 20, 8)
     words = {i: WORD.findall(t) for i, t in enumerate(texts, 1)}
     occurs, seen = Counter(), set()
     for i, w in words.items():

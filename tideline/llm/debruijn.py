@@ -19,8 +19,8 @@ earlier. Null texts have no words. Documents shorter than a window lose nothing.
 Only doc_id and text are read, and in deduplicated() n_chars follows the text; columns of any other name stay as they are.
 A very long text costs memory in proportion to its words, for one text at a time.
 
-Hot keys: windows with a hash that over a thousandth of all occurrences share are summed up before they move; those edges
-that are hot themselves (at most a thousand) find their source in a table that is part of the plan, and don't move.
+Hot keys: windows with a hash that over a thousandth of all occurrences share are summed up where they are found; those edges
+that are hot themselves (at most a thousand) are looked up in the documents, which give a row a stretch of such windows.
 """
 
 from __future__ import annotations
@@ -128,70 +128,108 @@ def _candidates(keyed: DataFrame, window: int, k: int) -> DataFrame:
     )
 
 
-def _windows(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> DataFrame:
-    """(a, b, doc, h, pos, hot): the windows of documents with candidates whose named hash is one."""
+def _group_windows(group: list[tuple], window: int, k: int) -> dict[str, np.ndarray]:
+    """a, b, doc, h, pos, hot: the windows of some rows (doc, text, h, ms, hot) whose named hash is one of theirs."""
+    words, at = hashed([r[1] for r in group])
+    starts, text = _starts(at, window)
+    m = _least(words, window, k)[starts].view(np.int64) if len(starts) else np.zeros(0, np.int64)
+    ends = np.searchsorted(text, np.arange(len(group) + 1))
+    keep, hot = np.zeros(len(m), bool), np.zeros(len(m), bool)
+    for i, r in enumerate(group):
+        part = slice(ends[i], ends[i + 1])
+        if len(r[4]):
+            hot[part] = np.isin(m[part], np.asarray(r[4], np.int64))
+        keep[part] = hot[part] | np.isin(m[part], np.asarray(r[3], np.int64))
+    start, of = starts[keep], text[keep]
+    nodes = runs(words, window - 1).view(np.int64)
+    docs, hs = np.array([r[0] for r in group], np.int64), np.array([r[2] for r in group], np.int64)
+    pos = (start - at[of]).astype(np.int32)
+    return {"a": nodes[start], "b": nodes[start + 1], "doc": docs[of], "h": hs[of], "pos": pos, "hot": hot[keep]} if len(start) else {}
+
+
+class _Edges:
+    """Hot edges with their source coordinates, to be looked up by many windows at once."""
+
+    def __init__(self, rows: list):
+        key = self._key(*(np.array([r[c] for r in rows], np.int64) for c in "ab"))
+        order = np.argsort(key)
+        self.key = key[order]
+        self.a, self.b = (np.array([r[c] for r in rows], np.int64)[order] for c in "ab")
+        self.doc, self.h, self.pos = (np.array([r["_s"][c] for r in rows], np.int64)[order] for c in ("doc", "h", "pos"))
+
+    @staticmethod
+    def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each window's edge, -1 for others."""
+        if not len(self.key):
+            return np.full(len(a), -1)
+        at = np.minimum(np.searchsorted(self.key, self._key(a, b)), len(self.key) - 1)
+        return np.where((self.a[at] == a) & (self.b[at] == b), at, -1)
+
+    def spans(self, w: dict[str, np.ndarray]) -> pd.DataFrame:
+        """A row for each stretch of windows whose sources are a stretch too, without the sources themselves."""
+        at = self.find(w["a"], w["b"])
+        doc, h, pos, s = w["doc"], w["h"], w["pos"].astype(np.int64), (self.doc[at], self.h[at], self.pos[at])
+        later = (doc > s[0]) | ((doc == s[0]) & ((h > s[1]) | ((h == s[1]) & (pos > s[2]))))
+        keep = (at >= 0) & later
+        doc, h, pos, s_doc, s_h, s_pos = (x[keep] for x in (doc, h, pos, *s))
+        new = np.ones(len(doc), bool)
+        same = (x[1:] == x[:-1] for x in (doc, h, s_doc, s_h))
+        new[1:] = ~np.logical_and.reduce([*same, pos[1:] == pos[:-1] + 1, s_pos[1:] == s_pos[:-1] + 1])
+        heads = np.flatnonzero(new)
+        size = np.diff(np.append(heads, len(doc)))
+        return pd.DataFrame({"doc": doc[heads], "h": h[heads], "start": pos[heads], "s_doc": s_doc[heads], "s_h": s_h[heads], "s_start": s_pos[heads], "_k": size})
+
+
+def _mapped(keyed: DataFrame, candidates: DataFrame, window: int, k: int, make, schema: str) -> DataFrame:
+    """make(windows) for the windows (_group_windows) of documents with candidates, batch by batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = zip(pdf["doc"], pdf["text"], pdf["h"], pdf["ms"], pdf["hot"], strict=True)
             for group in grouped(rows, 1):
-                words, at = hashed([r[1] for r in group])
-                starts, text = _starts(at, window)
-                if not len(starts):
-                    continue
-                m = _least(words, window, k)[starts].view(np.int64)
-                ends = np.searchsorted(text, np.arange(len(group) + 1))
-                keep, hot = np.zeros(len(m), bool), np.zeros(len(m), bool)
-                for i, r in enumerate(group):
-                    part = slice(ends[i], ends[i + 1])
-                    if len(r[4]):
-                        hot[part] = np.isin(m[part], np.asarray(r[4], np.int64))
-                    keep[part] = hot[part] | np.isin(m[part], np.asarray(r[3], np.int64))
-                at_start, of = starts[keep], text[keep]
-                nodes = runs(words, window - 1).view(np.int64)
-                docs, hs = np.array([r[0] for r in group], np.int64), np.array([r[2] for r in group], np.int64)
-                yield pd.DataFrame(
-                    {
-                        "a": nodes[at_start],
-                        "b": nodes[at_start + 1],
-                        "doc": docs[of],
-                        "h": hs[of],
-                        "pos": (at_start - at[of]).astype(np.int32),
-                        "hot": hot[keep],
-                    }
-                )
-
-    joined = keyed.join(candidates, ["doc", "h"]).select("doc", "text", "h", "ms", "hot")
-    return joined.mapInPandas(run, "a long, b long, doc long, h long, pos int, hot boolean")
-
-
-def _repeats(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """The repeated edges (a, b: their nodes; doc, h, pos: their source coordinates), and each occurrence but the earliest
-    (doc, h, pos, s: source coordinates)."""
-    place, columns = F.struct("doc", "h", "pos"), ["a", "b", "doc", "h", "pos", "_s"]
+                if found := _group_windows(group, window, k):
+                    yield make(found)
+
+    return keyed.join(candidates, ["doc", "h"]).select("doc", "text", "h", "ms", "hot").mapInPandas(run, schema)
+
+
+def _summed(w: dict[str, np.ndarray]) -> pd.DataFrame:
+    """The edges of some windows, each with its first occurrence and how many it has there."""
+    return pd.DataFrame(w).sort_values(["doc", "h", "pos"]).groupby(["a", "b"], sort=False).agg(doc=("doc", "first"), h=("h", "first"), pos=("pos", "first"), n=("pos", "size")).reset_index()
+
+
+def _repeats(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The repeated edges (a, b: their nodes; doc, h, pos: their source coordinates); each occurrence but the earliest (doc, h, pos,
+    s: source coordinates); and, of hot edges, the stretches of such occurrences (doc, h, start, s_doc, s_h, s_start, _k windows).
+
+    Windows that name hot hashes are summed up where they are found. Of their edges the hot ones, at most HOT, are looked up in
+    the documents: their windows leave them as stretches, a row each, and never one by one."""
+    spark, place, columns = keyed.sparkSession, F.struct("doc", "h", "pos"), ["a", "b", "doc", "h", "pos", "_s"]
     none = F.array().cast("array<bigint>")
-    windows = _windows(keyed, candidates.filter("size(ms) > 0"), window, k).filter(~F.col("hot")).drop("hot")
-    by_top, hot = None, candidates.filter("size(hot) > 0")
+    kinds = "a long, b long, doc long, h long, pos int"
+    plain = lambda keep: lambda w: pd.DataFrame({c: w[c][keep(w)] for c in ("a", "b", "doc", "h", "pos")})
+    windows = _mapped(keyed, candidates.filter("size(ms) > 0"), window, k, plain(lambda w: ~w["hot"]), kinds)
+    stretches, top = spark.createDataFrame([], "doc long, h long, start long, s_doc long, s_h long, s_start long, _k long"), []
+    hot = candidates.filter("size(hot) > 0").withColumn("ms", none)
     if hot.limit(1).count():
-        many = staged(_windows(keyed, hot.withColumn("ms", none), window, k).drop("hot"), "hot-windows")
-        counts = staged(many.groupBy("a", "b").agg(F.min(place).alias("_s"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "hot-edges")
+        sums = _mapped(keyed, hot, window, k, _summed, f"{kinds}, n long")
+        counts = staged(sums.groupBy("a", "b").agg(F.min(place).alias("_s"), F.sum("n").alias("_n")).filter("_n > 1"), "hot-edges")
         total = counts.agg(F.sum("_n")).first()[0] or 0
         top = counts.filter(F.col("_n") > hot_share(total)).collect()  # as many as hot_share allows
+        edges = _Edges(top)
         if top:
-            entry = lambda r: (F.lit(f"{r['a']}:{r['b']}"), F.struct(*[F.lit(r["_s"][c]).cast(t).alias(c) for c, t in (("doc", "long"), ("h", "long"), ("pos", "int"))]))
-            source = F.try_element_at(F.create_map(*[x for r in top for x in entry(r)]), F.concat_ws(":", "a", "b"))
-            many = many.withColumn("_s", source)
-            by_top = many.filter("_s is not null").select(columns)
-            many = many.filter("_s is null").drop("_s")
-        windows = windows.unionByName(many)
+            stretches = _mapped(keyed, hot, window, k, edges.spans, "doc long, h long, start long, s_doc long, s_h long, s_start long, _k long")
+        windows = windows.unionByName(_mapped(keyed, hot, window, k, plain(lambda w: edges.find(w["a"], w["b"]) < 0), kinds))
     along = Window.partitionBy("a", "b").orderBy("doc", "h", "pos")
     found = windows.withColumns({"_s": F.first(place).over(along), "_next": F.lead("pos").over(along)})
-    found = found.filter((place > F.col("_s")) | F.col("_next").isNotNull()).select(columns)
-    if by_top is not None:
-        found = found.unionByName(by_top)
     later = place > F.col("_s")
+    found = found.filter(later | F.col("_next").isNotNull()).select(columns)
     split = staged(found.select(*[F.when(~later, F.col(c)).alias(c) for c in ("a", "b")], "doc", "h", "pos", F.when(later, F.col("_s")).alias("s")), "edges")
-    return split.filter("s is null").drop("s"), split.filter("s is not null").drop("a", "b")
+    own = spark.createDataFrame([(r["a"], r["b"], r["_s"]["doc"], r["_s"]["h"], r["_s"]["pos"]) for r in top], kinds)
+    return split.filter("s is null").drop("s").unionByName(own), split.filter("s is not null").drop("a", "b"), stretches
 
 
 def graph_runs(edges: DataFrame) -> DataFrame:
@@ -249,13 +287,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     keyed = _keyed(docs)
     firsts = keyed.select("doc", "h", F.md5("text").alias("_md5")).groupBy("_md5").agg(F.min(F.struct("doc", "h")).alias("_f")).select("_f.doc", "_f.h")
     candidates = staged(_candidates(keyed, window, k).join(firsts, "h").select("doc", "h", "ms", "hot"), "edge-documents")
-    edges, repeats = _repeats(keyed, candidates, window, k)
+    edges, repeats, stretches = _repeats(keyed, candidates, window, k)
     along = Window.partitionBy("doc", "h").orderBy("pos")
     before = F.lag("s").over(along)
     goes_on = (F.col("pos") == F.lag("pos").over(along) + 1) & (F.col("s.doc") == before["doc"]) & (F.col("s.h") == before["h"]) & (F.col("s.pos") == before["pos"] + 1)
     steps = repeats.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_part", F.sum("_new").over(along))
     parts = steps.groupBy("doc", "h", "_part").agg(F.min("pos").alias("start"), F.min("s").alias("s"), F.count(F.lit(1)).alias("_k"))
-    parts = staged(parts.select("doc", "h", "start", F.struct("s.doc", "s.h").alias("src"), F.col("s.pos").alias("s_start"), F.col("_k").cast("int").alias("_k")), "spans")
+    parts = parts.select("doc", "h", "start", "s.doc", "s.h", F.col("s.pos").alias("s_start"), F.col("_k").alias("_k")).toDF("doc", "h", "start", "s_doc", "s_h", "s_start", "_k")
+    whole = [F.col(c).cast("int").alias(c) for c in ("start", "s_start", "_k")]
+    parts = staged(parts.unionByName(stretches).select("doc", "h", F.struct(F.col("s_doc").alias("doc"), F.col("s_h").alias("h")).alias("src"), *whole), "spans")
     # cut where a run begins
     paths = graph_paths(graph_runs(edges))
     heads = paths.groupBy(F.struct("doc", "h").alias("src")).agg(F.sort_array(F.collect_set(F.struct("pos", "path"))).alias("_heads"))  # one document's
