@@ -137,6 +137,22 @@ def test_pauses(spark):
     assert capability(spark, "pauses", *leg[:2]) is None
 
 
+def test_supersession_sweep_equals_pairs(spark):
+    from tideline.operators import timeline
+
+    g, rules = random.Random(6), [("car_trip", "journey"), ("car_trip", "trip"), ("trip", "journey")]
+    rows = []
+    for k in range(400):
+        lo = g.randrange(20_000)
+        span = (lo, lo + g.choice([0, 5, 100, 900])) if g.random() < 0.9 else (None, None)
+        rows.append((f"s{k}", g.choice("uv"), g.choice(["car_trip", "trip", "journey", "stay"]), lo, *span))
+    frame = spark.createDataFrame(rows, "id string, user_id string, name string, ts bigint, lo bigint, hi bigint")
+    spans = [tuple(r) for r in frame.filter(timeline.is_span()).select("id", "user_id", "name", "lo", "hi").collect()]
+    want = {a[0] for a in spans for b in spans if (a[2], b[2]) in rules and a[1] == b[1] and b[3] <= a[4] and a[3] <= b[4]}
+    assert {r.id for r in timeline.superseded(frame, rules).collect()} == want and 20 < len(want) < len(spans)
+    assert "Join" not in plan_of(timeline.superseded(frame, rules)).replace("BroadcastHashJoin", "")
+
+
 def test_pauses_of_a_very_long_way(spark):
     """100,000 points in one array: each step costs the same."""
     at = F.when(F.col("id") % 5000 < 4000, F.floor(F.col("id") / 5000) * 0.01).otherwise(F.col("id") * 0.001)

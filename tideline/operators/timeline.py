@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.sessions import overlapping
 from tideline.operators.spend import innermost
 
 #: The names of spans, what replaces what, and when silence counts.
@@ -45,13 +44,17 @@ def orphans(rows: DataFrame) -> DataFrame:
 
 
 def superseded(rows: DataFrame, rules=REPLACED_BY) -> DataFrame:
-    """Ids of spans that a span of a replacing type overlaps, ends included."""
+    """Ids of spans that a span of a replacing type overlaps, ends included, whichever day they are shown on. A sweep: a span is
+    overlapped if, of the replacing ones that begin up to its end, the latest to end does so after its beginning. So one sorted
+    window says it, and no pair is made."""
     spark = rows.sparkSession
     spans = rows.filter(is_span())
     table = spark.createDataFrame(list(rules), "name string, by string")
-    left = spans.join(F.broadcast(table), "name").select("user_id", "by", "id", F.col("lo").alias("a0"), F.col("hi").alias("a1"))
-    right = spans.select("user_id", F.col("name").alias("by"), F.col("lo").alias("b0"), F.col("hi").alias("b1"))
-    return overlapping(left, right, ["user_id", "by"], ("a0", "a1"), ("b0", "b1")).select("id").distinct()
+    asked = spans.join(F.broadcast(table), "name").select("user_id", "by", F.col("hi").alias("_at"), F.lit(None).cast("long").alias("_end"), "id", F.col("lo").alias("_lo"))
+    replacing = spans.filter(F.col("name").isin(sorted({b for _, b in rules}))).select("user_id", F.col("name").alias("by"), F.col("lo").alias("_at"), F.col("hi").cast("long").alias("_end"))
+    begun = Window.partitionBy("user_id", "by").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = asked.unionByName(replacing, allowMissingColumns=True).withColumn("_last", F.max("_end").over(begun))
+    return swept.filter(F.col("id").isNotNull() & (F.col("_last") >= F.col("_lo"))).select("id").distinct()
 
 
 def standing(rows: DataFrame, rules=REPLACED_BY) -> DataFrame:
