@@ -137,6 +137,27 @@ def test_pauses(spark):
     assert capability(spark, "pauses", *leg[:2]) is None
 
 
+def test_spans_of_any_length_have_few_rows(spark):
+    from tideline.operators import spend
+
+    g = random.Random(9)
+    length = lambda: int(10 ** g.uniform(0, 9.5)) if g.random() < 0.2 else g.choice([0, 60, 86_400, 200_000])
+    make = lambda n, tag: [(g.choice("uv"), f"{tag}{k}", lo := g.randrange(3_000_000), lo + length()) for k in range(n)]
+    a, b = make(60, "a"), make(60, "b")
+    left, right = spark.createDataFrame(a, "user_id string, p string, l0 long, l1 long"), spark.createDataFrame(b, "user_id string, q string, r0 long, r1 long")
+    got = sorted((r.p, r.q) for r in sessions.overlapping(left, right, ["user_id"], ("l0", "l1"), ("r0", "r1"), 50).collect())
+    assert got == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] - 50 <= y[3] and y[2] <= x[3] + 50)
+    lo, hi = F.col("l0"), F.col("l1")
+    cells = sessions.in_cells(left, lo, hi, F.array(sessions.size_of(lo, hi, 86_400)), 86_400).groupBy("p").count()
+    assert cells.agg(F.max("count")).first()[0] <= 2
+    points = [(f"t{k}", g.choice("uv"), g.randrange(4_000_000)) for k in range(80)]
+    found = spend.innermost(spark.createDataFrame(points, "id string, user_id string, ts long"), right.withColumnsRenamed({"q": "span_id", "r0": "lo", "r1": "hi"}), ["user_id"])
+    for r in found.collect():
+        around = [(y[3] - y[2], y[1]) for y in b if y[0] == r.user_id and y[2] <= r.ts <= y[3]]
+        assert r.span_id == (min(around)[1] if around else None)
+    assert found.count() == 80
+
+
 def test_supersession_sweep_equals_pairs(spark):
     from tideline.operators import timeline
 

@@ -6,13 +6,15 @@ Events: user_id (the entity), id, name, ts (epoch seconds), seq (arrival order).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.geo import haversine_m, is_implausible_jump
+from tideline.staging import staged
 
 
 def pair_sessions(events: DataFrame, start: str, end: str, max_duration: int = 21600, order: str = "seq", whole: bool = False) -> DataFrame:
@@ -179,17 +181,45 @@ def drive_sessions(events: DataFrame, connect: str, disconnect: str, shortest: i
     return out.filter((F.col("begin").isNotNull()) & (F.col("finish") - F.col("begin") >= shortest)).select("user_id", "begin", "finish")
 
 
-def bucketed(df: DataFrame, lo: str, hi: str, width: int) -> DataFrame:
-    """df with a row for each time bucket (_b) that [lo, hi] touches: makes an overlap an equality join with a check."""
-    return df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+#: Time cells come in sizes, each STEP times the one before. A span lies in cells of the first size that isn't shorter than it.
+STEP, SIZES = 8, 8
+
+
+def size_of(lo: Column, hi: Column, width: int) -> Column:
+    """Which size of cells a span lies in; one shorter than `width` in the first."""
+    size = F.lit(SIZES - 1)
+    for k in reversed(range(SIZES - 1)):
+        size = F.when(hi - lo <= width * STEP**k, k).otherwise(size)
+    return size
+
+
+def in_cells(df: DataFrame, lo: Column, hi: Column, sizes: Column, width: int) -> DataFrame:
+    """df with a row for each cell (_size, _cell) of these sizes that [lo, hi] touches: of a size that isn't shorter, two at most,
+    however long the span. Makes an overlap an equality join with a check."""
+    wide = F.element_at(F.array(*[F.lit(width * STEP**k) for k in range(SIZES)]), F.col("_size") + 1)
+    sized = df.withColumn("_size", F.explode(sizes))
+    return sized.withColumn("_cell", F.explode(F.sequence(F.floor(lo / wide), F.floor(hi / wide)))).withColumn("_wide", wide)
+
+
+def sizes_in(*spans: tuple[DataFrame, Column, Column], width: int) -> DataFrame:
+    """One row: the sizes (_sizes, SIZES at most) that some span lies in."""
+    every = reduce(DataFrame.unionByName, [df.select(size_of(lo, hi, width).alias("_s")) for df, lo, hi in spans])
+    return F.broadcast(every.agg(F.collect_set("_s").alias("_sizes")))
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str], pad: int = 0, width: int = 86400) -> DataFrame:  # noqa: E741
-    """Pairs whose closed spans overlap within `pad` seconds on both sides; each pair once, at the first bucket they share."""
-    a = bucketed(left.withColumns({"_l0": F.col(l[0]) - pad, "_l1": F.col(l[1]) + pad}), "_l0", "_l1", width)
-    b = bucketed(right.withColumns({"_r0": F.col(r[0]), "_r1": F.col(r[1])}), "_r0", "_r1", width)
-    first = F.floor(F.greatest("_l0", "_r0") / width)
-    return a.join(b, [*keys, "_b"]).filter((F.col("_l0") <= F.col("_r1")) & (F.col("_r0") <= F.col("_l1")) & (F.col("_b") == first)).drop("_b", "_l0", "_l1", "_r0", "_r1")
+    """Pairs whose closed spans overlap within `pad` seconds on both sides. A pair meets in cells of the longer one's size, and counts
+    at the first cell that both touch. A span has rows for its own size and for each larger one that occurs."""
+    a = staged(left.withColumns({"_l0": F.col(l[0]) - pad, "_l1": F.col(l[1]) + pad}), "spans")
+    b = staged(right.withColumns({"_r0": F.col(r[0]), "_r1": F.col(r[1])}), "spans")
+    l0, l1, r0, r1 = (F.col(c) for c in ("_l0", "_l1", "_r0", "_r1"))
+    sizes = sizes_in((a, l0, l1), (b, r0, r1), width=width)  # one row
+    larger = lambda own: F.filter("_sizes", lambda s: s >= F.col(own))
+    a = in_cells(a.withColumn("_ls", size_of(l0, l1, width)).crossJoin(sizes), l0, l1, larger("_ls"), width).drop("_sizes")
+    b = in_cells(b.withColumn("_rs", size_of(r0, r1, width)).crossJoin(sizes), r0, r1, larger("_rs"), width).drop("_sizes", "_wide")
+    first = F.floor(F.greatest(l0, r0) / F.col("_wide"))
+    met = a.join(b, [*keys, "_size", "_cell"]).filter((F.col("_size") == F.greatest("_ls", "_rs")) & (l0 <= r1) & (r0 <= l1) & (F.col("_cell") == first))
+    return met.drop("_size", "_cell", "_wide", "_ls", "_rs", "_l0", "_l1", "_r0", "_r1")
 
 
 def fuse_claims(primary: DataFrame, secondary: DataFrame, ticks: DataFrame | None = None, pad: int = 300, shortest: int = 0) -> DataFrame:
@@ -197,7 +227,7 @@ def fuse_claims(primary: DataFrame, secondary: DataFrame, ticks: DataFrame | Non
     ends, each take the oldest secondary one that overlaps and isn't taken; s_id is null where there is none. Secondary spans
     that no primary one overlaps stand alone (p_id null), if they last `shortest` seconds and no tick (user_id, ts) falls into
     them or `pad` seconds behind. The taking streams over a user's pairs and holds the ids that are taken."""
-    pairs = overlapping(primary, secondary, ["user_id"], ("p_lo", "p_hi"), ("s_lo", "s_hi"), pad)
+    pairs = staged(overlapping(primary, secondary, ["user_id"], ("p_lo", "p_hi"), ("s_lo", "s_hi"), pad), "pairs")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user = served = None

@@ -7,7 +7,8 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.sessions import bucketed
+from tideline.operators.sessions import in_cells, size_of, sizes_in
+from tideline.staging import staged
 
 DAY = 86_400
 TOP = 8
@@ -47,10 +48,13 @@ def payments(events: DataFrame, name: str, body: str = "message") -> DataFrame:
 
 def innermost(points: DataFrame, spans: DataFrame, keys: list[str], extra: Column | None = None, width: int = DAY) -> DataFrame:
     """points (id, ts) with the shortest span (span_id, lo, hi, ...) that contains each, both ends included; nulls without
-    one. Spans are spread over the time buckets they touch: an equality join with a check, not a product."""
-    s = bucketed(spans, "lo", "hi", width)
-    p = points.withColumn("_b", F.floor(F.col("ts") / width))
-    inside = p.join(s, [*keys, "_b"]).filter((F.col("lo") <= F.col("ts")) & (F.col("ts") <= F.col("hi")))
+    one. Spans lie in cells of their own size, two at most, and points are looked up once for each size that occurs: an equality
+    join with a check, not a product."""
+    spans = staged(spans, "spans")
+    lo, hi, ts = F.col("lo"), F.col("hi"), F.col("ts")
+    s = in_cells(spans.withColumn("_own", F.array(size_of(lo, hi, width))), lo, hi, F.col("_own"), width).drop("_own", "_wide")
+    p = in_cells(points.crossJoin(sizes_in((spans, lo, hi), width=width)), ts, ts, F.col("_sizes"), width).drop("_sizes", "_wide")
+    inside = p.join(s, [*keys, "_size", "_cell"]).filter((lo <= ts) & (ts <= hi))
     if extra is not None:
         inside = inside.filter(extra)
     best = Window.partitionBy("id").orderBy(F.col("hi") - F.col("lo"), "span_id")
