@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tideline.llm import common, debruijn, partenum, wu_manber
@@ -169,44 +170,71 @@ def test_spans_name_their_source(spark):
 
 
 def test_paths_of_the_graph(spark):
-    """Runs and paths against a graph that is built and walked in plain Python."""
+    """Edges and compacted paths against a graph that is built and walked in plain Python."""
     texts = repeated_texts()
     keyed = debruijn._keyed(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string"))
-    firsts = keyed.groupBy("text").agg({"doc": "min"}).withColumnRenamed("min(doc)", "doc").join(keyed, ["doc", "text"]).select("doc", "h")
-    candidates = debruijn._candidates(keyed, 20, 8).join(firsts, "h").select("doc", "h", "ms", "hot")
-    edges, _ = debruijn._repeats(keyed, candidates, 20, 8)
+    documents = debruijn._candidates(keyed, 20, 8).join(debruijn._firsts(keyed), "h")
+    numbered = debruijn._numbered(documents).cache()
+    edges = debruijn.graph_edges(debruijn._stretches(keyed, numbered, 20, 8)).cache()
     words = {i: WORD.findall(t) for i, t in enumerate(texts, 1)}
-    occurs, seen = Counter(), set()
+    ats = sorted((r.at, r.doc) for r in numbered.collect())
+    assert [d for _, d in ats] == sorted(d for _, d in ats)  # coordinates rise with the documents
+
+    def window(g):
+        at, doc = max(x for x in ats if x[0] <= g)
+        return doc, g - at, tuple(words[doc][g - at : g - at + 20])
+
+    counts, place, seen = Counter(), {}, set()
     for i, w in words.items():
         if texts[i - 1] in seen:
             continue  # further copies are not in the graph
         seen.add(texts[i - 1])
-        occurs.update(tuple(w[p : p + 20]) for p in range(len(w) - 19))
-    want = {e for e, n in occurs.items() if n > 1}
-    at = {(r.doc, r.pos): tuple(words[r.doc][r.pos : r.pos + 20]) for r in edges.collect()}
-    assert set(at.values()) == want and len(at) == len(want)
-    into, out = defaultdict(list), defaultdict(list)
-    for e in want:
-        out[e[:-1]].append(e)
-        into[e[1:]].append(e)
-    before = {e: into[e[:-1]][0] for e in want if len(into[e[:-1]]) == len(out[e[:-1]]) == 1}
-    heads = debruijn.graph_runs(edges)
-    runs_at = {(r.doc, r.pos): r.before for r in heads.collect()}
-    place = {e: k for k, e in at.items()}
-    for k, e in at.items():
-        p = before.get(e)
-        joined = p is not None and place[p] == (k[0], k[1] - 1)
-        assert (k in runs_at) == (not joined)
-        if k in runs_at:
-            assert (runs_at[k] is None) == (p is None) and (p is None or (runs_at[k].doc, runs_at[k].pos) == place[p])
-    paths = {(r.doc, r.pos): (r.path.doc, r.path.pos) for r in debruijn.graph_paths(heads).collect()}
-    assert set(paths) == set(runs_at)
-    for k, found in paths.items():
-        e, circle = at[k], {at[k]}
-        while e in before and before[e] not in circle:
-            e = before[e]
-            circle.add(e)
-        assert e in before or found == place[e]
+        for p in range(len(w) - 19):
+            counts[tuple(w[p : p + 20])] += 1
+            place.setdefault(tuple(w[p : p + 20]), (i, p))
+    rows = edges.collect()
+    at = {r.g: window(r.g)[2] for r in rows}
+    assert {at[r.g] for r in rows if r.n > 1} == {e for e, n in counts.items() if n > 1} and len(set(at.values())) == len(rows)
+    assert all(counts[at[r.g]] == r.n and place[at[r.g]] == window(r.g)[:2] for r in rows)
+    into, out = Counter(e[1:] for e in at.values()), Counter(e[:-1] for e in at.values())
+    plain = {v for v in into if into[v] == out[v] == 1}
+    heads = {g for g, e in at.items() if not (e[:-1] in plain and g - 1 in at and at[g - 1][1:] == e[:-1])}
+    tails = {g for g, e in at.items() if not (e[1:] in plain and g + 1 in at and at[g + 1][:-1] == e[1:])}
+    ends = debruijn.graph_paths(edges).collect()
+    assert {r.g for r in ends if r.head} == heads and {r.g for r in ends if r.tail} == tails
+    assert len(heads) == len(tails) < len(at) / 2
+
+
+def test_other_words_with_equal_hashes_stay(spark, monkeypatch):
+    """Verification: windows whose words aren't those of their source are kept."""
+    texts = repeated_texts()[:5]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    digests = debruijn._window_digests
+
+    def wrong(keyed, places, window):
+        return digests(keyed, places, window).withColumn("x", F.monotonically_increasing_id())
+
+    monkeypatch.setattr(debruijn, "_window_digests", wrong)
+    assert [r.n_removed for r in debruijn.deduplicated_digests(df).orderBy("doc_id").collect()][:3] == [0, 0, 0]
+
+
+def test_no_removal_comes_without_the_paths(spark, monkeypatch):
+    """The compacted paths tell a document what it is the source of: without them the first occurrences go as well."""
+    texts = repeated_texts()[:3]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    whole = debruijn.graph_paths
+    got = [r.n_removed for r in debruijn.deduplicated_digests(df).orderBy("doc_id").collect()]
+    monkeypatch.setattr(debruijn, "graph_paths", lambda edges: whole(edges).limit(0))
+    without = [r.n_removed for r in debruijn.deduplicated_digests(df).orderBy("doc_id").collect()]
+    assert got[1] == 0 and without[1] > 0
+
+
+def test_a_long_text_takes_several_slots(spark, monkeypatch):
+    monkeypatch.setattr(debruijn, "SLOT", 6)
+    texts = repeated_texts()
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").repartition(3)
+    got = [tuple(r)[1:] for r in debruijn.deduplicated_digests(df).orderBy("doc_id").collect()]
+    assert got == brute_removed(texts)
 
 
 def test_repeated_passages_of_odd_rows(odd, empty):

@@ -1,16 +1,16 @@
 """Exact substring deduplication over a De Bruijn graph of words.
 
 Edges are runs of WINDOW words, nodes the runs of WINDOW - 1 words at an edge's beginning and end, so that an edge is known
-by the hashes of its two nodes. Only edges that occur more than once matter, and they are found in two steps. First, every
-window names its least k-word hash (of the k-word runs in it); equal windows name the same one, so only windows that name
-one which occurs at two places can be repeated edges. Second, those windows meet by their two nodes; the earliest
-occurrence is the edge's source coordinate.
+by the hashes of its two nodes. Only windows that may occur more than once are made edges: every window names its least k-word
+hash (of the k-word runs in it); equal windows name the same one, so only windows that name one which occurs at two places
+can be repeated. Equal edges are summed to one, whose least coordinate is its source; coordinates number the words of all
+documents in their order.
 
-Compaction: repeated edges meet at their nodes. A node with one edge in and one out doesn't branch; edges that follow each
-other there and in their source are a run, and runs that a nonbranching node joins across sources are one path, found by
-pointer jumping (a join that doubles its reach each round). A document's occurrences in a row whose source coordinates are
-in a row too make a span, cut where a run of the graph begins. Each span is verified: the SHA-256 of its words and of those
-at its source coordinates, both read from the texts, have to be the same.
+Compaction: edges meet at their nodes. A node with one edge in and one out doesn't branch, and edges that follow each other
+there and in their source are one path, which its source coordinate and length stand for. Paths go to the documents that
+are their sources. What a document has of edges beside these paths lies on paths that begin elsewhere, earlier: that is
+removed. Windows that cover all these words are verified: the SHA-256 of their words has to be that of the words at the
+source coordinate of their edge, both read from the texts. So occurrences of an edge are never joined with each other.
 
 Earlier means smaller doc_id, or same document and earlier start. Rows without doc_id come last. Rows that share a
 doc_id but not the text are documents of their own, ordered by a hash of their texts. Of rows with equal texts only the
@@ -19,8 +19,9 @@ earlier. Null texts have no words. Documents shorter than a window lose nothing.
 Only doc_id and text are read, and in deduplicated() n_chars follows the text; columns of any other name stay as they are.
 A very long text costs memory in proportion to its words, for one text at a time.
 
-Hot keys: hashes that over a thousandth of all occurrences share go another way than the rest: their windows are summed
-up before they move, and joined with sources by broadcasting those (at most a thousand) that are hot themselves.
+Hot keys: occurrences of edges, nodes and windows are summed before they move, and everything that is joined is unique in
+its key (an edge, a coordinate, a document). Hashes that over a thousandth of all occurrences share are broadcast (at most a
+thousand) to pick texts.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ from tideline.llm.common import NO_ID, hot_share, join_by_count, small, staged,
 from tideline.llm.words import WORD, grouped, hashed, runs
 
 WINDOW, K = 20, 8
+#: Coordinates are given out in slots of 2^SLOT.
+SLOT = 16
 
 
 def _least(h: np.ndarray, window: int, k: int) -> np.ndarray:
@@ -112,7 +116,7 @@ def _named(keyed: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def _candidates(keyed: DataFrame, window: int, k: int) -> DataFrame:
-    """(h, ms, hot): the named hashes of each text that occur at two places in all; hot: those that very many name."""
+    """(h, ms): the named hashes of each text that occur at two places in all."""
     named = _named(keyed, window, k)
     counts = named.groupBy("m").agg(F.min("h").alias("_a"), F.max("h").alias("_b"), F.max("rep").alias("_rep"), F.count(F.lit(1)).alias("_n"))
     repeated = staged(counts.filter("_a < _b or _rep").select("m", "_n"), "repeated-runs")
@@ -120,165 +124,185 @@ def _candidates(keyed: DataFrame, window: int, k: int) -> DataFrame:
     hot = repeated.filter(F.col("_n") > hot_share(total)).select("m", F.lit(True).alias("hot"))
     cold = repeated.select(F.col("m").alias("_m")).join(F.broadcast(hot.select(F.col("m").alias("_m"))), "_m", "left_anti")
     marked = named.select("m", "h").join(F.broadcast(hot), "m", "left")
-    hot_rows = marked.filter("hot")
-    cold_rows = marked.filter("hot is null").join(cold, F.col("m") == F.col("_m"), "left_semi").withColumn("hot", F.lit(False))
-    both = hot_rows.unionByName(cold_rows.select("m", "h", "hot").distinct())  # once, however many tasks have copies
-    return both.groupBy("h").agg(  # as many as the text has runs
-        F.collect_set(F.when(~F.col("hot"), F.col("m"))).alias("ms"), F.collect_set(F.when(F.col("hot"), F.col("m"))).alias("hot")
-    )
+    cold_rows = marked.filter("hot is null").join(cold, F.col("m") == F.col("_m"), "left_semi")
+    both = marked.filter("hot").select("m", "h").unionByName(cold_rows.select("m", "h").distinct())  # once, however many tasks have copies
+    return both.groupBy("h").agg(F.collect_set("m").alias("ms"))  # as many as the text has runs
+
+
+def _numbered(documents: DataFrame) -> DataFrame:
+    """documents (doc, h, ms, n_chars) with `at`, the coordinate of their first word: coordinates rise with (doc, h), so that
+    the smaller one is the earlier place. A document takes whole slots of 2^SLOT coordinates, at least as many coordinates as
+    its text has characters, and each slot is one document's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, part = 0, TaskContext.get().partitionId()
+        for pdf in batches:
+            after = total + pdf["slots"].cumsum()
+            yield pd.DataFrame({"doc": pdf["doc"], "h": pdf["h"], "ms": pdf["ms"], "slots": pdf["slots"], "_at": after - pdf["slots"], "_part": part})
+            total = int(after.iloc[-1]) if len(after) else total
+
+    spark = documents.sparkSession
+    sized = documents.withColumn("slots", F.shiftright(F.col("n_chars").cast("long"), SLOT) + 1).select("doc", "h", "ms", "slots")
+    ranged = sized.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "h").sortWithinPartitions("doc", "h")
+    table = staged(ranged.mapInPandas(run, "doc long, h long, ms array<long>, slots long, _at long, _part int"), "numbered")
+    starts, total = [], 0
+    for part, n in sorted(table.groupBy("_part").agg(F.sum("slots")).collect()):  # a row a partition
+        starts.append((part, total))
+        total += n
+    before = spark.createDataFrame(starts, "_part int, _before long")
+    return table.join(F.broadcast(before), "_part").select("doc", "h", "ms", "slots", F.shiftleft(F.col("_before") + F.col("_at"), SLOT).alias("at"))
+
 
+def _owners(numbered: DataFrame) -> DataFrame:
+    """(slot, doc, h, at): whose each slot is."""
+    first = F.shiftright("at", SLOT)
+    return numbered.select(F.explode(F.sequence(first, first + F.col("slots") - 1)).alias("slot"), "doc", "h", "at")
 
-def _windows(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> DataFrame:
-    """(a, b, doc, h, pos, hot): the windows of documents with candidates whose named hash is one."""
+
+def _stretches(keyed: DataFrame, numbered: DataFrame, window: int, k: int) -> DataFrame:
+    """(doc, h, at, g, nodes): stretches of windows in a row whose named hash is one of the document's ms. g: the first one's
+    coordinate; nodes: hashes of all runs of window - 1 words, one more than windows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = zip(pdf["doc"], pdf["text"], pdf["h"], pdf["ms"], pdf["hot"], strict=True)
+            rows = zip(pdf["doc"], pdf["text"], pdf["h"], pdf["ms"], pdf["at"], strict=True)
             for group in grouped(rows, 1):
-                words, at = hashed([r[1] for r in group])
-                starts, text = _starts(at, window)
+                words, begins = hashed([r[1] for r in group])
+                starts, text = _starts(begins, window)
                 if not len(starts):
                     continue
                 m = _least(words, window, k)[starts].view(np.int64)
                 ends = np.searchsorted(text, np.arange(len(group) + 1))
-                keep, hot = np.zeros(len(m), bool), np.zeros(len(m), bool)
+                keep = np.zeros(len(m), bool)
                 for i, r in enumerate(group):
-                    part = slice(ends[i], ends[i + 1])
-                    if len(r[4]):
-                        hot[part] = np.isin(m[part], np.asarray(r[4], np.int64))
-                    keep[part] = hot[part] | np.isin(m[part], np.asarray(r[3], np.int64))
-                at_start, of = starts[keep], text[keep]
+                    keep[ends[i] : ends[i + 1]] = np.isin(m[ends[i] : ends[i + 1]], np.asarray(r[3], np.int64))
+                starts, text = starts[keep], text[keep]
+                new = np.ones(len(starts), bool)
+                new[1:] = starts[1:] != starts[:-1] + 1
+                heads = np.flatnonzero(new)
+                first, sizes, of = starts[heads], np.diff(np.append(heads, len(starts))), text[heads]
                 nodes = runs(words, window - 1).view(np.int64)
-                docs, hs = np.array([r[0] for r in group], np.int64), np.array([r[2] for r in group], np.int64)
-                yield pd.DataFrame(
-                    {
-                        "a": nodes[at_start],
-                        "b": nodes[at_start + 1],
-                        "doc": docs[of],
-                        "h": hs[of],
-                        "pos": (at_start - at[of]).astype(np.int32),
-                        "hot": hot[keep],
-                    }
-                )
-
-    joined = keyed.join(candidates, ["doc", "h"]).select("doc", "text", "h", "ms", "hot")
-    return joined.mapInPandas(run, "a long, b long, doc long, h long, pos int, hot boolean")
-
-
-def _repeats(keyed: DataFrame, candidates: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """The repeated edges (a, b: their nodes; doc, h, pos: their source coordinates), and each occurrence but the earliest
-    (doc, h, pos, s: source coordinates)."""
-    place, columns = F.struct("doc", "h", "pos"), ["a", "b", "doc", "h", "pos", "_s"]
-    none = F.array().cast("array<bigint>")
-    cold = _windows(keyed, candidates.filter("size(ms) > 0"), window, k).filter(~F.col("hot"))
-    along = Window.partitionBy("a", "b").orderBy("doc", "h", "pos")
-    found = cold.withColumns({"_s": F.first(place).over(along), "_next": F.lead("pos").over(along)}).filter((place > F.col("_s")) | F.col("_next").isNotNull()).select(columns)
-    hot = candidates.filter("size(hot) > 0")
-    if hot.limit(1).count():
-        many = staged(_windows(keyed, hot.withColumn("ms", none), window, k), "hot-windows")
-        sources = many.groupBy("a", "b").agg(F.min(place).alias("_s"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        sources = staged(sources, "hot-edges")
-        total = sources.agg(F.sum("_n")).first()[0] or 0
-        top = sources.filter(F.col("_n") > hot_share(total)).select("a", "b", F.col("_s").alias("_t"))
-        rest = sources.join(F.broadcast(top.select("a", "b")), ["a", "b"], "left_anti").select("a", "b", "_s")
-        marked = many.join(F.broadcast(top), ["a", "b"], "left")
-        by_top = marked.filter("_t is not null").withColumn("_s", F.col("_t"))
-        by_rest = marked.filter("_t is null").join(rest, ["a", "b"])
-        found = found.unionByName(by_top.select(columns)).unionByName(by_rest.select(columns))
-    later = place > F.col("_s")
-    split = staged(found.select(*[F.when(~later, F.col(c)).alias(c) for c in ("a", "b")], "doc", "h", "pos", F.when(later, F.col("_s")).alias("s")), "edges")
-    return split.filter("s is null").drop("s"), split.filter("s is not null").drop("a", "b")
-
-
-def graph_runs(edges: DataFrame) -> DataFrame:
-    """(doc, h, pos, before): where the graph's runs of edges begin, in source coordinates; before: the edge that a
-    nonbranching node joins to the beginning from elsewhere, if any."""
-    at = F.struct("doc", "h", "pos")
-    ends = edges.select(F.col("b").alias("node"), F.lit(True).alias("into"), at.alias("at")).unionByName(edges.select(F.col("a").alias("node"), F.lit(False).alias("into"), at.alias("at")))
-    node = Window.partitionBy("node")
-    met = ends.withColumns({"_in": F.count_if("into").over(node), "_all": F.count(F.lit(1)).over(node), "_before": F.max(F.when(F.col("into"), F.col("at"))).over(node)})
-    plain = (F.col("_in") == 1) & (F.col("_all") == 2)
-    follows = (F.col("_before.doc") == F.col("at.doc")) & (F.col("_before.h") == F.col("at.h")) & (F.col("_before.pos") == F.col("at.pos") - 1)
-    heads = met.filter(~F.col("into") & ~(plain & follows))
-    return staged(heads.select("at.*", F.when(plain, F.col("_before")).alias("before")), "runs")
-
-
-def graph_paths(heads: DataFrame) -> DataFrame:
-    """(doc, h, pos, path): each run's path, named by the first edge of its first run. Runs on a circle name what they reached
-    when no further run got to an end."""
-    # the run that `before` lies in begins at the last head up to it
-    marks = heads.select("doc", "h", "pos", F.lit(None).cast("struct<doc: bigint, h: bigint, pos: int>").alias("to"))
-    marks = marks.unionByName(heads.filter("before is not null").select("before.*", F.struct("doc", "h", "pos").alias("to")))
-    along = Window.partitionBy("doc", "h").orderBy("pos", F.col("to").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    joined = marks.withColumn("up", F.last(F.when(F.col("to").isNull(), F.struct("doc", "h", "pos")), ignorenulls=True).over(along)).filter("to is not null")
-    table = heads.select(F.struct("doc", "h", "pos").alias("run")).join(joined.select(F.col("to").alias("run"), "up"), "run", "left")
-    table, waiting = staged(table.withColumn("done", F.col("up").isNull()), "paths"), None
-    while (left := table.filter(~F.col("done")).count()) and left != waiting:
-        waiting = left
-        further = table.select(F.col("run").alias("_r"), F.col("up").alias("_up"), F.col("done").alias("_done"))
-        hop = table.filter(~F.col("done")).join(further, F.col("up") == F.col("_r"))
-        hop = hop.select("run", F.when(F.col("_done"), F.coalesce("_up", "up")).otherwise(F.col("_up")).alias("up"), F.col("_done").alias("done"))
-        table = staged(table.filter("done").unionByName(hop), "paths")
-    return table.select("run.*", F.coalesce("up", "run").alias("path"))
-
-
-def _range_digests(keyed: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(doc, h, start, end, digest): SHA-256 of the words in these ranges of documents."""
+                docs, hs, ats = (np.array([r[i] for r in group], np.int64)[of] for i in (0, 2, 4))
+                pieces = [nodes[a : a + n + 1] for a, n in zip(first, sizes, strict=True)]
+                yield pd.DataFrame({"doc": docs, "h": hs, "at": ats, "g": ats + first - begins[of], "nodes": pieces})
+
+    joined = keyed.join(numbered, ["doc", "h"]).select("doc", "text", "h", "ms", "at")
+    return joined.mapInPandas(run, "doc long, h long, at long, g long, nodes array<long>")
+
+
+def graph_edges(stretches: DataFrame) -> DataFrame:
+    """(a, b, g, n): each edge by its two nodes, with its source coordinate (the least) and how often it occurs."""
+    n = F.size("nodes") - 1
+    zipped = F.arrays_zip(F.slice("nodes", 1, n).alias("a"), F.slice("nodes", 2, n).alias("b"))
+    each = stretches.select("g", F.posexplode(zipped).alias("_i", "_e")).select("_e.a", "_e.b", (F.col("g") + F.col("_i")).alias("g"))
+    return each.groupBy("a", "b").agg(F.min("g").alias("g"), F.count(F.lit(1)).alias("n"))
+
+
+def graph_paths(edges: DataFrame) -> DataFrame:
+    """(g, head, tail): the ends of the graph's compacted paths, by the source coordinates of their first and last edges.
+
+    Edges meet at their nodes. A node with one edge in and one out doesn't branch, and where the source of the second follows
+    that of the first, they are on one path: then every text that has the one edge has the other, and one source coordinate and
+    a length stand for all edges of the path. Degrees are sums, so that a node of very many edges costs no more than these."""
+    at_b = edges.select(F.col("b").alias("node"), F.lit(1).alias("into"), "g")
+    at_a = edges.select(F.col("a").alias("node"), F.lit(0).alias("into"), "g")
+    met = at_b.unionByName(at_a).groupBy("node").agg(
+        F.sum("into").alias("_in"), F.count(F.lit(1)).alias("_all"), F.max(F.when(F.col("into") == 1, F.col("g"))).alias("_g"), F.max(F.when(F.col("into") == 0, F.col("g"))).alias("_next")
+    )
+    inner = met.filter("_in = 1 and _all = 2 and _next = _g + 1")
+    joined = inner.select(F.inline(F.array(F.struct(F.col("_g").alias("g"), F.lit(1).alias("_k")), F.struct(F.col("_next").alias("g"), F.lit(2).alias("_k")))))
+    marks = edges.select("g", F.lit(0).alias("_k")).unionByName(joined).groupBy("g").agg(F.sum("_k").alias("_k"))
+    return marks.filter("_k < 3").select("g", (F.col("_k") < 2).alias("head"), (F.col("_k") % 2 == 0).alias("tail"))
+
+
+def _occurrences(stretches: DataFrame, paths: DataFrame, window: int) -> DataFrame:
+    """(doc, h, start, a, b): windows that lie on a path whose source is elsewhere. Of such windows in a row the first, every
+    window-th and the last, which cover all their words. A document sees the paths that have their source in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, h, text, wanted in zip(pdf["doc"], pdf["h"], pdf["text"], pdf["_w"], strict=True):
-                words = WORD.findall(text)
-                out += [(doc, h, r["start"], r["end"], hashlib.sha256(" ".join(words[r["start"] : r["end"]]).encode("utf-8", "surrogatepass")).digest()) for r in wanted]
-            yield pd.DataFrame(out, columns=["doc", "h", "start", "end", "digest"])
+            for doc, h, at, pieces, heads, tails in zip(pdf["doc"], pdf["h"], pdf["at"], pdf["_pieces"], pdf["_heads"], pdf["_tails"], strict=True):
+                nodes = {p["g"]: np.asarray(p["nodes"], np.int64) for p in pieces}  # a row that occurs twice has its stretches twice
+                order = sorted(nodes)
+                g = np.concatenate([x + np.arange(len(nodes[x]) - 1) for x in order])
+                a, b = np.concatenate([nodes[x][:-1] for x in order]), np.concatenate([nodes[x][1:] for x in order])
+                heads, tails = (np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in (heads, tails))
+                path = np.searchsorted(heads, g, "right") - 1
+                here = np.zeros(len(g), bool)
+                on = path >= 0
+                here[on] = g[on] <= tails[path[on]]
+                later = np.flatnonzero(~here)
+                if not len(later):
+                    continue
+                new = np.ones(len(later), bool)
+                new[1:] = g[later[1:]] != g[later[:-1]] + 1
+                last = np.append(new[1:], True)
+                run_start = np.maximum.accumulate(np.where(new, np.arange(len(later)), 0))
+                wanted = later[((np.arange(len(later)) - run_start) % window == 0) | last]
+                out.append(pd.DataFrame({"doc": doc, "h": h, "start": (g[wanted] - at).astype(np.int32), "a": a[wanted], "b": b[wanted]}))
+            if out:
+                yield pd.concat(out)
 
-    per = staged(ranges.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "end")).alias("_w")), "ranges")  # one document's
-    texts = keyed.join(small(per.select("doc", "h")), ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"])
-    return texts.join(per, ["doc", "h"]).select("doc", "h", "text", "_w").mapInPandas(run, "doc long, h long, start int, end int, digest binary")
+    key = ["doc", "h", "at"]
+    pieces = stretches.groupBy(key).agg(F.collect_list(F.struct("g", "nodes")).alias("_pieces"))  # one document's
+    ends = lambda kind: F.sort_array(F.collect_list(F.when(F.col(kind), F.col("g")))).alias(f"_{kind}s")
+    sources = paths.groupBy(key).agg(ends("head"), ends("tail"))  # one document's
+    return pieces.join(sources, key, "left").mapInPandas(run, "doc long, h long, start int, a long, b long")
+
+
+def _window_digests(keyed: DataFrame, places: DataFrame, window: int) -> DataFrame:
+    """(a, b, x, y): of each place (doc, h, start, a, b) the first 16 bytes of the SHA-256 of the window's words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text, wanted in zip(pdf["text"], pdf["_w"], strict=True):
+                words = WORD.findall(text)
+                for w in wanted:
+                    digest = hashlib.sha256(" ".join(words[w["start"] : w["start"] + window]).encode("utf-8", "surrogatepass")).digest()
+                    out.append((w["a"], w["b"], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:16], "little", signed=True)))
+            yield pd.DataFrame(out, columns=["a", "b", "x", "y"])
+
+    per = staged(places.groupBy("doc", "h").agg(F.collect_set(F.struct("start", "a", "b")).alias("_w")), "places")  # one document's
+    texts = keyed.join(small(per.select("doc", "h")), ["doc", "h"], "left_semi")
+    return texts.join(per, ["doc", "h"]).select("text", "_w").mapInPandas(run, "a long, b long, x long, y long")
+
+
+def _verified(keyed: DataFrame, firsts: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Windows (doc, h, start, a, b) that cover all repeated words and whose words are those at their edge's source, and the
+    sources (a, b, doc, h, start, _n) of their edges; _n: how often these occur."""
+    documents = staged(_candidates(keyed, window, k).join(firsts, "h").select("doc", "h", "ms", "n_chars"), "edge-documents")
+    numbered = _numbered(documents)
+    stretches = staged(_stretches(keyed, numbered, window, k), "stretches")
+    edges = staged(graph_edges(stretches), "edges")
+    owners = _owners(numbered)
+    paths = graph_paths(edges).withColumn("slot", F.shiftright("g", SLOT)).join(owners, "slot")
+    found = staged(_occurrences(stretches, paths, window), "occurrences")
+    sources = edges.filter("n > 1").join(found.select("a", "b").distinct(), ["a", "b"])
+    sources = sources.withColumn("slot", F.shiftright("g", SLOT)).join(owners, "slot")
+    sources = staged(sources.select("a", "b", "doc", "h", (F.col("g") - F.col("at")).cast("int").alias("start"), F.col("n").alias("_n")), "sources")
+    digests = _window_digests(keyed, found.unionByName(sources.drop("_n")), window)
+    other = digests.groupBy("a", "b").agg(*[f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("least_", F.min), ("most_", F.max))])
+    other = staged(other.filter("least_x <> most_x or least_y <> most_y").select("a", "b"), "other-words")
+    return found.join(small(other), ["a", "b"], "left_anti"), sources
+
+
+def _firsts(keyed: DataFrame) -> DataFrame:
+    """(doc, h, n_chars): the first row of each text."""
+    digests = keyed.select("doc", "h", F.md5("text").alias("_md5"), F.char_length("text").alias("n_chars"))
+    return staged(digests.groupBy("_md5").agg(F.min(F.struct("doc", "h", "n_chars")).alias("_f")).select("_f.*"), "firsts")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(doc, h, start, end, s_doc, s_h, s_start, path): verified spans: words start to end of a document are those from
-    s_start on in the source, and every window in them starts earlier there; path: the first edge of the graph's path that
-    these edges are on, by its source coordinates."""
+    """(doc, h, start, end, s_doc, s_h, s_start): verified windows that together cover all words to be removed: words start to
+    end of a document are those from s_start on in their source, the first place where they occur."""
     keyed = _keyed(docs)
-    firsts = keyed.select("doc", "h", F.md5("text").alias("_md5")).groupBy("_md5").agg(F.min(F.struct("doc", "h")).alias("_f")).select("_f.doc", "_f.h")
-    candidates = staged(_candidates(keyed, window, k).join(firsts, "h").select("doc", "h", "ms", "hot"), "edge-documents")
-    edges, repeats = _repeats(keyed, candidates, window, k)
-    along = Window.partitionBy("doc", "h").orderBy("pos")
-    before = F.lag("s").over(along)
-    goes_on = (F.col("pos") == F.lag("pos").over(along) + 1) & (F.col("s.doc") == before["doc"]) & (F.col("s.h") == before["h"]) & (F.col("s.pos") == before["pos"] + 1)
-    steps = repeats.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_part", F.sum("_new").over(along))
-    parts = steps.groupBy("doc", "h", "_part").agg(F.min("pos").alias("start"), F.min("s").alias("s"), F.count(F.lit(1)).alias("_k"))
-    parts = staged(parts.select("doc", "h", "start", F.struct("s.doc", "s.h").alias("src"), F.col("s.pos").alias("s_start"), F.col("_k").cast("int").alias("_k")), "spans")
-    # cut where a run begins
-    paths = graph_paths(graph_runs(edges))
-    heads = paths.groupBy(F.struct("doc", "h").alias("src")).agg(F.sort_array(F.collect_set(F.struct("pos", "path"))).alias("_heads"))  # one document's
-    heads = heads.join(parts.groupBy("src").agg(F.count(F.lit(1)).alias("_n")), "src")
-    cut = join_by_count(parts, staged(heads, "run-heads"), "src")
-    inner = F.filter(F.transform("_heads", lambda x: x["pos"]), lambda x: (x > F.col("s_start")) & (x < F.col("s_start") + F.col("_k")))
-    begins = F.concat(F.array("s_start"), inner)
-    stops = F.concat(inner, F.array(F.col("s_start") + F.col("_k")))
-    cut = cut.withColumn("_b", F.explode(F.arrays_zip(begins.alias("b"), stops.alias("e"))))
-    offset = F.col("start") - F.col("s_start")
-    spans = cut.select(
-        "doc",
-        "h",
-        (F.col("_b.b") + offset).alias("start"),
-        (F.col("_b.e") - 1 + window + offset).alias("end"),
-        F.col("src.doc").alias("s_doc"),
-        F.col("src.h").alias("s_h"),
-        F.col("_b.b").alias("s_start"),
-        F.element_at(F.filter("_heads", lambda x: x["pos"] <= F.col("_b.b")), -1)["path"].alias("path"),
-    )
-    spans = staged(spans.withColumn("s_end", F.col("s_start") + F.col("end") - F.col("start")), "run-spans")
-    own = spans.select("doc", "h", "start", "end")
-    there = spans.select(F.col("s_doc").alias("doc"), F.col("s_h").alias("h"), F.col("s_start").alias("start"), F.col("s_end").alias("end"))
-    digests = staged(_range_digests(keyed, own.unionByName(there.distinct())), "digests")
-    at_source = digests.select(F.col("doc").alias("s_doc"), F.col("h").alias("s_h"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("digest").alias("_d"))
-    verified = spans.join(digests, ["doc", "h", "start", "end"]).join(at_source, ["s_doc", "s_h", "s_start", "s_end"]).filter("digest = _d")
-    return verified.select("doc", "h", "start", "end", "s_doc", "s_h", "s_start", "path")
+    found, sources = _verified(keyed, _firsts(keyed), window, k)
+    edge = F.struct("a", "b").alias("edge")
+    at_source = sources.select(edge, F.col("doc").alias("s_doc"), F.col("h").alias("s_h"), F.col("start").alias("s_start"), "_n")
+    spans = join_by_count(found.select(edge, "doc", "h", "start", (F.col("start") + window).alias("end")), at_source, "edge")
+    return spans.select("doc", "h", "start", "end", "s_doc", "s_h", "s_start")
 
 
 def _kept(text, spans, copy, window: int, with_text: bool):
@@ -309,10 +333,12 @@ def _kept(text, spans, copy, window: int, with_text: bool):
 
 def _judged(docs: DataFrame, window: int, k: int, with_text: bool) -> DataFrame:
     """docs' rows as _row with _k: n_words, n_removed, kept."""
-    spans = repeated_spans(docs, window, k).groupBy("doc", "h").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    keyed = _keyed(docs)
+    firsts = _firsts(keyed)
+    found, _ = _verified(keyed, firsts, window, k)
+    spans = found.groupBy("doc", "h").agg(F.collect_list(F.struct("start", (F.col("start") + window).alias("end"))).alias("_spans"))  # one document's
     spans = staged(spans, "spans")
-    firsts = _keyed(docs).select("doc", "h", F.md5("text").alias("_md5")).groupBy("_md5").agg(F.min(F.struct("doc", "h")).alias("_f"))
-    known = firsts.select("_f.doc", "_f.h").join(spans, ["doc", "h"], "left").withColumn("_first", F.lit(True))
+    known = firsts.select("doc", "h").join(spans, ["doc", "h"], "left").withColumn("_first", F.lit(True))
     rows = docs.select(
         F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_of()).alias("h")
     )
