@@ -205,6 +205,53 @@ def test_places(spark):
     assert got == {"1": ("home", True, ["a"]), "2": ("yard", False, None), "3": (None, None, None), "4": (None, None, None)}
 
 
+def test_places_of_every_size(spark):
+    """Circles of 30 m to half the globe, over poles and the date line, against every pair's distance."""
+    g = random.Random(31)
+    spots = [(90.0, 0.0), (-89.99, 17.0), (0.0, 180.0), (10.0, -179.999), (0.0, 0.0), (-45.0, 179.99), (89.0, -180.0)]
+    spots += [(g.uniform(-90, 90), g.uniform(-180, 180)) for _ in range(60)]
+    radii = [30.0, 400.0, 2_000.0, 40_000.0, 200_000.0, 1_500_000.0, 9_000_000.0, 19_000_000.0, 25_000_000.0]
+    book = [(f"p{i}", lat, lon, g.choice(radii), True, []) for i, (lat, lon) in enumerate(spots)] + [("none", 1.0, 1.0, None, True, [])]
+    pts = [(f"q{i}", max(-90.0, min(90.0, lat + g.uniform(-1, 1) * 10 ** g.uniform(-4, 1))), lon) for i, (lat, lon) in enumerate(spots * 4)]
+    pts = [(k, lat, (lon + g.uniform(-1, 1) * 10 ** g.uniform(-4, 1) + 180) % 360 - 180) for k, lat, lon in pts] + [("null", None, 1.0)]
+    p = spark.createDataFrame(pts, "id string, lat double, lon double")
+    b = spark.createDataFrame(book, "name string, lat double, lon double, radius_m double, everyday boolean, categories array<string>")
+    pairs = p.join(b.select("name", F.col("lat").alias("plat"), F.col("lon").alias("plon"), "radius_m").hint("broadcast"), F.lit(True), "left")
+    pairs = pairs.withColumn("d", haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).filter("d <= radius_m")
+    want = {r.id: r.label for r in pairs.filter("lat is not null").groupBy("id").agg(F.min_by("name", F.struct("d", "name")).alias("label")).collect()}
+    got = {r.id: r.label for r in places.match_places(p, b, "id").collect()}
+    assert len(want) > 200 and got == {k: want.get(k) for k, _, _ in pts}
+    cells = places.covering_cells(b.dropna().select(F.col("name").alias("p_label"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.col("radius_m").alias("p_radius")))
+    assert cells.groupBy("p_label").count().agg(F.max("count")).first()[0] <= 12
+    assert places.match_places(p, b.limit(0), "id").filter("label is not null").count() == 0
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_deep_closure(spark, levels):
+    """Jumps against a search level by level, on random graphs with circles."""
+    g = random.Random(17)
+    pairs = {(g.randrange(40), g.randrange(40)) for _ in range(55)} | {(100 + i, 101 + i) for i in range(70)}
+    links = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "child_id string, parent_id string")
+    roots = [0, 1, 2, 3, 100, 150, 999]
+    want = set()
+    for root in roots:
+        far, front, n = {}, {root}, 0
+        while front:
+            n += 1
+            front = {b for a, b in pairs if a in front} - set(far)
+            far.update(dict.fromkeys(front, n))
+        want |= {(str(root), str(k), d) for k, d in far.items()}
+    got = lineage.closure(links, spark.createDataFrame([(str(r),) for r in roots], "id string"), levels=levels)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_closure_of_a_long_chain(spark):
+    """10,000 links deep: some fourteen rounds of jumps, not 10,000 levels."""
+    links = spark.range(10_000).select(F.col("id").cast("string").alias("child_id"), (F.col("id") + 1).cast("string").alias("parent_id"))
+    got = lineage.closure(links, spark.createDataFrame([("0",)], "id string"), levels=1)
+    assert got.agg(F.count("*"), F.max("distance"), F.sum(F.abs(F.col("id").cast("int") - F.col("distance")))).first()[:] == (10_000, 10_000, 0)
+
+
 def test_lineage(spark):
     ev = spark.createDataFrame([("a", "raw", 1), ("b", "mid", 2), ("c", "top", 3), ("d", "mid", 4)], "id string, name string, ts bigint")
     links = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "gone")], "child_id string, parent_id string")

@@ -1,5 +1,5 @@
-"""The lineage graph of derived events. Depths and closures are iterations of joins, as many as the graph is deep; each round
-is written to the shared folder. Circles end them as well."""
+"""The lineage graph of derived events. Depths are iterations of joins, as many as the graph is deep; closures of
+deep graphs take logarithmic rounds. Each round is written to the shared folder. Circles end them as well."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tideline.staging import staged
 
 COLLAPSE_FROM = 6
+#: Levels of a closure that are looked up one by one before jumps are made.
+LEVELS = 8
 
 
 def edges(events: DataFrame, id_column: str = "id", parents: str = "derived_from") -> DataFrame:
@@ -44,14 +46,18 @@ def depth_by_type(events: DataFrame, depth: DataFrame) -> DataFrame:
     return per.orderBy(F.desc("depth"), "name")
 
 
-def closure(links: DataFrame, start: DataFrame, up: bool = True) -> DataFrame:
-    """(root, id, distance): all ancestors (up) or descendants of the ids in start (id), each at its least distance."""
+def closure(links: DataFrame, start: DataFrame, up: bool = True, levels: int = LEVELS) -> DataFrame:
+    """(root, id, distance): all ancestors (up) or descendants of the ids in start (id), each at its least distance.
+
+    The first `levels` levels go one by one, which ends most lineages. What lies deeper is reached in logarithmic rounds: jumps of
+    1, 2, 4, ... links are made by joining each with itself, then taken from the longest down, so that every distance is a sum of
+    different jumps. A part of a shortest way is a shortest way itself, so the least distance found so far is all a pair has to keep.
+    A circle ends the doubling once jumps are as long as there are links."""
     a, b = ("child_id", "parent_id") if up else ("parent_id", "child_id")
-    steps = links.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
-    seen, n = None, 0
+    steps = staged(links.select(F.col(a).alias("_from"), F.col(b).alias("_to")).dropna().distinct(), "links")
+    seen = None
     level = start.select(F.col("id").alias("root"), F.col("id"))
-    while True:
-        n += 1
+    for n in range(1, levels + 1):
         level = level.join(steps, level["id"] == steps["_from"]).select("root", F.col("_to").alias("id")).distinct()
         if seen is not None:
             level = level.join(seen, ["root", "id"], "left_anti")
@@ -60,6 +66,19 @@ def closure(links: DataFrame, start: DataFrame, up: bool = True) -> DataFrame:
             break
         found = level.withColumn("distance", F.lit(n))
         seen = found if seen is None else seen.unionByName(found)
+    else:
+        jumps, longest = [steps], steps.count()
+        while 2 ** len(jumps) <= longest:
+            first, second = jumps[-1], jumps[-1].select(F.col("_from").alias("_mid"), F.col("_to").alias("_end"))
+            twice = staged(first.join(second, first["_to"] == second["_mid"]).select("_from", F.col("_end").alias("_to")).distinct(), "jumps")
+            if not twice.limit(1).count():
+                break
+            jumps.append(twice)
+        deep = level.withColumn("distance", F.lit(levels))
+        for i in reversed(range(len(jumps))):
+            further = deep.join(jumps[i], deep["id"] == jumps[i]["_from"]).select("root", F.col("_to").alias("id"), (F.col("distance") + 2**i).cast("int").alias("distance"))
+            deep = staged(deep.unionByName(further).groupBy("root", "id").agg(F.min("distance").alias("distance")), "closure")
+        seen = seen.unionByName(deep).groupBy("root", "id").agg(F.min("distance").alias("distance"))
     return start.select(F.col("id").alias("root"), "id", F.lit(0).alias("distance")).limit(0) if seen is None else seen
 
 
