@@ -33,6 +33,9 @@ def test_geo(spark):
         accurate_enough(lit(None).cast("double"), 100).alias("none"),
         accurate_enough(lit(101.0), 100).alias("vague"),
     )
+    none = lit(None).cast("double")
+    nulls = one(spark, *[haversine_m(*[none if i == j else lit(1.0) for j in range(4)]).alias(f"d{i}") for i in range(4)])
+    assert set(nulls) == {None}
     assert 4000 < r.d < 4050 and r.still == 0 and r.jump == float("inf") and not r.walk and r.none and not r.vague
 
 

@@ -37,7 +37,7 @@ SIG = """sig AS (
   FROM events)"""
 
 HAVERSINE = (
-    "(2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)))))"
+    "(CASE WHEN {a} + {b} + {c} + {d} IS NOT NULL THEN 2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)))) END)"
 )
 
 
