@@ -208,6 +208,26 @@ def test_places(spark):
     assert got == {"1": ("home", True, ["a"]), "2": ("yard", False, None), "3": (None, None, None), "4": (None, None, None)}
 
 
+@pytest.mark.parametrize("correlate", [False, True])
+def test_first_evidence_by_time(spark, correlate):
+    """Stages and candidates with ties, gaps of days and nulls, against a look at every candidate."""
+    g = random.Random(5)
+    when = lambda: T + g.choice([0, 7200, 90_000, 900_000]) + g.randrange(0, 4000, 25)
+    w = [(f"k{i}", g.choice(["a", "b", "c", None]), when(), g.choice(["x", "y", None])) for i in range(150)] + [("early", "a", 100, "x"), ("open", "a", None, "x")]
+    c = [(g.choice(["a", "b", None]), f"e{i:03}", when(), g.choice(["x", "y", None])) for i in range(120)]
+    want = {}
+    for key, event, look, have in w:
+        if event is None or correlate and have is None:
+            continue
+        start = max(0, look - 900) if look is not None else 0
+        fits = [(ts, i) for e, i, ts, v in c if e == event and ts >= start and (not correlate or v == have)]
+        if fits:
+            want[key] = min(fits)
+    waiting = spark.createDataFrame(w, "key string, event string, look_from bigint, correlate string")
+    found = process.match_evidence(waiting, spark.createDataFrame(c, "event string, id string, ts bigint, correlate string"), correlate=correlate).collect()
+    assert {r.key: (r.evidence_ts, r.evidence_id) for r in found} == want and len(found) == len(want) > 40
+
+
 def test_places_of_every_size(spark):
     """Circles of 30 m to half the globe, over poles and the date line, against every pair's distance."""
     g = random.Random(31)

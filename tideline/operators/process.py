@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLACK_SECONDS = 900
+#: Evidence is looked up by periods of this length.
+BUCKET_SECONDS = 3600
 RESERVED = ["id", "name", "user_id", "timestamp", "process", "cycle_key"]
 
 
@@ -50,18 +52,39 @@ def mentions(text: Column, value: Column) -> Column:
     return low.contains(F.lower(value)) | low.contains(F.lower(zero_stripped(value)))
 
 
+def first_from(times: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, t and the first candidate (_e: ts, id) of the same keys from t on. times: keys, t; candidates: keys, ts, id.
+
+    Both are merged in time order within periods of BUCKET_SECONDS, where one window hands every time the next candidate; where a
+    period has none left, the first of the next period that has any is it. A period holds each second once from either side,
+    so that no key is too large for a task and rows stay linear in both inputs."""
+    period = lambda c: F.floor(F.col(c) / BUCKET_SECONDS).alias("_p")
+    c = candidates.dropna(subset=[*keys, "ts"]).groupBy(*keys, "ts").agg(F.min("id").alias("id"))
+    c = c.select(*keys, period("ts"), F.col("ts").alias("t"), F.struct("ts", "id").alias("_e"))
+    t = times.dropna(subset=[*keys, "t"]).select(*keys, period("t"), "t").distinct()
+    back = Window.partitionBy(*keys, "_p").orderBy(F.desc("t"), F.desc(F.col("_e").isNotNull())).rowsBetween(Window.unboundedPreceding, 0)
+    merged = t.withColumn("_e", F.lit(None).cast(c.schema["_e"].dataType)).unionByName(c)
+    found = merged.withColumn("_f", F.last("_e", ignorenulls=True).over(back)).filter("_e is null").select(*keys, "_p", "t", "_f")
+    periods = merged.groupBy(*keys, "_p").agg(F.min("_e").alias("_first"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    periods = periods.withColumn("_n", F.last("_first", ignorenulls=True).over(later)).drop("_first")
+    return found.join(periods, [*keys, "_p"]).select(*keys, "t", F.coalesce("_f", "_n").alias("_e")).filter("_e is not null")
+
+
 def match_evidence(waiting: DataFrame, candidates: DataFrame, slack: int = SLACK_SECONDS, correlate: bool = False, mention: bool = False, where: Column | None = None) -> DataFrame:
     """Waiting stages with their first candidate by time from look_from - slack on.
     waiting: key, event (wanted name), look_from and, if used, correlate (required value; null matches nothing) and mention.
-    candidates: event, id, ts and, if used, correlate and text. The names are an equality key."""
+    candidates: event, id, ts and, if used, correlate and text. The names are an equality key. Where a text has to mention something,
+    each stage is held against all its candidates; else only the first one is looked up."""
     c = candidates if where is None else candidates.filter(where)
-    more = ([F.col("correlate").alias("_have")] if correlate else []) + ([F.col("text")] if mention else [])
-    c = c.select("event", F.col("id").alias("evidence_id"), F.col("ts").alias("evidence_ts"), *more)
-    keys = [waiting["event"] == c["event"]] + ([waiting["correlate"] == c["_have"]] if correlate else [])
-    rows = waiting.join(c, keys).filter(F.col("evidence_ts") >= F.greatest(F.lit(0), F.col("look_from") - slack))
-    if mention:
-        rows = rows.filter(mentions(F.col("text"), F.col("mention")))
-    return rows.groupBy("key").agg(F.min(F.struct("evidence_ts", "evidence_id")).alias("_e")).select("key", "_e.evidence_id", "_e.evidence_ts")
+    keys = ["event", "correlate"] if correlate else ["event"]
+    start = F.greatest(F.lit(0), F.col("look_from") - slack).cast("bigint")
+    w = waiting.select("key", *keys, start.alias("t"), *(["mention"] if mention else []))
+    if not mention:
+        rows = w.join(first_from(w, c.select(*keys, F.col("ts").cast("bigint").alias("ts"), "id"), keys), [*keys, "t"])
+        return rows.groupBy("key").agg(F.min("_e").alias("_e")).select("key", F.col("_e.id").alias("evidence_id"), F.col("_e.ts").alias("evidence_ts"))
+    rows = w.join(c.select(*keys, "id", "ts", "text"), keys).filter((F.col("ts") >= F.col("t")) & mentions(F.col("text"), F.col("mention")))
+    return rows.groupBy("key").agg(F.min(F.struct("ts", "id")).alias("_e")).select("key", F.col("_e.id").alias("evidence_id"), F.col("_e.ts").alias("evidence_ts"))
 
 
 def stamped(matched: DataFrame, run_at: int) -> DataFrame:
