@@ -78,6 +78,13 @@ def test_native_forms_agree_with_the_folds(spark, seed):
     assert got == {(u, d[2][0]["id"], d[2][1]["id"]) for u, _, d in stepped(late, "session_window", {"start_event": "a", "end_event": "b", "max_duration_seconds": 1000})}
 
 
+def test_decaying_window_fires_once_a_moment(spark):
+    rows = [("u", f"e{i}", "ab"[i % 2], T + 100 * (i // 4), i) for i in range(12)]
+    events = spark.createDataFrame(rows, "user_id string, id string, name string, ts bigint, seq bigint")
+    got = sorted(tuple(r) for r in sessions.decaying_window(events, {"a": 5, "b": 4}, 7, 600, 250, 200).collect())
+    assert got == [("u", T, 9.0), ("u", T + 200, 9.0)]
+
+
 def test_validated_sessions_agree_with_the_folds(spark):
     g = random.Random(5)
     rows = [(*r, 47.2 + g.choice([0, 0.0005, 0.02]), 8.5, g.choice([10.0, 300.0])) for r in random_events(5, kinds="abpppp")]

@@ -145,9 +145,10 @@ def decaying_scores(events: DataFrame, weights: dict[str, float], window: int, h
 
 
 def decaying_window(events, weights, threshold, window, half_life=None, cooldown=1800) -> DataFrame:
-    """What fires; half_life defaults to half the window."""
+    """(user_id, ts, score) of what fires, once a moment; half_life defaults to half the window. Events of one second score the same."""
     scored = decaying_scores(events, weights, window, window / 2 if half_life is None else half_life)
-    return cooled(scored.filter(F.col("score") >= threshold), cooldown).withColumn("score", F.round("score", 3))
+    moments = scored.filter(F.col("score") >= threshold).select("user_id", "ts", F.round("score", 3).alias("score"))
+    return cooled(moments.distinct(), cooldown)
 
 
 def weighted_window(events, weights, threshold, window, cooldown=1800, max_age=None) -> DataFrame:
