@@ -711,3 +711,25 @@ def test_percentiles_are_exact(spark):
             lo, hi = v[int(at)], v[min(int(at) + 1, len(v) - 1)]
             assert found == pytest.approx(lo + (hi - lo) * (at - int(at)))
     assert "d" not in got
+
+
+def test_kinds_of_sessions_in_one_pass(spark):
+    rows = random_events(37, users=3, n=200)
+    rows = [(None if u == "u0" else u, i, n, t - random.Random(s).choice([0, 0, 400]), s) for u, i, n, t, s in rows]
+    events = spark.createDataFrame(rows, "user_id string, id string, name string, ts bigint, seq bigint")
+    kinds = {"x": ("a", "b"), "y": ("c", "b"), "z": ("b", "a"), "none": ("d", "a")}
+    found = sessions.pair_kinds(events, kinds, 1500)
+    got = sorted(repr((r.kind, *(r[c] for c in found.columns if c != "kind"))) for r in found.collect())
+    assert got == sorted(repr((k, *r)) for k, (s, e) in kinds.items() for r in sessions.pair_sessions(events, s, e, 1500).collect()) and got
+
+
+def test_superseded_sweeps_spans_that_one_pass_makes(spark):
+    rows = [(f"{n}{i}", f"u{i % 2}", n, T + 50 * i, T + 50 * i, T + 50 * i + w) for i in range(20) for n, w in (("car_trip", 40), ("trip", 90 - 30 * (i % 3)), ("journey", 10))]
+    events = spark.createDataFrame([(u, f"e{i}", n, T + 9 * i, i) for i, (u, n) in enumerate([("u", "a"), ("u", "b"), ("u", "c")] * 20)], "user_id string, id string, name string, ts bigint, seq bigint")
+    spans = spark.createDataFrame(rows, "id string, user_id string, name string, ts bigint, lo bigint, hi bigint")
+    want = {a[0] for a in rows for b in rows if (a[2], b[2]) in timeline.REPLACED_BY and a[1] == b[1] and a[4] <= b[5] and b[4] <= a[5]}
+    assert {r.id for r in timeline.superseded(spans).collect()} == want and want
+    pairs = sessions.pair_kinds(events, {"trip": ("a", "b"), "journey": ("b", "c")})
+    made = pairs.select(F.concat("kind", "start_id").alias("id"), "user_id", F.col("kind").alias("name"), F.col("started_at").alias("lo"), F.col("ended_at").alias("hi"))
+    plan = plan_of(timeline.superseded(made))
+    assert plan.split("AdaptiveSparkPlan")[-1].count("Scan ExistingRDD") == 1 and "Union" not in plan

@@ -21,17 +21,31 @@ def pair_sessions(events: DataFrame, start: str, end: str, max_duration: int = 2
     """(user_id, start_id, started_at, end_id, ended_at, start_seq, end_seq): the latest start takes the first end by arrival
     that lies after it in time; an end that doesn't leaves the start open. An episode is what follows one start. whole: also
     start_event and end_event, the two rows as structs."""
-    rows = events.filter(F.col("name").isin(start, end)).select("user_id", "id", "name", "ts", F.col(order).alias("_o"), *([F.struct("*").alias("_row")] if whole else []))
+    row = [F.struct("*").alias("_row")] if whole else []
+    rows = events.filter(F.col("name").isin(start, end)).select("user_id", "id", "ts", F.col(order).alias("_o"), (F.col("name") == start).alias("_starts"), *row)
+    return _paired(rows, ["user_id"], max_duration, whole)
+
+
+def pair_kinds(events: DataFrame, kinds: dict[str, tuple[str, str]], max_duration: int = 21600, order: str = "seq") -> DataFrame:
+    """What pair_sessions gives of each kind (its start and end), with `kind`. An event has a row for each kind that it starts or
+    ends, so one scan, shuffle and sort serve all kinds, and no task holds the sorts of several."""
+    roles = {n: [(k, n == s) for k, (s, e) in kinds.items() if n in (s, e)] for pair in kinds.values() for n in pair}
+    role = lambda k, starts: F.struct(F.lit(k).alias("kind"), F.lit(starts).alias("starts"))
+    of_name = F.create_map(*[x for n, found in roles.items() for x in (F.lit(n), F.array(*[role(*r) for r in found]))])
+    rows = events.filter(F.col("name").isin(list(roles))).select("user_id", "id", "ts", F.col(order).alias("_o"), F.explode(F.try_element_at(of_name, F.col("name"))).alias("_r"))
+    return _paired(rows.select("user_id", F.col("_r.kind").alias("kind"), "id", "ts", "_o", F.col("_r.starts").alias("_starts")), ["user_id", "kind"], max_duration)
+
+
+def _paired(rows: DataFrame, keys: list[str], max_duration: int, whole: bool = False) -> DataFrame:
     row = ["_row"] if whole else []
-    along = Window.partitionBy("user_id").orderBy("_o", "id")
-    is_start = F.col("name") == start
-    rows = rows.withColumn("_episode", F.sum(is_start.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    own = F.when(is_start, F.struct("id", "ts", "_o", *row))
+    along = Window.partitionBy(*keys).orderBy("_o", "id")
+    rows = rows.withColumn("_episode", F.sum(F.col("_starts").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.when(F.col("_starts"), F.struct("id", "ts", "_o", *row))
     rows = rows.withColumn("_s", F.last(own, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = rows.filter(~is_start & F.col("_s").isNotNull() & (F.col("ts") > F.col("_s.ts")))
-    first = ends.groupBy("user_id", "_episode").agg(F.min_by(F.struct("id", "ts", F.col("_o").alias("o"), "_s", *row), F.struct("_o", "id")).alias("_e"))
+    ends = rows.filter(~F.col("_starts") & F.col("_s").isNotNull() & (F.col("ts") > F.col("_s.ts")))
+    first = ends.groupBy(*keys, "_episode").agg(F.min_by(F.struct("id", "ts", F.col("_o").alias("o"), "_s", *row), F.struct("_o", "id")).alias("_e"))
     return first.select(
-        "user_id",
+        *keys,
         F.col("_e._s.id").alias("start_id"),
         F.col("_e._s.ts").alias("started_at"),
         F.col("_e.id").alias("end_id"),

@@ -46,15 +46,17 @@ def orphans(rows: DataFrame) -> DataFrame:
 def superseded(rows: DataFrame, rules=REPLACED_BY) -> DataFrame:
     """Ids of spans that a span of a replacing type overlaps, ends included, whichever day they are shown on. A sweep: a span is
     overlapped if, of the replacing ones that begin up to its end, the latest to end does so after its beginning. So one sorted
-    window says it, and no pair is made."""
-    spark = rows.sparkSession
-    spans = rows.filter(is_span())
-    table = spark.createDataFrame(list(rules), "name string, by string")
-    asked = spans.join(F.broadcast(table), "name").select("user_id", "by", F.col("hi").alias("_at"), F.lit(None).cast("long").alias("_end"), "id", F.col("lo").alias("_lo"))
-    replacing = spans.filter(F.col("name").isin(sorted({b for _, b in rules}))).select("user_id", F.col("name").alias("by"), F.col("lo").alias("_at"), F.col("hi").cast("long").alias("_end"))
-    begun = Window.partitionBy("user_id", "by").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = asked.unionByName(replacing, allowMissingColumns=True).withColumn("_last", F.max("_end").over(begun))
-    return swept.filter(F.col("id").isNotNull() & (F.col("_last") >= F.col("_lo"))).select("id").distinct()
+    window says it, and no pair is made. A span has a row for each type that it asks for, and one if it replaces others: spans are
+    made once, and not in the task that sweeps."""
+    no_time, no_id = F.lit(None).cast("long"), F.lit(None).cast("string")
+    row = lambda by, at, end, id_, lo: F.struct(by.alias("by"), at.cast("long").alias("at"), end.cast("long").alias("end"), id_.cast("string").alias("id"), lo.cast("long").alias("lo"))
+    lo, hi = F.col("lo"), F.col("hi")
+    asks = [F.when(F.col("name") == n, row(F.lit(by), hi, no_time, F.col("id"), lo)) for n, by in rules]
+    replaces = F.when(F.col("name").isin(sorted({b for _, b in rules})), row(F.col("name"), lo, hi, no_id, no_time))
+    roles = rows.filter(is_span()).select("user_id", F.explode(F.array_compact(F.array(*asks, replaces))).alias("_r")).select("user_id", "_r.*")
+    begun = Window.partitionBy("user_id", "by").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = roles.withColumn("_last", F.max("end").over(begun))
+    return swept.filter(F.col("id").isNotNull() & (F.col("_last") >= F.col("lo"))).select("id").distinct()
 
 
 def standing(rows: DataFrame, rules=REPLACED_BY) -> DataFrame:

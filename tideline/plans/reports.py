@@ -293,13 +293,11 @@ def preferences(spark, sf_dir):
 
 def _timeline(spark, sf_dir):
     s = signals(spark, sf_dir)
-    spans = None
-    for name, start, end in (("car_trip", "signup", "purchase"), ("trip", "view", "purchase"), ("journey", "click", "error")):
-        p = sessions.pair_sessions(s, start, end, 43_200).select(
-            F.concat(F.lit(name + ":"), "start_id").alias("id"), "user_id", F.lit(name).alias("name"), F.col("ended_at").alias("ts"), F.col("started_at").alias("lo"), F.col("ended_at").alias("hi"),
-            (F.col("start_seq") % 4 == 0).alias("everyday"), F.when(F.col("start_seq") % 3 == 0, "driving").when(F.col("start_seq") % 3 == 1, "walking").alias("mode"), F.lit(None).cast("decimal(18,2)").alias("amount"),
-        )
-        spans = p if spans is None else spans.unionByName(p)
+    pairs = sessions.pair_kinds(s, {"car_trip": ("signup", "purchase"), "trip": ("view", "purchase"), "journey": ("click", "error")}, 43_200)
+    spans = pairs.select(
+        F.concat("kind", F.lit(":"), "start_id").alias("id"), "user_id", F.col("kind").alias("name"), F.col("ended_at").alias("ts"), F.col("started_at").alias("lo"), F.col("ended_at").alias("hi"),
+        (F.col("start_seq") % 4 == 0).alias("everyday"), F.when(F.col("start_seq") % 3 == 0, "driving").when(F.col("start_seq") % 3 == 1, "walking").alias("mode"), F.lit(None).cast("decimal(18,2)").alias("amount"),
+    )
     moments = s.select(
         "id", "user_id", F.when(F.col("name") == "purchase", "payment").otherwise(F.col("name")).alias("name"), "ts", F.lit(None).cast("bigint").alias("lo"), F.lit(None).cast("bigint").alias("hi"),
         F.lit(None).cast("boolean").alias("everyday"), F.lit(None).cast("string").alias("mode"), F.when(F.col("name") == "purchase", F.round("value", 2).cast("decimal(18,2)")).alias("amount"),
