@@ -1,10 +1,11 @@
 """Operators 2 and 7: held-out accuracy, edge cases, and what scores may depend on."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from tideline.llm import attention_mil, string_kernel
+from tideline.llm import attention_mil, common, string_kernel
 from tideline.llm.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -128,3 +129,9 @@ def test_ridge_scores_by_brute_force():
     target = np.where(y[:, None] == [0, 1], 1.0, -1.0)
     beta = np.linalg.solve(phi.T @ phi + string_kernel.RIDGE * 16 * np.eye(6) / 6, phi.T @ target)
     assert np.allclose(model.scores(texts, model.landmarks()), np.clip((phi @ beta + 1) / 2, 0, 1), atol=1e-3)
+
+
+def test_quality_lets_the_store_of_the_operator_before_go():
+    common.kept("of another operator", lambda: {"word": 1})
+    [scores] = attention_mil.scored(iter([pd.Series(["Some text.", None])]), attention_mil.AttentionModel(None))
+    assert list(scores) == [0.5, 0.5] and not common._store

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import released
+
 PASSAGE = 400
 TRAIN_PER_LABEL = 1500
 HIDDEN, GATE = 24, 12
@@ -180,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
 
     @F.pandas_udf("binary")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        released()
         for texts in batches:
             out = []
             for t in texts:
@@ -200,7 +203,22 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
 
 
 #: Characters of the texts that are scored at once.
-BATCH_CHARS = 500_000
+BATCH_CHARS = 100_000
+
+
+def scored(batches: Iterator[pd.Series], model: AttentionModel) -> Iterator[pd.Series]:
+    """Scores of texts, in a worker."""
+    released()
+    for texts in batches:
+        out, group, size = [], [], 0
+        for t in texts:
+            group.append(t or "")
+            size += len(group[-1])
+            if size > BATCH_CHARS:
+                out.append(model.scores(group))
+                group, size = [], 0
+        out.append(model.scores(group))
+        yield pd.Series(np.concatenate(out))
 
 
 def quality(text: str | Column, model: AttentionModel) -> Column:
@@ -208,16 +226,7 @@ def quality(text: str | Column, model: AttentionModel) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out, group, size = [], [], 0
-            for t in texts:
-                group.append(t or "")
-                size += len(group[-1])
-                if size > BATCH_CHARS:
-                    out.append(model.scores(group))
-                    group, size = [], 0
-            out.append(model.scores(group))
-            yield pd.Series(np.concatenate(out))
+        yield from scored(batches, model)
 
     return run(F.col(text) if isinstance(text, str) else text)
 

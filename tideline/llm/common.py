@@ -40,12 +40,18 @@ def kept(name: str, make: Callable[[], T]) -> T:
     """What make() gives, kept in a worker until another operator's store is asked for: workers outlive a stage, and their
     stores would add up."""
     if name not in _store:
-        _store.clear()
-        pa.default_memory_pool().release_unused()
+        released()
         _store[name] = make()
     return _store[name]
 
 
+def released() -> None:
+    """Lets a worker's store go. For operators without one: a worker that comes to them from another still holds that one's."""
+    if _store:
+        _store.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
