@@ -331,3 +331,21 @@ def test_own_detector():
 
     register_detector("every")(lambda c: Every({c["name"]}))
     assert len(feed("every", {"name": "a"}, names(("a", 1), ("a", 2)))) == 2
+
+
+def test_evidence_of_what_fires_is_places_in_a_frame():
+    import numpy as np
+    import pyarrow as pa
+
+    from tideline.operators.folds import FIXES, ITSELF, Fired
+    from tideline.plans.detect import Frame, Places
+
+    frame = Frame(pa.array([{"id": str(i), "name": "ping" if i % 2 else "x", "ts": 10 - i} for i in range(6)]))
+    places = Places()
+    places.add(np.arange(1, 4))
+    places.add(np.arange(4, 6))
+    places.keep([(1, 3)])
+    assert places.range(1, 5).tolist() == [2, 3, 4, 5]
+    score, at = frame.evidence(Fired(0, 0, 1.0, [(1, 2, ITSELF), (3, 5, ITSELF)]), places, None)
+    assert score == 1.0 and at.tolist() == [2, 4, 5]
+    assert frame.evidence(Fired(0, 0, 1.0, [(1, 5, FIXES)]), places, "ping")[1].tolist() == [5, 3]

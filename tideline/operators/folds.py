@@ -38,6 +38,9 @@ class Rows:
     lo: np.ndarray
     hi: np.ndarray
 
+    def part(self, a: int, b: int) -> Rows:
+        return Rows(self.name[a:b], self.ts[a:b], self.lat[a:b], self.lon[a:b], self.acc[a:b], self.lo[a:b], self.hi[a:b])
+
     def fixes(self, name: str, accuracy: float) -> np.ndarray:
         """Positions of located events of that name; vague ones aren't."""
         return np.flatnonzero((self.name == name) & ~np.isnan(self.lat) & ~np.isnan(self.lon) & ~(self.acc > accuracy))
@@ -303,7 +306,7 @@ class Sessions(Fold):
         done = 0
         for row in [*marks.tolist(), len(rows.ts)]:
             upto = int(np.searchsorted(fixes, row))
-            if state.get("open"):
+            if state.get("open") and done < upto:
                 self._moved(state, rows, fixes[done:upto])
             done = upto
             if row == len(rows.ts):

@@ -10,7 +10,7 @@ about SEGMENT rows then go to different tasks, whichever user they are of. What
 the time before its cut, is handed on by one more window. Claims wait across silences, so fusion isn't cut; its ticks are handled as
 arrays in batches, so that a user's history is never held.
 
-Evidence stays in Arrow arrays; it is taken by number, and only claims, which cite what others cite, become Python objects."""
+Evidence stays in Arrow arrays; a batch's is taken at once, and only claims, which cite what others cite, become Python objects."""
 
 from __future__ import annotations
 
@@ -71,57 +71,57 @@ def segmented(rows: DataFrame, fold: Fold, size: int = SEGMENT) -> DataFrame:
 # --- folding -----------------------------------------------------------------------------------------------------------
 
 
-class Pool:
-    """Events by number, as Arrow arrays; what isn't needed any more goes."""
+class Places:
+    """Numbers of a history's events that may still be cited, as places in the frame: the batch at hand, behind what the batches
+    before it left over. So Arrow takes and joins a batch's evidence at once, and not what each history or firing has."""
 
-    def __init__(self, kind: pa.DataType):
-        self.array, self.first = pa.array([], kind), 0
+    def __init__(self):
+        self.at, self.first = np.zeros(0, np.int64), 0
 
-    def add(self, events: pa.Array) -> None:
-        if len(events):
-            self.array = pa.concat_arrays([self.array, events]) if len(self.array) else events
+    def add(self, at: np.ndarray) -> None:
+        self.at = np.concatenate([self.at, at]) if len(self.at) else at
 
     def keep(self, needed: list[tuple[int, int]]) -> None:
-        least = min((a for a, _ in needed), default=self.first + len(self.array))
-        if 2 * (least - self.first) > len(self.array):  # at least half of it: copies what stays
-            self.array = pa.concat_arrays([self.array.slice(least - self.first)])
-            self.first = least
+        least = min((a for a, _ in needed), default=self.first + len(self.at))
+        if least > self.first:
+            self.at, self.first = self.at[least - self.first :], least
 
-    def event(self, number: int) -> dict:
-        return self.array[number - self.first].as_py()
+    def range(self, a: int, b: int) -> np.ndarray:
+        return self.at[a - self.first : b - self.first]
 
-    def evidence(self, fired: Fired, ping: str | None) -> tuple[float, pa.Array]:
-        """Score and evidence of what fired."""
+
+class Frame:
+    def __init__(self, events: pa.Array):
+        self.events = events
+        self.name = pc.struct_field(events, "name").to_numpy(zero_copy_only=False)
+        self.ts = pc.cast(pc.struct_field(events, "ts"), pa.int64()).to_numpy(zero_copy_only=False)
+
+    def evidence(self, fired: Fired, places: Places, ping: str | None) -> tuple[float, np.ndarray | list[dict]]:
+        """Score and evidence of what fired: places, or events themselves where they are what others cite."""
         if fired.score is None or any(how not in (ITSELF, FIXES) for _, _, how in fired.cites):
-            score, events = folds.cited(fired, self.event, ping)
-            return score, pa.array([e if "sources" in e else e | {"sources": e.get("parts")} for e in events], self.array.type)
-        found = []
+            score, events = folds.cited(fired, lambda k: self.events[int(places.at[k - places.first])].as_py(), ping)
+            return score, [e if "sources" in e else e | {"sources": e.get("parts")} for e in events]
+        found, sort = [], False
         for a, b, how in fired.cites:
-            at = np.arange(a, b) - self.first
+            at = places.range(a, b)
             if how == FIXES:
-                at = at[pc.equal(pc.struct_field(self.array.slice(a - self.first, b - a), "name"), ping).to_numpy(zero_copy_only=False)]
+                at, sort = at[self.name[at] == ping], True
             found.append(at)
-        at = np.concatenate(found)
-        whole = len(at) and at[-1] - at[0] == len(at) - 1 and (np.diff(at) == 1).all()
-        events = self.array.slice(at[0], len(at)) if whole else self.array.take(pa.array(at))
-        return fired.score, in_time(events) if any(how == FIXES for _, _, how in fired.cites) else events
-
-
-def in_time(events: pa.Array) -> pa.Array:
-    return events.take(pa.array(np.argsort(pc.struct_field(events, "ts").to_numpy(zero_copy_only=False), kind="stable")))
+        at = np.concatenate(found) if len(found) > 1 else found[0] if found else np.zeros(0, np.int64)
+        return fired.score, at[np.argsort(self.ts[at], kind="stable")] if sort else at
 
 
-def columns_of(part: pa.RecordBatch) -> Rows:
-    event = part.column("event")
+def columns_of(batch: pa.RecordBatch) -> Rows:
+    event = batch.column("event")
     numbers = lambda c, kind: pc.cast(pc.struct_field(event, c), kind).to_numpy(zero_copy_only=False)
     return Rows(
         pc.struct_field(event, "name").to_numpy(zero_copy_only=False), numbers("ts", pa.int64()), *[numbers(c, pa.float64()) for c in ("lat", "lon", "acc")],
-        part.column("lo").to_numpy(), part.column("hi").to_numpy(),
+        batch.column("lo").to_numpy(), batch.column("hi").to_numpy(),
     )
 
 
-def parts_of(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Stretches of a batch with the same keys."""
+def parts_of(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[tuple, int, int]]:
+    """Stretches of a batch with the same keys: from, to."""
     values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
     new = np.zeros(max(0, batch.num_rows - 1), bool)
     for v in values:
@@ -129,7 +129,7 @@ def parts_of(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[tuple, pa.Reco
     cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b > a:
-            yield tuple(v[a] for v in values), batch.slice(a, b - a)
+            yield tuple(v[a] for v in values), a, b
 
 
 _LEG = pa.struct([("begin", pa.int64()), ("moves", pa.int64()), ("extent", pa.float64()), ("before", pa.int64()), ("settled", pa.int64())])
@@ -142,13 +142,26 @@ class Output:
         self.o, self.path, self.event = (schema.field(c).type for c in ("o", "path", "event"))
         self.rows, self.sources, self.size = [], [], 0
 
-    def add(self, key: tuple, told: int, at, k: int = 0, ts: int | None = None, score: float | None = None, sources: pa.Array | None = None, leg: folds.Leg | None = None, second: tuple | None = None) -> None:
+    def add(self, key: tuple, told: int, at, k: int = 0, ts: int | None = None, score: float | None = None, sources: np.ndarray | list[dict] | None = None, leg: folds.Leg | None = None, second: tuple | None = None) -> None:
         known = leg and {"begin": leg.begin, "moves": leg.moves, "extent": leg.extent, "before": leg.before, "settled": leg.settled}
         self.rows.append((*key, told, at, k, ts, score, known, second and {"o": second[0], "path": second[1]}))
         self.sources.append(sources)
         self.size += 1 if sources is None else len(sources)
 
-    def batch(self, batch: pa.RecordBatch | None) -> pa.RecordBatch:
+    def evidence(self, events: pa.Array) -> pa.Array:
+        made = [e for s in self.sources if isinstance(s, list) for e in s]
+        places, n = [np.zeros(0, np.int64)], len(events)
+        for s in self.sources:
+            if isinstance(s, list):
+                places.append(np.arange(n, n + len(s)))
+                n += len(s)
+            elif s is not None:
+                places.append(s)
+        every = pa.concat_arrays([events, pa.array(made, self.event)]) if made else events
+        return every.take(pa.array(np.concatenate(places)))
+
+    def batch(self, batch: pa.RecordBatch | None, events: pa.Array) -> pa.RecordBatch:
+        """events: of the frame."""
         users, segments, told, at, k, ts, score, leg, second = zip(*self.rows, strict=True)
         here = [x if isinstance(x, int) else None for x in at]
         places = {}
@@ -157,7 +170,7 @@ class Output:
             given = pa.array([x[i] if isinstance(x, tuple) else None for x in at], kind)
             places[c] = pc.if_else(pa.array([isinstance(x, tuple) for x in at]), given, column)
         offsets = np.cumsum([0, *(0 if s is None else len(s) for s in self.sources)])
-        evidence = pa.concat_arrays([pa.array([], self.event), *(s for s in self.sources if s is not None)])
+        evidence = self.evidence(events)
         out = pa.RecordBatch.from_arrays(
             [pa.array(users, pa.string()), pa.array(segments, pa.int64()), pa.array(told, pa.int32()), places["o"], places["path"], pa.array(k, pa.int32()), pa.array(ts, pa.int64()),
              pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), evidence), pa.array(leg, _LEG), pa.array(second, pa.struct([("o", self.o), ("path", self.path)]))],
@@ -184,12 +197,11 @@ def folded(rows: DataFrame, fold: Fold) -> DataFrame:
     ping = getattr(fold, "ping", None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, pool, taken, last, out = None, {}, None, [], None, None
+        key, state, places, taken, last, out, frame = None, {}, Places(), [], None, None, None
 
-        def advance(part: pa.RecordBatch, at: int) -> None:
-            """at: where the part begins in its batch."""
+        def advance(batch: pa.RecordBatch, columns: Rows, at: int, offset: int) -> None:
+            """columns: of the batch's rows from `at` on; offset: where the batch begins in the frame."""
             nonlocal last
-            columns = columns_of(part)
             if trips:
                 use = columns.fixes(fold.ping, fold.accuracy)
                 use = use[folds.credible(folds.Track(columns.ts[use], columns.lat[use], columns.lon[use]), state.get("last"), fold.fastest)]
@@ -198,49 +210,52 @@ def folded(rows: DataFrame, fold: Fold) -> DataFrame:
                 state["next"] = first + len(use)
             else:
                 fired, kept = fold.advance(state, columns)
-            pool.add(part.column("event") if len(kept) == part.num_rows else part.column("event").take(pa.array(kept, pa.int64())))
+            places.add(np.array(kept, np.int64) + (offset + at))
             if hands_on and kept:
                 for row in kept[: 2 - len(taken)]:
-                    taken.append((part.column("o")[row].as_py(), part.column("path")[row].as_py()))
+                    taken.append((batch.column("o")[at + row].as_py(), batch.column("path")[at + row].as_py()))
                 last = int(columns.ts[kept[-1]])
             if trips:
                 for leg in legs:
-                    out.add(key, 0, at + leg.row, ts=leg.end, sources=pool.array.slice(leg.a - pool.first, leg.b - leg.a + 1), leg=leg)
+                    out.add(key, 0, at + leg.row, ts=leg.end, sources=places.range(leg.a, leg.b + 1), leg=leg)
             else:
                 k, before = 0, None
                 for x in fired:
                     k, before = (k + 1 if x.row == before else 0), x.row
-                    score, sources = pool.evidence(x, ping)
+                    score, sources = frame.evidence(x, places, ping)
                     out.add(key, 0, at + x.row, k, x.ts, score, sources)
-            pool.keep(fold.needed(state))
+            places.keep(fold.needed(state))
 
         def end() -> None:
             if key is None or not hands_on:
                 return
             if trips and (leg := fold.over(state)) is not None:
-                out.add(key, NEXT, None, ts=leg.end, sources=pool.array.slice(leg.a - pool.first, leg.b - leg.a + 1), leg=leg)
+                out.add(key, NEXT, None, ts=leg.end, sources=places.range(leg.a, leg.b + 1), leg=leg)
             for x in fold.ended(state):
-                score, sources = pool.evidence(x, ping)
+                score, sources = frame.evidence(x, places, ping)
                 out.add(key, x.row, None, 0, x.ts, score, sources)
             if taken:
                 out.add(key, TAKEN, taken[0], ts=last, second=taken[1] if len(taken) > 1 else None)
 
         for batch in batches:
-            out, at = out or Output(batch.schema), 0
-            for here, part in parts_of(batch, "user_id", "segment"):
+            out, columns, events = out or Output(batch.schema), columns_of(batch), batch.column("event")
+            offset = len(frame.events) if frame else 0
+            frame = Frame(pa.concat_arrays([frame.events, events]) if offset else events)
+            for here, a, b in parts_of(batch, "user_id", "segment"):
                 if here != key:
                     end()
-                    key, pool, taken, last = here, Pool(batch.schema.field("event").type), [], None
+                    key, places, taken, last = here, Places(), [], None
                     state = {"earlier": EARLIER} if trips and here[1] >= 0 else {}
-                advance(part, at)
-                at += part.num_rows
+                advance(batch, columns.part(a, b), a, offset)
                 if out.size > MOST_EVIDENCE:
-                    yield out.batch(batch)
+                    yield out.batch(batch, frame.events)
             if out.rows:
-                yield out.batch(batch)
+                yield out.batch(batch, frame.events)
+            frame = Frame(frame.events.take(pa.array(places.at)))
+            places.at = np.arange(len(places.at))
         end()
         if out is not None and out.rows:
-            yield out.batch(None)
+            yield out.batch(None, frame.events)
 
     keys = ["user_id", "segment"]
     ordered = dealt(rows.select(*keys, "o", "path", "event", "lo", "hi"), *keys).sortWithinPartitions(*keys, "o", "path")
@@ -270,30 +285,36 @@ def judged(legs: DataFrame, marks: DataFrame, fold: Trips) -> DataFrame:
     schema = f"user_id string, o {ORDER}, path array<int>, k int, ts long, score double, sources array<{EVENT}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user, state, pool = None, {}, None
+        user, state, places, left = None, {}, Places(), None
         for batch in batches:
-            rows, sources, score = [], [], []
+            rows, found, score = [], [], []
             ts, leg, own = batch.column("ts").to_pylist(), batch.column("leg").to_pylist(), batch.column("sources")
-            users = batch.column("user_id").to_pylist()
+            users, offsets, events = batch.column("user_id").to_pylist(), own.offsets.to_numpy(), batch.column("event")
+            # the marks that may still count, the batch's rows, and behind them what legs cite
+            begin = len(left) if left is not None else 0
+            frame = pa.concat_arrays([left, events, own.values] if begin else [events, own.values])
+            cited_from, times = begin + batch.num_rows, pc.struct_field(frame, "ts").to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
                 if users[i] != user:
-                    user, state, pool = users[i], {}, Pool(batch.schema.field("event").type)
+                    user, state, places = users[i], {}, Places()
                 if leg[i] is None:
                     fold.mark(state, ts[i], state.setdefault("next", 0))
-                    pool.add(batch.column("event").slice(i, 1))
+                    places.add(np.array([begin + i], np.int64))
                     state["next"] += 1
                 else:
                     x = folds.Leg(i, 0, 0, leg[i]["begin"], ts[i], leg[i]["moves"], leg[i]["extent"], leg[i]["before"], leg[i]["settled"])
                     trip, cited = fold.judged(state, x)
                     if trip:
-                        more = pool.array.take(pa.array([k - pool.first for _, k in cited], pa.int64()))
+                        at = np.concatenate([np.arange(offsets[i], offsets[i + 1]) + cited_from, places.at[np.array([k for _, k in cited], np.int64) - places.first]])
                         rows.append(i)
-                        sources.append(in_time(pa.concat_arrays([own[i].values, more])))
+                        found.append(at[np.argsort(times[at], kind="stable")])
                         score.append(float(x.moves))
-                pool.keep([(k, k + 1) for _, k in state.get("marks", [])])
+                places.keep([(k, k + 1) for _, k in state.get("marks", [])])
+            left = frame.take(pa.array(places.at))
+            places.at = np.arange(len(places.at))
             if rows:
                 at = pa.array(rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sources)]), pa.int32()), pa.concat_arrays(sources))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), frame.take(pa.array(np.concatenate(found))))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).take(at) for c in ("user_id", "o", "path")], pa.array([0] * len(rows), pa.int32()), batch.column("ts").take(at), pa.array(score), lists],
                     ["user_id", "o", "path", "k", "ts", "score", "sources"],
