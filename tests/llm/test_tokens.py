@@ -113,3 +113,22 @@ def test_queries(spark, sf, word, byte):
     for i, t in texts.items():
         raw = np.array([*byte.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
         assert got[i] == (len(raw) // 4, zlib.crc32(raw))
+
+
+def test_a_task_lets_its_encoder_go(spark, odd, odd_rows, word, monkeypatch):
+    """Workers outlive a task, and the next task of an executor may come to another one: encoders that stay would add up."""
+    monkeypatch.setattr(trie_bpe, "ROWS", 2)
+    monkeypatch.setattr(trie_bpe, "BATCH_CHARS", 100)
+    rows = trie_bpe.encoded_rows(odd, WORD_BPE).collect()
+    want = [(i, word.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in odd_rows]
+    assert sorted([(r.doc_id, list(r.ids)) for r in rows], key=repr) == sorted(want, key=repr)
+    assert all(r.n_tokens == len(r.ids) for r in rows)
+
+    def held(batches):
+        from tideline.llm import common
+
+        for pdf in batches:
+            yield pdf.assign(held=",".join(common._store))
+
+    left = odd.select("doc_id").mapInPandas(held, "doc_id long, held string")
+    assert not any("trie" in r.held for r in left.collect())

@@ -18,15 +18,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe_vocab import Vocabulary, vocabulary
-from tideline.llm.common import kept
+from tideline.llm.common import kept, released
 
 #: Encodings in a generation of words, and of pieces: a worker keeps two, and a full one drops the one before. Token pairs
-#: whose checks it keeps; when full it starts anew.
-CACHED_WORDS, CACHED_PAIRS = 250_000, 700_000
+#: whose checks it keeps; when full it starts anew. About 70 MB a worker in all.
+CACHED_WORDS, CACHED_PIECES, CACHED_PAIRS = 100_000, 30_000, 150_000
 END = "\0"  # follows the last symbol of a piece in the trie; no symbol itself
 
 
@@ -138,7 +139,7 @@ class TrieEncoder:
         pieces |= self.encode_pieces(new.difference(pieces))
         for w, ps in split.items():
             known[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-        if len(pieces) > CACHED_WORDS:
+        if len(pieces) > CACHED_PIECES:
             self.old_pieces, self.pieces = pieces, {}
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
@@ -169,7 +170,7 @@ def encoder(path: str) -> TrieEncoder:
 
 
 #: Characters of the texts that are encoded at once.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 300_000
 
 
 def _groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
@@ -198,26 +199,38 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
     return found.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("ids", "decoded")], "_e.ids", "_e.decoded")
 
 
+#: Rows of a batch whose texts are taken out of Arrow's memory at once.
+ROWS = 500
+
+
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    for at in range(0, len(column), ROWS):
+        yield from column.slice(at, ROWS).to_pylist()
+
+
 def encoded_rows(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded_sha256 of doc_id, text: the rows leave a task in small batches."""
+    """doc_id, n_tokens, ids and decoded_sha256 of doc_id, text: the rows leave a task in small batches. A task lets its encoder
+    go when it ends: the next task of its executor may come to any of the workers that earlier stages left, and would add its own."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocab_path)
-        for pdf in batches:
-            at, doc_ids = 0, pdf["doc_id"].array
-            for group in _groups(pdf["text"]):
-                found = e.encode_batch(group)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if pd.isna(i) else int(i) for i in doc_ids[at : at + len(group)]], "Int64"),
-                        "n_tokens": [len(b) // 4 for b, _ in found],
-                        "ids": [np.frombuffer(b, "<i4") for b, _ in found],
-                        "decoded_sha256": [hashlib.sha256(d.encode("utf-8")).hexdigest() for _, d in found],
-                    }
-                )
-                at += len(group)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+        try:
+            for batch in batches:
+                at, doc_ids = 0, batch.column("doc_id")
+                for group in _groups(_texts(batch.column("text"))):
+                    found = e.encode_batch(group)
+                    counts = np.array([len(b) // 4 for b, _ in found], np.int64)
+                    ids = pa.array(np.frombuffer(b"".join([b for b, _ in found]), "<i4"))
+                    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                    shas = pa.array([hashlib.sha256(d.encode("utf-8")).hexdigest() for _, d in found], pa.string())
+                    columns = [doc_ids.slice(at, len(group)), pa.array(counts), pa.ListArray.from_arrays(ends, ids), shas]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+                    at += len(group)
+        finally:
+            del e
+            released()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def digests(text: str | Column, vocab_path: str) -> Column:
