@@ -108,6 +108,41 @@ def test_similar_sets_share_a_signature():
             assert partenum.may_link(partenum.histogram(a), partenum.histogram(b), len(a), len(b))
 
 
+def test_linked_sets_share_enough_signatures():
+    g = np.random.default_rng(5)
+    for size in (30, 60, 100, 200, 300, 500, 900):
+        for _ in range(20):
+            base = g.integers(0, 2**64, size, dtype=np.uint64)
+            gone = size // 10  # of each: 100 * 9 / 11 of all are shared
+            a = np.unique(np.concatenate([base, g.integers(0, 2**64, gone, dtype=np.uint64)]))
+            b = np.unique(np.concatenate([base, g.integers(0, 2**64, gone, dtype=np.uint64)]))
+            assert partenum._similar(a, b)
+            shared = np.intersect1d(partenum.signatures(a), partenum.signatures(b)).size
+            assert shared >= max(partenum.least_shared(a), partenum.least_shared(b)) >= 1
+    assert partenum.least_shared(g.integers(0, 2**64, 900, dtype=np.uint64)) > 5
+
+
+def test_documents_in_too_few_crowded_groups_go(spark, monkeypatch):
+    """Documents that share a passage share a signature or two of it, those that link share more."""
+    monkeypatch.setattr(partenum, "CROWD", 4)
+    passage = [f"p{i}" for i in range(160)]
+    rows = [(i, " ".join([*passage, *(f"w{i}x{j}" for j in range(640))])) for i in range(60)]
+    near = rows[7][1].split()
+    for j in (250, 400, 700):
+        near[j] = "changed"
+    rows.append((60, " ".join(near)))
+    looked_at, whole = [], partenum._crowded_pairs
+
+    def seen(docs, crowded, labels):
+        looked_at.append(crowded.count())
+        return whole(docs, crowded, labels)
+
+    monkeypatch.setattr(partenum, "_crowded_pairs", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in partenum.similar_components(df).collect()), key=repr) == brute_components(rows)
+    assert sum(looked_at) < 20  # 37 without
+
+
 def test_one_of_each(spark, odd):
     rows = [r.asDict() for r in partenum.one_of_each(odd).collect()]
     ids = sorted(r["doc_id"] for r in rows if r["doc_id"] is not None)

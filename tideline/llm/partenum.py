@@ -13,8 +13,9 @@ Documents that share a signature are compared with the least of them (a star, li
 document with the one that leads most of its groups, then those pairs that this left in different components. What stays
 open are groups whose other members lie in several components. Members of groups of up to CROWD are compared across
 components. A crowded group holds a passage that very many documents share, or copies with so many edits that they fall
-just short of 0.8; no signature tells these apart, and pairing them would grow with the square of the group. Their
-documents meet by their rarest shingles (counted among the documents of crowded groups): two sets link only if they share
+just short of 0.8; no signature tells these apart, and pairing them would grow with the square of the group. Sets that link share
+a signature for each of t + 1 first-level parts (least_shared), so documents in too few crowded groups are taken out, and groups
+that this makes small are compared directly. What documents stay meet by their rarest shingles (counted among the documents of crowded groups): two sets link only if they share
 one of those at places in the order by rarity that their sizes allow. Both ways find every link between different
 components, so the size of a group decides what is compared, never what is found.
 
@@ -43,6 +44,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Open groups up to this size are compared directly across components, those of larger ones by their rarest shingles.
 CROWD = 16
+#: How often documents in too few crowded groups are taken out of these.
+THINNED = 2
 
 
 def sets_of(texts: list[str]) -> list[np.ndarray]:
@@ -89,6 +92,12 @@ def _subsets(n2: int, k2: int) -> np.ndarray:
     return out
 
 
+def _places(s: np.ndarray, band: int, again: int, n1: int, n2: int) -> np.ndarray:
+    """The second-level part, numbered through all first-level parts, that each of a set's shingles lies in."""
+    place = mix(s + np.uint64(band + (again << 20)), 0x9E3779B97F4A7C15)
+    return (((place >> np.uint64(32)) * np.uint64(n1 * n2)) >> np.uint64(32)).astype(np.int64)
+
+
 def signatures(s: np.ndarray) -> np.ndarray:
     """A set's signatures (48 bits each) for its own band and the next one."""
     number, high, next_high = band_of(len(s))
@@ -98,8 +107,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
         n1, n2, k2, t = parameters(top)
         chosen, again = _subsets(n2, k2), 0
         while True:
-            place = mix(s + np.uint64(band + (again << 20)), 0x9E3779B97F4A7C15)
-            cell = (((place >> np.uint64(32)) * np.uint64(n1 * n2)) >> np.uint64(32)).astype(np.int64)
+            cell = _places(s, band, again, n1, n2)
             count = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2).astype(np.uint64) @ chosen
             total = np.zeros(n1 * n2, np.uint64)
             np.add.at(total, cell, mixed)
@@ -112,6 +120,18 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def least_shared(s: np.ndarray) -> int:
+    """How many signatures a set shares at least with any set that links with it: one for each of t + 1 first-level parts, but
+    for those where it has a choice of second-level parts without shingles."""
+    number, high, next_high = band_of(len(s))
+    least = []
+    for band, top in ((number, high), (number + 1, next_high)):
+        n1, n2, k2, t = parameters(top)
+        count = np.bincount(_places(s, band, 0, n1, n2), minlength=n1 * n2).reshape(n1, n2).astype(np.uint64) @ _subsets(n2, k2)
+        least.append(max(1, t + 1 - np.count_nonzero(~(count > 0).all(1))))
+    return int(min(least))
+
+
 #: Shingles a cell of a histogram, about.
 CELL = 4
 
@@ -168,6 +188,19 @@ def _with_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return picked.mapInPandas(run, "doc long, s array<long>").filter("size(s) > 0")
 
 
+def _least_shared(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, _least) for the documents in ids (doc): least_shared of their texts, the lowest where a doc_id has several."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for group in grouped(zip(pdf["doc"], pdf["text"], strict=True), 1):
+                found = [(r[0], least_shared(s)) for r, s in zip(group, sets_of([r[1] for r in group]), strict=True) if len(s)]
+                yield pd.DataFrame(found, columns=["doc", "_least"])
+
+    picked = rows.join(small(ids), "doc", "left_semi")
+    return picked.mapInPandas(run, "doc long, _least long").groupBy("doc").agg(F.min("_least").alias("_least"))
+
+
 #: Pairs of a hot document that meet it in one task.
 HOT_SLICE = 500
 
@@ -259,18 +292,30 @@ def _crowded_pairs(rows: DataFrame, crowded: DataFrame, labels: DataFrame) -> Da
     return pairs.select(F.least("doc_1", "doc_2").alias("a"), F.greatest("doc_1", "doc_2").alias("b")).distinct()
 
 
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (sig, doc) of the groups that lie in several components, with _size, how many members their group has."""
+    spread = _labelled(members, labels).groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_a"), F.max("comp").alias("_b"))
+    spread = staged(spread.filter("_a <> _b").select("sig", "_n"), "open-groups")
+    return staged(join_by_count(members, spread.withColumn("_size", F.col("_n")), "sig"), "open-members")
+
+
 def _open_pairs(rows: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of members of the same group, in different components; each group's least member, with which all others were
-    compared, is left out."""
-    members = _labelled(groups.filter("doc <> _first").select("sig", "doc"), labels)
-    spread = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_a"), F.max("comp").alias("_b"))
-    spread = staged(spread.filter("_a <> _b").select("sig", "_n"), "open-groups")
-    members = staged(join_by_count(groups.filter("doc <> _first").select("sig", "doc"), spread.withColumn("_size", F.col("_n")), "sig"), "open-members")
-    few = staged(_labelled(members.filter(F.col("_size") <= CROWD).select("sig", "doc"), labels), "small-groups")
+    compared, is left out. Pairs that meet in no small group share crowded ones only, so documents in too few of those go."""
+    members = _open_members(groups.filter("doc <> _first").select("sig", "doc").distinct(), labels)
+    few, crowd = members.filter(F.col("_size") <= CROWD).select("sig", "doc"), members.filter(F.col("_size") > CROWD).select("sig", "doc")
+    if crowd.limit(1).count():
+        least = staged(_least_shared(rows, crowd.select("doc").distinct()), "least-shared")
+        for _ in range(THINNED):
+            enough = crowd.groupBy("doc").agg(F.count(F.lit(1)).alias("_k")).join(least, "doc").filter("_k >= _least").select("doc")
+            members = _open_members(staged(crowd.join(small(staged(enough, "enough")), "doc", "left_semi"), "thinned"), labels)
+            few = few.unionByName(members.filter(F.col("_size") <= CROWD).select("sig", "doc"))
+            crowd = members.filter(F.col("_size") > CROWD).select("sig", "doc")
+    few = staged(_labelled(few, labels), "small-groups")
     other = few.select("sig", F.col("doc").alias("b"), F.col("comp").alias("_c"))
     one = few.select(F.col("sig").alias("_sig"), F.col("doc").alias("a"), "comp")
     pairs = one.join(other, (F.col("_sig") == F.col("sig")) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("_c"))).select("a", "b").distinct()
-    crowded = staged(members.filter(F.col("_size") > CROWD).select("doc").distinct(), "crowded")
+    crowded = staged(crowd.select("doc").distinct(), "crowded")
     if crowded.limit(1).count():
         pairs = pairs.unionByName(_crowded_pairs(rows, crowded, labels)).distinct()
     return pairs
