@@ -132,3 +132,23 @@ def test_a_task_lets_its_encoder_go(spark, odd, odd_rows, word, monkeypatch):
 
     left = odd.select("doc_id").mapInPandas(held, "doc_id long, held string")
     assert not any("trie" in r.held for r in left.collect())
+
+
+def test_a_word_that_is_one_token_costs_one_check(word, monkeypatch):
+    """States are worked out when asked for, the longest token first: whole words leave those of their prefixes alone."""
+    v = vocabulary(WORD_BPE)
+    whole = sorted(t.removesuffix(v.end) for t in v.ids if t.endswith(v.end) and t.removesuffix(v.end).isalpha() and t.isascii() and len(t) > 12)[:500]
+    e, checked = trie_bpe.TrieEncoder(v), []
+    monkeypatch.setattr(e, "merged", lambda symbols, f=e.merged: checked.append(len(symbols)) or f(symbols))
+    found = e.encode_pieces(whole)
+    assert {w: list(np.frombuffer(b, "<u4")) for w, b in found.items()} == {w: word.encode(w, add_special_tokens=False).ids for w in whole}
+    assert len(checked) == len(whole)
+
+
+def test_long_words_and_shared_prefixes(word):
+    g = random.Random(8)
+    stems = ["".join(g.choice("aeinrst") for _ in range(g.randint(1, 9))) for _ in range(40)]
+    words = ["a" * 3000, "ab" * 1500, "é" * 1500, *("".join(g.choices(stems, k=g.randint(1, 60))) for _ in range(800))]
+    texts = [" ".join(words), *words, *(w[:-1] for w in words if len(w) > 1), "ÀÉÎ ĮįĬİı ŒŸ ǅ", "Éa\u0301x ª º ß×÷µ"]
+    for t, (ids, _) in zip(texts, trie_bpe.TrieEncoder(vocabulary(WORD_BPE)).encode_batch(texts), strict=True):
+        assert list(np.frombuffer(ids, "<u4")) == word.encode(t, add_special_tokens=False).ids

@@ -13,6 +13,10 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Python's split() takes these for white space, the tokenizer does not.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
+#: Below it (Latin-1 and Latin Extended-A to \u012F) a letter is one for all libraries, its lower case doesn't depend on
+#: neighbours, and is one letter.
+LATIN_END = "\u0130"
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself if printable, else the next free one from 256 on."""
@@ -40,6 +44,7 @@ class Vocabulary:
             self.ranks[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
         self.specials = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.symbols = byte_symbols()
+        self.by_byte = dict(enumerate(self.symbols))
         self.special_pattern = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.specials, key=len, reverse=True)) + ")")
 
     def split(self, text: str) -> list[tuple[str, bool]]:
@@ -57,10 +62,14 @@ class Vocabulary:
     def pieces(self, word: str) -> list[str]:
         """A word's pieces after normalisation, in the vocabulary's byte symbols."""
         if word.isascii() and word.isprintable():  # the symbols are the characters themselves
-            return PIECES.findall(word.lower())
-        low = "".join(c.lower() for c in unicodedata.normalize("NFC", word))  # by character: no final sigma
-        table = self.symbols
-        return ["".join(table[b] for b in p.encode("utf-8")) for p in PIECES.findall(low)]
+            return [word.lower()] if word.isalpha() else PIECES.findall(word.lower())
+        low = unicodedata.normalize("NFC", word)
+        if max(low) < LATIN_END:
+            low = low.lower()
+            found = [low] if low.isalpha() else PIECES.findall(low)
+        else:
+            found = PIECES.findall("".join(c.lower() for c in low))  # by character: no final sigma
+        return [p.encode("utf-8").decode("latin-1").translate(self.by_byte) for p in found]
 
     def first_symbols(self, piece: str) -> list[int]:
         """A piece's symbols before any merge; the last one carries the word end."""

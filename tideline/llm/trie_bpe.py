@@ -1,9 +1,10 @@
 """BPE encoding by prefix-sharing trie traversal, and decoding.
 
-The distinct new pieces of a batch go into a trie. A depth-first walk gives each node its state: the last token of the
-encoding of that prefix. A token t that ends a prefix is its last token if the rest of the prefix ends in a token u for
-which u, t is what merging their joint symbols gives; adjacent pairs that merging leaves alone make up the whole
-encoding, and just one t qualifies. Prefixes that many words share are thus encoded once.
+The distinct new pieces of a batch, sorted, are the paths of a trie in depth-first order: a piece keeps the nodes it shares
+with the one before. A node's state is the last token of the encoding of its prefix. A token t that ends a prefix is its
+last token if the rest of the prefix ends in a token u for which u, t is what merging their joint symbols gives; adjacent
+pairs that merging leaves alone make up the whole encoding, and just one t qualifies. So the longest t is tried first, and a
+state is worked out only when one asks for it, once for all words that share the prefix.
 
 Null and empty texts have no ids and decode to the empty text. Rows are independent: repeated rows, nulls in other
 columns and extra columns change nothing, but encode()'s ids and decoded take the place of columns of those names; an
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,22 +29,29 @@ from tideline.llm.common import kept, released
 #: Encodings in a generation of words, and of pieces: a worker keeps two, and a full one drops the one before. Token pairs
 #: whose checks it keeps; when full it starts anew. About 70 MB a worker in all.
 CACHED_WORDS, CACHED_PIECES, CACHED_PAIRS = 100_000, 30_000, 150_000
-END = "\0"  # follows the last symbol of a piece in the trie; no symbol itself
+#: Depths from one state that is asked for in any case to the next.
+STEP = 100
+
+
+def _reach(ids: Iterable[str]) -> dict[str, int]:
+    """The length of the longest of these tokens, by their last three characters; shorter tokens by all of theirs."""
+    found: dict[str, int] = {}
+    for t in ids:
+        found[t[-3:]] = max(len(t), found.get(t[-3:], 0))
+    return found
 
 
 class TrieEncoder:
     def __init__(self, v: Vocabulary):
         self.v = v
-        #: by each ending of a token: its id where the ending is a token itself, else -1
-        self.endings: dict[str, int] = {}
-        for t in v.ids:
-            whole = len(t) - len(v.end) if v.end and t.endswith(v.end) and len(t) > len(v.end) else len(t)
-            for at in range(1, whole):
-                self.endings.setdefault(t[at:], -1)
-        self.endings |= v.ids
-        self.longest = max(map(len, v.ids))
         self.text = {i: t for t, i in v.ids.items()} | {i: t for t, i in v.specials.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.n = max(self.text, default=0) + 1
+        #: tokens inside a word, and those that end one (without the word end's mark), by their characters
+        self.inner = {t: i for t, i in v.ids.items() if not (v.end and t.endswith(v.end) and len(t) > len(v.end))}
+        self.final = {t[: -len(v.end)]: i for t, i in v.ids.items() if t not in self.inner} if v.end else self.inner
+        self.inner_reach, self.final_reach = _reach(self.inner), _reach(self.final)
+        #: by left token * n + right token: whether they stay apart; by -1 - token: whether its symbols merge to it
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -65,64 +73,60 @@ class TrieEncoder:
             symbols[best[1] : best[1] + 2] = [best[2]]
         return symbols
 
-    def stay_apart(self, a: int, b: int) -> bool:
-        """Whether merging the symbols of tokens a and b gives a and b again."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            known = self.pairs[a, b] = self.merged(self.symbols_of(a) + self.symbols_of(b)) == [a, b]
+    def fits(self, key: int) -> bool:
+        """What `pairs` keeps for this key, worked out by merging."""
+        found = [-1 - key] if key < 0 else [*divmod(key, self.n)]
+        known = self.pairs[key] = self.merged([x for t in found for x in self.symbols_of(t)]) == found
         return known
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """The ids of each of these distinct pieces, as little-endian 32-bit integers."""
-        root: dict = {}
-        for piece in pieces:
-            node = root
-            for c in piece[:-1]:
-                node = node.setdefault(c, {})
-            node.setdefault(piece[-1] + END, piece)
-        ids, end, longest, apart, known = self.endings.get, self.v.end, self.longest, self.stay_apart, self.pairs
-        if len(known) > CACHED_PAIRS:
-            known.clear()
+        if len(self.pairs) > CACHED_PAIRS:
+            self.pairs.clear()
+        inner, reach, final, final_reach = self.inner.get, self.inner_reach.get, self.final.get, self.final_reach.get
+        known, fits, n = self.pairs.get, self.fits, self.n
         out: dict[str, bytes] = {}
-        tokens, starts = [-1], [0]  # by depth: last token of the prefix, and where that token starts
-
-        def state(prefix: str, depth: int, ending: str) -> tuple[int, int]:
-            """prefix: its last characters, as many as a token has at most."""
-            at = depth
-            for i in range(len(prefix) - 1, -1, -1):
-                at -= 1
-                t = ids(prefix[i:] + ending)
-                if t is None:
-                    break
-                if t >= 0:
+        tokens: list[int] = [-1]  # by depth: last token of the prefix, -1 if not asked for yet, and where that token starts
+        starts = [0]
+
+        def state(piece: str, depth: int, ids: Callable[[str], int | None], longest: int) -> tuple[int, int]:
+            for at in range(max(0, depth - longest), depth):
+                if (t := ids(piece[at:depth])) is not None:
                     if not at:
-                        return t, 0
-                    ok = known.get((tokens[at], t))
-                    if ok or ok is None and apart(tokens[at], t):
+                        key = -1 - t
+                    else:
+                        if (last := tokens[at]) < 0:
+                            last, starts[at] = state(piece, at, inner, reach(piece[max(0, at - 3) : at], 2))
+                            tokens[at] = last
+                        key = last * n + t
+                    if (ok := known(key)) or ok is None and fits(key):
                         return t, at
-            raise ValueError(f"no token ends {prefix!r}")
-
-        stack = [("", 0, root)]
-        while stack:
-            prefix, depth, node = stack.pop()
-            if depth:
-                del tokens[depth:], starts[depth:]
-                t, at = state(prefix, depth, "")
-                tokens.append(t)
-                starts.append(at)
-            for key, child in node.items():
-                longer = prefix + key[0]
-                if depth >= longest:
-                    longer = longer[-longest:]
-                if len(key) == 1:
-                    stack.append((longer, depth + 1, child))
-                else:
-                    t, at = state(longer, depth + 1, end)
-                    found = [t]
-                    while at:
-                        found.append(tokens[at])
-                        at = starts[at]
-                    out[child] = array("I", found[::-1]).tobytes()
+            raise ValueError(f"no token ends {piece[:depth]!r}")
+
+        before = ""
+        for piece in sorted(pieces):
+            shared = 0
+            for a, b in zip(before, piece):  # noqa: B905
+                if a != b:
+                    break
+                shared += 1
+            size = len(piece)
+            del tokens[shared + 1 :], starts[shared + 1 :]
+            tokens += [-1] * (size - len(tokens))
+            starts += [0] * (size - len(starts))
+            for depth in range(STEP, size, STEP):  # a long piece's states ask for few others at once
+                if tokens[depth] < 0:
+                    tokens[depth], starts[depth] = state(piece, depth, inner, reach(piece[depth - 3 : depth], 2))
+            t, at = state(piece, size, final, final_reach(piece[-3:], 2))
+            if at:
+                found = [t]
+                while at:
+                    found.append(tokens[at])
+                    at = starts[at]
+                out[piece] = array("I", found[::-1]).tobytes()
+            else:
+                out[piece] = array("I", (t,)).tobytes()
+            before = piece
         return out
 
     def learn(self, words: set[str]) -> None:
