@@ -1,6 +1,8 @@
 """The pipeline's stages on the smallest tables, each against brute force on its own input."""
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -59,3 +61,21 @@ def test_run_of_odd_rows(spark, odd, empty, sf, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
     assert {r.doc_id for r in out} <= {r.doc_id for r in odd.collect()} and all(r.n_tokens == len(r.ids) for r in out)
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_texts_go_to_workers_in_small_batches(spark, sf, tmp_path):
+    """A batch of Spark's default size would hold all of these 25 MB at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.range(2500, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 3300).alias("text")).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "nbytes"])
+
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(name)
+        found = stage(spark, docs, sf)
+        got = docs.mapInArrow(sizes, "n long, nbytes long").collect()
+        assert sum(r.n for r in got) == 2500 and max(r.nbytes for r in got) < 6_000_000
+    assert found.count() == 2500
